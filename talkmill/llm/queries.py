@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from talkmill.llm import chat_format, fingerprints, url_filter
+from talkmill.llm import chat_format, fingerprints, near_dups, packing, repeats, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_packing": packing.op3_packing,
+    "op4_token_counts": tokens.op4_token_counts,
+    "op5_repeats": repeats.op5_repeats,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op10_near_duplicates": near_dups.op10_near_duplicates,
 }
 
 ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op8_chat_format": chat_format.OP8_SQL}
