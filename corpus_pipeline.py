@@ -1,10 +1,68 @@
-"""The corpus pipeline: five operators, one after another, over ``documents``."""
+"""The corpus pipeline: five operators, one after another, over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the
+next stage's docs. All but the last return the columns of ``documents``. Nulls, empty texts, repeated
+rows and empty tables are handled as the stages' operators say.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from talkmill.llm import mixing, near_dups, packing, quality, repeats
+from talkmill.llm.common import durable, table
+from talkmill.llm.tokens import DEFAULT_TOKENIZER
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SIMILARITY = 80
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the classifier, fitted on the labels of ``docs``, accepts."""
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs.select(COLUMNS), model).filter("predicted = 1").select(COLUMNS)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest doc_id, of each group of near-duplicates."""
+    gone = near_dups.near_duplicates(docs, SIMILARITY).filter("not kept").select("doc_id").distinct()
+    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+
+
+def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the bytes of repeated strings out of the texts; characters cut in half go whole."""
+    kept = repeats.remove_repeats(docs.select(COLUMNS))
+    text = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
+    text = F.when(F.size("spans") > 0, text).otherwise(F.col("kept").cast("string"))
+    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    copies = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, in sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path(DEFAULT_TOKENIZER))
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("MinHash near-dedup", near_dup_stage),
+    ("suffix-array dedup", repeats_stage),
+    ("mixing", mixing_stage),
+    ("packing", packing_stage),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

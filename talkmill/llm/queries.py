@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import chat_format, fingerprints, near_dups, packing, repeats, tokens, url_filter
+from talkmill.llm import chat_format, fingerprints, mixing, near_dups, neighbours, packing, quality, repeats, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -10,7 +10,10 @@ QUERIES = {
     "op3_packing": packing.op3_packing,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_repeats": repeats.op5_repeats,
+    "op6_quality": quality.op6_quality,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_chat_format": chat_format.op8_chat_format,
+    "op9_mixing": mixing.op9_mixing,
     "op10_near_duplicates": near_dups.op10_near_duplicates,
 }
 
