@@ -6,6 +6,7 @@ import json
 import os
 from array import array
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ OVERLAP_CHARS = 512
 #: Tokens that must agree on each side of a splice.
 AGREE = 8
 #: Words that a worker remembers (about 200 bytes each).
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
 DOCS_PER_SLICE = 128
 #: A split pattern whose matches never hold white space, under "Removed" and "invert": what white space parts is encoded apart.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -59,7 +60,8 @@ class Encoder:
         if self.apart:
             self.specials = [x["content"].encode() for x in said["added_tokens"]]
             self.lowers = "Lowercase" in normal
-            self.ends = {i for w, i in said["model"]["vocab"].items() if w.endswith("</w>")}
+            self.ends = np.zeros(1 + max(said["model"]["vocab"].values()), bool)
+            self.ends[[i for w, i in said["model"]["vocab"].items() if w.endswith("</w>")]] = True
 
     def with_offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of each token, in code points of ``text``."""
@@ -108,7 +110,7 @@ class Encoder:
             return [self.ids(t) for t in texts]
         whole = [len(t) > self.huge and len(t.decode("utf-8", "replace")) > self.huge or any(s in t for s in self.specials) for t in texts]
         words = [[] if w else self.split(t) for w, t in zip(whole, texts, strict=True)]
-        if missing := set().union(*words) - self.cache.keys():
+        if missing := set().union(*words).difference(self.cache):
             self.learn(missing, words)
         get = self.cache.__getitem__
         return [self.ids(t) if w else b"".join(map(get, ws)) for w, t, ws in zip(whole, texts, words, strict=True)]
@@ -134,10 +136,10 @@ class Encoder:
         plain = [w for w, s in new.items() if s.isascii() and s.isalpha()]
         for i in range(0, len(plain), 512):
             some = plain[i : i + 512]
-            ids = self.json.encode(" ".join([new[w] for w in some]), add_special_tokens=False).ids
-            stops = [k + 1 for k, x in enumerate(ids) if x in self.ends]
+            ids = np.array(self.json.encode(" ".join([new[w] for w in some]), add_special_tokens=False).ids, np.uint32)
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) == len(some):
-                raw = array("I", ids).tobytes()
+                raw = ids.tobytes()
                 at = 0
                 for w, stop in zip(some, stops, strict=True):
                     self.cache[w] = raw[4 * at : 4 * stop]
