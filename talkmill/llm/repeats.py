@@ -30,6 +30,8 @@ COVER = [0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109]
 BATCH_BYTES = 16 << 20
 BUCKET_BYTES = 16 << 20
 MAX_TABLE_BUCKETS = 20_000
+#: Groups in which the batches' own candidate runs pass the second exchange.
+RUN_GROUPS = 1 << 16
 
 _U = np.uint64
 MESSAGE = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("keys", pa.binary()), ("many", pa.binary())])
@@ -133,6 +135,8 @@ def bits(data: bytes, n: int) -> np.ndarray:
 def sort_bucket(group: pa.Table, stage: int) -> pa.Table:
     """Sorts one bucket; for each batch a bit for each of its keys: it is there twice, or in another batch."""
     rows = group.to_pylist()
+    if rows[0]["bucket"] < 0:
+        return pa.Table.from_pylist([{"batch": r["batch"], "stage": stage, "bucket": -1, "n": 0, "bits": r["keys"]} for r in rows], REPLY)
     keys = [unpacked(r["n"], r["first"], r["keys"], stage == 2) for r in rows]
     every = np.concatenate(keys)
     order = np.argsort(every, kind="stable")
@@ -153,7 +157,7 @@ def sort_bucket(group: pa.Table, stage: int) -> pa.Table:
 
 def flags(replies: pa.Table, stage: int, n: int) -> np.ndarray:
     """The replies' bits for the sorted distinct keys of a batch; its buckets are in order."""
-    rows = sorted((r for r in replies.to_pylist() if r["stage"] == stage), key=lambda r: r["bucket"])
+    rows = sorted((r for r in replies.to_pylist() if r["stage"] == stage and r["bucket"] >= 0), key=lambda r: r["bucket"])
     return np.concatenate([bits(r["bits"], r["n"]) for r in rows]) if rows else np.zeros(n, bool)
 
 
@@ -224,7 +228,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
         found = own.candidates(where, flags(replies, 1, len(distinct))[back])
         keys, counts = np.unique(own.hashes(found), return_counts=True)
         batch = group.column("batch")[0].as_py()
-        runs = pa.table([[-1], [batch], [len(found)], [0], [pack_runs(found)], [b""]], schema=MESSAGE)
+        # The batch's own candidates travel with the messages, and come back to it with the replies.
+        runs = pa.table([[-1 - batch % RUN_GROUPS], [batch], [len(found)], [0], [pack_runs(found)], [b""]], schema=MESSAGE)
         return pa.concat_tables([messages(batch, keys, counts, buckets, True), runs])
 
     def cut(group: pa.Table, replies: pa.Table) -> pa.Table:
@@ -258,10 +263,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
 
     first = bodies.groupBy("batch").applyInArrow(sample, ddl(MESSAGE))
     ranks = durable(first.groupBy("bucket").applyInArrow(lambda g: sort_bucket(g, 1), ddl(REPLY)), "ranks")
-    sent = durable(bodies.groupBy("batch").cogroup(ranks.groupBy("batch")).applyInArrow(suffixes, ddl(MESSAGE)), "suffixes")
-    sorted_ = sent.filter("bucket >= 0").groupBy("bucket").applyInArrow(lambda g: sort_bucket(g, 2), ddl(REPLY))
-    runs = sent.filter("bucket = -1").selectExpr("batch", "2 stage", "bucket", "0L n", "keys bits")
-    replies = durable(sorted_.unionByName(runs), "classes")
+    sent = bodies.groupBy("batch").cogroup(ranks.groupBy("batch")).applyInArrow(suffixes, ddl(MESSAGE))
+    replies = durable(sent.groupBy("bucket").applyInArrow(lambda g: sort_bucket(g, 2), ddl(REPLY)), "classes")
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     added = [T.StructField("n_bytes", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.BinaryType())]
     out = T.StructType([*docs.drop(text).schema, *added])
