@@ -1,0 +1,70 @@
+"""Word lists, patterns and limits that results depend on."""
+
+# Extensions that make a relative name a file mention.
+FILE_EXTENSIONS = (
+    "ts tsx js jsx mjs cjs py java go rs sql md json ya?ml toml xml css scss html vue cs sh ps1 c cpp h hpp proto gradle kt rb php"
+)
+
+# Words that are never topics.
+STOPWORDS = (
+    "我们 你们 他们 这个 那个 什么 怎么 为什么 可以 应该 就是 "
+    "还是 然后 以及 但是 如果 因为 所以 现在 已经 可能 需要 "
+    "使用 进行 讨论 一下 一个 一些 或者 这些 那些 自己 里面 "
+    "上面 下面 直接 基本 时候 地方 东西 问题 方案 看看 出来 "
+    "the a an is are to for of and or in on with "
+    "this that you i we it be as at by from not will"
+)
+
+# Sentence forms of a decision, in order of precedence.
+DECISION_PATTERNS = (
+    r"(决定|选择|采用|最终用|最终选|定下|敲定|改为|改用|换成|切换到|升级到|切换成|放弃|弃用)[^。！？!?\n]{2,80}",
+    r"^[^。！？!?\n]{0,4}(?:不用|直接用|优先用|统一用|改为使用)[^。！？!?\n]{2,80}",
+    r"([^。！？!?\n]{2,30}(?:方案|选型|策略|架构|库|协议|格式|命名|引擎|分词|存储|模式)(?:定为|确定为|选定为|采用|敲定))[^。！？!?\n]{0,40}",
+)
+
+# Hints that a sentence with a question mark is a question, and that it is open.
+QUESTION_HINT = r"(?i)(为什么|怎么|是否|要不要|还是|吗|什么|哪个|哪些|如何|多久|how|what|why|whether|which)"
+OPEN_HINT = r"(还没|尚未|待定|再定|不确定|没定|没有结论|后续|以后再)"
+
+# Beginnings of user messages that a program wrote.
+INJECTED = r"^(The TodoWrite tool|<system-reminder|<command-|<local-command|\[Request interrupted)"
+
+# Secrets, applied in this order: (name, pattern, replacement).
+REDACTIONS = (
+    ("aws-access-key", r"AKIA[0-9A-Z]{16}", "[已脱敏:aws-key]"),
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "[已脱敏:private-key]"),
+    ("bearer-token", r"\bBearer\s+[A-Za-z0-9\-._~+/=]{8,}", "[已脱敏:bearer]"),
+    ("secret-assign", r"(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?key|token)\b\s*[:=]\s*(\"[^\"]{4,}\"|'[^']{4,}'|[^\s,;，；}]{4,})", "$1=[已脱敏]"),
+    ("db-conn", r"(?i)\b(mysql|postgres(ql)?|redis|mongodb(\+srv)?|amqp)://[^\s@]+@[^\s\"']+", "$1://[已脱敏]@…"),
+)
+
+# Fixed values: (from, event, to, effect) of every legal change of a session's state.
+TRANSITIONS = (
+    ("active", "NEW_LINE", "active", "touch"),
+    ("pending_end", "NEW_LINE", "active", "rollback"),
+    ("confirmed", "NEW_LINE", "active", "rollback"),
+    ("active", "IDLE_TIMEOUT", "pending_end", None),
+    ("pending_end", "IDLE_TIMEOUT", "pending_end", None),
+    ("confirmed", "IDLE_TIMEOUT", "confirmed", None),
+    ("active", "END_SIGNAL", "pending_end", None),
+    ("pending_end", "END_SIGNAL", "pending_end", None),
+    ("confirmed", "END_SIGNAL", "confirmed", None),
+    ("pending_end", "COOLDOWN_ELAPSED", "confirmed", "confirm"),
+    ("active", "RESUMED", "active", "touch"),
+    ("pending_end", "RESUMED", "active", "rollback"),
+    ("confirmed", "RESUMED", "active", "rollback"),
+    ("active", "MANUAL_CONFIRM", "confirmed", "confirm"),
+    ("pending_end", "MANUAL_CONFIRM", "confirmed", "confirm"),
+    ("confirmed", "MANUAL_CONFIRM", "confirmed", "confirm"),
+    ("pending_end", "PURGE", "deleted", "purge"),
+)
+
+IDLE_MINUTES, COOLDOWN_HOURS = 10, 6
+MAX_TOPICS, MAX_DECISIONS, MAX_QUESTIONS, MAX_FILES, MAX_EXCHANGES = 8, 10, 10, 20, 8
+BM25_K1, BM25_B = 1.2, 0.75
+SEMANTIC_THRESHOLD, SEMANTIC_TOP = 0.40, 5
+META_WEIGHT = 0.5
+RELATED_CAP = 10
+EMBEDDING_WIDTH, EMBEDDING_CHARS = 64, 1200
+ARCHIVE_BYTES_PER_MESSAGE = 5 * 1024
+PROTECTED_TAG = "保留"

@@ -1,0 +1,647 @@
+"""The library's queries over the driver's tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from talkmill.functions import text as X
+from talkmill.functions.scope import Scope, assemble, merge
+from talkmill.functions.vectors import embed
+from talkmill.operators import exchange, extract, lifecycle, listing, related, search, stats, store
+from talkmill.plans import memory
+from talkmill.plans.memory import MEMORY_SQL
+from talkmill.plans.registry import query, table
+
+QUERY, QUERY2, PHRASE = "thing then", "zzzabsent thing en", '"of the" and'
+TERMS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
+
+
+def bm25_sql(corpus: str, key: str, text: str, units: list[list[str]]) -> str:
+    """CTEs tokens, tfs, stats and scored(key, s0, s1, ...) over ``corpus``."""
+    tf = []
+    for i, u in enumerate(units):
+        if len(u) == 1:
+            tf.append(f"len(list_filter(t, lambda x: x = '{u[0]}')) AS tf{i}")
+        else:
+            fits = " AND ".join(f"t[k + {j}] = '{w}'" for j, w in enumerate(u))
+            tf.append(f"len(list_filter(range(1, len(t) - {len(u)} + 2), lambda k: {fits})) AS tf{i}")
+    n = ", ".join(f"count(*) FILTER (tf{i} > 0) AS n{i}" for i in range(len(units)))
+    idf = lambda i: f"CASE WHEN ln((nn - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((nn - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END"
+    score = ", ".join(
+        f"CASE WHEN tf{i} > 0 THEN ({idf(i)}) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * dl / mean)) END AS s{i}" for i in range(len(units))
+    )
+    return f"""tokens AS (SELECT *, {TERMS.format(text)} AS t FROM {corpus}), tfs AS (SELECT *, len(t) AS dl, {", ".join(tf)} FROM tokens),
+stats AS (SELECT count(*) AS nn, avg(dl) AS mean, {n} FROM tfs), scored AS (SELECT {key}, {score} FROM tfs, stats)"""
+
+
+# --- ranked search -----------------------------------------------------------------------------
+
+
+@query(
+    "fts_bm25_topk",
+    "WITH " + bm25_sql("documents", "doc_id", "text", [["thing"], ["then"]])
+    + " SELECT doc_id, round(s0 + s1, 6) AS score FROM scored WHERE s0 + s1 IS NOT NULL ORDER BY s0 + s1 DESC, doc_id LIMIT 10",
+)
+def fts_bm25_topk(spark, d):
+    return search.top_documents(table(spark, d, "documents"), QUERY).withColumn("score", F.round("score", 6))
+
+
+def session_search_sql(units, where, limit=20, text="content"):
+    n = len(units)
+    some = " OR ".join(f"s{i} IS NOT NULL" for i in range(n))
+    total = " + ".join(f"coalesce(u{i}, 0)" for i in range(n))
+    cover = " + ".join(f"(u{i} IS NOT NULL)::INT" for i in range(n))
+    first = "CASE " + " ".join(f"WHEN max(u{i}) IS NOT NULL THEN {i}" for i in range(n)) + " ELSE 0 END"
+    needed = " AND ".join(f"({i} < (SELECT f FROM lead) OR u{i} IS NOT NULL)" for i in range(n))
+    lead_seq = "coalesce(" + ", ".join(f"b{i}" for i in range(n)) + ")"
+    return f"""{MEMORY_SQL}, {bm25_sql("messages", "session_id, seq_num, content", text, units)},
+kept AS (SELECT * FROM scored WHERE ({some}) AND session_id IN (SELECT session_id FROM sessions WHERE {where})),
+per AS (SELECT session_id, {", ".join(f"max(s{i}) AS u{i}, arg_max(seq_num, (s{i}, -seq_num)) FILTER (s{i} IS NOT NULL) AS b{i}" for i in range(n))} FROM kept GROUP BY session_id),
+lead AS (SELECT {first} AS f FROM per),
+hits AS (SELECT session_id, {total} AS score, ({cover}) / {float(n)} AS coverage, {lead_seq} AS seq, {needed} AS required FROM per),
+mode AS (SELECT coalesce(bool_or(required), false) AS every FROM hits),
+body AS (SELECT * FROM hits, mode WHERE required OR NOT every),
+ranked AS (SELECT row_number() OVER (ORDER BY CASE WHEN every THEN score ELSE coverage END DESC, CASE WHEN every THEN coverage ELSE score END DESC, session_id) AS position, * FROM body)
+SELECT position::INT AS position, session_id, round(score, 6) AS score, coverage, seq FROM ranked WHERE position <= {limit}"""
+
+
+def _searched(spark, d, q, where):
+    s = memory.sessions(spark, d).withColumn("meta_text", F.lit(""))
+    found = search.search_sessions(memory.messages(spark, d), s, q, where)
+    return found.select("position", "session_id", F.round("score", 6).alias("score"), "coverage", "seq")
+
+
+@query("search_ranked", session_search_sql([["thing"], ["then"]], "project_id = 'p1'"))
+def search_ranked(spark, d):
+    return _searched(spark, d, QUERY, F.col("project_id") == "p1")
+
+
+@query("fts_or_fallback", session_search_sql([["thing"], ["zzzabsent"]], "project_id = 'p1'"))
+def fts_or_fallback(spark, d):
+    return _searched(spark, d, "thing zzzabsent", F.col("project_id") == "p1")
+
+
+@query("fts_leading_miss", session_search_sql([["zzzabsent"], ["thing"], ["en"]], "project_id = 'p1'"))
+def fts_leading_miss(spark, d):
+    return _searched(spark, d, QUERY2, F.col("project_id") == "p1")
+
+
+@query("fts_phrase", session_search_sql([["of", "the"], ["and"]], "list_has_any(topics, ['t1', 't2'])"))
+def fts_phrase(spark, d):
+    return _searched(spark, d, PHRASE, Scope(topics=("t1", "t2")).column())
+
+
+@query(
+    "fts_meta_union",
+    f"""{MEMORY_SQL}, {bm25_sql("messages", "session_id", "content", [["thing"]])}, hits AS (SELECT DISTINCT session_id FROM scored WHERE s0 IS NOT NULL),
+named AS (SELECT session_id, array_to_string(list_concat([title], topics), ' ') AS meta_text FROM sessions),
+mt AS (SELECT session_id, {TERMS.format("meta_text")} AS t FROM named), mtf AS (SELECT session_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'thing')) AS tf FROM mt),
+ms AS (SELECT count(*) AS nn, avg(dl) AS mean, count(*) FILTER (tf > 0) AS n FROM mtf)
+SELECT session_id, round(0.5 * CASE WHEN ln((nn - n + 0.5) / (n + 0.5)) > 0 THEN ln((nn - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score
+FROM mtf, ms WHERE tf > 0 AND session_id NOT IN (SELECT session_id FROM hits)""",
+)
+def fts_meta_union(spark, d):
+    s = memory.sessions(spark, d).withColumn("meta_text", F.concat_ws(" ", "title", F.array_join("topics", " ")))
+    # Bodies without their users' turns, so that titles name what bodies don't.
+    m = memory.messages(spark, d)
+    hits = search.search_sessions(m, s, "thing", limit=1_000_000)
+    return hits.filter("via = 'meta'").select("session_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "postings_df",
+    f"""SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest({TERMS.format("text")}) AS term FROM documents) GROUP BY term""",
+)
+def postings_df(spark, d):
+    p = search.postings(table(spark, d, "documents"), "doc_id", "text")
+    return p.groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+
+
+@query(
+    "phrase_in_postings",
+    f"""WITH t AS (SELECT doc_id, {TERMS.format("text")} AS t FROM documents), n AS (SELECT doc_id, len(list_filter(range(1, len(t)), lambda k: t[k] = 'of' AND t[k + 1] = 'the')) AS n FROM t)
+SELECT doc_id, n FROM n WHERE n > 0""",
+)
+def phrase_in_postings(spark, d):
+    return search.phrase_in_postings(search.postings(table(spark, d, "documents"), "doc_id", "text"), "doc_id", ["of", "the"])
+
+
+@query(
+    "excerpt_snippet",
+    """SELECT doc_id, trim(regexp_replace(substr(text, greatest(1, CASE WHEN instr(text, 'the') > 0 THEN instr(text, 'the') - 40 ELSE 1 END), 120), '\\s+', ' ', 'g')) AS snippet FROM documents""",
+)
+def excerpt_snippet(spark, d):
+    return table(spark, d, "documents").select("doc_id", X.excerpt(F.col("text"), F.lit("the")).alias("snippet"))
+
+
+@query(
+    "in_session_search",
+    f"""{MEMORY_SQL}, f AS (SELECT *, instr(lower(content), 'thing') AS p FROM messages WHERE contains(lower(content), 'thing')),
+g AS (SELECT *, greatest(1, p - 60) AS a, least(length(content) + 1, p + 5 + 80) AS b FROM f)
+SELECT session_id, seq_num, role, trim(regexp_replace(CASE WHEN a > 1 THEN '…' ELSE '' END || substr(content, a, b - a) || CASE WHEN b <= length(content) THEN '…' ELSE '' END, '\\s+', ' ', 'g')) AS snippet,
+count(*) OVER (PARTITION BY session_id) AS total FROM g""",
+)
+def in_session_search(spark, d):
+    return listing.find_in_sessions(memory.messages(spark, d), "Thing")
+
+
+@query(
+    "segment_tokens",
+    r"""SELECT doc_id, len(t) AS n, array_to_string(t[1:20], ' ') AS head FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_][a-z0-9_./\-]*') AS t FROM documents)""",
+)
+def segment_tokens(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", X.segment(F.col("text")).alias("t"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 20), " ").alias("head"))
+
+
+# --- scope -------------------------------------------------------------------------------------
+
+
+@query("scope_topics_any", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE list_has_any(topics, ['t3', 't5'])")
+def scope_topics_any(spark, d):
+    return memory.sessions(spark, d).filter(Scope(topics=("t3", "t5")).column()).select("session_id")
+
+
+@query("scope_files_prefix", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE len(list_filter(files_mentioned, lambda f: starts_with(lower(f), 'src/m1'))) > 0")
+def scope_files_prefix(spark, d):
+    return memory.sessions(spark, d).filter(Scope(files=("SRC/m1",)).column()).select("session_id")
+
+
+SCOPE_SQL = "list_has_any(topics, ['t1', 't2', 't3']) AND source IN ('s1', 's2') AND created_at >= '2024-01-05' AND created_at <= '2024-01-25'"
+
+
+@query("scope_intersect", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE {SCOPE_SQL} AND NOT list_has_any(user_tags, ['sensitive'])")
+def scope_intersect(spark, d):
+    base, call = Scope(topics=("t1", "t2", "t3")), Scope(sources=("s1", "s2"), since="2024-01-05", until="2024-01-25")
+    return memory.sessions(spark, d).filter(assemble(base, call, ignore=Scope(tags=("sensitive",)))).select("session_id")
+
+
+@query("scope_negate_ignore", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE NOT (list_has_any(user_tags, ['sensitive']) OR source IN ('s0'))")
+def scope_negate_ignore(spark, d):
+    return memory.sessions(spark, d).filter(Scope(tags=("sensitive",), sources=("s0",)).negated()).select("session_id")
+
+
+@query("scope_full_escape", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE NOT list_has_any(user_tags, ['sensitive'])")
+def scope_full_escape(spark, d):
+    return memory.sessions(spark, d).filter(assemble(Scope(topics=("t1",)), ignore=Scope(tags=("sensitive",)), full=True)).select("session_id")
+
+
+@query("scope_merged", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE list_has_any(topics, ['t1', 't2']) AND session_id IN ('1', '2', '8', '9', '15')")
+def scope_merged(spark, d):
+    both = merge(Scope(topics=("t1",), sessions=("1", "2", "8")), Scope(topics=("t2", "t1"), sessions=("9", "15")))
+    return memory.sessions(spark, d).filter(both.column()).select("session_id")
+
+
+# --- lists, pages, reading ---------------------------------------------------------------------
+
+RECENT = "ORDER BY coalesce(last_event_at, created_at) DESC, session_id"
+
+
+@query("list_recent_paged", f"{MEMORY_SQL} SELECT session_id, title, last_event_at FROM sessions WHERE state = 'confirmed' {RECENT} LIMIT 20 OFFSET 20")
+def list_recent_paged(spark, d):
+    return listing.list_sessions(memory.sessions(spark, d), F.col("state") == "confirmed", 20, 20).select("session_id", "title", "last_event_at")
+
+
+@query("page_has_more", f"{MEMORY_SQL}, p AS (SELECT session_id, row_number() OVER ({RECENT}) AS rn FROM sessions) SELECT session_id, (SELECT count(*) FROM p) > 40 AS has_more FROM p WHERE rn BETWEEN 21 AND 40")
+def page_has_more(spark, d):
+    return listing.page_with_more(memory.sessions(spark, d), 2).select("session_id", "has_more")
+
+
+@query("prefix_lookup", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE starts_with(session_id, '1') {RECENT} LIMIT 1")
+def prefix_lookup(spark, d):
+    return listing.by_prefix(memory.sessions(spark, d), "1").select("session_id")
+
+
+@query("resolve_ref", f"{MEMORY_SQL}, f AS (SELECT session_id FROM sessions WHERE source_session_id = 'k7') SELECT session_id, 'source id' AS how, count(*) OVER () AS matches FROM f")
+def resolve_ref(spark, d):
+    return listing.resolve(memory.sessions(spark, d), "k7")
+
+
+@query("message_range_role", f"{MEMORY_SQL} SELECT session_id, seq_num, content FROM messages WHERE session_id = '3' AND seq_num BETWEEN 2 AND 6 AND role = 'assistant'")
+def message_range_role(spark, d):
+    return listing.message_range(memory.messages(spark, d), "3", 2, 6, "assistant").select("session_id", "seq_num", "content")
+
+
+@query(
+    "budget_truncate",
+    f"""{MEMORY_SQL}, c AS (SELECT session_id, seq_num, role, CASE WHEN length(content) > 1000 THEN substr(content, 1, 1000) || '… [' || length(content) || ' chars]' ELSE content END AS body FROM messages),
+r AS (SELECT *, sum(strlen(body)) OVER (PARTITION BY session_id ORDER BY seq_num)::BIGINT AS bytes_so_far FROM c)
+SELECT session_id, seq_num, role, body, bytes_so_far, round(bytes_so_far / 3)::BIGINT AS tokens_so_far FROM r WHERE bytes_so_far <= 3000""",
+)
+def budget_truncate(spark, d):
+    return listing.reading_window(memory.messages(spark, d), 3000)
+
+
+@query("message_page", f"{MEMORY_SQL}, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq_num) AS place FROM messages) SELECT session_id, seq_num, place::INT AS place FROM p WHERE place BETWEEN 3 AND 5")
+def message_page(spark, d):
+    return listing.message_page(memory.messages(spark, d), 3, 3).select("session_id", "seq_num", "place")
+
+
+@query("first_user_title", f"{MEMORY_SQL}, t AS (SELECT session_id, seq_num, trim(regexp_replace(content, '\\s+', ' ', 'g')) AS t FROM messages WHERE role = 'user') SELECT session_id, substr(min_by(t, seq_num), 1, 60) AS title FROM t WHERE t != '' GROUP BY session_id")
+def first_user_title(spark, d):
+    return listing.first_user_titles(memory.messages(spark, d))
+
+
+@query("session_age", f"""{MEMORY_SQL}, a AS (SELECT session_id, date_diff('day', left(last_event_at, 10)::DATE, DATE '2024-03-15') AS days FROM sessions)
+SELECT session_id, CASE WHEN days < 31 THEN days || ' d' WHEN days < 366 THEN (days // 30) || ' mo' ELSE (days // 365) || ' y' END AS age FROM a""")
+def session_age(spark, d):
+    return listing.with_age(memory.sessions(spark, d), "2024-03-15").select("session_id", "age")
+
+
+# --- figures -----------------------------------------------------------------------------------
+
+
+@query("count_by_state", f"{MEMORY_SQL} SELECT state, count(*) AS n FROM sessions GROUP BY state")
+def count_by_state(spark, d):
+    return stats.count_by(memory.sessions(spark, d), "state")
+
+
+@query("count_by_source", f"{MEMORY_SQL} SELECT source, count(*) AS n FROM sessions GROUP BY source")
+def count_by_source(spark, d):
+    return stats.count_by(memory.sessions(spark, d), "source")
+
+
+@query("project_summary", f"{MEMORY_SQL} SELECT project_id, sum(message_count)::BIGINT AS message_total, max(last_event_at) AS last_event_at, count(*) AS sessions FROM sessions GROUP BY project_id")
+def project_summary(spark, d):
+    return stats.project_summary(memory.sessions(spark, d))
+
+
+@query("overview_rollup", f"{MEMORY_SQL} SELECT project_id, count(*) AS sessions, count(*) FILTER (state = 'active') AS active, sum(message_count)::BIGINT AS messages, max(last_event_at) AS last_event_at FROM sessions GROUP BY ROLLUP (project_id)")
+def overview_rollup(spark, d):
+    return stats.overview(memory.sessions(spark, d))
+
+
+@query("growth_daily_full_outer", f"""{MEMORY_SQL}, m AS (SELECT left(created_at, 10) AS day, count(*) AS msgs FROM messages GROUP BY 1), s AS (SELECT left(last_event_at, 10) AS day, count(*) AS sess FROM sessions GROUP BY 1)
+SELECT coalesce(m.day, s.day) AS day, coalesce(msgs, 0) AS msgs, coalesce(sess, 0) AS sess FROM m FULL JOIN s ON m.day = s.day WHERE coalesce(m.day, s.day) >= '2024-01-10'""")
+def growth_daily_full_outer(spark, d):
+    return stats.growth(memory.messages(spark, d), memory.sessions(spark, d), "2024-01-10")
+
+
+@query("team_status", f"""{MEMORY_SQL} SELECT 'origin' AS kind, CASE WHEN origin = 'imported' THEN 'imported' ELSE 'native' END AS name, count(*) AS n FROM sessions GROUP BY 2
+UNION ALL SELECT 'author', coalesce(author, imported_from, '（未署名）'), count(*) FROM sessions GROUP BY 2 UNION ALL SELECT 'importer', coalesce(imported_from, '（本地捕获）'), count(*) FROM sessions GROUP BY 2""")
+def team_status(spark, d):
+    return stats.team(memory.sessions(spark, d))
+
+
+@query("topic_map", f"{MEMORY_SQL}, e AS (SELECT session_id, unnest(topics) AS topic FROM sessions) SELECT topic, count(*) AS n, array_to_string(list_sort(list(DISTINCT session_id)), ',') AS session_ids FROM e GROUP BY topic")
+def topic_map(spark, d):
+    return stats.topic_map(memory.sessions(spark, d)).withColumn("session_ids", F.array_join("session_ids", ","))
+
+
+@query("file_counts", f"{MEMORY_SQL}, e AS (SELECT unnest(files_mentioned) AS file FROM sessions) SELECT file, count(*) AS n FROM e GROUP BY file ORDER BY n DESC, file LIMIT 15")
+def file_counts(spark, d):
+    return stats.top_files(memory.sessions(spark, d))
+
+
+@query("event_counters", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def event_counters(spark, d):
+    return stats.counters(table(spark, d, "events"), "event_type")
+
+
+@query("signature_by_model", "SELECT CASE WHEN vec_id % 4 = 0 THEN 'old' ELSE 'new' END AS model, count(*) || ':' || max(label::VARCHAR) AS signature FROM embeddings GROUP BY 1")
+def signature_by_model(spark, d):
+    return stats.vector_signature(memory.vectors(spark, d))
+
+
+# --- extraction --------------------------------------------------------------------------------
+
+
+@query("topics_topk", rf"""{MEMORY_SQL}, w AS (SELECT session_id, role, seq_num, generate_subscripts(t, 1) AS i, unnest(t) AS topic FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9_][a-z0-9_./\-]*') AS t FROM messages)),
+g AS (SELECT session_id, topic, sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END)::BIGINT AS weight, min((seq_num, i)) AS seen FROM w WHERE length(topic) >= 2 AND NOT regexp_full_match(topic, '\d+')
+  AND topic NOT IN ({", ".join(repr(s) for s in extract.fixed.STOPWORDS.split())}) GROUP BY ALL),
+p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY weight DESC, seen, topic) AS place FROM g) SELECT session_id, topic, weight, place::INT AS place FROM p WHERE place <= 8""")
+def topics_topk(spark, d):
+    return extract.topics(memory.messages(spark, d))
+
+
+def with_marks(m):
+    """Messages that carry what the tables lack: a path, a decision, a question and a fence, by their numbers."""
+    n, s = F.col("conv_id"), F.col("seq_num")
+    extra = F.concat(
+        F.when(s % 2 == 0, F.concat(F.lit(" see src/mod"), (n % 9).cast("string"), F.lit("/file"), (s % 3).cast("string"), F.lit(".ts now"))).otherwise(""),
+        F.when(s % 3 == 0, F.concat(F.lit("。\n\n决定采用方案"), (n % 6).cast("string"), F.lit("号存储引擎。"))).otherwise(""),
+        F.when(s % 2 == 1, F.concat(F.lit("。\n\n为什么要选这个第"), s.cast("string"), F.lit("个方案呢？"))).otherwise(""),
+        F.when(n % 4 == 0, F.lit("\n```\ncode\n```\n")).otherwise(""),
+    )
+    return m.withColumn("content", F.concat(F.coalesce("content", F.lit("")), extra))
+
+
+MARKED_SQL = MEMORY_SQL + r""", marked AS (SELECT session_id, role, seq_num, created_at, conv_id, coalesce(content, '') || CASE WHEN seq_num % 2 = 0 THEN ' see src/mod' || conv_id % 9 || '/file' || seq_num % 3 || '.ts now' ELSE '' END
+  || CASE WHEN seq_num % 3 = 0 THEN '。' || chr(10) || chr(10) || '决定采用方案' || conv_id % 6 || '号存储引擎。' ELSE '' END || CASE WHEN seq_num % 2 = 1 THEN '。' || chr(10) || chr(10) || '为什么要选这个第' || seq_num || '个方案呢？' ELSE '' END
+  || CASE WHEN conv_id % 4 = 0 THEN chr(10) || '```' || chr(10) || 'code' || chr(10) || '```' || chr(10) ELSE '' END AS content FROM messages)"""
+
+
+@query("files_extract", MARKED_SQL + r""", m AS (SELECT session_id, seq_num, unnest(regexp_extract_all(content, 'src/mod\d/file\d\.ts')) AS file FROM marked),
+f AS (SELECT session_id, file, min(seq_num) AS seen FROM m GROUP BY ALL) SELECT session_id, file, row_number() OVER (PARTITION BY session_id ORDER BY seen, file)::INT AS place FROM f QUALIFY place <= 20""")
+def files_extract(spark, d):
+    return extract.files(with_marks(memory.messages(spark, d))).filter("file like 'src/mod%'")
+
+
+@query("code_blocks", MARKED_SQL + " SELECT session_id, (sum(len(regexp_extract_all(content, '```'))) // 2)::BIGINT AS code_blocks FROM marked GROUP BY session_id")
+def code_blocks(spark, d):
+    return extract.code_blocks(with_marks(memory.messages(spark, d)))
+
+
+@query("decisions_extract", MARKED_SQL + r""", x AS (SELECT session_id, seq_num AS seq, created_at AS "at", regexp_extract(content, '决定采用方案\d号存储引擎') AS text FROM marked WHERE seq_num % 3 = 0),
+o AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY session_id, text ORDER BY seq) = 1)
+SELECT session_id, text, seq, "at", row_number() OVER (PARTITION BY session_id ORDER BY seq)::INT AS place FROM o QUALIFY place <= 10""")
+def decisions_extract(spark, d):
+    return extract.decisions(with_marks(memory.messages(spark, d)))
+
+
+@query("questions_unresolved", MARKED_SQL + r""", n AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq_num) - 1 AS idx, count(*) OVER (PARTITION BY session_id) AS n FROM marked),
+q AS (SELECT session_id, '为什么要选这个第' || seq_num || '个方案呢？' AS q, seq_num AS seq, created_at AS "at", idx >= floor(n * 0.7) AS unresolved FROM n WHERE role = 'user' AND seq_num % 2 = 1)
+SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq)::INT AS place FROM q""")
+def questions_unresolved(spark, d):
+    return extract.questions(with_marks(memory.messages(spark, d)))
+
+
+@query("key_exchanges", MARKED_SQL + r""", t AS (SELECT *, lead(role) OVER w AS nr, lead(content) OVER w AS nc FROM marked WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY session_id ORDER BY seq_num)),
+u AS (SELECT session_id, seq_num, content, CASE WHEN nr = 'assistant' THEN nc END AS ai FROM t WHERE role = 'user' AND length(trim(content)) >= 8),
+s AS (SELECT *, contains(content, '决定') OR contains(coalesce(ai, ''), '决定') AS dec, contains(content, '为什么') AS ask, length(content) > 100 AS long FROM u),
+p AS (SELECT session_id, seq_num AS user_seq, trim(regexp_replace(content, '\s+', ' ', 'g')) AS txt, 3 * dec::INT + 2 * ask::INT + long::INT AS score, CASE WHEN dec THEN '含决策' WHEN ask THEN '关键提问' ELSE '需求陈述' END AS reason FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY score DESC, length(txt) DESC, user_seq) AS place FROM p WHERE score > 0)
+SELECT session_id, substr(txt, 1, 200) AS user_text, user_seq, reason, score, place::INT AS place FROM r WHERE place <= 8""")
+def key_exchanges(spark, d):
+    return extract.key_exchanges(with_marks(memory.messages(spark, d))).drop("ai_text")
+
+
+@query("redact_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?key|token)\b\s*[:=]\s*("[^"]{4,}"|''[^'']{4,}''|[^\s,;，；}]{4,})')) AS n FROM documents
+WHERE NOT regexp_matches(text, 'AKIA|PRIVATE KEY|Bearer')""")
+def redact_counts(spark, d):
+    rows = table(spark, d, "documents").filter(~F.col("text").rlike("AKIA|PRIVATE KEY|Bearer"))
+    return rows.select("doc_id", X.redaction_counts(F.col("text"))["secret_assign"].alias("n"))
+
+
+@query("redact_text", r"""SELECT doc_id, sha256(regexp_replace(text, '(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?key|token)\b\s*[:=]\s*("[^"]{4,}"|''[^'']{4,}''|[^\s,;，；}]{4,})', '\1=[已脱敏]', 'g')) AS digest
+FROM documents WHERE NOT regexp_matches(text, 'AKIA|PRIVATE KEY|Bearer|://')""")
+def redact_text(spark, d):
+    rows = table(spark, d, "documents").filter(~F.col("text").rlike("AKIA|PRIVATE KEY|Bearer|://"))
+    return rows.select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("digest"))
+
+
+@query("sentence_split", r"""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?\n])', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s != ''))::BIGINT AS n
+FROM documents WHERE NOT contains(text, chr(10))""")
+def sentence_split(spark, d):
+    rows = table(spark, d, "documents").filter(~F.contains("text", F.lit("\n")))
+    return rows.select("doc_id", F.size(X.sentences(F.col("text"))).cast("long").alias("n"))
+
+
+def with_metadata(spark, d):
+    s = memory.sessions(spark, d)
+    n = F.col("conv_id")
+    decision = F.array(F.struct(F.concat(F.lit("use "), (n % 6).cast("string")).alias("text"), F.lit(3).cast("long").alias("seq"), F.lit(None).cast("string").alias("at")))
+    question = F.array(F.struct(F.concat(F.lit("why  "), (n % 50).cast("string")).alias("q"), F.lit(None).cast("string").alias("at"), (n % 2 == 0).alias("unresolved")))
+    return s.withColumns({"decisions": F.when(n % 3 != 0, decision), "key_questions": question})
+
+
+@query("listed_decisions", f"{MEMORY_SQL} SELECT created_at AS \"at\", source, session_id, title, 'use ' || conv_id % 6 AS text, 3::BIGINT AS seq FROM sessions WHERE conv_id % 3 != 0 AND origin != 'workflow' AND list_contains(topics, 't2')")
+def listed_decisions(spark, d):
+    return listing.listed_decisions(with_metadata(spark, d), topic="t2")
+
+
+@query("unresolved_dedup", f"""{MEMORY_SQL}, q AS (SELECT 'why  ' || conv_id % 50 AS q, created_at AS "at", source, session_id, title FROM sessions WHERE conv_id % 2 = 0 AND origin != 'workflow'
+  QUALIFY row_number() OVER (PARTITION BY conv_id % 50 ORDER BY created_at DESC, session_id) = 1) SELECT * FROM q ORDER BY "at" DESC, session_id LIMIT 20""")
+def unresolved_dedup(spark, d):
+    return listing.listed_unresolved(with_metadata(spark, d))
+
+
+# --- lifecycle ---------------------------------------------------------------------------------
+
+NOW = "2024-01-20T12:00:00"
+
+
+@query("judge_tick", f"""{MEMORY_SQL} SELECT session_id, CASE WHEN state = 'active' AND last_event_at::TIMESTAMP < TIMESTAMP '2024-01-20 11:50:00' THEN 'pending_end'
+  WHEN state = 'pending_end' AND pending_at::TIMESTAMP < TIMESTAMP '2024-01-20 06:00:00' THEN 'confirmed' ELSE state END AS state FROM sessions""")
+def judge_tick(spark, d):
+    return lifecycle.judge(memory.sessions(spark, d), NOW).select("session_id", "state")
+
+
+@query("session_gap_windows", """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
+def session_gap_windows(spark, d):
+    return lifecycle.gap_sessions(table(spark, d, "events"), "user_id", "ts", 360)
+
+
+def as_lifecycle(events):
+    names = F.array(*map(F.lit, ("NEW_LINE", "IDLE_TIMEOUT", "COOLDOWN_ELAPSED", "END_SIGNAL", "RESUMED", "MANUAL_CONFIRM")))
+    return events.select(F.col("user_id").cast("string").alias("session_id"), F.struct("ts", "event_id").alias("ts"), F.element_at(names, (F.col("event_id") % 6 + 1).cast("int")).alias("event"))
+
+
+def _next_sql() -> str:
+    cases = " ".join(f"WHEN s = '{a}' AND e.event = '{on}' THEN '{b}'" for a, on, b, _ in lifecycle.fixed.TRANSITIONS)
+    legal = " OR ".join(f"(s = '{a}' AND e.event = '{on}')" for a, on, *_ in lifecycle.fixed.TRANSITIONS)
+    return f"""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i,
+  ['NEW_LINE', 'IDLE_TIMEOUT', 'COOLDOWN_ELAPSED', 'END_SIGNAL', 'RESUMED', 'MANUAL_CONFIRM'][event_id % 6 + 1] AS event FROM events),
+r(user_id, i, s, bad) AS (SELECT DISTINCT user_id, 0::BIGINT, 'active', 0::BIGINT FROM e UNION ALL SELECT e.user_id, e.i, CASE {cases} ELSE s END, bad + CASE WHEN {legal} THEN 0 ELSE 1 END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)
+SELECT user_id::VARCHAR AS session_id, arg_max(s, i) AS state, max(i) AS events, max(bad) AS illegal FROM r GROUP BY user_id"""
+
+
+@query("transition_replay", _next_sql())
+def transition_replay(spark, d):
+    return lifecycle.replay(as_lifecycle(table(spark, d, "events")))
+
+
+@query("transition_table", "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{o}', '{b}', {repr(e) if e else 'NULL'})" for a, o, b, e in lifecycle.fixed.TRANSITIONS) + ') t("from", "on", "to", effect)')
+def transition_table(spark, d):
+    return lifecycle.transitions(spark)
+
+
+@query("resume_rollback", f"""{MEMORY_SQL}, a AS (SELECT session_id, max('2024-02-01T00:00:0' || seq_num) AS n, count(*) AS k FROM messages WHERE conv_id % 4 = 0 AND seq_num <= 2 GROUP BY 1)
+SELECT session_id, CASE WHEN n IS NULL THEN state ELSE 'active' END AS state, coalesce(n, last_event_at) AS last_event_at, message_count + coalesce(k, 0) AS message_count FROM sessions LEFT JOIN a USING (session_id)""")
+def resume_rollback(spark, d):
+    new = memory.messages(spark, d).filter("conv_id % 4 = 0 and seq_num <= 2").withColumn("created_at", F.concat(F.lit("2024-02-01T00:00:0"), "seq_num"))
+    return lifecycle.resume(memory.sessions(spark, d), new).select("session_id", "state", "last_event_at", "message_count")
+
+
+@query("archive_budget", f"""{MEMORY_SQL}, c AS (SELECT session_id, last_event_at AS last, message_count * 5120 AS est_bytes,
+  CASE WHEN state = 'active' THEN 'active' WHEN origin = 'imported' THEN 'imported' WHEN list_contains(user_tags, '保留') THEN 'tag' END AS skip_reason FROM sessions WHERE last_event_at < '2024-01-25'),
+s AS (SELECT *, coalesce(sum(CASE WHEN skip_reason IS NULL THEN est_bytes ELSE 0 END) OVER (ORDER BY last, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c)
+SELECT session_id, skip_reason, est_bytes, skip_reason IS NULL AND (b = 0 OR b < 600000) AS archived FROM s""")
+def archive_budget(spark, d):
+    return lifecycle.archive_plan(memory.sessions(spark, d), "2024-01-25", 600_000)
+
+
+@query("archive_skeleton", f"""{MEMORY_SQL}, g AS (SELECT session_id FROM sessions WHERE last_event_at < '2024-01-10' AND state != 'active' AND origin != 'imported' AND NOT list_contains(user_tags, '保留'))
+SELECT s.session_id, CASE WHEN g.session_id IS NULL THEN message_count ELSE 0 END AS message_count, CASE WHEN g.session_id IS NOT NULL THEN message_count END AS original_message_count FROM sessions s LEFT JOIN g USING (session_id)""")
+def archive_skeleton(spark, d):
+    s = memory.sessions(spark, d)
+    kept, _, _ = lifecycle.archive(s, memory.messages(spark, d), memory.vectors(spark, d), lifecycle.archive_plan(s, "2024-01-10"), NOW)
+    return kept.select("session_id", "message_count", "original_message_count")
+
+
+@query("forget_cascade", f"""{MEMORY_SQL}, d AS (SELECT session_id FROM sessions WHERE source = 's2' AND state = 'confirmed') SELECT 'messages' AS kind, count(*) AS n FROM messages WHERE session_id NOT IN (FROM d)
+UNION ALL SELECT 'sessions', count(*) FROM sessions WHERE session_id NOT IN (FROM d) UNION ALL SELECT 'tombstones', count(*) FROM d UNION ALL SELECT 'audit', count(*) FROM messages WHERE session_id IN (FROM d)""")
+def forget_cascade(spark, d):
+    s = memory.sessions(spark, d)
+    doomed = s.filter("source = 's2' and state = 'confirmed'")
+    left = lifecycle.forget({"sessions": s, "messages": memory.messages(spark, d), "links": memory.links(spark, d)}, doomed, NOW, "asked")
+    counts = [left[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("kind"), "n") for k in ("messages", "sessions", "tombstones")]
+    audit = left["audit"].agg(F.sum("messages_deleted").alias("n")).select(F.lit("audit").alias("kind"), "n")
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(audit)
+
+
+# --- store -------------------------------------------------------------------------------------
+
+
+@query("session_ids_sha1", f"{MEMORY_SQL} SELECT session_id, substr(sha1(source || ':' || source_session_id), 1, 16) AS id FROM sessions")
+def session_ids_sha1(spark, d):
+    return memory.sessions(spark, d).select("session_id", store.session_id(F.col("source"), F.col("source_session_id")).alias("id"))
+
+
+@query("ingest_dedup", f"{MEMORY_SQL} SELECT session_id, seq_num, role, content FROM messages WHERE conv_id % 2 = 1")
+def ingest_dedup(spark, d):
+    m = memory.messages(spark, d).select("session_id", "seq_num", "role", "content")
+    return store.new_messages(m.unionByName(m), m.filter("cast(session_id as long) % 2 = 0"))
+
+
+@query("upsert_sessions", f"""{MEMORY_SQL}, old AS (SELECT * FROM sessions WHERE conv_id % 2 = 0) SELECT s.session_id, CASE WHEN o.session_id IS NULL THEN 'new' ELSE o.title END AS title,
+  CASE WHEN o.session_id IS NULL THEN 'active' ELSE s.state END AS state, '2024-03-01T00:00:00' AS last_event_at FROM sessions s LEFT JOIN old o USING (session_id)""")
+def upsert_sessions(spark, d):
+    s = memory.sessions(spark, d)
+    old = s.filter("conv_id % 2 = 0").select("session_id", "title", "state", "last_event_at")
+    new = s.select("session_id", F.lit("new").alias("title"), F.lit("2024-03-01T00:00:00").alias("last_event_at"))
+    return store.upsert_sessions(old, new)
+
+
+@query("cursor_merge", "SELECT source AS source_file, max(doc_id) AS position, count(*) AS lines, sum(doc_id % 3)::BIGINT AS bad_lines, bool_or(doc_id % 97 = 0) AS suspect FROM documents GROUP BY source")
+def cursor_merge(spark, d):
+    t = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("lines"), F.max("doc_id").alias("position"), F.sum(F.col("doc_id") % 3).alias("bad_lines"), F.max(F.col("doc_id") % 97 == 0).alias("suspect"))
+    now = t.select(F.col("source").alias("source_file"), "position", "lines", F.lit(0).cast("long").alias("bad_lines"), "suspect")
+    before = t.select(F.col("source").alias("source_file"), F.lit(0).cast("long").alias("position"), F.lit(0).cast("long").alias("lines"), "bad_lines", F.lit(False).alias("suspect"))
+    return store.merge_cursors(before, now)
+
+
+@query("tombstone_anti", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE NOT (source = 's1' AND conv_id % 3 = 0)")
+def tombstone_anti(spark, d):
+    s = memory.sessions(spark, d)
+    return store.without_forgotten(s, s.filter("source = 's1' and conv_id % 3 = 0")).select("session_id")
+
+
+@query("signature_probe", f"""{MEMORY_SQL}, m AS (SELECT session_id, max(seq_num) AS m FROM messages WHERE role = 'user' GROUP BY 1), p AS (SELECT session_id, max(seq_num) AS p FROM messages WHERE role = 'assistant' GROUP BY 1)
+SELECT coalesce(m.session_id, p.session_id) AS session_id, coalesce(m, 0) || '/' || coalesce(p, 0) AS signature FROM m FULL JOIN p ON m.session_id = p.session_id""")
+def signature_probe(spark, d):
+    m = memory.messages(spark, d)
+    return store.change_signatures(m.filter("role = 'user'"), m.filter("role = 'assistant'"), "seq_num")
+
+
+@query("links_bidirectional", f"""{MEMORY_SQL}, l AS (SELECT conv_id::VARCHAR AS a, (conv_id + 1)::VARCHAR AS b, 'continues' AS kind FROM base UNION SELECT conv_id::VARCHAR, (conv_id + 5)::VARCHAR, 'pinned' FROM base WHERE conv_id % 3 = 0),
+x AS (SELECT a AS session_id, b AS other_id, kind, 'out' AS direction FROM l UNION ALL SELECT b, a, kind, 'in' FROM l) SELECT x.*, title FROM x JOIN sessions s ON s.session_id = other_id""")
+def links_bidirectional(spark, d):
+    return store.linked(memory.links(spark, d), memory.sessions(spark, d))
+
+
+@query("annotate_tags", f"{MEMORY_SQL} SELECT session_id, array_to_string(list_sort(CASE WHEN conv_id % 2 = 0 THEN list_concat(list_filter(user_tags, lambda t: t != 'sensitive'), ['x']) ELSE user_tags END), ',') AS tags FROM sessions")
+def annotate_tags(spark, d):
+    s = memory.sessions(spark, d).withColumn("user_summary", F.lit(None).cast("string"))
+    changes = s.filter("conv_id % 2 = 0").select("session_id", F.array(F.lit("x")).alias("add"), F.array(F.lit("sensitive")).alias("remove"), F.lit(None).cast("string").alias("summary"))
+    return store.annotate(s, changes).select("session_id", F.array_join(F.array_sort("user_tags"), ",").alias("tags"))
+
+
+@query("log_tail", "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20")
+def log_tail(spark, d):
+    return store.tail(table(spark, d, "events"), "event_id", 20).select("event_id", "event_type")
+
+
+# --- vectors and related -----------------------------------------------------------------------
+
+
+@query("vector_topk", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM embeddings, q)
+SELECT vec_id::VARCHAR AS session_id, round(score, 4) AS score FROM s WHERE score >= 0.1 ORDER BY s.score DESC, session_id LIMIT 5""")
+def vector_topk(spark, d):
+    v = memory.vectors(spark, d)
+    q = v.filter("session_id = '7'").first().vec
+    return related.vector_search(v, q, threshold=0.1).withColumn("score", F.round("score", 4))
+
+
+@query("fake_embed", """WITH t AS (SELECT conv_id, turn, substr(coalesce(text, ''), 1, 1200) AS t FROM conversations), h AS (SELECT conv_id, turn, (unicode(substr(t, i::INT, 1)) * 31 + unicode(substr(t, (i + 1)::INT, 1)) * 131 + unicode(substr(t, (i + 2)::INT, 1)) * 977) % 64 AS h
+  FROM (SELECT *, unnest(range(1, length(t) - 1)) AS i FROM t)), c AS (SELECT conv_id, turn, h, count(*) AS c FROM h GROUP BY ALL)
+SELECT conv_id, turn, round(sum(c * (h + 1)) / sqrt(sum(c * c)), 4) AS weighted FROM c GROUP BY ALL""")
+def fake_embed(spark, d):
+    rows = table(spark, d, "conversations").filter("length(text) >= 3").select("conv_id", "turn", embed(F.col("text")).alias("v"))
+    return rows.select("conv_id", "turn", F.round(F.aggregate(F.transform("v", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b), 4).alias("weighted"))
+
+
+@query("backlog_anti", f"{MEMORY_SQL} SELECT session_id FROM sessions WHERE state = 'confirmed' AND session_id NOT IN (SELECT vec_id::VARCHAR FROM embeddings WHERE vec_id % 4 != 0)")
+def backlog_anti(spark, d):
+    return related.backlog(memory.sessions(spark, d), memory.vectors(spark, d), "new").select("session_id")
+
+
+@query("embedding_inputs", f"""{MEMORY_SQL}, b AS (SELECT session_id, string_agg(substr(content, 1, 200), ' ' ORDER BY seq_num) AS b FROM messages GROUP BY 1)
+SELECT session_id, substr(coalesce(title, '') || chr(10) || coalesce(b, ''), 1, 1200) AS input FROM sessions LEFT JOIN b USING (session_id)""")
+def embedding_inputs(spark, d):
+    return related.embedding_inputs(memory.sessions(spark, d), memory.messages(spark, d))
+
+
+@query("related_overlap", f"""{MEMORY_SQL}, w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9_][a-z0-9_./\\-]*'), lambda t: length(t) >= 2)) AS w FROM sessions),
+a AS (SELECT topics AS at, user_tags AS ag, files_mentioned AS af, w AS aw FROM w WHERE session_id = '5'),
+s AS (SELECT session_id, 3 * len(list_intersect(topics, at)) + 2 * len(list_intersect(user_tags, ag)) + least(3, len(list_intersect(files_mentioned, af))) + least(3, len(list_intersect(w, aw))) AS score FROM w, a WHERE session_id != '5')
+SELECT session_id, score::BIGINT AS score FROM s WHERE score > 0""")
+def related_overlap(spark, d):
+    return related.overlap(memory.sessions(spark, d), "5").select("session_id", "score")
+
+
+@query("related_fusion")
+def related_fusion(spark, d):
+    return related.related(memory.sessions(spark, d), memory.vectors(spark, d), "7", 8, 0.1)
+
+
+# --- exchange ----------------------------------------------------------------------------------
+
+
+@query("content_fingerprint", f"{MEMORY_SQL} SELECT session_id, 'sha256:' || sha256(string_agg(seq_num || '|' || role || '|' || content, chr(10) ORDER BY seq_num)) AS content_hash FROM messages GROUP BY 1")
+def content_fingerprint(spark, d):
+    return exchange.fingerprints(memory.messages(spark, d))
+
+
+@query("import_merge", f"""{MEMORY_SQL}, i AS (SELECT source, source_session_id, CASE WHEN conv_id % 4 = 3 THEN 'insert' WHEN conv_id % 2 = 0 THEN 'skip' ELSE 'twin' END AS action FROM sessions)
+SELECT source, source_session_id, action, substr(sha1(source || ':' || source_session_id || CASE WHEN action = 'twin' THEN '#imp-x1' ELSE '' END), 1, 16) AS new_id FROM i""")
+def import_merge(spark, d):
+    s = memory.sessions(spark, d)
+    stored = s.filter("conv_id % 4 != 3").select("source", "source_session_id", F.lit("h").alias("content_hash"))
+    incoming = s.select("source", "source_session_id", F.when(F.col("conv_id") % 2 == 0, "h").otherwise("g").alias("content_hash"))
+    return exchange.merge_import(stored, incoming, "x1").select("source", "source_session_id", "action", "new_id")
+
+
+@query("package_manifest")
+def package_manifest(spark, d):
+    return exchange.manifest(exchange.session_files(memory.sessions(spark, d), memory.messages(spark, d), without_tags=["sensitive"]))
+
+
+@query("package_integrity", f"{MEMORY_SQL} SELECT 'sessions/' || session_id || '.json' AS path, CASE WHEN conv_id % 10 = 0 THEN 'missing' ELSE 'differs' END AS fault FROM sessions WHERE conv_id % 10 = 0 OR conv_id % 7 = 0")
+def package_integrity(spark, d):
+    files = exchange.session_files(memory.sessions(spark, d), memory.messages(spark, d))
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("long")
+    sent = files.filter(number % 10 != 0).withColumn("body", F.when(number % 7 == 0, F.concat("body", F.lit(" "))).otherwise(F.col("body")))
+    return exchange.integrity(sent, exchange.manifest(files))
+
+
+@query("timeline", f"{MEMORY_SQL} SELECT left(created_at, 10) AS day, '- ' || substr(created_at, 12, 5) || ' ' || coalesce(title, '（无标题）') || ' [' || state || '] ' || message_count AS line FROM sessions")
+def timeline(spark, d):
+    return exchange.timeline(memory.sessions(spark, d))
+
+
+@query("redaction_report", r"""SELECT doc_id::VARCHAR AS session_id, 1::BIGINT AS seq_num, 'secret-assign' AS pattern, n FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?key|token)\b\s*[:=]\s*("[^"]{4,}"|''[^'']{4,}''|[^\s,;，；}]{4,})')) AS n FROM documents) WHERE n > 0""")
+def redaction_report(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(1).cast("long").alias("seq_num"), F.col("text").alias("content"))
+    return exchange.redaction_report(rows).filter("pattern = 'secret-assign'")
+
+
+# --- the same shapes over larger tables --------------------------------------------------------
+
+
+@query("orders_recent_paged", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def orders_recent_paged(spark, d):
+    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_orderdate")
+
+
+@query("lineitem_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2)::DOUBLE AS quantity FROM lineitem GROUP BY ALL")
+def lineitem_counts(spark, d):
+    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).cast("double").alias("quantity"))
+
+
+@query("customer_orders", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2)::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def customer_orders(spark, d):
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).cast("double").alias("total"))
