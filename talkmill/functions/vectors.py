@@ -16,8 +16,9 @@ def dot(a: Column, b: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """``v`` over its length; a zero vector stays as it is."""
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    both = F.struct(v.alias("v"), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))).alias("norm"))
+    scaled = lambda p: F.transform(p["v"], lambda x: F.when(p["norm"] > 0, x.cast("double") / p["norm"]).otherwise(x.cast("double")))
+    return F.element_at(F.transform(F.array(both), scaled), 1)
 
 
 def embed(text: Column) -> Column:
@@ -25,11 +26,15 @@ def embed(text: Column) -> Column:
 
     Every triple of the first EMBEDDING_CHARS characters falls into part (31 a + 131 b + 977 c) mod width.
     """
-    text = F.substring(F.coalesce(text, F.lit("")), 1, EMBEDDING_CHARS)
-    code = lambda i: F.ascii(F.substring(text, i, F.lit(1)))
-    starts = F.when(F.length(text) >= 3, F.sequence(F.lit(1), F.length(text) - 2)).otherwise(F.array().cast("array<int>"))
-    parts = F.transform(starts, lambda i: F.pmod(code(i) * 31 + code(i + 1) * 131 + code(i + 2) * 977, F.lit(EMBEDDING_WIDTH)))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(EMBEDDING_WIDTH - 1)), lambda k: F.size(F.filter(parts, lambda p: p == k)).cast("double")
-    )
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  computed once for each row
+    codes = F.transform(F.split(F.substring(F.coalesce(text, F.lit("")), 1, EMBEDDING_CHARS), ""), lambda c: F.ascii(c))
+
+    def hashed(c: Column) -> Column:
+        part = lambda i: F.pmod(c[i] * 31 + c[i + 1] * 131 + c[i + 2] * 977, F.lit(EMBEDDING_WIDTH))
+        return F.when(F.size(c) >= 3, F.transform(F.sequence(F.lit(0), F.size(c) - 3), part)).otherwise(F.array().cast("array<int>"))
+
+    def counted(parts: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(EMBEDDING_WIDTH - 1)), lambda k: F.size(F.filter(parts, lambda p: p == k)).cast("double"))
+
+    counts = let(let(codes, hashed), counted)
     return unit(counts)

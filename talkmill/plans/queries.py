@@ -575,8 +575,8 @@ def embedding_inputs(spark, d):
 
 
 @query("related_overlap", f"""{MEMORY_SQL}, w AS (SELECT *, list_distinct(list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9_][a-z0-9_./\\-]*'), lambda t: length(t) >= 2)) AS w FROM sessions),
-a AS (SELECT topics AS at, user_tags AS ag, files_mentioned AS af, w AS aw FROM w WHERE session_id = '5'),
-s AS (SELECT session_id, 3 * len(list_intersect(topics, at)) + 2 * len(list_intersect(user_tags, ag)) + least(3, len(list_intersect(files_mentioned, af))) + least(3, len(list_intersect(w, aw))) AS score FROM w, a WHERE session_id != '5')
+a AS (SELECT topics AS own_topics, user_tags AS ag, files_mentioned AS af, w AS aw FROM w WHERE session_id = '5'),
+s AS (SELECT session_id, 3 * len(list_intersect(topics, own_topics)) + 2 * len(list_intersect(user_tags, ag)) + least(3, len(list_intersect(files_mentioned, af))) + least(3, len(list_intersect(w, aw))) AS score FROM w, a WHERE session_id != '5')
 SELECT session_id, score::BIGINT AS score FROM s WHERE score > 0""")
 def related_overlap(spark, d):
     return related.overlap(memory.sessions(spark, d), "5").select("session_id", "score")
