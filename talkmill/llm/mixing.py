@@ -83,7 +83,8 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Size is the number of words (runs without ASCII white space), 0 for a null text. A source's target
     is met by whole epochs over its documents and, for the rest, by some documents once more: how many
-    of each length a bounded knapsack says, which ones a seeded hash of doc_id. No document is taken
+    of each length a bounded knapsack says, which ones a seeded hash of doc_id. Where that leaves words
+    of the target untaken, lengths may come more or less often than by epochs. No document is taken
     more than MAX_COPIES times, and empty ones never. Reruns agree. Repeated rows are documents of
     their own; a null doc_id is hashed as null. Other columns are not read; an empty table gives an
     empty result.
@@ -100,9 +101,14 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     def plan(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("size")
         whole, goal = int(pdf["source_size"].iloc[0]), int(round(pdf["target"].iloc[0]))
+        lengths, counts = pdf["size"].to_numpy(), pdf["n"].to_numpy()
         epochs = min(MAX_COPIES, goal // whole)
-        more = choose(pdf["size"].to_numpy(), pdf["n"].to_numpy(), goal - epochs * whole) if epochs < MAX_COPIES else 0
-        return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "epochs": epochs, "more": more})
+        taken = epochs * counts + (choose(lengths, counts, goal - epochs * whole) if epochs < MAX_COPIES else 0)
+        if (short := goal - int((lengths * taken).sum())) > 0:
+            # No choice of whole epochs and one more fits: let any document come up to MAX_COPIES times.
+            other = choose(lengths, MAX_COPIES * counts, goal)
+            taken = other if goal - int((lengths * other).sum()) < short else taken
+        return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "epochs": taken // counts, "more": taken % counts})
 
     chosen = plan_in.groupBy("source").applyInPandas(plan, "source string, size long, epochs long, more long")
     earlier = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

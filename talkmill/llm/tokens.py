@@ -66,8 +66,11 @@ class Encoder:
     def with_offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of each token, in code points of ``text``."""
         if self.piece:
-            found = self.piece.encode(text, out_type="immutable_proto", num_threads=1)
-            return [(p.id, p.begin, p.end) for p in found.pieces]
+            found = self.piece.encode(text, return_type="proto", num_threads=1)
+            # The library counts bytes.
+            lead = (np.frombuffer(text.encode(), np.uint8) & 0xC0) != 0x80
+            at = np.concatenate([[0], np.cumsum(lead)]).tolist()
+            return [(p.id, at[p.begin], at[p.end]) for p in found.pieces]
         e = self.json.encode(text, add_special_tokens=False)
         return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
 
