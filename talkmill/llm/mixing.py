@@ -39,15 +39,16 @@ def targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     return levels.select("source", "source_size", target.alias("target"))
 
 
-def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
+def choose(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int = 0) -> np.ndarray:
     """How many documents of each length (> 0) to take so that their lengths sum to ``budget`` or as little below as can be found.
 
-    In proportion first, then one more of some lengths, then a bounded knapsack over what is left of the budget.
+    In proportion first, for all but ``spare`` words of the budget, then one more of some lengths, then a
+    bounded knapsack over what is left. It is exact for a budget of at most KNAPSACK_WORDS that is all spare.
     """
     total = int((lengths * counts).sum())
     if budget >= total:
         return counts.copy()
-    taken = (counts.astype(object) * budget // total).astype(np.int64)
+    taken = (counts.astype(object) * max(0, budget - spare) // total).astype(np.int64)
     left = budget - int((lengths * taken).sum())
     share = counts * (budget / total) - taken
     for i in np.argsort(-share, kind="stable").tolist():
@@ -106,7 +107,7 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         taken = epochs * counts + (choose(lengths, counts, goal - epochs * whole) if epochs < MAX_COPIES else 0)
         if (short := goal - int((lengths * taken).sum())) > 0:
             # No choice of whole epochs and one more fits: let any document come up to MAX_COPIES times.
-            other = choose(lengths, MAX_COPIES * counts, goal)
+            other = choose(lengths, MAX_COPIES * counts, goal, KNAPSACK_WORDS)
             taken = other if goal - int((lengths * other).sum()) < short else taken
         return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "epochs": taken // counts, "more": taken % counts})
 
