@@ -35,9 +35,14 @@ def occurrences(terms: Column, unit: list[str]) -> Column:
     """How often the unit's terms stand side by side in an array of terms."""
     if len(unit) == 1:
         return F.size(F.filter(terms, lambda t: t == unit[0]))
-    last = F.size(terms) - len(unit) + 1
-    fits = lambda i: reduce(lambda a, b: a & b, [F.element_at(terms, i + k) == t for k, t in enumerate(unit)])
-    return F.when(last > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), fits))).otherwise(0)
+
+    def count(all_: Column) -> Column:
+        last = F.size(all_) - len(unit) + 1
+        fits = lambda i: reduce(lambda a, b: a & b, [F.element_at(all_, i + k) == t for k, t in enumerate(unit)])
+        return F.when(last > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), fits))).otherwise(0)
+
+    # A lambda's variable, so that the terms are computed once and not for every position, wherever the filter is pushed.
+    return F.element_at(F.transform(F.array(terms), count), 1)
 
 
 @dataclass(frozen=True)
