@@ -25,10 +25,21 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.score_documents(docs.select(COLUMNS), model).filter("predicted = 1").select(COLUMNS)
 
 
+def numbered(docs: DataFrame, label: str) -> DataFrame:
+    """``docs`` with _row, a number of each row's own, written once so that every later read sees the same."""
+    return durable(docs.select(COLUMNS).withColumn("_row", F.monotonically_increasing_id()), label)
+
+
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest doc_id, of each group of near-duplicates."""
-    gone = near_dups.near_duplicates(docs, SIMILARITY).filter("not kept").select("doc_id").distinct()
-    return docs.select(COLUMNS).join(gone, "doc_id", "left_anti").select(COLUMNS)
+    """Keeps one row, that of the smallest doc_id (nulls last), of each group of near-duplicates.
+
+    Rows are documents: of repeated rows one stays, whatever their doc_id, and different texts under one doc_id are judged apart.
+    """
+    rows = numbered(docs, "near-dup-rows")
+    found = near_dups.near_duplicates(rows, SIMILARITY, key="_row").select(F.col("doc_id").alias("_row"), "component_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(first.alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
