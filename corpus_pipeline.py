@@ -51,9 +51,11 @@ def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mixing.mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(COLUMNS)
+    """Each row as often as the mix takes it, whatever its doc_id; rows that the mix can't tell apart are ordered by text."""
+    rows = numbered(docs, "mixing-rows")
+    mixed = mixing.mix(rows.withColumn("_tie", F.xxhash64("text")), carry=("_tie", "_row"))
+    copies = mixed.filter("copies > 0").select("_row", "copies")
+    return rows.join(copies, "_row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,20 +79,20 @@ def choose(lengths: np.ndarray, counts: np.ndarray, budget: int, spare: int = 0)
     return taken
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies) for each row of ``docs``.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, carry: tuple = ()) -> DataFrame:
+    """(doc_id, size, source, source_size, target, copies, and the columns ``carry``) for each row of ``docs``.
 
     Size is the number of words (runs without ASCII white space), 0 for a null text. A source's target
     is met by whole epochs over its documents and, for the rest, by some documents once more: how many
     of each length a bounded knapsack says, which ones a seeded hash of doc_id. Where that leaves words
     of the target untaken, lengths may come more or less often than by epochs. No document is taken
     more than MAX_COPIES times, and empty ones never. Reruns agree. Repeated rows are documents of
-    their own; a null doc_id is hashed as null. Other columns are not read; an empty table gives an
-    empty result.
+    their own; a null doc_id is hashed as null. Rows of one doc_id, source and size are taken in the order
+    of ``carry``. Other columns are not read; an empty table gives an empty result.
     """
     words = F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     h = F.xxhash64(F.lit(seed), F.col(key))
-    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), h.alias("h"))
+    sized = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), words.alias("size"), h.alias("h"), *carry)
     sized = durable(sized.withColumn("part", F.pmod("h", F.lit(PARTS)).cast("int")), "sizes")
     goals = targets(sized)
     parts = durable(sized.filter("size > 0").groupBy("source", "size", "part").agg(F.count("*").alias("n")), "lengths")
@@ -122,15 +122,15 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     )
     quota = durable(quota, "quotas")
     match = sized["source"].eqNullSafe(quota["q_source"]) & (sized["size"] == quota["q_size"]) & (sized["part"] == quota["q_part"])
-    told = sized.join(quota, match, "left").select("doc_id", "source", "size", "h", "part", "epochs", "quota", "n")
+    told = sized.join(quota, match, "left").select("doc_id", "source", "size", "h", "part", "epochs", "quota", "n", *carry)
     split = F.coalesce((F.col("quota") > 0) & (F.col("quota") < F.col("n")), F.lit(False))
     plain = told.filter(~split).withColumn("copies", F.coalesce(F.col("epochs") + F.when(F.col("quota") > 0, 1).otherwise(0), F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id", *carry))
     ranked = told.filter(split).withColumn("copies", F.col("epochs") + F.when(rank <= F.col("quota"), 1).otherwise(0))
-    columns = ["doc_id", "source", "size", "copies"]
+    columns = ["doc_id", "source", "size", "copies", *carry]
     taken = plain.select(columns).unionByName(ranked.select(columns)).alias("t")
     g = goals.alias("g")
-    return taken.join(g, F.col("t.source").eqNullSafe(F.col("g.source"))).select("doc_id", "size", "t.source", "source_size", "target", "copies")
+    return taken.join(g, F.col("t.source").eqNullSafe(F.col("g.source"))).select("doc_id", "size", "t.source", "source_size", "target", "copies", *carry)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
