@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from talkmill.functions import fixed_values as fixed
 from talkmill.functions import text as X
 from talkmill.functions.scope import Scope, assemble, merge
 from talkmill.functions.vectors import embed
@@ -369,15 +370,15 @@ def key_exchanges(spark, d):
 @query("redact_counts", r"""SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?key|token)\b\s*[:=]\s*("[^"]{4,}"|''[^'']{4,}''|[^\s,;，；}]{4,})')) AS n FROM documents
 WHERE NOT regexp_matches(text, 'AKIA|PRIVATE KEY|Bearer')""")
 def redact_counts(spark, d):
-    rows = table(spark, d, "documents").filter(~F.col("text").rlike("AKIA|PRIVATE KEY|Bearer"))
-    return rows.select("doc_id", X.redaction_counts(F.col("text"))["secret_assign"].alias("n"))
+    # All five patterns of all documents; the SQL counts secret-assign alone, where the first three can't act.
+    rows = table(spark, d, "documents").select("doc_id", X.redaction_counts(F.col("text")).alias("c"))
+    return rows.select("doc_id", sum(F.coalesce(f"c.{name.replace('-', '_')}", F.lit(0)) for name, *_ in fixed.REDACTIONS).cast("long").alias("n"))
 
 
 @query("redact_text", r"""SELECT doc_id, sha256(regexp_replace(text, '(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?key|token)\b\s*[:=]\s*("[^"]{4,}"|''[^'']{4,}''|[^\s,;，；}]{4,})', '\1=[已脱敏]', 'g')) AS digest
 FROM documents WHERE NOT regexp_matches(text, 'AKIA|PRIVATE KEY|Bearer|://')""")
 def redact_text(spark, d):
-    rows = table(spark, d, "documents").filter(~F.col("text").rlike("AKIA|PRIVATE KEY|Bearer|://"))
-    return rows.select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("digest"))
 
 
 @query("sentence_split", r"""SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([。！？!?\n])', '\1' || chr(1), 'g'), chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s != ''))::BIGINT AS n
@@ -625,7 +626,7 @@ def timeline(spark, d):
 @query("redaction_report", r"""SELECT doc_id::VARCHAR AS session_id, 1::BIGINT AS seq_num, 'secret-assign' AS pattern, n FROM (SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(password|passwd|secret|api[_-]?key|access[_-]?key|token)\b\s*[:=]\s*("[^"]{4,}"|''[^'']{4,}''|[^\s,;，；}]{4,})')) AS n FROM documents) WHERE n > 0""")
 def redaction_report(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(1).cast("long").alias("seq_num"), F.col("text").alias("content"))
-    return exchange.redaction_report(rows).filter("pattern = 'secret-assign'")
+    return exchange.redaction_report(rows)
 
 
 # --- the same shapes over larger tables --------------------------------------------------------
