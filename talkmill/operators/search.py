@@ -110,6 +110,23 @@ def session_hits(messages: DataFrame, sessions: DataFrame, query: str, where: Co
     )
 
 
+def body_and_meta_hits(messages: DataFrame, sessions: DataFrame, query: str, where: Column | None = None) -> tuple[DataFrame, bool]:
+    """((session_id, score, coverage, seq, snippet, via) of all hits, without limit or order; whether some session covers all units)."""
+    hits = session_hits(messages, sessions, query, where)
+    every = hits.agg(F.max(F.col("required").cast("int"))).first()[0] == 1
+    body = hits.filter("required") if every else hits
+    body = body.select("session_id", "score", "coverage", F.col("seq").cast("long").alias("seq"), "snippet", F.lit("body").alias("via"))
+    units = parse_query(query)
+    named, corpus = counted(sessions, "meta_text", units)
+    scores = [F.coalesce(bm25(F.col(f"_tf{i}"), F.col("_len"), corpus, n), F.lit(0.0)) for i, n in enumerate(corpus.holding)]
+    meta = named.filter(where if where is not None else F.lit(True))
+    meta = meta.select("session_id", (F.greatest(*scores, F.lit(0.0)) * META_WEIGHT).alias("score")).filter("score > 0")
+    covered = hits.select(F.col("session_id").alias("_id"), F.col("coverage").alias("_coverage"))
+    meta = meta.join(body.select("session_id"), "session_id", "left_anti").join(covered, F.col("session_id") == F.col("_id"), "left")
+    meta = meta.select("session_id", "score", F.coalesce("_coverage", F.lit(0.0)).alias("coverage"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("snippet"), F.lit("meta").alias("via"))
+    return body.unionByName(meta), every
+
+
 def search_sessions(
     messages: DataFrame, sessions: DataFrame, query: str, where: Column | None = None, limit: int = 20, semantic: DataFrame | None = None
 ) -> DataFrame:
@@ -125,19 +142,8 @@ def search_sessions(
         ).limit(0)
     if limit < 0:
         raise ValueError("limit must not be negative")
-    hits = session_hits(messages, sessions, query, where)
-    every = hits.agg(F.max(F.col("required").cast("int"))).first()[0] == 1
-    body = hits.filter("required") if every else hits
-    body = body.select("session_id", "score", "coverage", F.col("seq").cast("long").alias("seq"), "snippet", F.lit("body").alias("via"))
-    units = parse_query(query)
-    named, corpus = counted(sessions, "meta_text", units)
-    scores = [F.coalesce(bm25(F.col(f"_tf{i}"), F.col("_len"), corpus, n), F.lit(0.0)) for i, n in enumerate(corpus.holding)]
-    meta = named.filter(where if where is not None else F.lit(True))
-    meta = meta.select("session_id", (F.greatest(*scores, F.lit(0.0)) * META_WEIGHT).alias("score")).filter("score > 0")
-    covered = hits.select(F.col("session_id").alias("_id"), F.col("coverage").alias("_coverage"))
-    meta = meta.join(body.select("session_id"), "session_id", "left_anti").join(covered, F.col("session_id") == F.col("_id"), "left")
-    meta = meta.select("session_id", "score", F.coalesce("_coverage", F.lit(0.0)).alias("coverage"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("snippet"), F.lit("meta").alias("via"))
-    found = body.unionByName(meta).withColumn("_late", F.lit(0))
+    hits, every = body_and_meta_hits(messages, sessions, query, where)
+    found = hits.withColumn("_late", F.lit(0))
     if semantic is not None:
         extra = semantic.join(found.select("session_id"), "session_id", "left_anti").join(sessions.select("session_id", "title"), "session_id", "left")
         extra = extra.select(

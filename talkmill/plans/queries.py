@@ -105,7 +105,7 @@ def fts_meta_union(spark, d):
     s = memory.sessions(spark, d).withColumn("meta_text", F.concat_ws(" ", "title", F.array_join("topics", " ")))
     # Bodies without their users' turns, so that titles name what bodies don't.
     m = memory.messages(spark, d)
-    hits = search.search_sessions(m, s, "thing", limit=1_000_000)
+    hits, _ = search.body_and_meta_hits(m, s, "thing")
     return hits.filter("via = 'meta'").select("session_id", F.round("score", 6).alias("score"))
 
 

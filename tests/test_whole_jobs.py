@@ -29,3 +29,10 @@ def test_redaction_covers_all_documents_and_patterns(spark, tmp_path):
     assert {r.doc_id: r.digest for r in got["redact_text"]} == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, (t, _) in want.items()}
     found = collections.Counter({(str(i), p): n for i, (_, c) in want.items() for p, n in c.items() if n})
     assert collections.Counter({(r.session_id, r.pattern): r.n for r in got["redaction_report"]}) == found and {p for _, p in found} == {p for p, *_ in fixed.REDACTIONS}
+
+
+def test_meta_hits_are_neither_cut_nor_numbered(spark, tmp_path):
+    turns = [(i, t, "user", "thing in the title" if i < 40 and t == 0 else "nothing here") for i in range(400) for t in range(2)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    plan = QUERIES["fts_meta_union"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Window" not in plan
