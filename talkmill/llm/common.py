@@ -6,9 +6,13 @@ import atexit
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a Python worker keeps from one task to the next; a task that has no use for it empties it.
+WORKER_CACHES: list[dict] = []
+
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words are runs of anything but these; the same class as ``[^\x20\x09-\x0D]+``.
 SPACES = "[ \\t\\n\\x0B\\f\\r]+"
@@ -18,10 +22,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_caches() -> None:
+    """Gives a reused Python worker's memory back before a task of another kind."""
+    for cache in WORKER_CACHES:
+        cache.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, as in tests, one of our own on a single machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='talkmill-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,6 +47,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def discard(df: DataFrame) -> None:
+    """Removes what ``durable`` wrote for ``df``; nothing may read it any more."""
+    _remove(df.sparkSession, df.stored_at)
+
+
+def _drop(spark: SparkSession, name: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        try:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        except Exception:  # noqa: BLE001  the session may be gone already
+            return
+
+
+def scratch_table(spark: SparkSession, label: str) -> tuple[str, str]:
+    """(name, path) of a new table of the catalogue in the shared folder; both go when the driver's interpreter ends."""
+    name, path = f"talkmill_{label}_{uuid.uuid4().hex}", scratch_path(spark, label)
+    atexit.register(_drop, spark, name)
+    return name, path
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     if spark.sparkContext._jsc is None:
         return
@@ -52,7 +85,9 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def ascii_lower(col):

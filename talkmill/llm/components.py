@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import durable
+from talkmill.llm.common import discard, durable
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         # Small star: what is below u, and u, go to the smallest below u.
         low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(low, F.col("u") == F.col("k")).select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
-        now = durable(small.filter("u != v").distinct(), "edges")
+        earlier, now = now, durable(small.filter("u != v").distinct(), "edges")
+        discard(earlier)
         before, seen = seen, _state(now)
         if seen == before:
             break

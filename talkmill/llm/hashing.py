@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _U = np.uint64
@@ -14,17 +16,25 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_SPACE = re.compile(rb"[\x09-\x0D\x20]")
+
+#: Bytes of text whose words are hashed at once, and whose powers are kept.
+PIECE = 1 << 20
 
 _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), kept for the next call."""
-    if base not in _powers or len(_powers[base]) < n:
-        many = np.full(max(n, 1 << 20), base, _U)
-        many[0] = 1
-        _powers[base] = np.cumprod(many)
-    return _powers[base][:n]
+    """base ** 0 .. base ** (n - 1); the first PIECE of them are kept for the next call."""
+    if base not in _powers:
+        _powers[base] = _raised(base, PIECE)
+    return _powers[base][:n] if n <= PIECE else _raised(base, n)
+
+
+def _raised(base: int, n: int) -> np.ndarray:
+    many = np.full(n, base, _U)
+    many[0] = 1
+    return np.cumprod(many)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,8 +67,28 @@ def windows(buf: np.ndarray, starts: np.ndarray, length: int, chunk: int = 1 <<
     return out
 
 
+def pieces(text: bytes) -> list[bytes]:
+    """``text`` cut at white space into pieces of PIECE bytes or, where words are longer, a little more."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        cut = next((m.start() for m in _SPACE.finditer(text, at + PIECE)), len(text))
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word of all texts, number of words of each text); A-Z lower-cased, ASCII white space parts."""
+    """(hash of every word of all texts, number of words of each text); A-Z lower-cased, ASCII white space parts.
+
+    Beside the result, memory is a multiple of the texts' bytes or, for a text of more than PIECE bytes, of PIECE.
+    """
+    if len(texts) == 1 and len(texts[0]) > PIECE:
+        some = [_word_hashes([p]) for p in pieces(texts[0])]
+        return np.concatenate([h for h, _ in some]), np.array([sum(int(n[0]) for _, n in some)])
+    return _word_hashes(texts)
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buf = LOWER[np.frombuffer(b" ".join(texts) + b" ", np.uint8)]
     gap = np.concatenate([[True], IS_SPACE[buf]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import durable, table
+from talkmill.llm.common import durable, free_caches, table
 from talkmill.llm.components import connected_components
 from talkmill.llm.hashing import in_slices, mix, shingle_sets
 
@@ -78,6 +78,7 @@ def sketch(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     symbols = n_chunks(percent) * CHUNK
 
     def run(batches):
+        free_caches()
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             for at, to in in_slices(texts):

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkmill.llm.common import table
+from talkmill.llm.common import free_caches, table
 from talkmill.llm.hashing import in_slices, word_hashes
 
 #: Labelled rows that the model is fitted on, at most; chosen by hash.
@@ -131,6 +131,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     at = docs.columns.index(text)
 
     def run(batches):
+        free_caches()
         for batch in batches:
             s = model.score(features([t.encode() if isinstance(t, str) else t or b"" for t in batch.column(at).to_pylist()]))
             yield pa.RecordBatch.from_arrays(

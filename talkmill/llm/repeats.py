@@ -11,15 +11,13 @@ has a chance of n * n / 2 ** 65).
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from talkmill.llm.common import durable, scratch_path, table
+from talkmill.llm.common import durable, free_caches, scratch_table, table
 from talkmill.llm.hashing import in_slices, windows
 
 LENGTH = 200
@@ -27,9 +25,8 @@ LENGTH = 200
 PERIOD = 133
 COVER = [0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109]
 #: Bytes of text that make a batch (one Python call) and that make a suffix bucket.
-BATCH_BYTES = 16 << 20
-BUCKET_BYTES = 16 << 20
-MAX_TABLE_BUCKETS = 20_000
+BATCH_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20
 #: Groups in which the batches' own candidate runs pass the second exchange.
 RUN_GROUPS = 1 << 16
 
@@ -192,18 +189,20 @@ def dealt(docs: DataFrame, text: str) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.int64()), pa.array(rows, pa.int64())], [*batch.schema.names, "batch", "row"])
 
     schema = T.StructType([*with_body.schema, T.StructField("batch", T.LongType()), T.StructField("row", T.LongType())])
-    name = f"talkmill_repeats_{uuid.uuid4().hex}"
-    tables = max(1, min(MAX_TABLE_BUCKETS, 2 * total // BATCH_BYTES))
+    name, path = scratch_table(spark, "repeats")
+    tables = min(max(1, total // BATCH_BYTES), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     (
-        with_body.mapInArrow(deal, schema).write.format("parquet").option("compression", "zstd").option("path", scratch_path(spark, "repeats"))
+        with_body.mapInArrow(deal, schema).write.format("parquet").option("compression", "zstd").option("path", path)
         .bucketBy(tables, "batch").saveAsTable(name)
     )
     return spark.table(name), max(8, total // BUCKET_BYTES)
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", whole_characters: bool = False) -> DataFrame:
     """``docs`` without ``text``, with n_bytes, spans (array of start, end) and kept (binary: the bytes outside the spans).
 
+    With ``whole_characters`` kept has no part of a character that a span's edge cuts.
+
     A byte is removed if a string of LENGTH bytes that covers it starts anywhere else in the table too,
     in the same document or another, overlaps included, judged on the input. Matches never cross
     documents. A null text is an empty one. Rows are documents, whatever their columns hold: repeated
@@ -215,6 +214,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     bodies = stored.select("batch", "row", "body")
 
     def sample(group: pa.Table) -> pa.Table:
+        free_caches()
         texts, _ = texts_of(group)
         keys, counts = np.unique(Batch(texts).samples()[1], return_counts=True)
         return messages(group.column("batch")[0].as_py(), keys, counts, buckets, False)
@@ -246,13 +246,12 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
             for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
                 doc = spans_of(hits[edges[i] : edges[i + 1]] - a)
                 spans.append(doc)
-                body = buf[a:b]
+                body = buf[a:b].tobytes()
                 if doc:
-                    keep = np.ones(b - a, bool)
-                    for x, y in doc:
-                        keep[x:y] = False
-                    body = body[keep]
-                kept.append(body.tobytes())
+                    edges_of = [0, *(e for span in doc for e in span), b - a]
+                    parts = [body[x:y] for x, y in zip(edges_of[::2], edges_of[1::2], strict=True)]
+                    body = b"".join([p.decode("utf-8", "ignore").encode() for p in parts] if whole_characters else parts)
+                kept.append(body)
         rest = group.drop_columns(["body", "batch", "row"]).take(pa.array(order))
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return (

@@ -11,7 +11,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from talkmill.llm.common import table
+from talkmill.llm.common import WORKER_CACHES, table
 
 DEFAULT_TOKENIZER = "word_bpe_49k.json"
 #: Texts of more code points than this are encoded in chunks.
@@ -20,8 +20,8 @@ CHUNK_CHARS = 32_768
 OVERLAP_CHARS = 512
 #: Tokens that must agree on each side of a splice.
 AGREE = 8
-#: Words that a worker remembers (about 200 bytes each).
-CACHE_WORDS = 800_000
+#: Words that a worker remembers in each of two generations (about 200 bytes each); those not met while a generation fills are forgotten.
+CACHE_WORDS = 250_000
 DOCS_PER_SLICE = 128
 #: A split pattern whose matches never hold white space, under "Removed" and "invert": what white space parts is encoded apart.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -36,7 +36,8 @@ class Encoder:
     """
 
     def __init__(self, path: str, huge: int = HUGE_CHARS, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS):
-        self.huge, self.chunk, self.overlap, self.cache, self.apart = huge, chunk, overlap, {}, False
+        self.huge, self.chunk, self.overlap, self.apart = huge, chunk, overlap, False
+        self.cache, self.older = {}, {}
         if path.endswith(".model"):
             import sentencepiece
 
@@ -113,8 +114,12 @@ class Encoder:
             return [self.ids(t) for t in texts]
         whole = [len(t) > self.huge and len(t.decode("utf-8", "replace")) > self.huge or any(s in t for s in self.specials) for t in texts]
         words = [[] if w else self.split(t) for w, t in zip(whole, texts, strict=True)]
+        if len(self.cache) > CACHE_WORDS:
+            self.cache, self.older = {}, self.cache
         if missing := set().union(*words).difference(self.cache):
-            self.learn(missing, words)
+            known = missing & self.older.keys()
+            self.cache.update({w: self.older[w] for w in known})
+            self.learn(missing - known)
         get = self.cache.__getitem__
         return [self.ids(t) if w else b"".join(map(get, ws)) for w, t, ws in zip(whole, texts, words, strict=True)]
 
@@ -122,10 +127,7 @@ class Encoder:
         # Lower-casing first could change a composition only where a combining mark follows (U+0300 to U+036F).
         return (text.lower() if self.lowers and b"\xcc" not in text and b"\xcd" not in text else text).split()
 
-    def learn(self, missing: set[bytes], words: list[list[bytes]]) -> None:
-        if len(self.cache) + len(missing) > CACHE_WORDS:
-            self.cache.clear()
-            missing = set().union(*words)
+    def learn(self, missing: set[bytes]) -> None:
         # Closing punctuation is a token run of its own after a letter.
         stems, cut = set(), {}
         for w in missing:
@@ -171,6 +173,7 @@ def splice(left: list, right: list, text: str) -> tuple[int, int] | None:
 
 
 ENCODERS: dict[tuple, Encoder] = {}
+WORKER_CACHES.append(ENCODERS)
 
 
 def encoder(path: str, *sizes: int) -> Encoder:
