@@ -20,7 +20,10 @@ SIMILARITY = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what the classifier, fitted on the labels of ``docs``, accepts."""
+    """Keeps what the classifier, fitted on the labels of ``docs``, accepts.
+
+    Rows are judged by their text alone: null texts as empty ones, repeated rows alike, null ids like any.
+    """
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score_documents(docs.select(COLUMNS), model).filter("predicted = 1").select(COLUMNS)
 
@@ -43,11 +46,13 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts the bytes of repeated strings out of the texts; characters cut in half go whole."""
-    kept = repeats.remove_repeats(docs.select(COLUMNS))
-    text = F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "�", "")
-    text = F.when(F.size("spans") > 0, text).otherwise(F.col("kept").cast("string"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Cuts the bytes of repeated strings out of the texts; characters cut in half go whole.
+
+    All rows stay, an emptied text as an empty one; so does a null text. Repeated rows of 200 bytes or more
+    would empty each other, but the stage before leaves one of them. Ties don't matter; an empty table stays empty.
+    """
+    kept = repeats.remove_repeats(docs.select(COLUMNS), whole_characters=True)
+    return kept.withColumn("text", F.col("kept").cast("string")).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +64,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, in sequences of at most 4096 tokens."""
+    """The pieces of all documents, in sequences of at most 4096 tokens; null texts and repeated rows are documents like any."""
     return packing.pack(docs, public_tokenizers.path(DEFAULT_TOKENIZER))
 
 
