@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.common import small, table
 
-#: Schema rows up to this many are broadcast; more are joined by shuffle.
-BROADCAST_SCHEMAS = 100_000
+#: Schema rows up to this many are broadcast; more are joined by shuffle, with each tool's calls in this many parts.
+BROADCAST_SCHEMAS, SCHEMA_PARTS = 100_000, 64
+#: Turns of a conversation that one task orders.
+TURNS_PER_BUCKET = 1024
 
 #: (tool, parameter, type, required); types are those of JSON.
 SCHEMAS = [("reply", "question", "string", True), ("reply", "turn", "integer", True), ("reply", "chars", "integer", False)]
+PARAMETERS = "array<struct<parameter:string,type:string,required:boolean>>"
 
 
 def _json_type(value):
@@ -23,33 +26,51 @@ def _json_type(value):
     )
 
 
-def validate_arguments(calls: DataFrame, schemas: DataFrame) -> DataFrame:
-    """(call_key, errors array<string>) for the calls that have errors, sorted texts.
+def validate_arguments(calls: DataFrame, schemas: DataFrame, name: str = "call_name", arguments: str = "call_arguments") -> DataFrame:
+    """``calls`` with errors (array<string>, sorted; empty if there are none), in place: no call is sent to others of its kind.
 
-    ``calls`` holds call_key, name, arguments (JSON text); ``schemas`` holds tool, parameter, type,
-    required. Arguments that aren't a JSON object, unknown tools, missing required parameters,
-    unknown parameters and wrong types are errors; an integer passes for a number. A null argument
-    text is ``{}``. Repeated schema rows count once.
+    ``arguments`` holds JSON text; ``schemas`` holds tool, parameter, type, required. Arguments that aren't
+    a JSON object, unknown tools, missing required parameters, unknown parameters and wrong types are
+    errors; an integer passes for a number. A null argument text is ``{}``. Repeated schema rows count once.
     """
     schemas = schemas.dropna().dropDuplicates(["tool", "parameter"])
-    near = F.broadcast if small(schemas, BROADCAST_SCHEMAS) else (lambda x: x)
-    read = calls.select("call_key", "name", F.try_parse_json(F.coalesce("arguments", F.lit("{}"))).alias("v"))
-    read = read.withColumn("is_object", F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)))
-    malformed = read.filter(~F.col("is_object")).select("call_key", F.lit("arguments: not an object").alias("error"))
-    good = read.filter("is_object")
-    tools = schemas.groupBy("tool").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("required"), F.col("parameter"))).alias("required"))
-    known = good.join(near(tools), F.col("name") == F.col("tool"), "left")
-    unknown_tool = known.filter("n is null").select("call_key", F.lit("name: unknown tool").alias("error"))
-    fits = known.filter("n is not null").select("call_key", "name", "v", "required")
-    present = F.map_keys(F.from_json(F.to_json("v"), "map<string,string>"))
-    missing = fits.select("call_key", F.explode(F.array_except("required", present)).alias("p")).select("call_key", F.concat("p", F.lit(": missing")).alias("error"))
-    given = fits.lateralJoin(fits.sparkSession.tvf.variant_explode(F.col("v").outer())).select("call_key", "name", F.col("key").alias("p"), _json_type(F.col("value")).alias("got"))
-    rows = given.join(near(schemas), (F.col("name") == F.col("tool")) & (F.col("p") == F.col("parameter")), "left")
-    unknown = rows.filter("tool is null").select("call_key", F.concat("p", F.lit(": unknown")).alias("error"))
-    wrong = rows.filter((F.col("got") != F.col("type")) & ~((F.col("got") == "integer") & (F.col("type") == "number")))
-    wrong = wrong.select("call_key", F.concat("p", F.lit(": "), "got", F.lit(" for "), "type").alias("error"))
-    errors = malformed.unionByName(unknown_tool).unionByName(missing).unionByName(unknown).unionByName(wrong)
-    return errors.groupBy("call_key").agg(F.array_sort(F.collect_list("error")).alias("errors"))
+    tools = schemas.groupBy(F.col("tool").alias("_tool")).agg(F.collect_list(F.struct("parameter", "type", "required")).cast(PARAMETERS).alias("_params"))
+    if small(schemas, BROADCAST_SCHEMAS):
+        known = calls.join(F.broadcast(tools), F.col(name) == F.col("_tool"), "left")
+    else:
+        parted = tools.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SCHEMA_PARTS - 1))))
+        own = F.pmod(F.xxhash64(*calls.columns), F.lit(SCHEMA_PARTS)).cast("int")
+        known = calls.withColumn("_own", own).join(parted, (F.col(name) == F.col("_tool")) & (F.col("_own") == F.col("_part")), "left").drop("_own", "_part")
+    text = F.coalesce(F.col(arguments), F.lit("{}"))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
+    types = F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, v: _json_type(v))
+    known = known.withColumns({"_object": is_object, "_got": F.when(is_object, types)})
+    some = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+    given = F.map_keys("_got")
+    missing = F.transform(F.filter("_params", lambda p: p["required"] & ~F.array_contains(given, p["parameter"])), lambda p: F.concat(p["parameter"], F.lit(": missing")))
+    names = F.transform("_params", lambda p: p["parameter"])
+    unknown = F.transform(F.array_except(given, names), lambda k: F.concat(k, F.lit(": unknown")))
+    fits = lambda got, want: (got == want) | ((got == "integer") & (want == "number"))
+    of = lambda p: F.element_at("_got", p["parameter"])
+    wrong = F.filter("_params", lambda p: F.array_contains(given, p["parameter"]) & ~fits(of(p), p["type"]))
+    wrong = F.transform(wrong, lambda p: F.concat(p["parameter"], F.lit(": "), of(p), F.lit(" for "), p["type"]))
+    errors = (
+        F.when(~F.col("_object"), F.array(F.lit("arguments: not an object"))).when(F.col("_tool").isNull(), F.array(F.lit("name: unknown tool")))
+        .otherwise(F.array_sort(F.concat(some(missing), some(unknown), some(wrong))))
+    )
+    return known.withColumn("errors", errors).drop("_tool", "_params", "_object", "_got")
+
+
+def _bucketed(rows: DataFrame, at: str) -> DataFrame:
+    """``rows`` with _conv (conv_id, null told apart) and _bucket: TURNS_PER_BUCKET turns of a conversation, so that no task orders a whole long one."""
+    conv = F.when(F.col("conv_id").isNull(), "n").otherwise(F.concat(F.lit("v"), "conv_id"))
+    return rows.withColumns({"_conv": conv, "_bucket": F.coalesce(F.floor(F.col(at) / TURNS_PER_BUCKET), F.lit(-(1 << 62))).cast("long")})
+
+
+def _carried(buckets: DataFrame, value, out: str) -> DataFrame:
+    """(_conv, _bucket, out): ``value`` over the buckets before each; one row for a bucket is ordered, not its turns."""
+    before = Window.partitionBy("_conv").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    return buckets.select("_conv", "_bucket", value.over(before).alias(out))
 
 
 def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -61,33 +82,32 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     counts. ``link`` is ``call`` or ``result``, for one without a partner ``open call`` or
     ``orphan result``, else null. Positions (from 0) are a topological order: turns as they stand,
     but a result that precedes its call comes right after it. Ties in turn go by role, call_id, text.
-    Null roles and texts are empty. JSON has sorted keys and no white space; calls' arguments are
-    canonical too, or the raw text if they aren't JSON. Extra columns are not read.
+    Null roles and texts are empty; null turns come first. JSON has sorted keys and no white space; calls'
+    arguments are canonical too, or the raw text if they aren't JSON. Extra columns are not read.
+
+    Messages that are neither call nor result are not joined, and a conversation is ordered in buckets of
+    turns with the counts carried over, so that neither plain messages nor one long conversation meet in a task.
     """
     rows = messages.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "call_id", "call_name", "call_arguments"
     )
     is_call, is_result = F.col("call_name").isNotNull(), (F.col("role") == "tool") & F.col("call_id").isNotNull() & F.col("call_name").isNull()
-    calls = rows.filter(is_call).filter("call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
-    results = rows.filter(is_result).groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"))
-    links = calls.join(results, ["conv_id", "call_id"], "full_outer").withColumnRenamed("conv_id", "_conv").withColumnRenamed("call_id", "_call")
-    linked = rows.join(links, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_call")) & (is_call | is_result), "left")
+    named = is_result | (is_call & F.col("call_id").isNotNull())
+    ends = rows.filter(named).groupBy("conv_id", "call_id").agg(F.min(F.when(is_call, F.col("turn"))).alias("call_turn"), F.min(F.when(is_result, F.col("turn"))).alias("result_turn"))
+    ends = ends.withColumnRenamed("conv_id", "_conv").withColumnRenamed("call_id", "_call")
+    linked = rows.filter(named).join(ends, F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("call_id") == F.col("_call")), "left").drop("_conv", "_call")
+    plain = rows.filter(~named).withColumns({"call_turn": F.lit(None).cast(rows.schema["turn"].dataType), "result_turn": F.lit(None).cast(rows.schema["turn"].dataType)})
+    linked = linked.unionByName(plain)
     link = F.when(is_call, F.when(F.col("result_turn").isNull(), "open call").otherwise("call")).when(
         is_result, F.when(F.col("call_turn").isNull(), "orphan result").otherwise("result")
     )
     late = is_result & (F.col("call_turn") > F.col("turn"))
-    key = F.struct(
-        F.when(late, F.col("call_turn")).otherwise(F.col("turn")).alias("at"), F.when(late, 1).otherwise(0).alias("moved"), "turn", "role", "call_id", "text"
-    )
-    order = Window.partitionBy("conv_id").orderBy(key)
-    placed = linked.withColumns({"link": link, "position": (F.row_number().over(order) - 1).cast("long")})
-    digest = F.xxhash64("call_name", "call_arguments")
-    errors = validate_arguments(
-        rows.filter(is_call).select(F.struct(F.col("call_name"), F.col("call_arguments")).alias("call"), digest.alias("call_key")).dropDuplicates(["call_key"])
-        .select("call_key", F.col("call.call_name").alias("name"), F.col("call.call_arguments").alias("arguments")),
-        schemas,
-    )
-    checked = placed.withColumn("call_key", F.when(is_call, digest)).join(errors, "call_key", "left")
+    linked = _bucketed(linked.withColumns({"link": link, "at": F.when(late, F.col("call_turn")).otherwise(F.col("turn")), "moved": F.when(late, 1).otherwise(0)}), "at")
+    counts = _carried(linked.groupBy("_conv", "_bucket").agg(F.count("*").alias("n")), F.sum("n"), "before")
+    order = Window.partitionBy("_conv", "_bucket").orderBy("at", "moved", "turn", "role", "call_id", "text")
+    placed = linked.withColumn("place", F.row_number().over(order)).join(counts, ["_conv", "_bucket"])
+    placed = placed.withColumn("position", (F.coalesce("before", F.lit(0)) + F.col("place") - 1).cast("long"))
+    checked = validate_arguments(placed, schemas)
     canonical = F.coalesce(F.to_json(F.try_parse_json(F.coalesce("call_arguments", F.lit("{}")))), F.col("call_arguments"))
     call = F.when(is_call, F.struct(canonical.alias("arguments"), F.col("call_id").alias("id"), F.col("call_name").alias("name")))
     body = F.struct(
@@ -95,46 +115,60 @@ def format_chats(messages: DataFrame, schemas: DataFrame) -> DataFrame:
     )
     return checked.select(
         "conv_id", "turn", "position", "role", F.when(is_call | is_result, F.col("call_id")).alias("call_id"), "link",
-        F.when(is_call, F.when(F.col("errors").isNull(), 0).otherwise(F.size("errors"))).alias("n_errors"),
-        "errors", F.to_json(body).alias("message"),
+        F.when(is_call, F.size("errors")).alias("n_errors"), F.when(is_call & (F.size("errors") > 0), F.col("errors")).alias("errors"), F.to_json(body).alias("message"),
     )
 
 
 def conversations_as_calls(conversations: DataFrame) -> DataFrame:
-    """The plain conversations as calls: each user turn calls ``reply``, the assistant's next turn is the result.
+    """The plain conversations as calls, with the faults that real logs have: each user turn calls ``reply``, the assistant's next turn is the result.
 
-    The identifier is ``<conv_id>-<turn>`` of the user turn. An assistant turn that follows none is a plain message.
+    The identifier is ``<conv_id>-<turn>`` of the user turn; turns are doubled. An assistant turn that follows no
+    user is a plain message. By the sum of conv_id and turn, some calls come after their result, lose
+    their identifier's result, name an unknown tool, are cut off, or have a wrong, unknown or missing argument.
     """
-    asked = F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    seen = conversations.select("conv_id", "turn", "role", "text", asked.alias("asked"))
+    rows = _bucketed(conversations.select("conv_id", "turn", "role", "text"), "turn")
+    user_turn = F.when(F.col("role") == "user", F.col("turn"))
+    within = F.last(user_turn, True).over(Window.partitionBy("_conv", "_bucket").orderBy("turn", "role", "text"))
+    carried = _carried(rows.groupBy("_conv", "_bucket").agg(F.max(user_turn).alias("last")), F.last("last", True), "earlier")
+    seen = rows.withColumn("within", within).join(carried, ["_conv", "_bucket"]).withColumn("asked", F.coalesce("within", "earlier"))
     user, answer = F.col("role") == "user", (F.col("role") == "assistant") & F.col("asked").isNotNull()
-    arguments = F.to_json(F.struct(F.col("turn").alias("turn"), F.coalesce("text", F.lit("")).alias("question"), F.length(F.coalesce("text", F.lit(""))).alias("chars")))
+    n, text = F.col("conv_id") + F.col("turn"), F.coalesce("text", F.lit(""))
+    rest = [F.when(n % 29 != 0, text).alias("question"), F.length(text).alias("chars"), F.when(n % 23 == 0, "calm").alias("mood")]
+    whole = F.when(n % 19 == 0, F.to_json(F.struct(F.col("turn").cast("string").alias("turn"), *rest))).otherwise(F.to_json(F.struct("turn", *rest)))
+    arguments = F.when(n % 17 == 0, F.substring(whole, 1, 5)).otherwise(whole)
     return seen.select(
-        "conv_id", "turn", F.when(answer, "tool").otherwise(F.col("role")).alias("role"), "text",
-        F.when(user | answer, F.concat_ws("-", "conv_id", "asked")).alias("call_id"),
-        F.when(user, F.lit("reply")).alias("call_name"), F.when(user, arguments).alias("call_arguments"),
+        "conv_id", F.when(user & (n % 7 == 0), F.col("turn") * 2 + 3).otherwise(F.col("turn") * 2).alias("turn"),
+        F.when(answer, "tool").otherwise(F.col("role")).alias("role"), "text",
+        F.when(answer & (n % 11 == 0), F.concat_ws("-", F.lit("lost"), "conv_id", "turn")).when(user | answer, F.concat_ws("-", "conv_id", "asked")).alias("call_id"),
+        F.when(user, F.when(n % 13 == 0, "guess").otherwise("reply")).alias("call_name"), F.when(user, arguments).alias("call_arguments"),
     )
 
 
 def op8_chat_format(spark, sf_dir: str) -> DataFrame:
     schemas = spark.createDataFrame(SCHEMAS, "tool string, parameter string, type string, required boolean")
     out = format_chats(conversations_as_calls(table(spark, sf_dir, "conversations")), schemas)
-    return out.select("conv_id", "turn", "position", "role", "call_id", "link", "n_errors", "message")
+    return out.select("conv_id", "turn", "position", "role", "call_id", "link", "n_errors", F.array_join("errors", "; ").alias("faults"), "message")
 
 
 OP8_SQL = r"""
-WITH seen AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
+WITH seen AS (SELECT conv_id, turn AS own, conv_id + turn AS n, role, coalesce(text, '') AS text, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS)
   OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked FROM conversations),
-told AS (SELECT conv_id, turn, text, role = 'user' AS is_call, role = 'assistant' AND asked IS NOT NULL AS is_result,
+told AS (SELECT conv_id, own, n, text, role = 'user' AS is_call, role = 'assistant' AND asked IS NOT NULL AS is_result,
+  CASE WHEN role = 'user' AND n % 7 = 0 THEN 2 * own + 3 ELSE 2 * own END AS turn,
   CASE WHEN role = 'assistant' AND asked IS NOT NULL THEN 'tool' ELSE coalesce(role, '') END AS role,
-  CASE WHEN role = 'user' OR (role = 'assistant' AND asked IS NOT NULL) THEN conv_id || '-' || asked END AS call_id FROM seen),
-answered AS (SELECT DISTINCT conv_id, call_id FROM told WHERE is_result)
-SELECT t.conv_id, t.turn, row_number() OVER (PARTITION BY t.conv_id ORDER BY t.turn, t.role, t.call_id NULLS FIRST, t.text) - 1 AS position, t.role, t.call_id,
-  CASE WHEN is_call THEN CASE WHEN a.call_id IS NULL THEN 'open call' ELSE 'call' END WHEN is_result THEN 'result' END AS link,
-  CASE WHEN is_call THEN 0 END AS n_errors,
-  '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(t.role)::VARCHAR
-  || CASE WHEN is_call THEN ',"tool_call":{"arguments":' || to_json('{"chars":' || length(text) || ',"question":' || to_json(text)::VARCHAR || ',"turn":' || t.turn || '}')::VARCHAR
-       || ',"id":' || to_json(t.call_id)::VARCHAR || ',"name":"reply"}' ELSE '' END
-  || CASE WHEN is_result THEN ',"tool_call_id":' || to_json(t.call_id)::VARCHAR ELSE '' END || '}' AS message
-FROM told t LEFT JOIN answered a ON t.is_call AND a.conv_id = t.conv_id AND a.call_id = t.call_id
+  CASE WHEN role = 'assistant' AND asked IS NOT NULL AND n % 11 = 0 THEN 'lost-' || conv_id || '-' || own
+       WHEN role = 'user' OR (role = 'assistant' AND asked IS NOT NULL) THEN conv_id || '-' || asked END AS call_id FROM seen),
+ends AS (SELECT conv_id, call_id, min(turn) FILTER (is_call) AS call_turn, min(turn) FILTER (is_result) AS result_turn FROM told WHERE call_id IS NOT NULL GROUP BY ALL),
+linked AS (SELECT t.*, call_turn, result_turn, is_result AND coalesce(call_turn > turn, false) AS late FROM told t LEFT JOIN ends e USING (conv_id, call_id)),
+judged AS (SELECT *, CASE WHEN NOT is_call THEN [] WHEN n % 17 = 0 THEN ['arguments: not an object'] WHEN n % 13 = 0 THEN ['name: unknown tool'] ELSE list_sort(list_filter([
+  CASE WHEN n % 29 = 0 THEN 'question: missing' END, CASE WHEN n % 19 = 0 THEN 'turn: string for integer' END, CASE WHEN n % 23 = 0 THEN 'mood: unknown' END], lambda x: x IS NOT NULL)) END AS errors,
+  CASE WHEN n % 17 = 0 THEN '{"tur' ELSE '{"chars":' || length(text) || CASE WHEN n % 23 = 0 THEN ',"mood":"calm"' ELSE '' END || CASE WHEN n % 29 = 0 THEN '' ELSE ',"question":' || to_json(text)::VARCHAR END
+    || ',"turn":' || CASE WHEN n % 19 = 0 THEN '"' || own || '"' ELSE own::VARCHAR END || '}' END AS arguments FROM linked)
+SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN late THEN call_turn ELSE turn END, late, turn, role, call_id NULLS FIRST, text) - 1 AS position, role, call_id,
+  CASE WHEN is_call THEN CASE WHEN result_turn IS NULL THEN 'open call' ELSE 'call' END WHEN is_result THEN CASE WHEN call_turn IS NULL THEN 'orphan result' ELSE 'result' END END AS link,
+  CASE WHEN is_call THEN len(errors)::INT END AS n_errors, CASE WHEN is_call AND len(errors) > 0 THEN array_to_string(errors, '; ') END AS faults,
+  '{"content":' || to_json(text)::VARCHAR || ',"role":' || to_json(role)::VARCHAR
+  || CASE WHEN is_call THEN ',"tool_call":{"arguments":' || to_json(arguments)::VARCHAR || ',"id":' || to_json(call_id)::VARCHAR || ',"name":"' || CASE WHEN n % 13 = 0 THEN 'guess' ELSE 'reply' END || '"}' ELSE '' END
+  || CASE WHEN is_result THEN ',"tool_call_id":' || to_json(call_id)::VARCHAR ELSE '' END || '}' AS message
+FROM judged
 """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -97,3 +98,23 @@ def ascii_lower(col):
 def small(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has at most ``rows`` rows; reads no more than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: A key with more than this share of all rows is hot; there are fewer such keys than its inverse.
+HOT_SHARE = 1 / 1000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """Left outer join of ``left`` to ``right``, which holds a combination of keys once; ``keys`` maps left columns to right ones.
+
+    The rows of ``right`` for hot keys, at most 1 / HOT_SHARE, are broadcast; the others are joined by shuffle.
+    """
+    names, theirs = list(keys), list(keys.values())
+    counts = left.groupBy(*names).agg(F.count("*").alias("_n"))
+    total = F.broadcast(counts.agg(F.sum("_n").alias("_total")))
+    hot = counts.join(total, F.col("_n") > F.col("_total") * HOT_SHARE).select(*[F.col(a).alias(f"_hot_{a}") for a in names])
+    same = lambda other: reduce(lambda x, y: x & y, [F.col(a) == F.col(b) for a, b in zip(names, other, strict=True)])
+    is_hot = same([f"_hot_{a}" for a in names])
+    theirs_hot = reduce(lambda x, y: x & y, [F.col(b) == F.col(f"_hot_{a}") for a, b in keys.items()])
+    often = left.join(F.broadcast(hot), is_hot, "left_semi").join(F.broadcast(right.join(F.broadcast(hot), theirs_hot, "left_semi")), same(theirs), "left")
+    return often.unionByName(left.join(F.broadcast(hot), is_hot, "left_anti").join(right, same(theirs), "left"))

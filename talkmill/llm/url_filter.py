@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import ascii_lower, small, table
+from talkmill.llm.common import ascii_lower, join_skewed, small, table
 
 #: Rules up to this many rows are broadcast; more are joined by shuffle.
 BROADCAST_RULES = 100_000
+#: Pairs of label count and path length up to which broadcast rules are joined in place, one pair after another.
+PLACES = 48
 HASH_PREFIX_HEX = 8
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -39,7 +41,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     judged alike; with no rules or no pages the result keeps its columns.
 
     Only label counts and path lengths that some rule has are expanded, so the number of expressions
-    of a url doesn't depend on its length. Urls that agree in all that rules can see are judged once.
+    of a url doesn't depend on its length. Rules of few shapes that can be broadcast are joined in place,
+    without a shuffle. Otherwise urls that agree in all that rules can see are judged once, and the
+    verdicts of the most frequent ones come back by a broadcast, those of the others by a shuffle.
     """
     rules = rules.select(
         ascii_lower(F.col("host")).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
@@ -57,6 +61,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
 
     host, path = host_and_path(F.col(url))
     parsed = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
+    rule = F.concat("r_host", "r_path")
+    worth = F.struct(F.length(rule).alias("n"), F.length("r_host").alias("m"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))
+    is_small = small(rules, BROADCAST_RULES)
+    if is_small and len(labels) * len(lengths) <= PLACES:
+        return _judged_in_place(parsed, rules.withColumn("worth", worth), labels, lengths).withColumn("verdict", F.coalesce("verdict", F.lit(default)))
     tail = F.substring_index("host", ".", -labels[-1])
     parsed = parsed.withColumns({"_tail": tail, "_head": F.substring("path", 1, lengths[-1])})
     parts = F.split("_tail", "\\.")
@@ -70,19 +79,36 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .withColumn("asked", _digest(F.col("s"), F.col("p")))
         .withColumn("short", F.substring("asked", 1, HASH_PREFIX_HEX))
     )
-    near = F.broadcast(rules) if small(rules, BROADCAST_RULES) else rules
-    rule = F.concat("r_host", "r_path")
+    near = F.broadcast(rules) if is_small else rules
     found = (
         asked.join(near, "short")
         .filter((F.col("asked") == F.col("digest")) & (F.col("s") == F.col("r_host")) & (F.col("p") == F.col("r_path")))
         .groupBy("_tail", "_head")
-        .agg(F.max(F.struct(F.length(rule).alias("n"), F.length("r_host").alias("m"), rule.alias("rule"), F.col("r_verdict").alias("verdict"))).alias("best"))
+        .agg(F.max(worth).alias("best"))
         .select(F.col("_tail").alias("_t"), F.col("_head").alias("_h"), "best.rule", "best.verdict")
     )
-    joined = parsed.join(found, (F.col("_tail") == F.col("_t")) & (F.col("_head") == F.col("_h")), "left")
+    joined = join_skewed(parsed, found, {"_tail": "_t", "_head": "_h"})
     return joined.withColumn("verdict", F.coalesce("verdict", F.lit(default))).drop("_tail", "_head", "_t", "_h")
 
 
+def _judged_in_place(parsed: DataFrame, rules: DataFrame, labels: list[int], lengths: list[int]) -> DataFrame:
+    """One broadcast join for each label count and path length; a rule's host and path are unique, so no join multiplies rows."""
+    best = []
+    for i, (n, size) in enumerate((n, size) for n in labels for size in lengths):
+        parts = F.split("host", "\\.")
+        suffix = F.when(F.size(parts) >= n, F.substring_index("host", ".", -n))
+        prefix = F.when(F.length("path") >= size, F.substring("path", 1, size))
+        own = rules.filter((F.size(F.split("r_host", "\\.")) == n) & (F.length("r_path") == size))
+        own = own.select(*[F.col(c).alias(f"_{c}{i}") for c in ("short", "digest", "r_host", "r_path", "worth")])
+        asked = parsed.withColumns({"_s": suffix, "_p": prefix, "_asked": _digest(suffix, prefix)}).withColumn("_first", F.substring("_asked", 1, HASH_PREFIX_HEX))
+        same = (F.col("_asked") == F.col(f"_digest{i}")) & (F.col("_s") == F.col(f"_r_host{i}")) & (F.col("_p") == F.col(f"_r_path{i}"))
+        joined = asked.join(F.broadcast(own), (F.col("_first") == F.col(f"_short{i}")) & same, "left")
+        parsed = joined.drop("_s", "_p", "_asked", "_first", *[f"_{c}{i}" for c in ("short", "digest", "r_host", "r_path")])
+        best.append(f"_worth{i}")
+    worth = F.array_max(F.array(*best))
+    return parsed.withColumns({"rule": worth["rule"], "verdict": worth["verdict"]}).drop(*best)
+
+
 def op1_url_filter(spark, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
