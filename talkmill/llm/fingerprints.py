@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import SPACES, durable, table
+from talkmill.llm.common import SPACES, durable, join_skewed, table
 
 BITS = 64
 LANES = 0x0000000100000001
 #: Rows that share a bucket are ordered by one task; about this many rows make a bucket.
 ROWS_PER_BUCKET = 512
 MAX_WEIGHT = 16
+#: Ranges of equal numbers of rows, in COARSE groups, that ids are cut into before each range is cut evenly.
+RANGES, COARSE = 1024, 32
 
 
 def simhash(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -79,16 +82,31 @@ def within_radius(fingerprints: DataFrame, fp: str = "fp", radius: int = 3, bloc
     )
 
 
-def numbered(docs: DataFrame, order: str, tie: str) -> DataFrame:
-    """``docs`` with _bucket, increasing in ``order``: about ROWS_PER_BUCKET rows each if ids are spread evenly.
+def numbered(docs: DataFrame, order: str) -> DataFrame:
+    """``docs`` with _bucket, not decreasing in ``order`` (integers); null ids come last.
 
-    Null ids come last. Uneven ids make uneven buckets, whose sort spills to disk.
+    Quantiles cut the ids into at most RANGES ranges of about as many rows, so one outlier, or any run of them, fills no
+    more than a range; each range is cut evenly into parts of about ROWS_PER_BUCKET rows. Distances are
+    doubles, which can't overflow; rounding never turns the order round. Rows of one id share a bucket.
     """
-    span = docs.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.count("*").alias("n")).first()
-    lo, hi = span.lo or 0, span.hi or 0
-    width = max(1, (hi - lo + 1) * ROWS_PER_BUCKET // max(1, span.n))
-    top = (hi - lo) // width + 1
-    return docs.withColumn("_bucket", F.coalesce(F.floor((F.col(order) - lo) / F.lit(width)).cast("long"), F.lit(top)))
+    n = docs.count()
+    ranges = min(RANGES, max(2, n // ROWS_PER_BUCKET))
+    known = docs.agg(F.min(order).alias("lo"), F.max(order).alias("hi"), F.percentile_approx(order, [i / ranges for i in range(1, ranges)]).alias("cuts")).first()
+    cuts = sorted(set(known.cuts or []))
+    edges = [known.lo or 0, *cuts, known.hi or 0]
+    parts = max(1, n // (ranges * ROWS_PER_BUCKET))
+    step = -(-max(1, len(cuts)) // COARSE)
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    literal = lambda xs: F.lit(list(xs)).cast("array<bigint>") if xs else F.array().cast("array<bigint>")
+    below = lambda xs, x: F.size(F.filter(xs, lambda c: c <= x))
+    x = F.col(order).cast("long")
+    group = below(literal([g[0] for g in groups]), x)
+    fine = F.array(literal([]), *[literal(g) for g in groups])
+    place = F.greatest(group - 1, F.lit(0)) * step + F.when(group > 0, below(F.element_at(fine, group + 1), x)).otherwise(0)
+    low, high = F.element_at(literal(edges[:-1]), F.col("_range") + 1).cast("double"), F.element_at(literal(edges[1:]), F.col("_range") + 1).cast("double")
+    part = F.least(F.lit(parts - 1), F.floor((x.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * parts))
+    bucket = F.shiftleft(F.col("_range").cast("long"), 32) + F.greatest(part, F.lit(0)).cast("long")
+    return docs.withColumn("_range", place.cast("int")).withColumn("_bucket", F.when(F.col(order).isNull(), F.lit(1 << 60)).otherwise(bucket)).drop("_range")
 
 
 def following(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
@@ -114,17 +132,25 @@ def following(rows: DataFrame, order: list[str], value: str, out: str) -> DataFr
     return inside.unionByName(borders)
 
 
-def fingerprint_documents(docs: DataFrame, radius: int = 3, blocks: int = 5) -> DataFrame:
+def blocks_for(rows: int, radius: int) -> int:
+    """Blocks for which the bits that lead a table are a few more than the bits that number the rows, so that buckets stay small."""
+    blocks = radius + 2
+    while blocks < 10 and BITS * (blocks - radius) // blocks < math.log2(max(2, rows)) + 4:
+        blocks += 1
+    return blocks
+
+
+def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_close.
 
     ``docs`` needs doc_id and text; other columns are not read. A null text is an empty one. The
     edited text has its last floor(n / 4) code points replaced by the first as many of the next
     document's (by doc_id, null last, ties by text; after the last the first). Without words a
-    fingerprint is 0. ``n_close`` counts the other fingerprints of the table within ``radius`` bits.
+    fingerprint is 0. Ids may be any longs, sparse or extreme. ``n_close`` counts the other fingerprints of the table within ``radius`` bits.
     Repeated rows stay repeated; an empty table gives an empty result.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pairs = following(numbered(rows, "doc_id", "text"), ["doc_id", "text"], "text", "after")
+    pairs = following(numbered(rows, "doc_id"), ["doc_id", "text"], "text", "after")
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(after, 1, cast(floor(length(text) / 4) as int))"))
     both = pairs.select("_bucket", "_rn", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
@@ -136,10 +162,10 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3, blocks: int = 5) ->
     zero = F.lit(0).cast("long")
     known = durable(facts.join(prints, ["_bucket", "_rn"], "left").fillna(0, ["fp", "edited_fp"]), "fingerprints")
     known = following(known.withColumnRenamed("_rn", "_place"), ["_place"], "fp", "next_fp").drop("_rn")
-    near = within_radius(known, "fp", radius, blocks)
+    near = within_radius(known, "fp", radius, blocks_for(known.count(), radius))
     ends = near.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_close"))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return known.join(ends, "fp", "left").select(
+    return join_skewed(known, ends.withColumnRenamed("fp", "close_fp"), {"fp": "close_fp"}).select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         F.coalesce("n_close", zero).alias("n_close"),

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import durable, free_caches, table
+from talkmill.llm.common import durable, free_caches, join_skewed, table
 from talkmill.llm.components import connected_components
 from talkmill.llm.hashing import in_slices, mix, shingle_sets
 
@@ -17,9 +17,9 @@ SHINGLE = 5
 #: Symbols (of 8 bits) of a chunk, and how many of them may differ.
 CHUNK, ERRORS = 8, 1
 #: Chance that a pair at the threshold shares no chunk within the allowed errors.
-MISS = 1e-6
+MISS = 1e-12
 #: Reps whose keys fill one bucket task.
-REPS_PER_BUCKET = 10_000
+REPS_PER_BUCKET = 5_000
 #: Shingles that one verifying task holds.
 SHINGLES_PER_UNIT = 2_000_000
 
@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. Rows
     with equal sets are one class, its smallest doc_id stands for it. Signatures name candidates: a
-    linked pair at the threshold is missed with a chance of MISS. Every candidate group is then compared
+    linked pair at the threshold is missed with a chance of MISS, nearer ones with a smaller one. Every candidate group is then compared
     in full: small ones many to a task, large ones in pairs of blocks, each task giving no more than a
     spanning forest. Null or empty texts have no shingles and are linked with nothing. Rows with the
     same doc_id are the same document. Rows with a null doc_id are returned with a null component_id
@@ -225,12 +225,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
 
     links = joined.groupBy("cut", "unit").applyInArrow(verify, "a long, b long")
     found = connected_components(links)
-    labels = classes.join(found, F.col("rep") == F.col("id"), "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component_id"))
-    labelled = known.join(labels, ["set_a", "set_b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return labelled.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    labels = classes.join(found, F.col("rep") == F.col("id"), "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("component", "rep").alias("component_id"))
+    is_text = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    labelled = join_skewed(known.filter(is_text).select("doc_id", "n_shingles", "set_a", "set_b"), labels, {"set_a": "a", "set_b": "b"})
+    alone = known.filter(~is_text).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = labelled.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE words AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM words),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared s JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * s.n >= 85 * (x.n + y.n - s.n)),
+edges AS MATERIALIZED (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT DISTINCT a AS id, a AS other FROM edges UNION SELECT r.id, e.b FROM reach r JOIN edges e ON e.a = r.other),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT d.doc_id, coalesce(x.n, 0) AS n_shingles, coalesce(l.component_id, d.doc_id) AS component_id, coalesce(d.doc_id = coalesce(l.component_id, d.doc_id), true) AS kept
+FROM documents d LEFT JOIN sizes x ON x.doc_id = d.doc_id LEFT JOIN least l ON l.id = d.doc_id
+"""
 
 
 def op10_near_duplicates(spark, sf_dir: str) -> DataFrame:

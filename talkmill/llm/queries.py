@@ -17,4 +17,9 @@ QUERIES = {
     "op10_near_duplicates": near_dups.op10_near_duplicates,
 }
 
-ORACLES = {"op1_url_filter": url_filter.OP1_SQL, "op8_chat_format": chat_format.OP8_SQL}
+ORACLES = {
+    "op1_url_filter": url_filter.OP1_SQL,
+    "op5_repeats": repeats.OP5_SQL,
+    "op8_chat_format": chat_format.OP8_SQL,
+    "op10_near_duplicates": near_dups.OP10_SQL,
+}

@@ -301,3 +301,20 @@ def op5_repeats(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+OP5_SQL = """
+WITH bytes AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+parts AS (SELECT k, pos, substr(h, 1 + 2 * pos, 2 * (1024 + 199)) AS p FROM (SELECT k, h, unnest(range(0, greatest(0, len(h) // 2 - 199), 1024)) AS pos FROM bytes)),
+strings AS (SELECT k, pos + i AS start, substr(p, 1 + 2 * i, 400) AS s FROM (SELECT k, pos, p, unnest(range(0, least(1024, len(p) // 2 - 199))) AS i FROM parts)),
+twice AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT k, start FROM strings JOIN twice USING (s)),
+marked AS (SELECT k, start, CASE WHEN start - lag(start) OVER (PARTITION BY k ORDER BY start) <= 200 THEN 0 ELSE 1 END AS new FROM starts),
+runs AS (SELECT k, start, sum(new) OVER (PARTITION BY k ORDER BY start) AS run FROM marked),
+spans AS (SELECT k, run, min(start) AS a, max(start) + 200 AS b FROM runs GROUP BY ALL),
+gaps AS (SELECT k, coalesce(lag(b) OVER (PARTITION BY k ORDER BY a), 0) AS x, a AS y FROM spans UNION ALL SELECT k, max(b), NULL FROM spans GROUP BY k),
+kept AS (SELECT g.k, string_agg(CASE WHEN y IS NULL THEN substr(h, 1 + 2 * x) ELSE substr(h, 1 + 2 * x, 2 * (y - x)) END, '' ORDER BY x) AS h FROM gaps g JOIN bytes b ON b.k = g.k GROUP BY g.k),
+counted AS (SELECT k, count(*) AS n, sum(b - a)::BIGINT AS removed FROM spans GROUP BY k)
+SELECT doc_id, len(b.h) // 2 AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(n, 0) AS n_spans, sha256(unhex(coalesce(kept.h, b.h))) AS kept_sha256
+FROM bytes b LEFT JOIN counted USING (k) LEFT JOIN kept USING (k)
+"""
