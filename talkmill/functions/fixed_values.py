@@ -1,19 +1,28 @@
 """Word lists, patterns and limits that results depend on."""
 
-# Extensions that make a relative name a file mention.
-FILE_EXTENSIONS = (
-    "ts tsx js jsx mjs cjs py java go rs sql md json ya?ml toml xml css scss html vue cs sh ps1 c cpp h hpp proto gradle kt rb php"
-)
+# What a file mention looks like, and what looks like one but is none.
+PATH = r"(?:[A-Za-z]:)?(?:[\\/][\w.\-]+){1,6}|[\w.\-]+(?:[\\/][\w.\-]+)*\.(?:ts|tsx|js|jsx|mjs|cjs|py|java|go|rs|sql|md|json|ya?ml|toml|xml|css|scss|html|vue|cs|sh|ps1|c|cpp|h|hpp|proto|gradle|kt|rb|php)(?![A-Za-z0-9_])"
+PATH_NOISE = r"^(?:v\d+\.\d+.*|\d+\.\d+.*|node_modules.*)$"
 
 # Words that are never topics.
 STOPWORDS = (
-    "我们 你们 他们 这个 那个 什么 怎么 为什么 可以 应该 就是 "
-    "还是 然后 以及 但是 如果 因为 所以 现在 已经 可能 需要 "
-    "使用 进行 讨论 一下 一个 一些 或者 这些 那些 自己 里面 "
-    "上面 下面 直接 基本 时候 地方 东西 问题 方案 看看 出来 "
-    "the a an is are to for of and or in on with "
-    "this that you i we it be as at by from not will"
-)
+    "我们", "你们", "他们", "这个", "那个", "什么", "怎么", "为什么", "可以", "应该", "就是",
+    "还是", "然后", "以及", "但是", "如果", "因为", "所以", "现在", "已经", "可能", "需要",
+    "使用", "进行", "讨论", "一下", "一个", "一些", "或者", "这些", "那些", "自己", "里面",
+    "上面", "下面", "直接", "基本", "时候", "地方", "东西", "问题", "方案", "看看", "出来",
+    "the", "a", "an", "is", "are", "to", "for", "of", "and", "or", "in", "on", "with",
+    "this", "that", "you", "i", "we", "it", "be", "as", "at", "by", "from", "not", "will",
+)
+
+# Marks of a pause, at which a long decision is cut.
+PAUSES = "，、；,; "
+
+# Signs that a sentence is a fragment and no decision, besides fewer than 6 characters and unpaired brackets.
+FRAGMENTS = (r"[:：|]\s*$", r"\*\*", r"\|.*\|", r'"(?:confirmed|title|session_id)"\s*:', r"\}\s*,\s*\{", r"^[）)】」\"'、，。]")
+OPENING, CLOSING = r"[（(「『【]", r"[）)】」』】]"
+
+# Beginnings and contents of sentences that are no questions.
+NO_QUESTION = (r"^\s*([-*#>）)」]|&&)", r"\|\s*-{2,}", r"\*\*")
 
 # Sentence forms of a decision, in order of precedence.
 DECISION_PATTERNS = (
@@ -26,6 +35,15 @@ DECISION_PATTERNS = (
 QUESTION_HINT = r"(?i)(为什么|怎么|是否|要不要|还是|吗|什么|哪个|哪些|如何|多久|how|what|why|whether|which)"
 OPEN_HINT = r"(还没|尚未|待定|再定|不确定|没定|没有结论|后续|以后再)"
 
+# What programs put into users' texts, taken out in this order.
+SYSTEM_TAGS = (
+    r"<system-reminder>[\s\S]*?</system-reminder>", r"<user_query>", r"</user_query>", r"<environment_context>[\s\S]*?</environment_context>",
+)
+PROMPT_KEY = "icube-ai-agent-storage-input-history"
+COMPACTION_MARK = "[上下文压缩摘要] "
+WORKFLOW_TITLE = r"(?i)^workflow subagent"
+GRACE_MS = 10 * 60_000
+
 # Beginnings of user messages that a program wrote.
 INJECTED = r"^(The TodoWrite tool|<system-reminder|<command-|<local-command|\[Request interrupted)"
 

@@ -57,7 +57,12 @@ def index_terms(text: Column) -> Column:
 def sentences(text: Column) -> Column:
     """Trimmed sentences: soft line breaks are merged, then the text is cut after 。！？!? or a line feed."""
     merged = F.regexp_replace(text, r"([^\n。！？!?])\n(?!\n)", "$1")
-    return F.filter(F.transform(F.split(merged, r"(?<=[。！？!?\n])"), lambda s: F.trim(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))), lambda s: s != "")
+    return F.filter(F.transform(F.split(merged, r"(?<=[。！？!?\n])"), strip), lambda s: s != "")
+
+
+def strip(text: Column) -> Column:
+    """White space of any kind off both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def collapse(text: Column) -> Column:

@@ -14,22 +14,15 @@ from pyspark.sql import functions as F
 from talkmill.functions import fixed_values as fixed
 from talkmill.functions.text import collapse, segment, sentences
 
-PATH = (
-    r"(?:[A-Za-z]:)?(?:[\\/][\w.\-]+){1,6}|[\w.\-]+(?:[\\/][\w.\-]+)*\.(?:" + "|".join(fixed.FILE_EXTENSIONS.split()) + r")(?![A-Za-z0-9_])"
-)
-NOISE = r"^(?:v\d+\.\d+.*|\d+\.\d+.*|node_modules.*)$"
-PAUSES = "，、；,; "
-
-
 def _first(n: int, keys: list[str], *order) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) <= n
 
 
 def files(messages: DataFrame) -> DataFrame:
     """(session_id, file, place): the first MAX_FILES distinct paths of a session, in order of mention."""
-    found = messages.select("session_id", "seq_num", F.posexplode(F.regexp_extract_all("content", F.lit(PATH), F.lit(0))).alias("i", "raw"))
+    found = messages.select("session_id", "seq_num", F.posexplode(F.regexp_extract_all("content", F.lit(fixed.PATH), F.lit(0))).alias("i", "raw"))
     clean = F.regexp_replace(F.regexp_replace("raw", r"\\", "/"), "/+$", "")
-    named = found.withColumn("file", clean).filter(F.length("file").between(4, 160) & ~F.col("file").rlike(NOISE))
+    named = found.withColumn("file", clean).filter(F.length("file").between(4, 160) & ~F.col("file").rlike(fixed.PATH_NOISE))
     once = named.groupBy("session_id", "file").agg(F.min(F.struct("seq_num", "i")).alias("at"))
     placed = once.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("at", "file")))
     return placed.filter(F.col("place") <= fixed.MAX_FILES).select("session_id", "file", "place")
@@ -38,7 +31,7 @@ def files(messages: DataFrame) -> DataFrame:
 def topics(messages: DataFrame) -> DataFrame:
     """(session_id, topic, weight, place): the MAX_TOPICS heaviest tokens; a user's count twice; ties to the first seen."""
     tokens = messages.select("session_id", "role", "seq_num", F.posexplode(segment(F.col("content"), keep_singles=False)).alias("i", "topic"))
-    good = tokens.filter((F.length("topic") >= 2) & ~F.col("topic").rlike(r"^\d+$") & ~F.col("topic").isin(*fixed.STOPWORDS.split()))
+    good = tokens.filter((F.length("topic") >= 2) & ~F.col("topic").rlike(r"^\d+$") & ~F.col("topic").isin(*fixed.STOPWORDS))
     counted = good.groupBy("session_id", "topic").agg(
         F.sum(F.when(F.col("role") == "user", 2).otherwise(1)).alias("weight"), F.min(F.struct("seq_num", "i")).alias("at")
     )
@@ -49,10 +42,7 @@ def topics(messages: DataFrame) -> DataFrame:
 def _plausible(t: Column) -> Column:
     """Not a fragment: long enough, no half sentence, table row, bold mark, embedded JSON or unpaired bracket."""
     count = lambda p: F.regexp_count(t, F.lit(p))
-    bad = [
-        F.length(t) < 6, t.rlike(r"[:：|]\s*$"), t.contains("**"), count(r"\|") >= 2, t.rlike(r'"(?:confirmed|title|session_id)"\s*:'),
-        t.rlike(r"\}\s*,\s*\{"), t.rlike(r"^[）)】」\"'、，。]"), count(r"[（(「『【]") != count(r"[）)】」』】]"),
-    ]
+    bad = [F.length(t) < 6, count(fixed.OPENING) != count(fixed.CLOSING), *[t.rlike(p) for p in fixed.FRAGMENTS]]
     return ~reduce(lambda a, b: a | b, bad)
 
 
@@ -66,7 +56,7 @@ def _shortened(text: Column) -> Column:
 
     def cut(t: Column) -> Column:
         back = F.reverse(F.substring(t, 1, 90))
-        last = F.greatest(*[F.when(F.instr(back, p) > 0, F.lit(91) - F.instr(back, p)).otherwise(0) for p in PAUSES])
+        last = F.greatest(*[F.when(F.instr(back, p) > 0, F.lit(91) - F.instr(back, p)).otherwise(0) for p in fixed.PAUSES])
         return _let(last, lambda k: F.when(F.length(t) <= 90, t).when(k > 41, F.substring(t, F.lit(1), k - 1)).otherwise(F.substring(t, 1, 90)))
 
     return F.trim(F.regexp_replace(_let(text, cut), "[）)】」\"'、，]+$", ""))
@@ -98,7 +88,7 @@ def questions(messages: DataFrame) -> DataFrame:
     rows = _sentence_rows(seen.filter("role = 'user'"), "created_at", "_idx", "_n")
     s = F.col("sentence")
     fine = s.rlike("[？?]") & (F.length(s) >= 8) & s.rlike(fixed.QUESTION_HINT)
-    fragment = s.rlike(r"^\s*([-*#>）)」]|&&)") | s.rlike(r"\|\s*-{2,}") | s.contains("**")
+    fragment = reduce(lambda a, b: a | b, [s.rlike(p) for p in fixed.NO_QUESTION])
     asked = rows.filter(fine & ~fragment).withColumns(
         {
             "unresolved": (F.col("_idx") >= F.floor(F.col("_n") * 0.7)) | s.rlike(fixed.OPEN_HINT),

@@ -309,7 +309,7 @@ def signature_by_model(spark, d):
 
 @query("topics_topk", rf"""{MEMORY_SQL}, w AS (SELECT session_id, role, seq_num, generate_subscripts(t, 1) AS i, unnest(t) AS topic FROM (SELECT *, regexp_extract_all(lower(content), '[a-z0-9_][a-z0-9_./\-]*') AS t FROM messages)),
 g AS (SELECT session_id, topic, sum(CASE WHEN role = 'user' THEN 2 ELSE 1 END)::BIGINT AS weight, min((seq_num, i)) AS seen FROM w WHERE length(topic) >= 2 AND NOT regexp_full_match(topic, '\d+')
-  AND topic NOT IN ({", ".join(repr(s) for s in extract.fixed.STOPWORDS.split())}) GROUP BY ALL),
+  AND topic NOT IN ({", ".join(repr(s) for s in extract.fixed.STOPWORDS)}) GROUP BY ALL),
 p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY weight DESC, seen, topic) AS place FROM g) SELECT session_id, topic, weight, place::INT AS place FROM p WHERE place <= 8""")
 def topics_topk(spark, d):
     return extract.topics(memory.messages(spark, d))
