@@ -49,9 +49,34 @@ def segment(text: Column, keep_singles: bool = True) -> Column:
     return F.filter(F.flatten(F.transform(_runs(text), cut)), lambda t: t != "")
 
 
+def _plain(text: Column) -> Column:
+    """Lower case, full-width to ASCII only in texts that hold any: what the index sees."""
+    text = F.coalesce(text, F.lit(""))
+    return F.lower(F.when(text.rlike("[\\x{FF01}-\\x{FF5E}]"), F.translate(text, FULL_WIDTH, HALF_WIDTH)).otherwise(text))
+
+
+TERM = rf"{CJK}|[a-z0-9]+"
+
+
 def index_terms(text: Column) -> Column:
     """Second stage, for the index: tokens split at what is neither letter nor digit. ``a/b_c.ts`` is a b c ts."""
-    return F.regexp_extract_all(normalize(text), F.lit(rf"{CJK}|[a-z0-9]+"), F.lit(0))
+    return F.regexp_extract_all(_plain(text), F.lit(TERM), F.lit(0))
+
+
+def unit_pattern(unit: list[str]) -> str:
+    """Matches the first of the unit's terms where the others follow it side by side, so that overlapping ones count too."""
+    word = lambda t: t.isascii()
+    piece = lambda t: rf"(?<![a-z0-9]){t}(?![a-z0-9])" if word(t) else t
+    gap = rf"(?:(?!{CJK})[^a-z0-9])*"
+    rest = "".join(gap + piece(t) for t in unit[1:])
+    return piece(unit[0]) + (f"(?={rest})" if rest else "")
+
+
+def term_counts(text: Column, units: list[list[str]]) -> Column:
+    """struct(_len, _tf0, _tf1, ...): terms of a text, and how often each unit's terms stand side by side."""
+    plain = _plain(text)
+    counts = [F.regexp_count(plain, F.lit(unit_pattern(u))).alias(f"_tf{i}") for i, u in enumerate(units)]
+    return F.struct(F.regexp_count(plain, F.lit(TERM)).alias("_len"), *counts)
 
 
 def sentences(text: Column) -> Column:

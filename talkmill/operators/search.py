@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.fixed_values import BM25_B, BM25_K1, META_WEIGHT
-from talkmill.functions.text import excerpt, index_terms
+from talkmill.functions.text import excerpt, index_terms, segment, term_counts
 
 HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 RUN = re.compile(r"[㐀-䶿一-鿿豈-﫿]+|[a-z0-9_][a-z0-9_./\-]*")
@@ -31,20 +33,6 @@ def parse_query(query: str) -> list[list[str]]:
     return [u for u in [*units, *(TERM.findall(r) for r in longer or runs)] if u]
 
 
-def occurrences(terms: Column, unit: list[str]) -> Column:
-    """How often the unit's terms stand side by side in an array of terms."""
-    if len(unit) == 1:
-        return F.size(F.filter(terms, lambda t: t == unit[0]))
-
-    def count(all_: Column) -> Column:
-        last = F.size(all_) - len(unit) + 1
-        fits = lambda i: reduce(lambda a, b: a & b, [F.element_at(all_, i + k) == t for k, t in enumerate(unit)])
-        return F.when(last > 0, F.size(F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), fits))).otherwise(0)
-
-    # A lambda's variable, so that the terms are computed once and not for every position, wherever the filter is pushed.
-    return F.element_at(F.transform(F.array(terms), count), 1)
-
-
 @dataclass(frozen=True)
 class Corpus:
     """Statistics over the whole table, whatever is searched later: rows, mean length, rows that hold each unit."""
@@ -55,17 +43,17 @@ class Corpus:
 
 
 def counted(docs: DataFrame, text: str, units: list[list[str]]) -> tuple[DataFrame, Corpus]:
-    """``docs`` with _len and _tf0, _tf1, ..., and the statistics, by one aggregate of a single row."""
-    terms = docs.withColumn("_terms", index_terms(F.coalesce(F.col(text), F.lit(""))))
-    with_tf = terms.withColumns({"_len": F.size("_terms"), **{f"_tf{i}": occurrences(F.col("_terms"), u) for i, u in enumerate(units)}}).drop("_terms")
+    """``docs`` with _len and _tf0, _tf1, ..., and the statistics, by one aggregate of a single row.
+
+    The counts come out of a generator of one row, through which no filter is pushed, so each is computed once.
+    """
+    with_tf = docs.select("*", F.inline(F.array(term_counts(F.col(text), units))))
     row = with_tf.agg(F.count("*"), F.avg("_len"), *[F.count(F.when(F.col(f"_tf{i}") > 0, 1)) for i in range(len(units))]).first()
     return with_tf, Corpus(row[0], row[1] or 1.0, tuple(row[2:]))
 
 
 def bm25(tf: Column, length: Column, corpus: Corpus, holding: int) -> Column:
     """Null where the unit doesn't occur. The inverse document frequency is 1e-6 where it would be 0 or less."""
-    import math
-
     idf = math.log((corpus.rows - holding + 0.5) / (holding + 0.5))
     idf = idf if idf > 0 else 1e-6
     weight = tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * length / F.lit(corpus.mean or 1.0)))
@@ -95,7 +83,7 @@ def session_hits(messages: DataFrame, sessions: DataFrame, query: str, where: Co
     best = lambda i: F.max(F.struct(F.col(f"_s{i}").alias("s"), (-F.col("seq_num")).alias("m"), F.col("content").alias("text")))
     per = kept.groupBy("session_id").agg(
         *[F.max(f"_s{i}").alias(f"u{i}") for i in range(len(units))], *[best(i).alias(f"b{i}") for i in range(len(units))]
-    )
+    ).persist(StorageLevel.DISK_ONLY)
     hit = [F.col(f"u{i}").isNotNull() for i in range(len(units))]
     totals = per.agg(*[F.count(f"u{i}") for i in range(len(units))]).first()
     first = next((i for i, n in enumerate(totals) if n), 0)
@@ -112,7 +100,7 @@ def session_hits(messages: DataFrame, sessions: DataFrame, query: str, where: Co
 
 def body_and_meta_hits(messages: DataFrame, sessions: DataFrame, query: str, where: Column | None = None) -> tuple[DataFrame, bool]:
     """((session_id, score, coverage, seq, snippet, via) of all hits, without limit or order; whether some session covers all units)."""
-    hits = session_hits(messages, sessions, query, where)
+    hits = session_hits(messages, sessions, query, where).persist(StorageLevel.DISK_ONLY)
     every = hits.agg(F.max(F.col("required").cast("int"))).first()[0] == 1
     body = hits.filter("required") if every else hits
     body = body.select("session_id", "score", "coverage", F.col("seq").cast("long").alias("seq"), "snippet", F.lit("body").alias("via"))
@@ -154,15 +142,36 @@ def search_sessions(
     order = ["score", "coverage"] if every else ["coverage", "score"]
     keys = [F.col("_late"), *[F.when(F.col("_late") == 1, F.col("score")).otherwise(F.col(c)).desc() for c in order], F.col("session_id")]
     top = found.orderBy(*keys).limit(limit)
-    from pyspark.sql import Window
-
     # At most ``limit`` rows are numbered.
     return top.withColumn("position", F.row_number().over(Window.orderBy(*keys))).drop("_late")
 
 
+def meta_text(title: Column, topics: Column, decisions: Column | None = None, tags: Column | None = None, summary: Column | None = None) -> Column:
+    """What a session's metadata is searched by: tokens of title, topics, each decision's first 30 characters, tags and summary."""
+    none = F.array().cast("array<string>")
+    texts = [F.array(F.coalesce(title, F.lit(""))), F.coalesce(topics, none)]
+    if decisions is not None:
+        texts.append(F.coalesce(F.transform(decisions, lambda x: F.substring(x["text"], 1, 30)), none))
+    texts += [F.coalesce(tags, none)] if tags is not None else []
+    texts += [F.array(summary)] if summary is not None else []
+    return F.array_join(segment(F.array_join(F.concat(*texts), " ")), " ")
+
+
+def with_briefs(hits: DataFrame, sessions: DataFrame) -> DataFrame:
+    """``hits`` with title, source, created_at and state of their sessions, by one join; unknown sessions keep their hit."""
+    brief = sessions.select("session_id", "title", "source", "created_at", "state")
+    return hits.withColumn("score", F.round("score", 3)).join(brief, "session_id", "left")
+
+
+def hint(sessions: DataFrame, call: Column | None, hits: int, enough: int = 3) -> DataFrame:
+    """(hits, matching, more): whether a call with few hits has matching sessions that the scope keeps out. ``enough`` hits need no hint."""
+    matching = sessions.filter(call if call is not None else F.lit(True)).agg(F.count("*").alias("matching"))
+    return matching.select(F.lit(hits).cast("long").alias("hits"), "matching", ((F.lit(hits) < enough) & (F.col("matching") > hits)).alias("more"))
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(term, key, position from 0): the inverted index, for tables that are searched again and again."""
-    return docs.select(F.col(key), F.posexplode(index_terms(F.coalesce(F.col(text), F.lit("")))).alias("position", "term")).select("term", key, "position")
+    return docs.select(F.col(key), F.posexplode(index_terms(F.col(text))).alias("position", "term")).select("term", key, "position")
 
 
 def phrase_in_postings(index: DataFrame, key: str, unit: list[str]) -> DataFrame:

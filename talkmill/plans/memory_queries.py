@@ -1 +1,81 @@
-"""Queries of the memory: batches, notes, archives, hand-offs."""
+"""Queries of the kept index and of texts in Han characters, over rows of their own beside the driver's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from talkmill.functions import text as X
+from talkmill.operators import search, text_index
+from talkmill.plans import memory
+from talkmill.plans.memory import MEMORY_SQL
+from talkmill.plans.queries import QUERY, bm25_sql
+from talkmill.plans.registry import query, table
+
+RANKED_SQL = "WITH " + bm25_sql("documents", "doc_id", "text", [["thing"], ["then"]]) + " SELECT doc_id, round(s0 + s1, 6) AS score FROM scored WHERE s0 + s1 IS NOT NULL ORDER BY s0 + s1 DESC, doc_id LIMIT 10"
+
+
+def _kept_index(spark, d):
+    """The documents' index, built from half of them with other texts and some that don't exist, then brought up to date."""
+    docs, n = table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id")
+    before = docs.filter(n % 2 == 0).withColumn("text", F.concat(F.lit("thing then "), F.coalesce("text", F.lit(""))))
+    gone = docs.select((-1 - n).alias("doc_id"), F.lit("thing then thing").alias("text")).filter("doc_id % 5 = 0")
+    index = text_index.build(before.unionByName(gone), "doc_id", "text")
+    return text_index.add(index, docs.unionByName(gone.withColumn("text", F.lit(None).cast("string"))), "doc_id", "text")
+
+
+@query("index_ranked", RANKED_SQL)
+def index_ranked(spark, d):
+    return text_index.rank(_kept_index(spark, d), QUERY).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query("index_statistics", r"""SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents) GROUP BY term""")
+def index_statistics(spark, d):
+    return text_index.statistics(_kept_index(spark, d))
+
+
+#: Conversations' messages with Han words, full-width letters and paths by their numbers.
+HAN = ("数据库迁移到ＰｏｓｔｇｒｅＳＱＬ", "这个表按月分区，分区键是日期", "修改src/db/query.ts里的分页", "数据分析和库存管理", "登录用RS256签名")
+HAN_SQL = MEMORY_SQL + ", han AS (SELECT session_id, seq_num, CASE (conv_id + seq_num) % 5 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(HAN)) + " END AS content FROM messages)"
+
+
+def _han(spark, d):
+    texts = F.array(*[F.lit(t) for t in HAN])
+    return memory.messages(spark, d).withColumn("content", F.element_at(texts, ((F.col("conv_id") + F.col("seq_num")) % 5 + 1).cast("int")))
+
+
+def _han_hits_sql(fits: str) -> str:
+    """How often a phrase of Han characters or path pieces stands in a text, of the five given ones."""
+    return f"{HAN_SQL} SELECT session_id, seq_num, ({fits})::INT AS tf FROM han"
+
+
+@query("han_phrase", _han_hits_sql("contains(content, '数据库')"))
+def han_phrase(spark, d):
+    m, _ = search.counted(_han(spark, d), "content", search.parse_query("数据库"))
+    return m.select("session_id", "seq_num", F.col("_tf0").alias("tf"))
+
+
+@query("han_and_path_units", f"{HAN_SQL} SELECT session_id, seq_num, contains(content, '分区')::INT + contains(content, '分区，分区')::INT AS a, contains(content, 'src/db')::INT AS b, contains(content, 'Ｐｏｓｔ')::INT AS c, CASE WHEN contains(content, 'Ｐｏ') THEN 7 WHEN contains(content, '分区') THEN 13 WHEN contains(content, 'src') THEN 10 WHEN contains(content, '库存') THEN 9 ELSE 6 END AS terms FROM han")
+def han_and_path_units(spark, d):
+    """A word twice in a text, a path's pieces side by side, full-width letters, and the number of terms."""
+    m, _ = search.counted(_han(spark, d), "content", search.parse_query("分区 src/db ＰｏｓｔｇｒｅＳＱＬ"))
+    return m.select("session_id", "seq_num", F.col("_tf0").alias("a"), F.col("_tf1").alias("b"), F.col("_tf2").alias("c"), F.col("_len").alias("terms"))
+
+
+@query("han_segments", f"""{HAN_SQL} SELECT session_id, seq_num, CASE WHEN contains(content, 'Ｐｏ') THEN '数据 据库 库迁 迁移 移到 postgresql' WHEN contains(content, '分区') THEN '这个 个表 表按 按月 月分 分区 分区 区键 键是 是日 日期'
+ WHEN contains(content, 'src') THEN '修改 src/db/query.ts 里的 的分 分页' WHEN contains(content, '库存') THEN '数据 据分 分析 析和 和库 库存 存管 管理' ELSE '登录 录用 rs256 签名' END AS tokens FROM han""")
+def han_segments(spark, d):
+    return _han(spark, d).select("session_id", "seq_num", F.array_join(X.segment(F.col("content"), keep_singles=False), " ").alias("tokens"))
+
+
+@query("normalized", f"""{MEMORY_SQL} SELECT session_id, CASE conv_id % 2 WHEN 0 THEN 'café abc x' ELSE 'cafe abc x' END AS t FROM sessions""")
+def normalized(spark, d):
+    """Composed characters, full-width letters and spaces, runs of white space, upper case."""
+    text = F.when(F.col("conv_id") % 2 == 0, F.lit("Café　ＡＢｃ \t\nX")).otherwise(F.lit("CAFE  ＡＢｃ　x"))
+    return memory.sessions(spark, d).select("session_id", X.normalize(text, compose=True).alias("t"))
+
+
+@query("meta_texts", f"{MEMORY_SQL} SELECT session_id, array_to_string(regexp_extract_all(lower(concat_ws(' ', coalesce(title, ''), array_to_string(list_sort(topics), ' '), 'use a/b.ts ' || conv_id, CASE WHEN len(user_tags) > 0 AND user_tags[1] = 'sensitive' THEN 'sensitive' END, 'the end')), '[a-z0-9_][a-z0-9_./\\-]*'), ' ') AS t FROM sessions WHERE conv_id % 11 != 0 OR conv_id % 6 = 0")
+def meta_texts(spark, d):
+    s = memory.sessions(spark, d).filter("conv_id % 11 != 0 or conv_id % 6 = 0")
+    decisions = F.array(F.struct(F.concat(F.lit("use a/b.ts "), "conv_id").alias("text")))
+    return s.select("session_id", search.meta_text(F.col("title"), F.array_sort("topics"), decisions, F.col("user_tags"), F.lit("the end")).alias("t"))

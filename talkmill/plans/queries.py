@@ -94,18 +94,16 @@ def fts_phrase(spark, d):
 
 @query(
     "fts_meta_union",
-    f"""{MEMORY_SQL}, {bm25_sql("messages", "session_id", "content", [["thing"]])}, hits AS (SELECT DISTINCT session_id FROM scored WHERE s0 IS NOT NULL),
+    f"""{MEMORY_SQL}, {bm25_sql("(SELECT * FROM messages WHERE role != 'user')", "session_id", "content", [["t3"]])}, hits AS (SELECT DISTINCT session_id FROM scored WHERE s0 IS NOT NULL),
 named AS (SELECT session_id, array_to_string(list_concat([title], topics), ' ') AS meta_text FROM sessions),
-mt AS (SELECT session_id, {TERMS.format("meta_text")} AS t FROM named), mtf AS (SELECT session_id, len(t) AS dl, len(list_filter(t, lambda x: x = 'thing')) AS tf FROM mt),
+mt AS (SELECT session_id, {TERMS.format("meta_text")} AS t FROM named), mtf AS (SELECT session_id, len(t) AS dl, len(list_filter(t, lambda x: x = 't3')) AS tf FROM mt),
 ms AS (SELECT count(*) AS nn, avg(dl) AS mean, count(*) FILTER (tf > 0) AS n FROM mtf)
 SELECT session_id, round(0.5 * CASE WHEN ln((nn - n + 0.5) / (n + 0.5)) > 0 THEN ln((nn - n + 0.5) / (n + 0.5)) ELSE 1e-6 END * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score
 FROM mtf, ms WHERE tf > 0 AND session_id NOT IN (SELECT session_id FROM hits)""",
 )
 def fts_meta_union(spark, d):
-    s = memory.sessions(spark, d).withColumn("meta_text", F.concat_ws(" ", "title", F.array_join("topics", " ")))
-    # Bodies without their users' turns, so that titles name what bodies don't.
-    m = memory.messages(spark, d)
-    hits, _ = search.body_and_meta_hits(m, s, "thing")
+    s = memory.sessions(spark, d).withColumn("meta_text", search.meta_text(F.col("title"), F.col("topics")))
+    hits, _ = search.body_and_meta_hits(memory.messages(spark, d).filter("role != 'user'"), s, "t3")
     return hits.filter("via = 'meta'").select("session_id", F.round("score", 6).alias("score"))
 
 
@@ -634,22 +632,3 @@ def timeline(spark, d):
 def redaction_report(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(1).cast("long").alias("seq_num"), F.col("text").alias("content"))
     return exchange.redaction_report(rows)
-
-
-# --- the same shapes over larger tables --------------------------------------------------------
-
-
-@query("orders_recent_paged", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
-def orders_recent_paged(spark, d):
-    return table(spark, d, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").offset(40).limit(20).select("o_orderkey", "o_orderdate")
-
-
-@query("lineitem_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2)::DOUBLE AS quantity FROM lineitem GROUP BY ALL")
-def lineitem_counts(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).cast("double").alias("quantity"))
-
-
-@query("customer_orders", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2)::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-def customer_orders(spark, d):
-    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return joined.groupBy("n_name").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).cast("double").alias("total"))
