@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.text import redact, redaction_counts
+from talkmill.operators.listing import listed_decisions
+from talkmill.operators.stats import envelope, top_files
 from talkmill.operators.store import session_id
 
 
@@ -77,15 +81,39 @@ def release(held: DataFrame, prefix: str) -> tuple[DataFrame, DataFrame]:
     return held.filter(free), held.filter(~free)
 
 
-def handoff(sessions: DataFrame) -> DataFrame:
-    """(section, line): a Markdown hand-off: figures, decisions by date, the most mentioned files."""
-    figures = sessions.agg(
-        F.count("*").alias("n"), F.sum("message_count").alias("m"), F.min("created_at").alias("a"), F.max(F.coalesce("last_event_at", "created_at")).alias("b"),
-        F.array_join(F.array_sort(F.collect_set("source")), ", ").alias("s"),
-    ).select(F.lit("figures").alias("section"), F.concat_ws(" ", F.lit("-"), "n", F.lit("sessions,"), "m", F.lit("messages,"), F.substring("a", 1, 10), F.lit("to"), F.substring("b", 1, 10), F.concat(F.lit("("), "s", F.lit(")"))).alias("line"))
-    files = sessions.select(F.explode("files_mentioned").alias("f")).groupBy("f").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "f").limit(15)
-    lines = files.select(F.lit("files").alias("section"), F.concat(F.lit("- `"), "f", F.lit("` ×"), "n").alias("line"))
-    return figures.unionByName(lines)
+def handoff(sessions: DataFrame, decisions: int = 30, questions: int = 15, summary_only: bool = False) -> DataFrame:
+    """(section, place, line): a Markdown hand-off: figures, decisions by date, the most mentioned files, open questions, summaries.
+
+    ``sessions`` holds decisions and key_questions as the extractors give them. Each section but the summaries is a report
+    of its first rows; summaries, the first four lines of every session's, have no order.
+    """
+    day = lambda c: F.substring(c, 6, 5)
+    figures = envelope(sessions).select(
+        F.lit("figures").alias("section"), F.lit(1).alias("place"),
+        F.concat_ws(" ", F.lit("-"), "sessions", F.lit("sessions,"), "messages", F.lit("messages,"), F.substring("first", 1, 10), F.lit("to"), F.substring("last", 1, 10), F.concat(F.lit("("), "sources", F.lit(")"))).alias("line"),
+    )
+
+    def numbered(rows: DataFrame, section: str, line, order: list, n: int) -> DataFrame:
+        first = rows.orderBy(*order).limit(n)
+        return first.select(F.lit(section).alias("section"), F.row_number().over(Window.orderBy(*order)).alias("place"), line.alias("line"))
+
+    text = F.substring(F.regexp_replace("text", r"\|", "/"), 1, 80)
+    told = numbered(listed_decisions(sessions), "decisions", F.concat(F.lit("| "), day("at"), F.lit(" | "), text, F.lit(" | "), "source", F.lit(" |")), ["at", "session_id", "seq"], decisions)
+    files = numbered(top_files(sessions), "files", F.concat(F.lit("- `"), "file", F.lit("`（讨论 "), "n", F.lit(" 次）")), [F.desc("n"), F.col("file")], 15)
+    open_ = sessions.select("session_id", "source", "created_at", F.posexplode("key_questions").alias("i", "q")).filter("q.unresolved")
+    asked = F.concat(F.lit("- [ ] "), "q.q", F.lit("（"), day(F.coalesce("q.at", "created_at")), F.lit("，"), "source", F.lit("）"))
+    parts = [figures, told, files, numbered(open_, "questions", asked, ["created_at", "session_id", "i"], questions)]
+    if not summary_only:
+        head = F.concat(F.lit("### "), F.coalesce("title", "session_id"), F.lit("（"), day("created_at"), F.lit("，"), "source", F.lit("）"))
+        body = F.coalesce(F.substring_index("summary_rule", "\n", 4), F.concat(F.lit("_"), F.col("message_count").cast("string"), F.lit(" 条消息（无规则摘要）_")))
+        parts.append(sessions.select(F.lit("summaries").alias("section"), F.lit(0).alias("place"), F.concat(head, F.lit("\n"), body).alias("line")))
+    return reduce(DataFrame.unionByName, [p.withColumn("place", F.col("place").cast("long")) for p in parts])
+
+
+def flattened(sessions: DataFrame) -> DataFrame:
+    """(session_id, at, text, seq): the decisions of an export, by the sessions' creation."""
+    each = sessions.select("session_id", "created_at", F.explode("decisions").alias("d"))
+    return each.select("session_id", F.coalesce("d.at", "created_at").alias("at"), "d.text", "d.seq").orderBy("at", "session_id", "seq")
 
 
 def timeline(sessions: DataFrame) -> DataFrame:

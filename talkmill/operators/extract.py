@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from talkmill.functions import fixed_values as fixed
 from talkmill.functions.text import collapse, segment, sentences
+from talkmill.operators.search import meta_text
 
 def _first(n: int, keys: list[str], *order) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) <= n
@@ -150,8 +151,52 @@ def summaries(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return rows.select("session_id", F.array_join(F.filter(F.array(*lines), lambda x: x.isNotNull()), "\n").alias("summary_rule"))
 
 
+def bundle(messages: DataFrame) -> DataFrame:
+    """(session_id, files_mentioned, topics, decisions, key_questions, code_changes): all extractors, one row per session.
+
+    Lists are bounded by the extractors' limits, but for questions, which hold one more for each later message.
+    """
+    ordered = lambda *fields: F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*fields).alias("x")))), lambda r: r["x"])
+    names = lambda column: F.transform(F.array_sort(F.collect_list(F.struct("place", column))), lambda r: r[column])
+    parts = [
+        files(messages).groupBy("session_id").agg(names("file").alias("files_mentioned")),
+        topics(messages).groupBy("session_id").agg(names("topic").alias("topics")),
+        decisions(messages).groupBy("session_id").agg(ordered("text", "seq", "at").alias("decisions")),
+        questions(messages).groupBy("session_id").agg(ordered("q", "seq", "at", "unresolved").alias("key_questions")),
+        key_exchanges(messages).groupBy("session_id").agg(ordered("user_text", "ai_text", "user_seq", "reason").alias("key_exchanges")),
+    ]
+    rows = code_blocks(messages)
+    for p in parts:
+        rows = rows.join(p, "session_id", "left")
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(rows.schema[c].dataType)).alias(c)
+    lists = [empty(c) for c in ("files_mentioned", "topics", "decisions", "key_questions")]
+    return rows.select("session_id", *lists, F.struct(F.coalesce("code_blocks", F.lit(0)).alias("code_blocks"), empty("key_exchanges")).alias("code_changes"))
+
+
+def apply(sessions: DataFrame, messages: DataFrame) -> DataFrame:
+    """``sessions`` with what their messages say: lists, summary_rule and meta_text; tags stay searchable. Without messages the lists are empty."""
+    own = messages.join(sessions.select("session_id"), "session_id", "left_semi")
+    told = bundle(own)
+    lists = told.columns[1:]
+    rows = sessions.drop(*lists, "summary_rule", "meta_text").join(told, "session_id", "left").join(summaries(sessions, own), "session_id", "left")
+    rows = rows.withColumns({c: F.coalesce(F.col(c), F.array().cast(told.schema[c].dataType)) for c in lists[:-1]})
+    return rows.withColumn("meta_text", meta_text(F.col("title"), F.col("topics"), F.col("decisions"), F.col("user_tags")))
+
+
 def refresh_decisions(known: DataFrame, messages: DataFrame) -> DataFrame:
     """Decisions of the messages after each session's last known decision that aren't known by text; (session_id, text, seq, at)."""
     marks = known.groupBy("session_id").agg(F.max("seq").alias("_mark"))
-    later = messages.join(marks, "session_id", "left").filter(F.col("_mark").isNull() | (F.col("seq_num") > F.col("_mark"))).drop("_mark")
+    later = _later(marks, messages)
     return decisions(later).drop("place").join(known.select("session_id", "text"), ["session_id", "text"], "left_anti")
+
+
+def _later(marks: DataFrame, messages: DataFrame) -> DataFrame:
+    """Messages after each session's ``_mark``; all where there is none."""
+    return messages.join(marks, "session_id", "left").filter(F.col("_mark").isNull() | (F.col("seq_num") > F.col("_mark"))).drop("_mark")
+
+
+def refresh_questions(known: DataFrame, marks: DataFrame, messages: DataFrame) -> DataFrame:
+    """Questions of the messages after each session's mark (session_id, seq) whose first 40 characters no known question has."""
+    start = F.substring("q", 1, 40).alias("_start")
+    fresh = questions(_later(marks.select("session_id", F.col("seq").alias("_mark")), messages)).drop("place").withColumn("_start", F.substring("q", 1, 40))
+    return fresh.join(known.select("session_id", start), ["session_id", "_start"], "left_anti").drop("_start")

@@ -59,7 +59,10 @@ def gap_sessions(events: DataFrame, key: str, ts: str, minutes: int = fixed.IDLE
 
 
 def resume(sessions: DataFrame, arrivals: DataFrame) -> DataFrame:
-    """``sessions`` after new messages (session_id, created_at): any state goes back to active, summary and confirmation are cleared."""
+    """``sessions`` after new messages (session_id, created_at): any state goes back to active, summary and confirmation are cleared.
+
+    Their vectors are those that ``without_stale_vectors`` leaves.
+    """
     latest = arrivals.groupBy("session_id").agg(F.max("created_at").alias("_new"), F.count("*").alias("_k"))
     rows = sessions.join(latest, "session_id", "left")
     back = F.col("_new").isNotNull()
@@ -68,11 +71,62 @@ def resume(sessions: DataFrame, arrivals: DataFrame) -> DataFrame:
         {
             "summary_rule": clear("summary_rule"), "confirmed_at": clear("confirmed_at"), "pending_at": clear("pending_at"),
             "cleanup_at": F.when(~back, F.col("cleanup_at")), "last_event_at": F.greatest("last_event_at", "_new"),
-            "message_count": F.col("message_count") + F.coalesce("_k", F.lit(0)), "state": F.when(back, "active").otherwise(F.col("state")),
+            "message_count": F.coalesce("message_count", F.lit(0)) + F.coalesce("_k", F.lit(0)), "state": F.when(back, "active").otherwise(F.col("state")),
         }
     ).drop("_new", "_k")
 
 
+def without_stale_vectors(vectors: DataFrame, sessions: DataFrame, arrivals: DataFrame) -> DataFrame:
+    """``vectors`` without those of sessions that new messages bring back: their texts have grown."""
+    back = sessions.filter("state != 'active'").join(arrivals.select("session_id"), "session_id", "left_semi").select("session_id")
+    return vectors.join(back, "session_id", "left_anti").select(vectors.columns)
+
+
+def purge_pending(tables: dict[str, DataFrame], project_id: str) -> dict[str, DataFrame]:
+    """All tables without the pending sessions of a project and what belongs to them."""
+    gone = tables["sessions"].filter((F.col("project_id") == project_id) & (F.col("state") == "pending_end")).select("session_id")
+    return {n: t.join(gone, "session_id", "left_anti").select(t.columns) for n, t in tables.items() if "session_id" in t.columns}
+
+
+def force_confirm(sessions: DataFrame, chosen: Column, now: str) -> DataFrame:
+    """Chosen sessions confirmed whatever their state."""
+    return sessions.withColumns({"confirmed_at": F.when(chosen, F.lit(now)).otherwise(F.col("confirmed_at")), "pending_at": F.when(~chosen, F.col("pending_at")), "state": F.when(chosen, "confirmed").otherwise(F.col("state"))})
+
+
+def archive_totals(plan: DataFrame) -> DataFrame:
+    """(candidates, archived, skipped, est_bytes) of a plan; bytes are those of what goes."""
+    bytes_ = F.coalesce(F.sum(F.when(F.col("archived"), F.col("est_bytes"))), F.lit(0))
+    return plan.agg(F.count("*").alias("candidates"), F.count(F.when(F.col("archived"), 1)).alias("archived"), F.count("skip_reason").alias("skipped"), bytes_.alias("est_bytes"))
+
+
+def cleanup_log(plan: DataFrame, log_id: int, now: str, hard: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(log row, details): the audit of one archive run."""
+    totals = archive_totals(plan)
+    log = totals.select(F.lit(log_id).cast("long").alias("log_id"), F.lit(now).alias("at"), F.lit("hard" if hard else "soft").alias("mode"), F.col("archived").alias("sessions"), "est_bytes")
+    return log, plan.filter("archived").select(F.lit(log_id).cast("long").alias("log_id"), "session_id", "est_bytes")
+
+
+def cleanup_history(log: DataFrame, details: DataFrame | None = None, session_prefix: str | None = None, last: int = 20) -> DataFrame:
+    """The latest archive runs, or those that touched a session whose id starts with ``session_prefix``."""
+    if session_prefix is None:
+        return log.orderBy(F.desc("log_id")).limit(last)
+    mine = details.filter(F.col("session_id").startswith(session_prefix)).select("log_id", "session_id", F.col("est_bytes").alias("session_bytes"))
+    return log.join(mine, "log_id").orderBy(F.desc("log_id"), "session_id").limit(last)
+
+
+def snapshot(sessions: DataFrame) -> DataFrame:
+    """(session_id, digest): what a preview saw of each session."""
+    return sessions.select("session_id", F.sha2(F.concat_ws("|", "state", F.coalesce("last_event_at", F.lit("")), "message_count"), 256).alias("digest"))
+
+
+def changed_since(preview: DataFrame, current: DataFrame) -> DataFrame:
+    """(session_id, change): previewed sessions that are gone or other than the preview saw; with any, nothing may be executed."""
+    now = snapshot(current).withColumnRenamed("digest", "_now")
+    both = preview.join(now, "session_id", "left")
+    change = F.when(F.col("_now").isNull(), "gone").when(F.col("_now") != F.col("digest"), "changed")
+    return both.select("session_id", change.alias("change")).filter("change is not null")
+
+
 def archive_plan(sessions: DataFrame, before: str, budget_bytes: int | None = None, source: str | None = None, include_protected: bool = False) -> DataFrame:
     """(session_id, skip_reason, est_bytes, archived) of the sessions last active before ``before`` and not archived yet.
 

@@ -98,8 +98,40 @@ def listed_unresolved(sessions: DataFrame, limit: int = 20, since: str | None =
     return out.orderBy(F.desc("created_at"), "session_id", "i").limit(limit).drop("created_at", "i")
 
 
+def on_day(sessions: DataFrame, day: str) -> DataFrame:
+    """Sessions whose last (or first) event falls on a day, most recent first."""
+    last = F.coalesce("last_event_at", "created_at")
+    return sessions.filter(F.to_date(last) == F.lit(day).cast("date")).orderBy(F.desc(last), "session_id")
+
+
+def by_kind(sessions: DataFrame) -> DataFrame:
+    """``sessions`` with is_note: notes are listed apart from conversations."""
+    return sessions.withColumn("is_note", F.col("source") == "note")
+
+
+def latest_decisions(sessions: DataFrame, n: int = 10, topic: str | None = None, source: str | None = None) -> DataFrame:
+    """The ``n`` latest decisions, newest first."""
+    return listed_decisions(sessions, topic, source).orderBy(F.desc("at"), F.desc("session_id"), F.desc("seq")).limit(n)
+
+
+DECISION = "array<struct<text:string,seq:long,at:string>>"
+QUESTION = "array<struct<q:string,seq:long,at:string,unresolved:boolean>>"
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """Rows whose lists are JSON text, with the lists: null and broken text give empty lists, a null count 0."""
+    of = lambda c, kind: F.coalesce(F.from_json(c, kind), F.array().cast(kind)).alias(c)
+    kinds = {"files_mentioned": "array<string>", "topics": "array<string>", "user_tags": "array<string>", "decisions": DECISION, "key_questions": QUESTION}
+    plain = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c) if c == "message_count" else F.col(c)
+    return rows.select(*[of(c, kinds[c]) if c in kinds else plain(c) for c in rows.columns])
+
+
 def with_age(sessions: DataFrame, today: str) -> DataFrame:
-    """``sessions`` with age: days, months or years since the last event."""
-    days = F.datediff(F.lit(today).cast("date"), F.to_date(F.coalesce("last_event_at", "created_at")))
-    text = F.when(days < 31, F.concat(days, F.lit(" d"))).when(days < 366, F.concat(F.floor(days / 30), F.lit(" mo"))).otherwise(F.concat(F.floor(days / 365), F.lit(" y")))
+    """``sessions`` with age: whole days since the last event under 30, months under 365, then years with one decimal; a future one is today, none unknown."""
+    seconds = F.unix_timestamp(F.lit(today).cast("timestamp")) - F.unix_timestamp(F.coalesce("last_event_at", "created_at").cast("timestamp"))
+    days = F.floor(seconds / 86_400)
+    text = (
+        F.when(seconds.isNull(), "未知").when(days <= 0, "今天").when(days < 30, F.concat(days, F.lit(" 天前")))
+        .when(days < 365, F.concat(F.floor(days / 30), F.lit(" 个月前"))).otherwise(F.concat(F.format_string("%.1f", days / 365), F.lit(" 年前")))
+    )
     return sessions.withColumn("age", text)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.functions.fixed_values import RELATED_CAP, SEMANTIC_THRESHOLD, SEMANTIC_TOP
+from talkmill.functions.fixed_values import EMBEDDING_CHARS, RELATED_CAP, SEMANTIC_THRESHOLD, SEMANTIC_TOP
 from talkmill.functions.text import segment
 from talkmill.functions.vectors import dot, embed
 
@@ -80,12 +80,48 @@ def overlap(sessions: DataFrame, anchor_id: str) -> DataFrame:
     return rows.filter(F.col("session_id") != anchor_id).select("session_id", score.cast("long").alias("score"), reason.alias("reason")).filter("score > 0")
 
 
-def related(sessions: DataFrame, vectors: DataFrame, anchor_id: str, limit: int = 5, threshold: float = SEMANTIC_THRESHOLD) -> DataFrame:
-    """(position, session_id, score, reason, via): near vectors of confirmed sessions first, then overlap, up to 1 to 10 rows."""
+def upsert_vectors(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """One vector a session: a new one replaces the old, whatever its model; of a repeated new one the latest counts."""
+    rest = [c for c in stored.columns if c not in ("session_id", "embedded_at")]
+    once = new.groupBy("session_id").agg(F.max(F.struct("embedded_at", *rest)).alias("r")).select("session_id", "r.*").select(stored.columns)
+    return stored.join(once.select("session_id"), "session_id", "left_anti").select(stored.columns).unionByName(once)
+
+
+def semantic_hits(vectors: DataFrame | None, query: str, allowed: DataFrame | None = None) -> DataFrame | None:
+    """Hits for ``search_sessions``: None where there are no vectors to search, and search goes by text alone."""
+    return None if vectors is None else text_search(vectors, query, allowed)
+
+
+def side_by_side(text_hits: DataFrame, fused_hits: DataFrame) -> DataFrame:
+    """(session_id, text_position, fused_position): two searches' results beside each other."""
+    a = text_hits.select("session_id", F.col("position").alias("text_position"))
+    return a.join(fused_hits.select("session_id", F.col("position").alias("fused_position")), "session_id", "full_outer")
+
+
+def related(
+    sessions: DataFrame, vectors: DataFrame, anchor_id: str, limit: int = 5, threshold: float = SEMANTIC_THRESHOLD, messages: DataFrame | None = None
+) -> DataFrame:
+    """(position, session_id, score, reason, via): near vectors of confirmed sessions first, then overlap, up to 1 to 10 rows.
+
+    An anchor without a vector is embedded from its title and, if ``messages`` are given, its first user message. An unknown anchor gives no rows.
+    """
     limit = min(max(1, limit), RELATED_CAP)
     confirmed = sessions.filter((F.col("state") == "confirmed") & (F.col("session_id") != anchor_id))
     own = vectors.filter(F.col("session_id") == anchor_id).first()
-    query = list(own.vec) if own else list(sessions.filter(F.col("session_id") == anchor_id).select(embed(F.col("title")).alias("v")).first().v)
+    if own:
+        query = list(own.vec)
+    else:
+        anchor = sessions.filter(F.col("session_id") == anchor_id).select("session_id", F.coalesce("title", F.lit("")).alias("title"))
+        if messages is not None:
+            said = messages.filter((F.col("session_id") == anchor_id) & (F.col("role") == "user")).groupBy("session_id").agg(F.min_by("content", "seq_num").alias("said"))
+            anchor = anchor.join(said, "session_id", "left")
+        else:
+            anchor = anchor.withColumn("said", F.lit(None).cast("string"))
+        text = F.substring(F.concat("title", F.lit("\n"), F.coalesce("said", F.lit(""))), 1, EMBEDDING_CHARS)
+        row = anchor.select(embed(text).alias("v")).first()
+        if row is None:
+            return sessions.selectExpr("session_id", "0d score", "'' reason", "'' via", "0 position").limit(0)
+        query = list(row.v)
     near = vector_search(vectors, query, confirmed, threshold, limit).select(
         "session_id", F.round("score", 3).alias("score"), F.concat(F.lit("向量相似 "), F.format_number("score", 2)).alias("reason"), F.lit("vector").alias("via")
     )

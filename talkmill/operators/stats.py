@@ -24,8 +24,11 @@ def overview(sessions: DataFrame) -> DataFrame:
     )
 
 
-def growth(messages: DataFrame, sessions: DataFrame, since: str) -> DataFrame:
-    """(day, msgs, sess): messages by their day and sessions by their last day, from ``since`` on, absent sides 0."""
+def growth(messages: DataFrame, sessions: DataFrame, since: str, project: str | None = None) -> DataFrame:
+    """(day, msgs, sess): messages by their day and sessions by their last day, from ``since`` on, absent sides 0; of one project if it is named."""
+    if project is not None:
+        sessions = sessions.filter(F.col("project_id") == project)
+        messages = messages.join(sessions.select("session_id"), "session_id", "left_semi")
     msgs = messages.filter(F.col("created_at").isNotNull()).groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("msgs"))
     last = F.to_date(F.coalesce("last_event_at", "created_at"))
     sess = sessions.filter(F.col("last_event_at").isNotNull()).groupBy(last.alias("day")).agg(F.count("*").alias("sess"))
@@ -46,10 +49,18 @@ def packages(transfers: DataFrame) -> DataFrame:
 
 
 def topic_map(sessions: DataFrame) -> DataFrame:
-    """(topic, n, session_ids): the sessions of each topic."""
-    return sessions.select("session_id", F.explode("topics").alias("topic")).groupBy("topic").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set("session_id")).alias("session_ids")
-    )
+    """(topic, session_id, n): each session of each topic, and how many the topic has; no topic's sessions are gathered."""
+    pairs = sessions.select(F.explode("topics").alias("topic"), "session_id").distinct()
+    return pairs.join(pairs.groupBy("topic").agg(F.count("*").alias("n")), "topic")
+
+
+def envelope(sessions: DataFrame) -> DataFrame:
+    """(sources, first, last, sessions, messages): what an export holds."""
+    last = F.max(F.coalesce("last_event_at", "created_at"))
+    return sessions.agg(
+        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"), F.min("created_at").alias("first"), last.alias("last"),
+        F.count("*").alias("sessions"), F.coalesce(F.sum("message_count"), F.lit(0)).alias("messages"),
+    )
 
 
 def top_files(sessions: DataFrame, top: int = 15) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MESSAGE_KEY = ["session_id", "seq_num"]
@@ -80,6 +80,14 @@ def annotate(sessions: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.withColumns({"user_tags": tags, "user_summary": F.coalesce("summary", "user_summary")}).drop("add", "remove", "summary")
 
 
+def append_log(log: DataFrame, entries: DataFrame, order: list[str]) -> DataFrame:
+    """``log`` with ``entries`` after it, numbered on from its last log_id in ``order``."""
+    last = log.agg(F.coalesce(F.max("log_id"), F.lit(0)).alias("_last"))
+    # A batch of audit entries is small: one for a command, not for a session.
+    numbered = entries.withColumn("log_id", F.row_number().over(Window.orderBy(*order)).cast("long")).join(F.broadcast(last), F.lit(True))
+    return log.unionByName(numbered.withColumn("log_id", F.col("log_id") + F.col("_last")).select(log.columns))
+
+
 def tail(log: DataFrame, key: str, n: int) -> DataFrame:
     """The last ``n`` rows of an append-only log."""
     return log.orderBy(F.desc(key)).limit(n)

@@ -241,10 +241,15 @@ def first_user_title(spark, d):
     return listing.first_user_titles(memory.messages(spark, d))
 
 
-@query("session_age", f"""{MEMORY_SQL}, a AS (SELECT session_id, date_diff('day', left(last_event_at, 10)::DATE, DATE '2024-03-15') AS days FROM sessions)
-SELECT session_id, CASE WHEN days < 31 THEN days || ' d' WHEN days < 366 THEN (days // 30) || ' mo' ELSE (days // 365) || ' y' END AS age FROM a""")
+@query("session_age", f"""{MEMORY_SQL}, l AS (SELECT session_id, CASE conv_id % 4 WHEN 0 THEN last_event_at WHEN 1 THEN '2022' || substr(last_event_at, 5) WHEN 2 THEN '2024-02-' || substr(last_event_at, 9) END AS t FROM sessions WHERE conv_id % 30 < 28),
+a AS (SELECT session_id, floor((epoch(TIMESTAMP '2024-02-20') - epoch(t::TIMESTAMP)) / 86400)::BIGINT AS days FROM l)
+SELECT session_id, CASE WHEN days IS NULL THEN '未知' WHEN days <= 0 THEN '今天' WHEN days < 30 THEN days || ' 天前' WHEN days < 365 THEN (days // 30) || ' 个月前' ELSE format('{{:.1f}}', days / 365) || ' 年前' END AS age FROM a""")
 def session_age(spark, d):
-    return listing.with_age(memory.sessions(spark, d), "2024-03-15").select("session_id", "age")
+    """Ages of days, months and years, of future and of unknown last events."""
+    n, last = F.col("conv_id"), F.col("last_event_at")
+    moved = F.when(n % 4 == 0, last).when(n % 4 == 1, F.concat(F.lit("2022"), F.substring(last, 5, 30))).when(n % 4 == 2, F.concat(F.lit("2024-02-"), F.substring(last, 9, 30)))
+    s = memory.sessions(spark, d).filter(n % 30 < 28).withColumns({"last_event_at": moved, "created_at": F.when(n % 4 != 3, F.col("created_at"))})
+    return listing.with_age(s, "2024-02-20").select("session_id", "age")
 
 
 # --- figures -----------------------------------------------------------------------------------
@@ -282,9 +287,9 @@ def team_status(spark, d):
     return stats.team(memory.sessions(spark, d))
 
 
-@query("topic_map", f"{MEMORY_SQL}, e AS (SELECT session_id, unnest(topics) AS topic FROM sessions) SELECT topic, count(*) AS n, array_to_string(list_sort(list(DISTINCT session_id)), ',') AS session_ids FROM e GROUP BY topic")
+@query("topic_map", f"{MEMORY_SQL}, e AS (SELECT DISTINCT session_id, unnest(topics) AS topic FROM sessions) SELECT topic, session_id, count(*) OVER (PARTITION BY topic) AS n FROM e")
 def topic_map(spark, d):
-    return stats.topic_map(memory.sessions(spark, d)).withColumn("session_ids", F.array_join("session_ids", ","))
+    return stats.topic_map(memory.sessions(spark, d))
 
 
 @query("file_counts", f"{MEMORY_SQL}, e AS (SELECT unnest(files_mentioned) AS file FROM sessions) SELECT file, count(*) AS n FROM e GROUP BY file ORDER BY n DESC, file LIMIT 15")
