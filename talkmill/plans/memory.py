@@ -69,7 +69,7 @@ sessions AS (SELECT session_id, 's' || conv_id % 4 AS source, 'k' || conv_id AS
   CASE conv_id % 10 WHEN 7 THEN 'imported' WHEN 9 THEN 'workflow' ELSE 'native' END AS origin,
   CASE conv_id % 5 WHEN 0 THEN 'active' WHEN 1 THEN 'pending_end' ELSE 'confirmed' END AS state,
   substr(trim(regexp_replace(first_user, '\\s+', ' ', 'g')), 1, 60) AS title, created_at, last_event_at,
-  CASE WHEN conv_id % 5 = 1 THEN last_event_at END AS pending_at, message_count, list_distinct(['t' || conv_id % 7, 't' || conv_id % 4]) AS topics,
+  CASE WHEN conv_id % 5 = 1 THEN last_event_at END AS pending_at, message_count, CASE WHEN conv_id % 7 = conv_id % 4 THEN ['t' || conv_id % 7] ELSE ['t' || conv_id % 7, 't' || conv_id % 4] END AS topics,
   CASE WHEN conv_id % 6 = 0 THEN ['sensitive'] WHEN conv_id % 11 = 0 THEN ['保留'] ELSE []::VARCHAR[] END AS user_tags,
   ['src/m' || conv_id % 5 || '.ts', 'lib/x' || conv_id % 3 || '.py'] AS files_mentioned,
   CASE WHEN conv_id % 8 != 0 THEN 'u' || conv_id % 8 END AS author, CASE WHEN conv_id % 10 = 7 THEN 'team' || conv_id % 2 END AS imported_from, conv_id FROM base)"""
