@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talkmill.llm.common import SPACES, durable, join_skewed, table
+from talkmill.llm.common import SPACES, durable, table
 
 BITS = 64
 LANES = 0x0000000100000001
@@ -17,6 +17,8 @@ ROWS_PER_BUCKET = 512
 MAX_WEIGHT = 16
 #: Ranges of equal numbers of rows, in COARSE groups, that ids are cut into before each range is cut evenly.
 RANGES, COARSE = 1024, 32
+#: Tasks that the rows of one fingerprint are dealt to.
+PARTS = 32
 
 
 def simhash(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -110,7 +112,7 @@ def numbered(docs: DataFrame, order: str) -> DataFrame:
 
 
 def following(rows: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """``rows`` with ``out``: ``value`` of the next row by (_bucket, order); the last row gets the first row's.
+    """``rows`` with _rn, its place in the bucket, ``out``: ``value`` of the next row by (_bucket, order), and that row's bucket and place, _to and _at; the last row's next is the first.
 
     Each bucket is ordered by itself; only a bucket's first row is carried over to the bucket before.
     Which bucket that is, is found in two levels, so one task sees one row for every 2 ** 10 buckets.
@@ -126,9 +128,9 @@ def following(rows: DataFrame, order: list[str], value: str, out: str) -> DataFr
     inner = Window.partitionBy("_super").orderBy("_bucket")
     links = ids.withColumn("after", F.lead("_bucket").over(inner)).join(supers, "_super")
     links = links.select(F.col("_bucket").alias("_before"), F.coalesce("after", "after_super").alias("_bucket"))
-    heads = links.join(firsts, "_bucket").select(F.col("_before").alias("_bucket"), "_head")
-    inside = seen.filter(~F.col("_last")).drop("_last")
-    borders = seen.filter("_last").drop("_last", out).join(heads, "_bucket").withColumnRenamed("_head", out)
+    heads = links.join(firsts, "_bucket").select(F.col("_before").alias("_bucket"), F.col("_bucket").alias("_to"), "_head")
+    inside = seen.filter(~F.col("_last")).drop("_last").withColumns({"_to": F.col("_bucket"), "_at": F.col("_rn") + 1})
+    borders = seen.filter("_last").drop("_last", out).join(heads, "_bucket").withColumnRenamed("_head", out).withColumn("_at", F.lit(1))
     return inside.unionByName(borders)
 
 
@@ -153,19 +155,22 @@ def fingerprint_documents(docs: DataFrame, radius: int = 3) -> DataFrame:
     pairs = following(numbered(rows, "doc_id"), ["doc_id", "text"], "text", "after")
     n = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.expr("substring(after, 1, cast(floor(length(text) / 4) as int))"))
-    both = pairs.select("_bucket", "_rn", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    both = pairs.select("_bucket", "_rn", "_to", "_at", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
     sides = both.select("_bucket", "_rn", F.posexplode(F.array("text", "edited")).alias("side", "text"))
     prints = simhash(sides, ["_bucket", "_rn", "side"]).groupBy("_bucket", "_rn").agg(
         F.max(F.when(F.col("side") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("side") == 1, F.col("fp"))).alias("edited_fp")
     )
-    facts = both.select("_bucket", "_rn", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    facts = both.select("_bucket", "_rn", "_to", "_at", "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     zero = F.lit(0).cast("long")
     known = durable(facts.join(prints, ["_bucket", "_rn"], "left").fillna(0, ["fp", "edited_fp"]), "fingerprints")
-    known = following(known.withColumnRenamed("_rn", "_place"), ["_place"], "fp", "next_fp").drop("_rn")
+    after = known.select(F.col("_bucket").alias("_to"), F.col("_rn").alias("_at"), F.col("fp").alias("next_fp"))
     near = within_radius(known, "fp", radius, blocks_for(known.count(), radius))
     ends = near.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).groupBy("fp").agg(F.count("*").alias("n_close"))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
-    return join_skewed(known, ends.withColumnRenamed("fp", "close_fp"), {"fp": "close_fp"}).select(
+    # A frequent fingerprint's rows are dealt to PARTS tasks.
+    part = F.pmod(F.xxhash64("_bucket", "_rn"), F.lit(PARTS)).cast("int")
+    ends = ends.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return known.join(after, ["_to", "_at"]).withColumn("_part", part).join(ends, ["fp", "_part"], "left").select(
         "doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("edited_fp").alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         F.coalesce("n_close", zero).alias("n_close"),
