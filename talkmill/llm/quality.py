@@ -15,7 +15,7 @@ from talkmill.llm.hashing import in_slices, word_hashes
 
 #: Labelled rows that the model is fitted on, at most; chosen by hash.
 TRAIN_ROWS = 20_000
-PAIRS = 60_000
+PAIRS = 20_000
 RIDGE = 1e-3
 CUT_SCORE = 0.7
 
@@ -23,11 +23,13 @@ CUT_SCORE = 0.7
 CLASS = np.zeros(256, np.uint8)
 for _name, _chars in enumerate(["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "!", "#$%&*+<=>@\\^_`{}~[]/", "|", "0123456789", ".,", "\n"], 1):
     CLASS[list(_chars.encode())] = _name
-N_FEATURES = 13
+#: Hashed words, besides.
+WORD_BINS = 128
+N_FEATURES = 13 + WORD_BINS
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """(texts, N_FEATURES): roots of the byte classes' shares, repetition of words and lines, word length, length."""
+    """(texts, N_FEATURES): roots of the byte classes' shares, repetition of words and lines, word length, length; roots of the hashed words' shares."""
     out = np.zeros((len(texts), N_FEATURES))
     for at, to in in_slices(texts):
         hashes, counts = word_hashes(texts[at:to])
@@ -44,6 +46,7 @@ def features(texts: list[bytes]) -> np.ndarray:
             out[i, 10] = 1 - len(set(lines)) / len(lines)
             out[i, 11] = np.log1p(size / (n + 1))
             out[i, 12] = np.log1p(n) / 10
+            out[i, 13:] = np.sqrt(np.bincount((words >> np.uint64(40)) % np.uint64(WORD_BINS), minlength=WORD_BINS) / max(1, n))
     return out
 
 
@@ -109,10 +112,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     def measure(batches):
         for batch in batches:
             x = features([t or b"" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["quality", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["quality", "x"])
 
-    got = rows.mapInArrow(measure, "quality int, x array<double>").toPandas()
-    x = np.array(got["x"].tolist(), float).reshape(-1, N_FEATURES)
+    got = rows.mapInArrow(measure, "quality int, x binary").toPandas()
+    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, N_FEATURES).astype(float)
     order = np.lexsort(x.T)  # the order in which rows arrive doesn't matter
     return fit(x[order], got["quality"].to_numpy()[order])
 
