@@ -13,13 +13,16 @@ from talkmill.llm.common import durable, table
 
 #: Vectors that the index is fitted on, at most; chosen by hash.
 TRAIN_ROWS = 20_000
-MAX_LISTS = 1024
+#: Vectors of the sample that a list is fitted on, at least: there are at most TRAIN_ROWS over this lists, and about a quarter of the root of all rows.
+ROWS_PER_LIST = 8
 SUBSPACES, CODES = 16, 256
 #: Share of true neighbours, among the sample, whose lists a query must probe; queries it is measured with.
 PROBE_RECALL, PROBE_QUERIES = 0.98, 300
 #: Vectors of a block that are reranked exactly.
 RERANK = 256
 BLOCK_ROWS = 20_000
+#: Queries that one task compares with a block.
+BLOCK_QUERIES = 5_000
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -65,7 +68,7 @@ class Index:
 
 def fit(sample: np.ndarray, rows: int, seed: int = 11) -> Index:
     rng = np.random.default_rng(seed)
-    lists = int(min(MAX_LISTS, max(1, np.sqrt(rows) / 4), max(1, len(sample) / 8)))
+    lists = int(min(max(1, np.sqrt(rows) / 4), max(1, len(sample) / ROWS_PER_LIST)))
     centres = kmeans(sample, max(1, lists), 12, rng)
     rest = sample - centres[nearest(sample, centres)]
     edges = np.linspace(0, sample.shape[1], min(SUBSPACES, sample.shape[1]) + 1).astype(int).tolist()
@@ -100,7 +103,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
 
     All vectors are indexed; the index is fitted on TRAIN_ROWS of them. Of equal vectors the k + 1
     smallest ids are kept, which is all that any answer can hold, and they are searched once; so are
-    equal queries. A list is searched in blocks of BLOCK_ROWS, each with the queries that probe it:
+    equal queries. A list is searched in blocks of BLOCK_ROWS, each with BLOCK_QUERIES of the queries that probe it at a time:
     asymmetric distances shorten the block to RERANK, exact double distances choose k + 1 of them.
     Vectors of another length than the most frequent one, null ids, and null, zero or non-finite
     vectors take no part. Rows with the query's own id are no candidates. Fewer candidates give fewer
@@ -139,10 +142,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
     coded = durable(groups.mapInArrow(encode, "v array<double>, ids array<long>, cell int, code binary"), "index")
     blocks = coded.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("n_blocks"))
     block = F.pmod(F.xxhash64(F.col("ids")[0]), F.col("n_blocks")).cast("int")
-    stored = coded.join(blocks, "cell").withColumn("block", block).drop("n_blocks")
     once = durable(asked.groupBy("v").agg(F.min("vec_id").alias("qid")), "queries")
-    wanted = once.mapInArrow(probe, "q array<double>, qid long, cell int").join(blocks, "cell")
-    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks")
+    wanted = once.mapInArrow(probe, "q array<double>, qid long, cell int")
+    asks = wanted.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("n_parts"))
+    grid = durable(blocks.join(asks, "cell"), "grid")
+    # Each block meets each part of the queries that probe its list.
+    stored = coded.join(grid, "cell").withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1))).drop("n_blocks", "n_parts")
+    wanted = wanted.join(grid, "cell").withColumn("part", F.pmod(F.xxhash64("qid"), F.col("n_parts")).cast("int"))
+    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).drop("n_blocks", "n_parts")
 
     def scan(left: pa.Table, right: pa.Table) -> pa.Table:
         kinds = pa.schema([("qid", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
@@ -165,7 +172,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_
                     out[2].append(ids[short[j]])
         return pa.table([pa.array(c, f.type) for c, f in zip(out, kinds, strict=True)], kinds)
 
-    found = stored.groupBy("cell", "block").cogroup(wanted.groupBy("cell", "block")).applyInArrow(scan, "qid long, score double, ids array<long>")
+    found = stored.groupBy("cell", "block", "part").cogroup(wanted.groupBy("cell", "block", "part")).applyInArrow(scan, "qid long, score double, ids array<long>")
     near = found.withColumn("rn", F.row_number().over(Window.partitionBy("qid").orderBy("score", F.col("ids")[0]))).filter(F.col("rn") <= k + 1)
     answers = asked.join(once.withColumnRenamed("v", "w"), F.col("v") == F.col("w")).select(F.col("vec_id").alias("query_id"), "qid")
     named = answers.join(near, "qid").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
