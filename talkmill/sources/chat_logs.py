@@ -223,7 +223,7 @@ class TailReader(DataSourceStreamReader):
         with open(self.path, "rb") as f:
             f.seek(begin)
             at, last = begin, begin
-            while at < limit and (block := f.read(min(self.BLOCK, limit - at))):
+            while at < limit and (block := f.read(min(self.BLOCK, self.stretch, limit - at))):
                 ends = block.count(b"\n")
                 if ends:
                     last = at + block.rfind(b"\n") + 1

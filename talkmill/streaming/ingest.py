@@ -8,20 +8,37 @@ from pyspark.sql import functions as F
 from talkmill.operators.store import MESSAGE_KEY, new_messages
 
 
+#: Folders that the stored messages are dealt to, by a hash of the session.
+FOLDERS = 256
+
+
+def folder(session_id):
+    return F.pmod(F.xxhash64(session_id), F.lit(FOLDERS)).cast("int")
+
+
 def append_new(batch: DataFrame, path: str) -> int:
-    """Appends the batch's messages that the table at ``path`` lacks, by (session_id, seq_num); how many there were."""
+    """Appends the batch's messages that the table at ``path`` lacks, by (session_id, seq_num); how many there were.
+
+    The table lies in FOLDERS folders by session, and only the folders of the batch's sessions are read, so that a
+    batch costs what its sessions hold and not what the table does.
+    """
     spark = batch.sparkSession
+    batch = batch.withColumn("folder", folder(F.col("session_id"))).persist()
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    stored = spark.read.parquet(path).select(*MESSAGE_KEY) if known else None
+    stored = None
+    if known:
+        touched = [r.folder for r in batch.select("folder").distinct().collect()]  # FOLDERS rows at most
+        stored = spark.read.parquet(path).filter(F.col("folder").isin(touched)).select(*MESSAGE_KEY)
     fresh = new_messages(batch, stored).persist()
     try:
         n = fresh.count()
         if n:
-            fresh.write.mode("append").parquet(path)
+            fresh.repartition("folder").write.mode("append").partitionBy("folder").parquet(path)
         return n
     finally:
         fresh.unpersist()
+        batch.unpersist()
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, mode: str = "full", available_now: bool = True):

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from talkmill.functions import text as X
 from talkmill.functions.scope import Scope, assemble, merge
-from talkmill.operators import extract, lifecycle, search, store
-from talkmill.sources import chat_logs
-from talkmill.streaming.ingest import ingest
+from talkmill.operators import extract, lifecycle, related, search, store
+from talkmill.sources import chat_logs, discovery
+from talkmill.streaming.ingest import append_new, ingest
 from talkmill.streaming.lifecycle import lifecycle as lifecycle_stream
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -25,10 +25,16 @@ def test_parse_query():
 
 
 def test_phrases_are_counted_by_position(spark):
-    rows = spark.createDataFrame([(0, "a b a b c"), (1, "b a"), (2, ""), (3, None)], "id long, t string")
-    terms = X.index_terms(F.coalesce("t", F.lit("")))
-    got = rows.select("id", search.occurrences(terms, ["a", "b"]).alias("n"), search.occurrences(terms, ["a"]).alias("one")).orderBy("id").collect()
-    assert [(r.n, r.one) for r in got] == [(2, 2), (0, 1), (0, 0), (0, 0)]
+    texts = ["a b a b c", "b a", "", None, "a a a", "ab a.B/a_b", "库a 数据 库，数据库x", "xa b", "a bx", "Ａ　Ｂ"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    units = [["a", "b"], ["a"], ["a", "a"], ["数", "据", "库"], ["库", "a"]]
+    got = [tuple(r.c) for r in rows.select("id", X.term_counts(F.col("t"), units).alias("c")).orderBy("id").collect()]
+
+    def want(text):
+        terms = search.TERM.findall((text or "").replace("Ａ", "a").replace("Ｂ", "b").lower())
+        return (len(terms), *(sum(terms[i : i + len(u)] == u for i in range(len(terms))) for u in units))
+
+    assert got == [want(t) for t in texts]
 
 
 def test_search_limits(spark):
@@ -89,6 +95,71 @@ def test_log_tail_reads_complete_lines_once(spark, tmp_path):
     assert run() == [(1, "one"), (2, "two"), (3, "partial"), (4, "four")]
 
 
+def test_log_tail_in_stretches_and_batches(tmp_path):
+    log = tmp_path / "log.jsonl"
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(1, 401)]
+    log.write_text("\n".join(lines) + "\nunfinished")
+    reader, at, got = chat_logs.TailReader(str(log), 2000, 300), {"bytes": 0, "lines": 0}, []
+    while (end := reader.latestOffset()) != at:
+        parts = reader.partitions(at, end)
+        assert len(parts) > 1 or end["bytes"] - at["bytes"] < 600
+        got += [row for p in parts for row in reader.read(p)]
+        at = end
+    assert got == list(enumerate(lines, 1))
+    log.write_text("new\n")
+    fresh = chat_logs.TailReader(str(log), 2000, 300)
+    fresh.at = at
+    end = fresh.latestOffset()
+    assert end == {"bytes": 4, "lines": 1} and [row for p in fresh.partitions(at, end) for row in fresh.read(p)] == [(1, "new")]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    for name, n in (("a.log", 3000), ("b.log", 5)):
+        (tmp_path / name).write_text("".join(f"{name} {i}\n" if i % 7 else "\n" for i in range(1, n + 1)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = chat_logs.read_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(rows) == sum(1 for n in (3000, 5) for i in range(1, n + 1) if i % 7)
+    assert all(r.line.endswith(f" {r.line_no}") and r.source_file.endswith(r.line.split(" ")[0]) for r in rows)
+
+
+def test_batches_read_only_their_sessions(spark, tmp_path):
+    target = str(tmp_path / "messages")
+    make = lambda ids: spark.createDataFrame([(i, n, "user", "x", None) for i in ids for n in (1, 2)], MESSAGES)
+    assert append_new(make([f"s{i}" for i in range(300)]), target) == 600
+    assert append_new(make(["s7", "new"]), target) == 2 and append_new(make(["s7", "new"]), target) == 0
+    assert spark.read.parquet(target).select("session_id", "seq_num").distinct().count() == spark.read.parquet(target).count() == 602
+
+
+def test_related_to_an_unknown_session(spark):
+    s = spark.createDataFrame([("a", "t", "confirmed", ["x"], ["y"], ["f"])], "session_id string, title string, state string, topics array<string>, user_tags array<string>, files_mentioned array<string>")
+    v = spark.createDataFrame([("a", [1.0, 0.0])], "session_id string, vec array<float>")
+    assert related.related(s, v, "absent").count() == 0 and related.semantic_hits(None, "x") is None
+
+
+def test_sources_are_checked(spark):
+    sources = discovery.Sources()
+    for name, fn in (("", lambda: None), ("x", None)):
+        with pytest.raises(ValueError):
+            sources.register(name, fn)
+    with pytest.raises(KeyError):
+        sources.all(["absent"])
+
+
+def test_a_held_part_is_read_again(spark):
+    m = spark.createDataFrame([("a", i, f"m{i}", t, '{"role":"user"}') for i, t in ((1, 10), (2, 900_000), (3, 900_001))], "session_id string, rowid long, id string, time_created long, data string")
+    text = lambda *ids: spark.createDataFrame([(f"m{i}", 0, '{"type":"text","text":"t%d"}' % i) for i in ids], "message_id string, sequence int, data string")
+    given, cursors = chat_logs.joined_parts(m, text(1, 3), 1_000_000)
+    assert sorted(r.content for r in given.collect()) == ["t1", "t3"] and cursors.first().cursor == 1
+    given, cursors = chat_logs.joined_parts(m, text(1, 2, 3), 1_000_000, cursors)
+    assert sorted(r.content for r in given.collect()) == ["t2", "t3"] and cursors.first().cursor == 3
+    given, cursors = chat_logs.joined_parts(m, text(1, 3), 2_000_000)
+    assert cursors.first().cursor == 3  # too old to wait for
+
+
 def test_ingest_adds_each_message_once(spark, tmp_path):
     source, target = str(tmp_path / "in"), str(tmp_path / "messages")
     rows = spark.createDataFrame([("a", 1, "user", "x", None), ("a", 2, "assistant", "y", None)], MESSAGES)
@@ -107,8 +178,8 @@ def test_lifecycle_stream(spark, tmp_path):
         stream = lifecycle_stream(spark.readStream.schema(schema).parquet(source), late="1 minute")
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination(120)
 
-    step([("a", "NEW_MESSAGE", "2024-01-01 10:00:00")])
-    step([("b", "NEW_MESSAGE", "2024-01-01 23:00:00")])
+    step([("a", "NEW_LINE", "2024-01-01 10:00:00")])
+    step([("b", "NEW_LINE", "2024-01-01 23:00:00")])
     got = [(r.state, r.event) for r in spark.read.schema("session_id string, state string, event string, at_ms long").parquet(out).filter("session_id = 'a'").orderBy("at_ms").collect()]
     assert ("pending_end", "IDLE_TIMEOUT") in got and got[-1] == ("confirmed", "COOLDOWN_ELAPSED")
 
