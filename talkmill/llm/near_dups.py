@@ -21,7 +21,7 @@ MISS = 1e-12
 #: Reps whose keys fill one bucket task.
 REPS_PER_BUCKET = 5_000
 #: Shingles that one verifying task holds.
-SHINGLES_PER_UNIT = 2_000_000
+SHINGLES_PER_UNIT = 500_000
 
 _U = np.uint64
 
@@ -184,14 +184,31 @@ def links_within(texts: list[bytes], blocks: np.ndarray, percent: int) -> list[t
     return forest
 
 
+def _apart(members: DataFrame, links: DataFrame, unit: list) -> DataFrame:
+    """Units for groups of several blocks, whose blocks have each been compared within and with the group's hub, its smallest id.
+
+    What the hub is linked to, over others too, is one component already, whatever its block. Only the rest is sent to
+    the other blocks: a group of copies of its hub costs as much as its size, not as much as the square of it.
+    """
+    found = connected_components(links).select(F.col("id").alias("_id"), F.col("component").alias("_label"))
+    label = F.coalesce("_label", "id").alias("label")
+    known = members.join(found, F.col("id") == F.col("_id"), "left").select("id", "component", "block", "n_blocks", label)
+    hub = known.filter("id = component").select("component", F.col("label").alias("hub"))
+    rest = known.join(hub, "component").filter("label != hub").select("id", "component", "block", "n_blocks")
+    away = rest.select("id", "component", "n_blocks", F.col("block").alias("home"), F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block")).filter("block != home")
+    with_rest = rest.select("component").distinct()
+    stay = members.join(with_rest, "component", "left_semi").select(F.col("id").alias("rep_id"), *unit, "block")
+    return stay.unionByName(away.select(F.col("id").alias("rep_id"), *unit, F.col("home").alias("block")))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row: near-duplicates by 5-word shingles.
 
     Two documents are linked if 100 * intersection >= ``percent`` * union of their shingle sets. Rows
     with equal sets are one class, its smallest doc_id stands for it. Signatures name candidates: a
     linked pair at the threshold is missed with a chance of MISS, nearer ones with a smaller one. Every candidate group is then compared
-    in full: small ones many to a task, large ones in pairs of blocks, each task giving no more than a
-    spanning forest. Null or empty texts have no shingles and are linked with nothing. Rows with the
+    in full: small ones many to a task, large ones block by block, with what isn't linked to the group's
+    hub sent to the other blocks too, each task giving no more than a spanning forest. Null or empty texts have no shingles and are linked with nothing. Rows with the
     same doc_id are the same document. Rows with a null doc_id are returned with a null component_id
     and kept, linked with nothing. Other columns are not read; an empty table gives an empty result.
     """
@@ -207,23 +224,28 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     totals = durable(totals.withColumn("n_blocks", F.when(F.col("total") <= SHINGLES_PER_UNIT, 1).otherwise(F.ceil(F.col("total") / half)).cast("int")), "groups")
     small_total = totals.filter("n_blocks = 1").agg(F.sum("total")).first()[0] or 0
     bins = max(8, math.ceil(small_total / half))
-    block = F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int")
-    placed = groups.join(totals, "component").withColumn("block", block)
-    units = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).select(
-        F.col("id").alias("rep_id"), "block",
-        F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(
-            F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other"))).alias("unit"),
-        (F.col("n_blocks") > 1).alias("cut"),
-    )
+    placed = groups.join(totals, "component").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
     texts = docs.selectExpr(f"cast(`{key}` as long) doc_id", f"cast(`{text}` as binary) text")
-    joined = texts.join(units, F.col("doc_id") == F.col("rep_id")).select("unit", "cut", "doc_id", "block", "text")
 
     def verify(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_numpy()
         forest = links_within([x or b"" for x in group.column("text").to_pylist()], group.column("block").to_numpy(), percent)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in forest], pa.int64()), "b": pa.array([int(ids[j]) for _, j in forest], pa.int64())})
 
-    links = joined.groupBy("cut", "unit").applyInArrow(verify, "a long, b long")
+    def compared(units: DataFrame, label: str) -> DataFrame:
+        """Links within each unit (rep_id, cut, unit, block): of different blocks if it has several."""
+        joined = texts.join(units, F.col("doc_id") == F.col("rep_id")).select("unit", "cut", "doc_id", "block", "text")
+        return durable(joined.groupBy("cut", "unit").applyInArrow(verify, "a long, b long"), label)
+
+    own_unit = F.when(F.col("n_blocks") == 1, F.pmod(F.xxhash64("component"), F.lit(bins))).otherwise(F.xxhash64("component", "block"))
+    unit = [(F.col("n_blocks") > 1).alias("cut"), own_unit.alias("unit")]
+    own = placed.select(F.col("id").alias("rep_id"), *unit, F.lit(0).alias("block"))
+    each_block = F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))
+    cut = totals.filter("n_blocks > 1")
+    hubs = cut.withColumn("block", each_block).select(F.col("component").alias("rep_id"), *unit, F.lit(0).alias("block"))
+    links = compared(own.unionByName(hubs).dropDuplicates(["rep_id", "cut", "unit"]), "links")
+    if not cut.isEmpty():
+        links = links.unionByName(compared(_apart(placed.filter("n_blocks > 1"), links, unit), "more-links"))
     found = connected_components(links)
     labels = classes.join(found, F.col("rep") == F.col("id"), "left").select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), F.coalesce("component", "rep").alias("component_id"))
     is_text = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
