@@ -71,7 +71,9 @@ def decisions(messages: DataFrame) -> DataFrame:
     """(session_id, text, seq, at, place): the first MAX_DECISIONS decisions; of equal first 20 characters the first."""
     rows = _sentence_rows(messages, "created_at")
     raw = F.coalesce(*[F.nullif(F.regexp_extract("sentence", p, 0), F.lit("")) for p in fixed.DECISION_PATTERNS])
-    found = rows.withColumn("text", _shortened(collapse(raw))).filter(_let(F.col("text"), lambda t: t.isNotNull() & _plausible(t)))
+    # A generator, through which no filter is pushed, so that the patterns run once on a sentence.
+    found = rows.select("session_id", "seq_num", "created_at", "i", F.explode(F.array(_shortened(collapse(raw)))).alias("text"))
+    found = found.filter(F.col("text").isNotNull() & _plausible(F.col("text")))
     start = F.substring("text", 1, 20)
     first = found.withColumn("_key", start).withColumn("_rn", F.row_number().over(Window.partitionBy("session_id", "_key").orderBy("seq_num", "i"))).filter("_rn = 1")
     placed = first.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy("seq_num", "i")))
@@ -117,12 +119,16 @@ def key_exchanges(messages: DataFrame) -> DataFrame:
     paired = talk.withColumns({"_role": F.lead("role").over(by), "_next": F.lead("content").over(by)}).filter("role = 'user'")
     paired = paired.withColumn("ai", F.when(F.col("_role") == "assistant", F.col("_next"))).filter(F.length(F.trim("content")) >= 8)
     decided = lambda c: reduce(lambda a, b: a | b, [F.coalesce(F.col(c).rlike(p), F.lit(False)) for p in fixed.DECISION_PATTERNS])
-    decision, long = decided("content") | decided("ai"), F.length("content") > 100
-    question = F.col("content").rlike("[？?]") & F.col("content").rlike(fixed.QUESTION_HINT)
-    text = collapse(F.col("content"))
+    marks = F.struct(
+        (decided("content") | decided("ai")).alias("_decision"), (F.col("content").rlike("[？?]") & F.col("content").rlike(fixed.QUESTION_HINT)).alias("_question"),
+        (F.length("content") > 100).alias("_long"), collapse(F.col("content")).alias("user"),
+    )
+    # A generator, through which no filter is pushed, so that the patterns run once on a message.
+    paired = paired.select("session_id", "seq_num", "ai", F.inline(F.array(marks)))
+    decision, question, long = F.col("_decision"), F.col("_question"), F.col("_long")
     score = decision.cast("int") * 3 + question.cast("int") * 2 + long.cast("int")
     reason = F.when(decision, "含决策").when(question, "关键提问").when(long, "需求陈述")
-    scored = paired.withColumns({"user": text, "score": score, "reason": reason}).filter((F.col("score") > 0) & ~F.col("user").rlike(fixed.INJECTED))
+    scored = paired.withColumns({"score": score, "reason": reason}).filter((F.col("score") > 0) & ~F.col("user").rlike(fixed.INJECTED))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("score"), F.desc(F.length("user")), "seq_num"))
     return scored.withColumn("place", place).filter(F.col("place") <= fixed.MAX_EXCHANGES).select(
         "session_id", F.substring("user", 1, 200).alias("user_text"), F.substring(collapse(F.coalesce("ai", F.lit(""))), 1, 200).alias("ai_text"),

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def count_by(sessions: DataFrame, column: str) -> DataFrame:
-    return sessions.groupBy(column).agg(F.count("*").alias("n"))
+def count_by(rows: DataFrame, *columns: str, sums: dict[str, str] | None = None) -> DataFrame:
+    """(columns, n): rows by some columns; ``sums`` maps names to columns that are added up, to two decimals."""
+    added = [F.round(F.sum(c), 2).cast("double").alias(name) for name, c in (sums or {}).items()]
+    return rows.groupBy(*columns).agg(F.count("*").alias("n"), *added)
 
 
 def project_summary(sessions: DataFrame) -> DataFrame:

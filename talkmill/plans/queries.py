@@ -735,3 +735,23 @@ def decision_cases(spark, d):
 @query("question_cases", "SELECT * FROM (VALUES " + ", ".join(f"('{i}', {_quoted(text)}, {open_})" for i, (text, asked, open_) in enumerate(QUESTION_CASES) if asked) + ") v(session_id, q, unresolved)")
 def question_cases(spark, d):
     return extract.questions(_cases(spark, QUESTION_CASES)).select("session_id", "q", "unresolved")
+
+
+# --- the same operators over larger tables -----------------------------------------------------
+
+
+@query("orders_recent_paged", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 20 OFFSET 40")
+def orders_recent_paged(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("last_event_at"), F.col("o_orderdate").alias("created_at"))
+    return listing.list_sessions(o, None, 20, 40).select(F.col("session_id").alias("o_orderkey"), F.col("last_event_at").alias("o_orderdate"))
+
+
+@query("lineitem_counts", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2)::DOUBLE AS quantity FROM lineitem GROUP BY ALL")
+def lineitem_counts(spark, d):
+    return stats.count_by(table(spark, d, "lineitem"), "l_returnflag", "l_linestatus", sums={"quantity": "l_quantity"})
+
+
+@query("customer_orders", "SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2)::DOUBLE AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+def customer_orders(spark, d):
+    joined = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return stats.count_by(joined, "n_name", sums={"total": "o_totalprice"})
