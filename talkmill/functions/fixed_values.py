@@ -39,6 +39,10 @@ OPEN_HINT = r"(还没|尚未|待定|再定|不确定|没定|没有结论|后续|
 SYSTEM_TAGS = (
     r"<system-reminder>[\s\S]*?</system-reminder>", r"<user_query>", r"</user_query>", r"<environment_context>[\s\S]*?</environment_context>",
 )
+
+# Names of the log formats' sources and titles of sessions that have none of their own, the key and marks of their texts.
+SLUGGED, HEADED, TASKS, WORKSPACES, TABLE = "claude-code", "codex", "qoder", "trae", "zcode"
+TASK_TITLE, WORKSPACE_TITLE = "Qoder 对话（", "Trae 对话（"
 PROMPT_KEY = "icube-ai-agent-storage-input-history"
 COMPACTION_MARK = "[上下文压缩摘要] "
 WORKFLOW_TITLE = r"(?i)^workflow subagent"

@@ -343,6 +343,24 @@ def growth_of_project(spark, d):
 # --- vectors -----------------------------------------------------------------------------------
 
 
+@query("vector_scoped", """WITH q AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 7), s AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM embeddings, q WHERE vec_id % 3 = 1)
+SELECT vec_id::VARCHAR AS session_id, round(score, 4) AS score FROM s WHERE score >= 0.05 ORDER BY s.score DESC, session_id LIMIT 5""")
+def vector_scoped(spark, d):
+    """Only some sessions are allowed, and some vectors have another length."""
+    v, n = memory.vectors(spark, d), F.col("session_id").cast("long")
+    q = v.filter("session_id = '7'").first().vec
+    odd = v.filter(n % 10 == 1).withColumns({"session_id": F.concat("session_id", F.lit("x")), "vec": F.slice("vec", 1, 3)})
+    allowed = v.filter(n % 3 == 1).select("session_id").unionByName(odd.select("session_id"))
+    return related.vector_search(v.unionByName(odd), q, allowed, 0.05).withColumn("score", F.round("score", 4))
+
+
+@query("search_without_vectors", MEMORY_SQL + ", b AS (SELECT DISTINCT session_id FROM messages WHERE regexp_matches(lower(content), '(^|[^a-z0-9])thing([^a-z0-9]|$)')) SELECT session_id, 'body' AS via FROM b")
+def search_without_vectors(spark, d):
+    """Without vectors a search goes by text alone."""
+    s = memory.sessions(spark, d).withColumn("meta_text", F.lit(""))
+    return search.search_sessions(memory.messages(spark, d), s, "thing", limit=100_000, semantic=related.semantic_hits(None, "thing")).select("session_id", "via")
+
+
 @query("vectors_upserted", MEMORY_SQL + " SELECT session_id, CASE WHEN conv_id % 3 = 0 THEN 'new' ELSE 'old' END AS model, CASE WHEN conv_id % 3 = 0 THEN '2' ELSE '0' END AS embedded_at FROM sessions WHERE conv_id % 3 = 0 OR conv_id % 2 = 0")
 def vectors_upserted(spark, d):
     s, n = memory.sessions(spark, d), F.col("conv_id")

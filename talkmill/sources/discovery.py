@@ -56,7 +56,7 @@ def _name(path: Column) -> Column:
     return F.regexp_extract(path, r"([^\\/]*)$", 1)
 
 
-def slugged_sessions(files: DataFrame, base: str, root: str, source: str = "claude-code") -> DataFrame:
+def slugged_sessions(files: DataFrame, base: str, root: str, source: str = fixed.SLUGGED) -> DataFrame:
     """``<base>/<slug of the root>/<id>.jsonl``."""
     folder = base.rstrip("/") + "/" + "".join("-" if c in "\\/:" else c for c in root) + "/"
     rest = F.substring("path", F.lit(len(folder) + 1), F.length("path"))
@@ -64,7 +64,7 @@ def slugged_sessions(files: DataFrame, base: str, root: str, source: str = "clau
     return _found(own, source, source_session_id=F.regexp_replace(_name(F.col("path")), r"\.jsonl$", ""), source_file=F.col("path"), updated_at=iso(F.col("modified_ms")), size=F.col("size"))
 
 
-def headed_sessions(files: DataFrame, first_lines: DataFrame, titles: DataFrame, root: str, source: str = "codex") -> DataFrame:
+def headed_sessions(files: DataFrame, first_lines: DataFrame, titles: DataFrame, root: str, source: str = fixed.HEADED) -> DataFrame:
     """Files whose first line (path, line) is a session's head with the root as its folder, ignoring case.
 
     The id is the head's or the UUID in the name; titles come from an index of lines ``{id, thread_name}``.
@@ -82,13 +82,13 @@ def headed_sessions(files: DataFrame, first_lines: DataFrame, titles: DataFrame,
     return _found(own, source, source_session_id=F.col("_id"), source_file=F.col("path"), title=F.col("_title"), created_at=F.col("_timestamp"), updated_at=iso(F.col("modified_ms")), size=F.col("size"))
 
 
-def task_sessions(files: DataFrame, line_counts: DataFrame, root: str, source: str = "qoder") -> DataFrame:
+def task_sessions(files: DataFrame, line_counts: DataFrame, root: str, source: str = fixed.TASKS) -> DataFrame:
     """``cache/projects/<folder>-<hex>/conversation-history/<task>/<task>.jsonl`` of the root's folder name with two lines (path, lines) or more."""
     place = r"(?i)[\\/]cache[\\/]projects[\\/]([^\\/]+)-[0-9a-f]{8,}[\\/]conversation-history[\\/]([^\\/]+)[\\/]\2\.jsonl$"
     folder = root.replace("\\", "/").rstrip("/").rsplit("/", 1)[-1].lower()
     own = files.filter(F.lower(F.regexp_extract("path", place, 1)) == folder).join(line_counts.filter("lines >= 2").select("path"), "path", "left_semi")
     task = F.regexp_extract("path", place, 2)
-    return _found(own, source, source_session_id=task, source_file=F.col("path"), title=F.concat(F.lit("Qoder 对话（"), task, F.lit("）")), updated_at=iso(F.col("modified_ms")), size=F.col("size"))
+    return _found(own, source, source_session_id=task, source_file=F.col("path"), title=F.concat(F.lit(fixed.TASK_TITLE), task, F.lit("）")), updated_at=iso(F.col("modified_ms")), size=F.col("size"))
 
 
 def workspace_path(text: Column) -> Column:
@@ -97,14 +97,14 @@ def workspace_path(text: Column) -> Column:
     return F.when(raw.startswith("file:///"), F.url_decode(F.regexp_replace(F.substring(raw, F.lit(9), F.length(raw)), r"\+", "%2B")))
 
 
-def workspace_sessions(workspaces: DataFrame, root: str, key: str = fixed.PROMPT_KEY, source: str = "trae") -> DataFrame:
+def workspace_sessions(workspaces: DataFrame, root: str, key: str = fixed.PROMPT_KEY, source: str = fixed.WORKSPACES) -> DataFrame:
     """Rows (workspace, path, text, key, value, modified_ms) of workspaces at the root whose prompt history is not empty."""
     own = workspaces.filter((F.lower(workspace_path(F.col("text"))) == root.lower()) & (F.col("key") == key) & (F.length("value") > 10))
-    title = F.concat(F.lit("Trae 对话（"), F.substring("workspace", 1, 8), F.lit("）"))
-    return _found(own, source, source_session_id=F.concat(F.lit("trae-"), "workspace"), source_file=F.col("path"), title=title, updated_at=iso(F.col("modified_ms")))
+    title = F.concat(F.lit(fixed.WORKSPACE_TITLE), F.substring("workspace", 1, 8), F.lit("）"))
+    return _found(own, source, source_session_id=F.concat(F.lit(f"{source}-"), "workspace"), source_file=F.col("path"), title=title, updated_at=iso(F.col("modified_ms")))
 
 
-def table_sessions(sessions: DataFrame, root: str, source: str = "zcode") -> DataFrame:
+def table_sessions(sessions: DataFrame, root: str, source: str = fixed.TABLE) -> DataFrame:
     """Rows (id, title, directory, time_created, time_updated) of a session table at the root, ignoring case; program-made ones are marked."""
     own = sessions.filter(F.lower("directory") == root.lower())
     origin = F.when(F.coalesce(F.col("title"), F.lit("")).rlike(fixed.WORKFLOW_TITLE), "workflow")
