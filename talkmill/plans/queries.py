@@ -410,15 +410,26 @@ def with_secrets(spark, d):
     return table(spark, d, "documents").select("doc_id", F.concat("text", F.lit(" "), planted).alias("text"))
 
 
-@query("redact_counts", f"{SECRET_SQL} SELECT doc_id, coalesce(c0 + c1 + c2 + c3 + c4, 0)::BIGINT AS n FROM r5")
+PLAIN_SQL = "WITH " + redacted_sql("documents", "doc_id", "text")
+
+
+@query("redact_planted", f"{SECRET_SQL} SELECT doc_id, c0 AS a, c1 AS b, c2 AS c, c3 AS d, c4 AS e, sha256(t) AS digest FROM r5")
+def redact_planted(spark, d):
+    """Each pattern's matches, and the text that is left, where every kind of secret occurs."""
+    names = zip("abcde", [n.replace("-", "_") for n, *_ in fixed.REDACTIONS], strict=True)
+    rows = with_secrets(spark, d).select("doc_id", X.redaction_counts(F.col("text")).alias("x"), F.sha2(X.redact(F.col("text")), 256).alias("digest"))
+    return rows.select("doc_id", *[F.col(f"x.{n}").alias(c) for c, n in names], "digest")
+
+
+@query("redact_counts", f"{PLAIN_SQL} SELECT doc_id, coalesce(c0 + c1 + c2 + c3 + c4, 0)::BIGINT AS n FROM r5")
 def redact_counts(spark, d):
-    rows = with_secrets(spark, d).select("doc_id", X.redaction_counts(F.col("text")).alias("c"))
+    rows = table(spark, d, "documents").select("doc_id", X.redaction_counts(F.col("text")).alias("c"))
     return rows.select("doc_id", sum(F.coalesce(f"c.{name.replace('-', '_')}", F.lit(0)) for name, *_ in fixed.REDACTIONS).cast("long").alias("n"))
 
 
-@query("redact_text", f"{SECRET_SQL} SELECT doc_id, sha256(t) AS digest FROM r5")
+@query("redact_text", f"{PLAIN_SQL} SELECT doc_id, sha256(t) AS digest FROM r5")
 def redact_text(spark, d):
-    return with_secrets(spark, d).select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("digest"))
+    return table(spark, d, "documents").select("doc_id", F.sha2(X.redact(F.col("text")), 256).alias("digest"))
 
 
 # RE2 knows no (?!\n): runs of line feeds are matched whole and stay.
@@ -702,9 +713,9 @@ def timeline(spark, d):
     return exchange.timeline(memory.sessions(spark, d))
 
 
-@query("redaction_report", SECRET_SQL + " ".join(f"{'UNION ALL' if i else ''} SELECT doc_id::VARCHAR AS session_id, 1::BIGINT AS seq_num, '{n}' AS pattern, c{i} AS n FROM r5 WHERE c{i} > 0" for i, (n, *_) in enumerate(fixed.REDACTIONS)))
+@query("redaction_report", PLAIN_SQL + " ".join(f"{'UNION ALL' if i else ''} SELECT doc_id::VARCHAR AS session_id, 1::BIGINT AS seq_num, '{n}' AS pattern, c{i} AS n FROM r5 WHERE c{i} > 0" for i, (n, *_) in enumerate(fixed.REDACTIONS)))
 def redaction_report(spark, d):
-    rows = with_secrets(spark, d).select(F.col("doc_id").cast("string").alias("session_id"), F.lit(1).cast("long").alias("seq_num"), F.col("text").alias("content"))
+    rows = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("session_id"), F.lit(1).cast("long").alias("seq_num"), F.col("text").alias("content"))
     return exchange.redaction_report(rows)
 
 
