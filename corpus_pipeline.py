@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talkmill.llm import mixing, near_dups, packing, quality, repeats
-from talkmill.llm.common import durable, table
+from talkmill.llm.common import discard, durable, table
 from talkmill.llm.tokens import DEFAULT_TOKENIZER
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -81,6 +81,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        earlier, docs = docs, durable(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            discard(earlier)  # the next stage's rows are written
     return STAGES[-1][1](spark, docs, sf_dir)
