@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from talkmill.llm.common import durable, free_caches, join_skewed, table
 from talkmill.llm.components import connected_components
-from talkmill.llm.hashing import in_slices, mix, shingle_sets
+from talkmill.llm.hashing import Base, draw, in_slices, mix, shingle_sets
 
 SHINGLE = 5
 #: Symbols (of 8 bits) of a chunk, and how many of them may differ.
@@ -73,7 +73,7 @@ def stars(keys: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[new], ids[new], pairs[:, 0], pairs[:, 1]
 
 
-def sketch(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+def sketch(docs: DataFrame, percent: int, key: str, text: str, base: Base) -> DataFrame:
     """(doc_id, n_shingles, set_a, set_b, sig): size, 128-bit digest and signature of each text's set."""
     symbols = n_chunks(percent) * CHUNK
 
@@ -82,7 +82,7 @@ def sketch(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).to_pylist()]
             for at, to in in_slices(texts):
-                sets = shingle_sets(texts[at:to], SHINGLE)
+                sets = shingle_sets(texts[at:to], base, SHINGLE)
                 sums = [(int(s.sum()), int((mix(s + _U(1))).sum())) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -141,12 +141,12 @@ def candidate_edges(reps: DataFrame) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
-def links_within(texts: list[bytes], blocks: np.ndarray, percent: int) -> list[tuple[int, int]]:
+def links_within(texts: list[bytes], blocks: np.ndarray, percent: int, base: Base) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 * intersection >= percent * union, by exact counts over posting lists.
 
     If there are two blocks, only pairs of both are counted.
     """
-    sets = [s for at, to in in_slices(texts) for s in shingle_sets(texts[at:to], SHINGLE)]
+    sets = [s for at, to in in_slices(texts) for s in shingle_sets(texts[at:to], base, SHINGLE)]
     sizes = np.array([len(s) for s in sets])
     who = np.repeat(np.arange(len(sets)), sizes)
     values = np.concatenate(sets) if len(sets) else np.zeros(0, _U)
@@ -212,7 +212,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
     same doc_id are the same document. Rows with a null doc_id are returned with a null component_id
     and kept, linked with nothing. Other columns are not read; an empty table gives an empty result.
     """
-    known = durable(sketch(docs, percent, key, text), "sketch")
+    base = draw()
+    known = durable(sketch(docs, percent, key, text, base), "sketch")
     classes = known.filter("n_shingles > 0 and doc_id is not null").groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     full = known.filter("n_shingles > 0").alias("k")
     reps = full.join(classes.alias("c"), F.expr("k.doc_id = c.rep and k.set_a = c.set_a and k.set_b = c.set_b"), "left_semi").dropDuplicates(["doc_id", "set_a"])
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, key: str = "doc_id", tex
 
     def verify(group: pa.Table) -> pa.Table:
         ids = group.column("doc_id").to_numpy()
-        forest = links_within([x or b"" for x in group.column("text").to_pylist()], group.column("block").to_numpy(), percent)
+        forest = links_within([x or b"" for x in group.column("text").to_pylist()], group.column("block").to_numpy(), percent, base)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in forest], pa.int64()), "b": pa.array([int(ids[j]) for _, j in forest], pa.int64())})
 
     def compared(units: DataFrame, label: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkmill.llm.common import free_caches, table
-from talkmill.llm.hashing import in_slices, word_hashes
+from talkmill.llm.hashing import FIXED_BASE, in_slices, mix, word_hashes
 
 #: Labelled rows that the model is fitted on, at most; chosen by hash.
 TRAIN_ROWS = 20_000
@@ -32,7 +32,8 @@ def features(texts: list[bytes]) -> np.ndarray:
     """(texts, N_FEATURES): roots of the byte classes' shares, repetition of words and lines, word length, length; roots of the hashed words' shares."""
     out = np.zeros((len(texts), N_FEATURES))
     for at, to in in_slices(texts):
-        hashes, counts = word_hashes(texts[at:to])
+        hashes, counts = word_hashes(texts[at:to], FIXED_BASE)
+        hashes = mix(hashes)
         ends = np.cumsum(counts)
         for i, (n, end) in enumerate(zip(counts.tolist(), ends.tolist(), strict=True), at):
             text = texts[i]
@@ -101,20 +102,23 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
 def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
     """Fits on at most ``most`` labelled documents, those with the smallest hash of doc_id, held-out ones never.
 
-    A document labelled twice counts with its smallest label; null labels don't count.
+    A document labelled twice counts with its smallest label; null labels don't count. Of rows with the same
+    doc_id the one with the smallest hash of its text counts, so no more rows than labels reach the driver.
     """
     chosen = (
         labels.filter("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
         .filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     )
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("quality", "text")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def measure(batches):
         for batch in batches:
             x = features([t or b"" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())], ["quality", "x"])
+            told = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), batch.column(3), told], ["doc_id", "quality", "h", "x"])
 
-    got = rows.mapInArrow(measure, "quality int, x binary").toPandas()
+    measured = rows.select("doc_id", "text", "quality", F.xxhash64("text").alias("h")).mapInArrow(measure, "doc_id long, quality int, h long, x binary")
+    got = measured.groupBy("doc_id").agg(F.min(F.struct("h", "quality", "x")).alias("one")).select("one.quality", "one.x").toPandas()
     x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, N_FEATURES).astype(float)
     order = np.lexsort(x.T)  # the order in which rows arrive doesn't matter
     return fit(x[order], got["quality"].to_numpy()[order])

@@ -5,8 +5,9 @@ Suffixes matter only to the depth ``length``: two are in the same class if they
 sampled positions whose shorter strings are equal, whatever the two offsets are. So the sample's classes
 are found first (the ranks of the cover), and the suffixes that no repeated sample reaches are never
 sorted. The others are dealt to buckets by the leading bits of their strings' 64-bit fingerprint and each
-bucket is sorted by itself; equal fingerprints are equal strings (of n strings compared, a wrong match
-has a chance of n * n / 2 ** 65).
+bucket is sorted by itself; equal fingerprints are taken for equal strings. The fingerprint is a polynomial modulo
+2 ** 61 - 1 in a base drawn for each run: any two different strings, whatever they hold, match with a chance
+of LENGTH / 2 ** 61 at most.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkmill.llm.common import durable, free_caches, scratch_table, table
-from talkmill.llm.hashing import in_slices, windows
+from talkmill.llm.hashing import draw, in_slices, windows
 
 LENGTH = 200
 #: A perfect difference cover: every difference modulo PERIOD is that of two members.
@@ -43,8 +44,8 @@ def ddl(schema: pa.Schema) -> str:
 class Batch:
     """The texts of one batch, in slices that fit a cache."""
 
-    def __init__(self, texts: list[bytes]):
-        self.slices = []
+    def __init__(self, texts: list[bytes], base: int):
+        self.slices, self.base = [], base
         for at, to in in_slices(texts):
             ends = np.cumsum([len(t) for t in texts[at:to]])
             self.slices.append((np.frombuffer(b"".join(texts[at:to]), np.uint8), np.concatenate([[0], ends[:-1]]), ends))
@@ -58,7 +59,7 @@ class Batch:
             at = (base[:, None] + np.array(COVER)).ravel()
             at = at[at + short <= np.repeat(np.repeat(ends, periods), len(COVER))]
             where.append(at)
-            keys.append(windows(buf, at, short))
+            keys.append(windows(buf, at, short, self.base))
         return where, np.concatenate(keys) if keys else np.zeros(0, _U)
 
     def candidates(self, where: list, repeated: np.ndarray):
@@ -79,7 +80,7 @@ class Batch:
         return out
 
     def hashes(self, positions: list) -> np.ndarray:
-        found = [windows(buf, p, LENGTH) for (buf, _, _), p in zip(self.slices, positions, strict=True)]
+        found = [windows(buf, p, LENGTH, self.base) for (buf, _, _), p in zip(self.slices, positions, strict=True)]
         return np.concatenate(found) if found else np.zeros(0, _U)
 
 
@@ -211,18 +212,18 @@ def remove_repeats(docs: DataFrame, text: str = "text", whole_characters: bool =
     """
     docs = docs.drop(*[c for c in ("body", "batch", "row", "n_bytes", "spans", "kept") if c != text])
     stored, buckets = dealt(docs, text)
-    bodies = stored.select("batch", "row", "body")
+    bodies, base = stored.select("batch", "row", "body"), draw().byte
 
     def sample(group: pa.Table) -> pa.Table:
         free_caches()
         texts, _ = texts_of(group)
-        keys, counts = np.unique(Batch(texts).samples()[1], return_counts=True)
+        keys, counts = np.unique(Batch(texts, base).samples()[1], return_counts=True)
         return messages(group.column("batch")[0].as_py(), keys, counts, buckets, False)
 
     def suffixes(group: pa.Table, replies: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.table({c: [] for c in MESSAGE.names}, MESSAGE)
-        own = Batch(texts_of(group)[0])
+        own = Batch(texts_of(group)[0], base)
         where, keys = own.samples()
         distinct, back = np.unique(keys, return_inverse=True)
         found = own.candidates(where, flags(replies, 1, len(distinct))[back])
@@ -234,7 +235,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", whole_characters: bool =
 
     def cut(group: pa.Table, replies: pa.Table) -> pa.Table:
         texts, order = texts_of(group)
-        own = Batch(texts)
+        own = Batch(texts, base)
         runs = [r["bits"] for r in replies.to_pylist() if r["bucket"] == -1]
         found = unpack_runs(runs[0]) if runs else [np.zeros(0, np.int64)] * len(own.slices)
         distinct, back = np.unique(own.hashes(found), return_inverse=True)

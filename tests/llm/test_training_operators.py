@@ -376,8 +376,48 @@ def test_windows_hash_equal_bytes_alike():
     buf = np.frombuffer(b"abcabcabd" * 50, np.uint8)
     starts = np.arange(len(buf) - 20)
     for chunk in (7, 1 << 19):
-        h = hashing.windows(buf, starts, 20, chunk)
+        h = hashing.windows(buf, starts, 20, hashing.draw().byte, chunk)
         groups = collections.defaultdict(set)
         for i in starts:
             groups[bytes(buf[i : i + 20])].add(int(h[i]))
         assert all(len(g) == 1 for g in groups.values()) and len({min(g) for g in groups.values()}) == len(groups)
+
+
+def test_hash_is_the_polynomial(monkeypatch):
+    monkeypatch.setattr(hashing, "LONGEST_SUM", 7)
+    base, data = hashing.draw().byte, bytes(random.Random(3).randbytes(300))
+    starts, ends = np.array([0, 5, 5, 250, 299]), np.array([300, 5, 17, 299, 300])
+    want = [sum((x + 1) * pow(base, i, hashing.PRIME) for i, x in enumerate(data[a:b])) % hashing.PRIME for a, b in zip(starts, ends, strict=True)]
+    assert hashing.spans(np.frombuffer(data, np.uint8), starts, ends, base).tolist() == want
+    a, b = (np.random.default_rng(i).integers(0, hashing.PRIME, 500, dtype=np.uint64) for i in (1, 2))
+    assert hashing.times(a, b).tolist() == [x * y % hashing.PRIME for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+#: Thue-Morse ordered bytes, for which polynomials modulo a power of two are equal whatever the base.
+MORSE_TEXTS = [
+    "abcdeo..o.oo..oo.o..o.oo.o..oo..o.oo.U::U:UU::UU:U::U:UU:U::UU::U:UU:qccqcqqccqqcqccqcqqcqccqqccqcqqcr&&r&rr&&rr&r&&r&rr&r&&rr&&r&rr&The quick brown fox jumps over the lazy dog, then sleeps near a river. O",
+    "abcde.oo.o..oo..o.oo.o..o.oo..oo.o..o:UU:U::UU::U:UU:U::U:UU::UU:U::Ucqqcqccqqccqcqqcqccqcqqccqqcqccq&rr&r&&rr&&r&rr&r&&r&rr&&rr&r&&rThe quick brown fox jumps over the lazy dog, then sleeps near a river. O",
+]
+MORSE_WORDS = [
+    "q33q3qq33qq3q33q3qq3q33qq33q3qq33qq3q33qq33q3qq3q33q3qq33qq3q33q*uu*u**uu**u*uu*u**u*uu**uu*u**uu**u*uu**uu*u**u*uu*u**uu**u*uu*#..#.##..##.#..#.##.#..##..#.##..##.#..##..#.##.#..#.##..##.#..#",
+    "3qq3q33qq33q3qq3q33q3qq33qq3q33qq33q3qq33qq3q33q3qq3q33qq33q3qq3u**u*uu**uu*u**u*uu*u**uu**u*uu**uu*u**uu**u*uu*u**u*uu**uu*u**u.##.#..##..#.##.#..#.##..##.#..##..##.#..##.#..##.#..##..#.##.",
+]
+
+
+def test_ordered_texts_are_told_apart(spark):
+    frame = spark.createDataFrame(list(enumerate(MORSE_TEXTS)), "doc_id long, text string")
+    assert [(r.spans, bytes(r.kept).decode()) for r in repeats.remove_repeats(frame).orderBy("doc_id").collect()] == [([], t) for t in MORSE_TEXTS]
+    words = spark.createDataFrame([(i, f"one two {w} four five six seven") for i, w in enumerate(MORSE_WORDS)], "doc_id long, text string")
+    assert [r.component_id for r in near_dups.near_duplicates(words, 80).orderBy("doc_id").collect()] == [0, 1]
+
+
+def test_quality_is_trained_on_one_row_a_document(spark):
+    docs = spark.createDataFrame([(i, f"word {i} " * 9) for i in range(40)] + [(1, f"again {i}") for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    sizes = []
+    fit, quality.fit = quality.fit, lambda x, y: sizes.append(len(y)) or fit(x, y)
+    try:
+        quality.train(docs, labels)
+    finally:
+        quality.fit = fit
+    assert sizes and sizes[0] <= 40
