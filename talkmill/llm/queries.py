@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from talkmill.llm import chat_format, fingerprints, mixing, near_dups, neighbours, packing, quality, repeats, tokens, url_filter
+from talkmill.llm import align, chat_format, divergence, fingerprints, license_scan, mixing, near_dups, neighbours, packing, quality, repeats, tokens, url_filter
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_format": chat_format.op8_chat_format,
     "op9_mixing": mixing.op9_mixing,
     "op10_near_duplicates": near_dups.op10_near_duplicates,
+    "op11_token_alignment": align.op11_token_alignment,
+    "op12_license_scan": license_scan.op12_license_scan,
+    "op13_source_divergence": divergence.op13_source_divergence,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op5_repeats": repeats.OP5_SQL,
     "op8_chat_format": chat_format.OP8_SQL,
     "op10_near_duplicates": near_dups.OP10_SQL,
+    "op12_license_scan": license_scan.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
 }
