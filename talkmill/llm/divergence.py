@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ TOP_TERMS = 10
 SOURCES_PER_BLOCK = 64
 #: Entries and bytes of terms that a task gathers before it sends them on.
 FLUSH_TERMS, FLUSH_BYTES = 200_000, 16 << 20
+#: More than the occurrences of a term that a task gathers before it sends them on.
+DOC = 1 << 40
 #: Bytes of a text whose terms are listed at once.
 PIECE = 1 << 20
 
@@ -43,36 +46,38 @@ def terms_of(text: bytes) -> Counter:
     return found
 
 
+def as_text(terms: list[bytes | None]) -> pa.Array:
+    try:
+        return pa.array(terms, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that are no UTF-8
+        return pa.array([t if t is None else t.decode("utf-8", "replace") for t in terms], pa.string())
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, d): occurrences and documents, summed by each task as far as FLUSH_TERMS go; a row with a null term for each source met."""
 
     def run(batches):
         free_caches()
-        occurs, holds = defaultdict(Counter), defaultdict(Counter)
+        # For each source and term: documents times DOC and occurrences, in one number.
+        met: dict[tuple[str, str], dict[bytes, int]] = defaultdict(dict)
         size, entries = 0, 0
 
         def flush():
-            for (lang, source), counts in occurs.items():
-                known = list(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * (len(known) + 1)), pa.array([source] * (len(known) + 1)), pa.array([None, *[t.decode("utf-8", "replace") for t in known]], pa.string()),
-                        pa.array([0, *counts.values()], pa.int64()), pa.array([0, *[holds[lang, source][t] for t in known]], pa.int64()),
-                    ],
-                    ["lang", "source", "term", "n", "d"],
-                )
-            occurs.clear()
-            holds.clear()
+            for (lang, source), counts in met.items():
+                told, n = np.fromiter(counts.values(), np.int64, len(counts)), len(counts) + 1
+                columns = [as_text([None, *counts]), np.append(0, told % DOC), np.append(0, told // DOC)]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([source] * n), *map(pa.array, columns)], ["lang", "source", "term", "n", "d"])
+            met.clear()
 
         for batch in batches:
             for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own, docs_of = occurs[lang, source], holds[lang, source]
-                before, found = len(own), terms_of(text.lower())
-                own.update(found)
-                docs_of.update(found.keys())
-                if len(own) > before:
-                    entries += len(own) - before
-                    size += sum(map(len, found)) * (len(own) - before) // len(found)
+                own, found = met[lang, source], terms_of(text.lower())
+                before, get = len(own), own.get
+                for term, n in found.items():
+                    own[term] = get(term, 0) + n + DOC
+                if more := len(own) - before:
+                    entries += more
+                    size += sum(map(len, found)) * more // len(found)
                 if entries > FLUSH_TERMS or size > FLUSH_BYTES:
                     yield from flush()
                     size, entries = 0, 0
