@@ -106,12 +106,14 @@ def cleanup_log(plan: DataFrame, log_id: int, now: str, hard: bool = False) -> t
     return log, plan.filter("archived").select(F.lit(log_id).cast("long").alias("log_id"), "session_id", "est_bytes")
 
 
-def cleanup_history(log: DataFrame, details: DataFrame | None = None, session_prefix: str | None = None, last: int = 20) -> DataFrame:
-    """The latest archive runs, or those that touched a session whose id starts with ``session_prefix``."""
+def cleanup_history(log: DataFrame, details: DataFrame | None = None, session_prefix: str | None = None, last: int | None = 20) -> DataFrame:
+    """The latest archive runs, or those that touched a session whose id starts with ``session_prefix``; all of them if ``last`` is None."""
     if session_prefix is None:
-        return log.orderBy(F.desc("log_id")).limit(last)
+        rows = log.orderBy(F.desc("log_id"))
+        return rows if last is None else rows.limit(last)
     mine = details.filter(F.col("session_id").startswith(session_prefix)).select("log_id", "session_id", F.col("est_bytes").alias("session_bytes"))
-    return log.join(mine, "log_id").orderBy(F.desc("log_id"), "session_id").limit(last)
+    rows = log.join(mine, "log_id").orderBy(F.desc("log_id"), "session_id")
+    return rows if last is None else rows.limit(last)
 
 
 def snapshot(sessions: DataFrame) -> DataFrame:

@@ -7,12 +7,12 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talkmill.functions.fixed_values import BM25_B, BM25_K1, META_WEIGHT
 from talkmill.functions.text import excerpt, index_terms, segment, term_counts
+from talkmill.sources.shared import written
 
 HAN = re.compile(r"[㐀-䶿一-鿿豈-﫿]")
 RUN = re.compile(r"[㐀-䶿一-鿿豈-﫿]+|[a-z0-9_][a-z0-9_./\-]*")
@@ -68,51 +68,80 @@ def top_documents(docs: DataFrame, query: str, key: str = "doc_id", text: str =
     return with_tf.select(key, reduce(lambda a, b: a + b, scores).alias("score")).filter("score is not null").orderBy(F.desc("score"), key).limit(limit)
 
 
-def session_hits(messages: DataFrame, sessions: DataFrame, query: str, where: Column | None = None) -> DataFrame:
-    """(session_id, units hit, score, coverage, first unit's best seq and text, required) of the sessions that ``where`` keeps.
+def best_of_messages(messages: DataFrame, sessions: DataFrame, units: list[list[str]], where: Column | None = None) -> DataFrame:
+    """(session_id, b0, b1, ...): for each unit the best message, struct(s, m, text) of its score, minus its seq and its text; by a scan of all messages.
 
-    A session's score for a unit is the best of its messages; its score is the sum over units. The
-    excerpt is taken from the first unit that hits. ``required``: all units from the first that hits
-    anywhere are hit. Statistics span all messages, whatever ``where`` says.
+    Sessions that ``where`` leaves out are left out; statistics span all messages, whatever it says.
     """
-    units = parse_query(query)
     with_tf, corpus = counted(messages, "content", units)
     scored = with_tf.withColumns({f"_s{i}": bm25(F.col(f"_tf{i}"), F.col("_len"), corpus, n) for i, n in enumerate(corpus.holding)})
     some = reduce(lambda a, b: a | b, [F.col(f"_s{i}").isNotNull() for i in range(len(units))])
     kept = scored.filter(some).join(sessions.filter(where if where is not None else F.lit(True)).select("session_id"), "session_id", "left_semi")
     best = lambda i: F.max(F.struct(F.col(f"_s{i}").alias("s"), (-F.col("seq_num")).alias("m"), F.col("content").alias("text")))
-    per = kept.groupBy("session_id").agg(
-        *[F.max(f"_s{i}").alias(f"u{i}") for i in range(len(units))], *[best(i).alias(f"b{i}") for i in range(len(units))]
-    ).persist(StorageLevel.DISK_ONLY)
-    hit = [F.col(f"u{i}").isNotNull() for i in range(len(units))]
-    totals = per.agg(*[F.count(f"u{i}") for i in range(len(units))]).first()
-    first = next((i for i, n in enumerate(totals) if n), 0)
-    lead = F.coalesce(*[F.when(h, F.col(f"b{i}")) for i, h in enumerate(hit)])
-    return per.select(
+    return written(kept.groupBy("session_id").agg(*[best(i).alias(f"b{i}") for i in range(len(units))]), "session-bests")
+
+
+def resolved(per: DataFrame, units: int) -> tuple[DataFrame, bool]:
+    """((session_id, score, coverage, lead, required), whether some session is required) from each session's best messages b0, b1, ...
+
+    A session's score is the sum of its units' best ones. ``lead`` is the best message for the first unit that it hits. ``required``: all
+    units from the first that any session hits are hit. One aggregate of a single row decides that.
+    """
+    hit = [F.col(f"b{i}.s").isNotNull() for i in range(units)]
+    from_there = [reduce(lambda a, b: a & b, hit[i:]) for i in range(units)]
+    told = per.agg(*[F.count(F.when(h, 1)) for h in hit], *[F.max(x.cast("int")) for x in from_there]).first()
+    first = next((i for i in range(units) if told[i]), 0)
+    hits = per.select(
         "session_id",
-        reduce(lambda a, b: a + b, [F.coalesce(f"u{i}", F.lit(0.0)) for i in range(len(units))]).alias("score"),
-        (reduce(lambda a, b: a + b, [h.cast("int") for h in hit]) / F.lit(float(len(units)))).alias("coverage"),
-        (-lead["m"]).alias("seq"),
-        excerpt(lead["text"], F.lit("".join(units[0]))).alias("snippet"),
-        reduce(lambda a, b: a & b, hit[first:]).alias("required"),
+        reduce(lambda a, b: a + b, [F.coalesce(f"b{i}.s", F.lit(0.0)) for i in range(units)]).alias("score"),
+        (reduce(lambda a, b: a + b, [h.cast("int") for h in hit]) / F.lit(float(units))).alias("coverage"),
+        F.coalesce(*[F.when(h, F.col(f"b{i}")) for i, h in enumerate(hit)]).alias("lead"),
+        from_there[first].alias("required"),
     )
+    return hits, told[units + first] == 1
+
+
+def with_meta(hits: DataFrame, every: bool, named: DataFrame, columns: list[str]) -> DataFrame:
+    """Body hits, and after them ``named`` (session_id, score): sessions that only their metadata names, at half the score."""
+    body = hits.filter("required") if every else hits
+    body = body.select("session_id", "score", "coverage", *columns, F.lit("body").alias("via"))
+    covered = hits.select(F.col("session_id").alias("_id"), F.col("coverage").alias("_coverage"))
+    meta = named.join(body.select("session_id"), "session_id", "left_anti").join(covered, F.col("session_id") == F.col("_id"), "left")
+    blank = [F.lit("" if c == "snippet" else 0).cast(hits.schema[c].dataType).alias(c) for c in columns]
+    return body.unionByName(meta.select("session_id", (F.col("score") * META_WEIGHT).alias("score"), F.coalesce("_coverage", F.lit(0.0)).alias("coverage"), *blank, F.lit("meta").alias("via")))
 
 
 def body_and_meta_hits(messages: DataFrame, sessions: DataFrame, query: str, where: Column | None = None) -> tuple[DataFrame, bool]:
     """((session_id, score, coverage, seq, snippet, via) of all hits, without limit or order; whether some session covers all units)."""
-    hits = session_hits(messages, sessions, query, where).persist(StorageLevel.DISK_ONLY)
-    every = hits.agg(F.max(F.col("required").cast("int"))).first()[0] == 1
-    body = hits.filter("required") if every else hits
-    body = body.select("session_id", "score", "coverage", F.col("seq").cast("long").alias("seq"), "snippet", F.lit("body").alias("via"))
     units = parse_query(query)
+    hits, every = resolved(best_of_messages(messages, sessions, units, where), len(units))
+    hits = hits.withColumns({"seq": (-F.col("lead.m")).cast("long"), "snippet": excerpt(F.col("lead.text"), F.lit("".join(units[0])))})
     named, corpus = counted(sessions, "meta_text", units)
     scores = [F.coalesce(bm25(F.col(f"_tf{i}"), F.col("_len"), corpus, n), F.lit(0.0)) for i, n in enumerate(corpus.holding)]
     meta = named.filter(where if where is not None else F.lit(True))
-    meta = meta.select("session_id", (F.greatest(*scores, F.lit(0.0)) * META_WEIGHT).alias("score")).filter("score > 0")
-    covered = hits.select(F.col("session_id").alias("_id"), F.col("coverage").alias("_coverage"))
-    meta = meta.join(body.select("session_id"), "session_id", "left_anti").join(covered, F.col("session_id") == F.col("_id"), "left")
-    meta = meta.select("session_id", "score", F.coalesce("_coverage", F.lit(0.0)).alias("coverage"), F.lit(0).cast("long").alias("seq"), F.lit("").alias("snippet"), F.lit("meta").alias("via"))
-    return body.unionByName(meta), every
+    meta = meta.select("session_id", F.greatest(*scores, F.lit(0.0)).alias("score")).filter("score > 0")
+    return with_meta(hits, every, meta, ["seq", "snippet"]), every
+
+
+def ordered(found: DataFrame, every: bool, limit: int) -> DataFrame:
+    """The first ``limit`` hits, with their position from 1; ``_late`` ones come after all others."""
+    order = ["score", "coverage"] if every else ["coverage", "score"]
+    keys = [F.col("_late"), *[F.when(F.col("_late") == 1, F.col("score")).otherwise(F.col(c)).desc() for c in order], F.col("session_id")]
+    # At most ``limit`` rows are numbered.
+    return found.orderBy(*keys).limit(limit).withColumn("position", F.row_number().over(Window.orderBy(*keys))).drop("_late")
+
+
+def with_semantic(hits: DataFrame, semantic: DataFrame | None, sessions: DataFrame) -> DataFrame:
+    """``hits`` and then, marked ``_late``, the ``semantic`` (session_id, score) ones that are not there yet, with their title for a snippet."""
+    found = hits.withColumn("_late", F.lit(0))
+    if semantic is None:
+        return found
+    extra = semantic.join(found.select("session_id"), "session_id", "left_anti").join(sessions.select("session_id", "title"), "session_id", "left")
+    extra = extra.select(
+        "session_id", "score", F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("seq"), F.coalesce("title", F.lit("")).alias("snippet"),
+        F.lit("semantic").alias("via"), F.lit(1).alias("_late"),
+    )
+    return found.unionByName(extra)
 
 
 def search_sessions(
@@ -131,19 +160,7 @@ def search_sessions(
     if limit < 0:
         raise ValueError("limit must not be negative")
     hits, every = body_and_meta_hits(messages, sessions, query, where)
-    found = hits.withColumn("_late", F.lit(0))
-    if semantic is not None:
-        extra = semantic.join(found.select("session_id"), "session_id", "left_anti").join(sessions.select("session_id", "title"), "session_id", "left")
-        extra = extra.select(
-            "session_id", "score", F.lit(0.0).alias("coverage"), F.lit(0).cast("long").alias("seq"), F.coalesce("title", F.lit("")).alias("snippet"),
-            F.lit("semantic").alias("via"), F.lit(1).alias("_late"),
-        )
-        found = found.unionByName(extra)
-    order = ["score", "coverage"] if every else ["coverage", "score"]
-    keys = [F.col("_late"), *[F.when(F.col("_late") == 1, F.col("score")).otherwise(F.col(c)).desc() for c in order], F.col("session_id")]
-    top = found.orderBy(*keys).limit(limit)
-    # At most ``limit`` rows are numbered.
-    return top.withColumn("position", F.row_number().over(Window.orderBy(*keys))).drop("_late")
+    return ordered(with_semantic(hits, semantic, sessions), every, limit)
 
 
 def meta_text(title: Column, topics: Column, decisions: Column | None = None, tags: Column | None = None, summary: Column | None = None) -> Column:
@@ -182,6 +199,11 @@ def phrase_in_postings(index: DataFrame, key: str, unit: list[str]) -> DataFrame
     return whole.groupBy(key).agg(F.count("*").alias("n"))
 
 
+def file_query(path: str) -> str:
+    """A quoted search for a path, with forward slashes."""
+    return '"' + path.replace("\\", "/").replace('"', "") + '"'
+
+
 def file_history(messages: DataFrame, sessions: DataFrame, path: str, where: Column | None = None, limit: int = 20) -> DataFrame:
-    """Sessions that name a file: a quoted search for its path with forward slashes."""
-    return search_sessions(messages, sessions, '"' + path.replace("\\", "/").replace('"', "") + '"', where, limit)
+    """Sessions that name a file."""
+    return search_sessions(messages, sessions, file_query(path), where, limit)

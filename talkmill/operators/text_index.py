@@ -1,93 +1,260 @@
-"""An inverted index that is kept and searched: postings by term, lengths by document, statistics by an aggregate of counts.
+"""An inverted index that is kept: immutable segments of postings, deletions apart, statistics in the manifest.
 
-The index is two tables in a folder: ``postings`` (term, key, positions), laid out in parts by a hash of the term so that a
-query reads the parts of its terms alone, and ``lengths`` (key, length). Adding documents rewrites the rows of
-those documents; a document that is there already is replaced, one without text removed.
+Rows (key, seq, text) are documents, or messages of a session: a key may have many. Each commit adds one segment:
+
+- ``postings`` (term, key, seq, length, lead, positions) and ``heads`` (term, key, n, entries), what ranking needs: the rows of the
+  key that hold the term, and for each count of it in a row the shortest such row. The best score of a key follows from
+  the heads whatever the corpus statistics are by then, without a look at its rows.
+- both are dealt by ranges of (term, key): a frequent term is cut by key, and no file has more than ROWS_PER_FILE rows.
+  ``files`` lists each file's range, so a query opens the files of its terms alone.
+- ``sizes`` (key, rows, length), and ``deleted`` (key): keys of earlier segments that are gone or have come anew.
+
+Adding, changing and removing write one new segment and read, of earlier ones, the sizes of the keys that go. The newest
+segments are merged before they are many; a merge drops what is deleted.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talkmill.functions.text import index_terms
+from talkmill.operators.commits import Commits
 from talkmill.operators.search import Corpus, bm25, parse_query
 
-#: Parts by which postings are laid out.
-PARTS = 64
+#: Rows of a file, at most.
+ROWS_PER_FILE = 1_000_000
+#: Segments from which the newest are merged; a merge takes in an older segment unless that is so many times larger than the newer ones together.
+MOST_SEGMENTS, LARGER = 8, 4
 
+ENTRIES = "array<struct<tf:int,length:int,seq:long>>"
 
-@dataclass(frozen=True)
-class TextIndex:
-    postings: DataFrame
-    lengths: DataFrame
 
+def once(rows: DataFrame) -> DataFrame:
+    """One row for each (key, seq): of a repeated one the smallest text counts."""
+    return rows.groupBy("key", "seq").agg(F.min("text").alias("text"))
+
+
+def postings_of(rows: DataFrame) -> DataFrame:
+    """(term, key, seq, length, lead, positions); a row without terms has one with an empty term. ``lead`` marks one posting of each row."""
+    cut = rows.select("key", "seq", index_terms(F.col("text")).alias("terms"))
+    met = cut.select("key", "seq", F.size("terms").alias("length"), F.posexplode_outer("terms").alias("position", "term"))
+    own = met.groupBy(F.coalesce("term", F.lit("")).alias("term"), "key", "seq", "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    return own.select("term", "key", "seq", "length", (F.coalesce(F.get("positions", F.lit(0)), F.lit(0)) == 0).alias("lead"), "positions")
+
+
+def heads_of(postings: DataFrame) -> DataFrame:
+    """(term, key, n, entries): rows of the key that hold the term; for each count of it the shortest row, then the one with the smallest seq."""
+    counts = postings.filter("term != ''").groupBy("term", "key", F.size("positions").alias("tf")).agg(F.count("*").alias("n"), F.min(F.struct("length", "seq")).alias("least"))
+    entry = F.struct("tf", F.col("least.length").alias("length"), F.col("least.seq").alias("seq"))
+    return counts.groupBy("term", "key").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("entries"))
+
+
+def sizes_of(postings: DataFrame) -> DataFrame:
+    return postings.filter("lead").groupBy("key").agg(F.count("*").alias("rows"), F.sum("length").alias("length"))
+
+
+class View:
+    """One version of an index, for reading."""
+
+    def __init__(self, spark: SparkSession, path: str, state: dict):
+        self.spark, self.path, self.state = spark, path, state
+        self.segments = state["segments"]
+
+    def corpus(self) -> Corpus:
+        """Rows and mean length of what is live, from the manifest alone."""
+        return Corpus(self.state["rows"], self.state["length"] / self.state["rows"] if self.state["rows"] else 1.0, ())
 
-def part_of(term):
-    return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
+    def _open(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{folder}")
 
+    def live(self, kind: str, terms: list[str] | None = None, start: int = 0) -> DataFrame:
+        """Rows of one kind from the segments from ``start`` on, without keys that a later segment deletes; of ``terms``, only their files are opened."""
+        segments = self.segments
+        files = self._files(segments[start:], kind, terms) if terms is not None else None
+        parts = []
+        for i, s in enumerate(segments[start:], start):
+            where = f"{self.path}/{s['folder']}/{kind}"
+            if files is None:
+                parts.append(self.spark.read.parquet(where).withColumn("_at", F.lit(i)))
+            elif own := files.get(s["folder"]):
+                read = self.spark.read.schema(self._schema(kind)).parquet(*[f"{where}/{f}" for f in own])
+                parts.append(read.filter(F.col("term").isin(*terms)).withColumn("_at", F.lit(i)))
+        if not parts:
+            return self.spark.createDataFrame([], self._schema(kind))
+        rows = reduce(DataFrame.unionByName, parts)
+        later = [self._open(s["deleted"]).withColumn("_by", F.lit(i)) for i, s in enumerate(segments) if s["deleted"] and i > start]
+        if later:
+            dead = reduce(DataFrame.unionByName, later).groupBy(F.col("key").alias("_gone")).agg(F.max("_by").alias("_by"))
+            rows = rows.join(dead, (F.col("key") == F.col("_gone")) & (F.col("_at") < F.col("_by")), "left_anti")
+        return rows.drop("_at")
+
+    def _schema(self, kind: str) -> T.StructType:
+        key = self.state["key"] or "string"
+        more = {"postings": "seq long, length int, lead boolean, positions array<int>", "heads": f"n long, entries {ENTRIES}"}
+        if kind == "sizes":
+            return T.StructType.fromDDL(f"key {key}, rows long, length long")
+        return T.StructType.fromDDL(f"term string, key {key}, {more[kind]}")
+
+    def _files(self, segments: list[dict], kind: str, terms: list[str]) -> dict[str, list[str]]:
+        """For each segment the files whose range takes in one of ``terms``."""
+        if not segments or not terms:
+            return {}
+        listed = [self._open(f"{s['folder']}/files").withColumn("folder", F.lit(s["folder"])) for s in segments]
+        within = reduce(lambda a, b: a | b, [(F.col("low") <= t) & (F.col("high") >= t) for t in sorted(set(terms))])
+        out: dict[str, list[str]] = {}
+        for r in reduce(DataFrame.unionByName, listed).filter((F.col("kind") == kind) & within).select("folder", "file").collect():
+            out.setdefault(r.folder, []).append(r.file)
+        return out
+
+    def postings(self) -> DataFrame:
+        """All live postings (term, key, seq, length, lead, positions)."""
+        return self.live("postings").filter("term != ''")
+
+    def statistics(self) -> DataFrame:
+        """(term, rows, n): rows that hold each term, and its occurrences."""
+        return self.postings().groupBy("term").agg(F.count("*").alias("rows"), F.sum(F.size("positions")).cast("long").alias("n"))
+
+    def hits(self, units: list[list[str]]) -> DataFrame:
+        """(unit, key, n, entries) of each key that holds a unit: single terms from the heads, terms side by side from their positions."""
+        single = [(u[0], i) for i, u in enumerate(units) if len(u) == 1]
+        found = []
+        if single:
+            heads = self.live("heads", sorted({t for t, _ in single}))
+            whose = F.filter(F.array(*[F.when(F.col("term") == t, F.lit(i)) for t, i in single]), lambda i: i.isNotNull())
+            found.append(heads.select(F.explode(whose).alias("unit"), "key", "n", "entries").groupBy("unit", "key").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("entries")).alias("entries")))
+        for i, unit in enumerate(units):
+            if len(unit) > 1:
+                found.append(self._side_by_side(unit).withColumn("unit", F.lit(i)).select("unit", "key", "n", "entries"))
+        return reduce(DataFrame.unionByName, found)
+
+    def _side_by_side(self, unit: list[str]) -> DataFrame:
+        own = self.live("postings", sorted(set(unit)))
+        places = F.filter(F.array(*[F.when(F.col("term") == t, F.lit(i)) for i, t in enumerate(unit)]), lambda i: i.isNotNull())
+        each = own.select("key", "seq", "length", F.explode("positions").alias("p"), places.alias("places")).select("key", "seq", "length", "p", F.explode("places").alias("i"))
+        whole = each.groupBy("key", "seq", "length", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("k")).filter(F.col("k") == len(unit))
+        rows = whole.groupBy("key", "seq", "length").agg(F.count("*").cast("int").alias("tf"))
+        counts = rows.groupBy("key", "tf").agg(F.count("*").alias("n"), F.min(F.struct("length", "seq")).alias("least"))
+        entry = F.struct("tf", F.col("least.length").alias("length"), F.col("least.seq").alias("seq"))
+        return counts.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("entries"))
+
+    def holding(self, hits: DataFrame, units: int) -> list[int]:
+        """For each unit the rows of the whole index that hold it."""
+        known = {r.unit: r.n for r in hits.groupBy("unit").agg(F.sum("n").alias("n")).collect()}
+        return [known.get(i, 0) for i in range(units)]
+
+    def scored(self, hits: DataFrame, holding: list[int]) -> DataFrame:
+        """(unit, key, best): the best row of each key for each unit, as struct(s, m) of its score and minus its seq."""
+        corpus = self.corpus()
+        score = lambda i: F.transform("entries", lambda e: F.struct(bm25(e["tf"], e["length"], corpus, holding[i]).alias("s"), (-e["seq"]).alias("m")))
+        best: Column = F.coalesce(*[F.when(F.col("unit") == i, F.array_max(score(i))) for i in range(len(holding))])
+        return hits.select("unit", "key", best.alias("best"))
+
+    def rank(self, query: str, limit: int = 10) -> DataFrame:
+        """(key, score): keys that hold every unit, by summed BM25 of their best rows, ties to the smaller key."""
+        units = parse_query(query)
+        hits = self.hits(units)
+        scored = self.scored(hits, self.holding(hits, len(units)))
+        whole = scored.groupBy("key").agg(F.sum("best.s").alias("score"), F.count("*").alias("k")).filter(F.col("k") == len(units))
+        return whole.orderBy(F.desc("score"), "key").limit(limit).select("key", "score")
+
+
+class TextIndex:
+    """The index below ``path``: each change makes the latest version the next one."""
 
-def build(docs: DataFrame, key: str, text: str) -> TextIndex:
-    """Postings (part, term, key, positions) and lengths (key, length). A null text has no terms; of a repeated key the smallest text counts."""
-    once = docs.groupBy(F.col(key).alias("key")).agg(F.min(text).alias("text"))
-    terms = once.select("key", F.posexplode(index_terms(F.col("text"))).alias("position", "term"))
-    postings = terms.groupBy("key", "term").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    lengths = once.select("key", F.size(index_terms(F.col("text"))).alias("length"))
-    return TextIndex(postings.select(part_of(F.col("term")).alias("part"), "term", "key", "positions"), lengths)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.commits = spark, Commits(spark, path)
 
+    # --- versions ------------------------------------------------------------------------------
 
-def add(index: TextIndex, docs: DataFrame, key: str, text: str) -> TextIndex:
-    """The index after ``docs`` came, changed or (with a null text) went."""
-    touched = docs.select(F.col(key).alias("key")).distinct()
-    new = build(docs.filter(F.col(text).isNotNull()), key, text)
-    keep = lambda t: t.join(touched, "key", "left_anti").select(t.columns)
-    return TextIndex(keep(index.postings).unionByName(new.postings), keep(index.lengths).unionByName(new.lengths))
+    def state(self) -> tuple[int, dict]:
+        version, state = self.commits.latest()
+        return version, state or {"segments": [], "rows": 0, "length": 0, "key": None}
 
+    def view(self) -> View:
+        """The latest version."""
+        return View(self.spark, self.commits.path, self.state()[1])
 
-def save(index: TextIndex, path: str) -> None:
-    """Writes the index to a new folder, postings one folder a part and sorted by term within."""
-    index.postings.repartition(PARTS, "part").sortWithinPartitions("part", "term").write.partitionBy("part").parquet(f"{path}/postings")
-    index.lengths.write.parquet(f"{path}/lengths")
+    def _open(self, folder: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.commits.path}/{folder}")
 
+    def _write(self, rows: DataFrame, folder: str, by: list[str]) -> None:
+        dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+        dealt.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.commits.path}/{folder}")
 
-def load(spark, path: str) -> TextIndex:
-    return TextIndex(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+    def _segment(self, postings: DataFrame) -> dict:
+        """Writes a segment; heads, sizes and ranges are read off the postings that have been written."""
+        where = self.commits.folder("segment")
+        self._write(postings, f"{where}/postings", ["term", "key", "seq"])
+        stored = self._open(f"{where}/postings")
+        self._write(heads_of(stored), f"{where}/heads", ["term", "key"])
+        sizes_of(stored).write.parquet(f"{self.commits.path}/{where}/sizes")
+        ranges = [
+            self._open(f"{where}/{kind}").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+            .agg(F.lit(kind).alias("kind"), F.min("term").alias("low"), F.max("term").alias("high"), F.count("*").alias("rows"))
+            for kind in ("postings", "heads")
+        ]
+        ranges[0].unionByName(ranges[1]).coalesce(1).write.parquet(f"{self.commits.path}/{where}/files")
+        told = self._open(f"{where}/sizes").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
+        return {"folder": where, "rows": told[0], "length": told[1], "deleted": None}
 
+    def _deleted(self, keys: DataFrame) -> str:
+        where = self.commits.folder("deleted")
+        keys.distinct().write.parquet(f"{self.commits.path}/{where}")
+        return where
 
-def unit_hits(index: TextIndex, unit: list[str]) -> DataFrame:
-    """(key, tf): how often the unit's terms stand side by side; only the parts of those terms are read."""
-    own = index.postings.filter(F.col("part").isin(sorted(parts(index, unit))) & F.col("term").isin(*unit)) if unit else index.postings.limit(0)
-    if len(unit) == 1:
-        return own.select("key", F.size("positions").alias("tf"))
-    places = F.filter(F.array(*[F.when(F.col("term") == t, F.lit(i)) for i, t in enumerate(unit)]), lambda i: i.isNotNull())
-    starts = own.select("key", F.explode("positions").alias("p"), places.alias("places")).select("key", "p", F.explode("places").alias("i")).groupBy("key", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("n"))
-    return starts.filter(F.col("n") == len(unit)).groupBy("key").agg(F.count("*").cast("int").alias("tf"))
+    # --- changes -------------------------------------------------------------------------------
 
+    def add(self, rows: DataFrame, key: str, text: str, seq: str | None = None) -> int:
+        """Rows that the index doesn't have yet, of new or known keys. A null text is a row without terms."""
+        return self._change(self._named(rows, key, text, seq), None)
 
-def parts(index: TextIndex, unit: list[str]) -> set[int]:
-    """The parts of a query's terms, by the same expression that laid them out."""
-    spark = index.postings.sparkSession
-    return {r.part for r in spark.createDataFrame([(t,) for t in set(unit)], "term string").select(part_of(F.col("term")).alias("part")).collect()}
+    def replace(self, rows: DataFrame, key: str, text: str, seq: str | None = None) -> int:
+        """All rows of the keys that ``rows`` names, known or new: what the index had of them goes."""
+        new = self._named(rows, key, text, seq)
+        return self._change(new, new.select("key"))
 
+    def remove(self, keys: DataFrame, key: str) -> int:
+        """Takes keys out; unknown ones don't matter."""
+        return self._change(None, keys.select(F.col(key).alias("key")))
 
-def rank(index: TextIndex, query: str, limit: int = 10) -> DataFrame:
-    """(key, score): documents that hold every unit, by summed BM25 over the whole index, ties to the smaller key."""
-    units = parse_query(query)
-    size = index.lengths.agg(F.count("*"), F.avg("length")).first()
-    hits = [unit_hits(index, u).withColumn("unit", F.lit(i)) for i, u in enumerate(units)]
-    found = hits[0]
-    for other in hits[1:]:
-        found = found.unionByName(other)
-    holding = {r.unit: r.n for r in found.groupBy("unit").agg(F.count("*").alias("n")).collect()}
-    rows = found.join(index.lengths, "key")
-    corpus = Corpus(size[0], size[1] or 1.0, ())
-    score = F.coalesce(*[F.when(F.col("unit") == i, bm25(F.col("tf"), F.col("length"), corpus, holding.get(i, 0))) for i in range(len(units))])
-    whole = rows.withColumn("s", score).groupBy("key").agg(F.sum("s").alias("score"), F.count("*").alias("n")).filter(F.col("n") == len(units))
-    return whole.orderBy(F.desc("score"), "key").limit(limit).select("key", "score")
+    @staticmethod
+    def _named(rows: DataFrame, key: str, text: str, seq: str | None) -> DataFrame:
+        return once(rows.select(F.col(key).alias("key"), (F.col(seq).cast("long") if seq else F.lit(0).cast("long")).alias("seq"), F.col(text).alias("text")).filter("key is not null"))
 
+    def _change(self, rows: DataFrame | None, gone: DataFrame | None) -> int:
+        version, state = self.state()
+        if rows is None:
+            rows = self.spark.createDataFrame([], f"key {state['key'] or 'string'}, seq long, text string")
+        segment = self._segment(postings_of(rows))
+        lost = (0, 0)
+        if gone is not None and state["segments"]:
+            segment["deleted"] = self._deleted(gone)
+            sizes = View(self.spark, self.commits.path, state).live("sizes").join(self._open(segment["deleted"]), "key", "left_semi")
+            lost = tuple(sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first())
+        new = {
+            "segments": [*state["segments"], segment], "rows": state["rows"] + segment["rows"] - lost[0], "length": state["length"] + segment["length"] - lost[1],
+            "key": rows.schema["key"].dataType.simpleString(),
+        }
+        version = self.commits.commit(version, new)
+        return self.merge() if len(new["segments"]) > MOST_SEGMENTS else version
 
-def statistics(index: TextIndex) -> DataFrame:
-    """(term, docs, n): documents that hold each term, and its occurrences."""
-    return index.postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum(F.size("positions")).cast("long").alias("n"))
+    def merge(self) -> int:
+        """Makes the newest segments one, without what is deleted by now; older ones stay where they are much larger. Answers stay the same."""
+        version, state = self.state()
+        segments = state["segments"]
+        at, size = len(segments) - 1, segments[-1]["rows"] if segments else 0
+        while at > 0 and (segments[at - 1]["rows"] <= LARGER * size or at > MOST_SEGMENTS // 2):
+            at -= 1
+            size += segments[at]["rows"]
+        if at >= len(segments) - 1:
+            return version
+        live = View(self.spark, self.commits.path, state).live("postings", start=at)
+        whole = self._segment(live.select("term", "key", "seq", "length", "lead", "positions"))
+        gone = [self._open(s["deleted"]) for s in segments[at:] if s["deleted"]]
+        if at and gone:
+            whole["deleted"] = self._deleted(reduce(DataFrame.unionByName, gone))
+        return self.commits.commit(version, {**state, "segments": [*segments[:at], whole]})

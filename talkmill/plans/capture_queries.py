@@ -176,7 +176,7 @@ def cleanup_history(spark, d):
 
 @query("cleanup_of_session", LOGS_SQL + " SELECT logs.*, session_id, det.est_bytes AS session_bytes FROM logs JOIN det USING (log_id) WHERE starts_with(session_id, '1')")
 def cleanup_of_session(spark, d):
-    return lifecycle.cleanup_history(*_logs(spark, d), session_prefix="1", last=10_000)
+    return lifecycle.cleanup_history(*_logs(spark, d), session_prefix="1", last=None)
 
 
 @query("snapshot_check", MEMORY_SQL + " SELECT session_id, CASE WHEN conv_id % 5 = 2 THEN 'gone' ELSE 'changed' END AS change FROM sessions WHERE conv_id % 2 = 0 AND (conv_id % 5 = 2 OR conv_id % 3 = 0)")
@@ -307,14 +307,14 @@ def scope_hint(spark, d):
 @query("file_history", MARKED_SQL + " SELECT DISTINCT session_id FROM marked WHERE contains(content, 'src/mod3/file1.ts')")
 def file_history(spark, d):
     s = memory.sessions(spark, d).withColumn("meta_text", F.lit(""))
-    return search.file_history(with_marks(memory.messages(spark, d)), s, "src\\mod3\\file1.ts", limit=10_000).select("session_id")
+    return search.body_and_meta_hits(with_marks(memory.messages(spark, d)), s, search.file_query("src\\mod3\\file1.ts"))[0].select("session_id")
 
 
 @query("semantic_append", MEMORY_SQL + ", b AS (SELECT DISTINCT session_id FROM messages WHERE regexp_matches(lower(content), '(^|[^a-z0-9])thing([^a-z0-9]|$)')) SELECT session_id, CASE WHEN session_id IN (FROM b) THEN 'body' ELSE 'semantic' END AS via FROM sessions WHERE session_id IN (FROM b) OR conv_id % 3 = 0")
 def semantic_append(spark, d):
     s = memory.sessions(spark, d).withColumn("meta_text", F.lit(""))
     found = s.filter("conv_id % 3 = 0").select("session_id", (F.lit(1.0) / (F.col("conv_id") + 1)).alias("score"))
-    return search.search_sessions(memory.messages(spark, d), s, "thing", limit=100_000, semantic=found).select("session_id", "via")
+    return search.with_semantic(search.body_and_meta_hits(memory.messages(spark, d), s, "thing")[0], found, s).select("session_id", "via")
 
 
 @query("side_by_side", MEMORY_SQL + " SELECT session_id, CASE WHEN conv_id % 2 = 0 THEN conv_id::INT END AS text_position, CASE WHEN conv_id % 3 = 0 THEN conv_id::INT + 1 END AS fused_position FROM sessions WHERE conv_id % 2 = 0 OR conv_id % 3 = 0")
@@ -358,7 +358,8 @@ def vector_scoped(spark, d):
 def search_without_vectors(spark, d):
     """Without vectors a search goes by text alone."""
     s = memory.sessions(spark, d).withColumn("meta_text", F.lit(""))
-    return search.search_sessions(memory.messages(spark, d), s, "thing", limit=100_000, semantic=related.semantic_hits(None, "thing")).select("session_id", "via")
+    hits, _ = search.body_and_meta_hits(memory.messages(spark, d), s, "thing")
+    return search.with_semantic(hits, related.semantic_hits(None, "thing"), s).select("session_id", "via")
 
 
 @query("vectors_upserted", MEMORY_SQL + " SELECT session_id, CASE WHEN conv_id % 3 = 0 THEN 'new' ELSE 'old' END AS model, CASE WHEN conv_id % 3 = 0 THEN '2' ELSE '0' END AS embedded_at FROM sessions WHERE conv_id % 3 = 0 OR conv_id % 2 = 0")

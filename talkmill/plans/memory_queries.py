@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as X
-from talkmill.operators import search, text_index
-from talkmill.plans import memory
+from talkmill.operators import search
+from talkmill.plans import kept, memory
 from talkmill.plans.memory import MEMORY_SQL
 from talkmill.plans.queries import QUERY, bm25_sql
 from talkmill.plans.registry import query, table
@@ -14,23 +14,14 @@ from talkmill.plans.registry import query, table
 RANKED_SQL = "WITH " + bm25_sql("documents", "doc_id", "text", [["thing"], ["then"]]) + " SELECT doc_id, round(s0 + s1, 6) AS score FROM scored WHERE s0 + s1 IS NOT NULL ORDER BY s0 + s1 DESC, doc_id LIMIT 10"
 
 
-def _kept_index(spark, d):
-    """The documents' index, built from half of them with other texts and some that don't exist, then brought up to date."""
-    docs, n = table(spark, d, "documents").select("doc_id", "text"), F.col("doc_id")
-    before = docs.filter(n % 2 == 0).withColumn("text", F.concat(F.lit("thing then "), F.coalesce("text", F.lit(""))))
-    gone = docs.select((-1 - n).alias("doc_id"), F.lit("thing then thing").alias("text")).filter("doc_id % 5 = 0")
-    index = text_index.build(before.unionByName(gone), "doc_id", "text")
-    return text_index.add(index, docs.unionByName(gone.withColumn("text", F.lit(None).cast("string"))), "doc_id", "text")
-
-
 @query("index_ranked", RANKED_SQL)
 def index_ranked(spark, d):
-    return text_index.rank(_kept_index(spark, d), QUERY).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+    return kept.document_index(spark, d).view().rank(QUERY).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("index_statistics", r"""SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS term FROM documents) GROUP BY term""")
 def index_statistics(spark, d):
-    return text_index.statistics(_kept_index(spark, d))
+    return kept.document_index(spark, d).view().statistics().withColumnRenamed("rows", "docs")
 
 
 #: Conversations' messages with Han words, full-width letters and paths by their numbers.

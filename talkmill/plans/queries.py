@@ -8,8 +8,8 @@ from talkmill.functions import fixed_values as fixed
 from talkmill.functions import text as X
 from talkmill.functions.scope import Scope, assemble, merge
 from talkmill.functions.vectors import embed
-from talkmill.operators import exchange, extract, lifecycle, listing, related, search, stats, store
-from talkmill.plans import memory
+from talkmill.operators import exchange, extract, lifecycle, listing, related, search, session_index, stats, store
+from talkmill.plans import kept, memory
 from talkmill.plans.memory import MEMORY_SQL
 from talkmill.plans.registry import query, table
 
@@ -66,9 +66,25 @@ ranked AS (SELECT row_number() OVER (ORDER BY CASE WHEN every THEN score ELSE co
 SELECT position::INT AS position, session_id, round(score, 6) AS score, coverage, seq FROM ranked WHERE position <= {limit}"""
 
 
+def body_and_meta_sql(word: str, where: str, limit: int) -> str:
+    """One term, in bodies and then in titles and topics, with the snippets of the bodies."""
+    idf = "CASE WHEN ln((nn - n + 0.5) / (n + 0.5)) > 0 THEN ln((nn - n + 0.5) / (n + 0.5)) ELSE 1e-6 END"
+    return f"""{MEMORY_SQL}, {bm25_sql("messages", "session_id, seq_num, content", "content", [[word]])},
+picked AS (SELECT session_id, max(s0) AS score, arg_max(seq_num, (s0, -seq_num)) AS seq FROM scored WHERE s0 IS NOT NULL GROUP BY session_id),
+body AS (SELECT * FROM picked WHERE session_id IN (SELECT session_id FROM sessions WHERE {where})),
+mt AS (SELECT session_id, {TERMS.format("array_to_string(list_concat([title], topics), ' ')")} AS mtt FROM sessions), mtf AS (SELECT session_id, len(mtt) AS mdl, len(list_filter(mtt, lambda x: x = '{word}')) AS mtf FROM mt),
+ms AS (SELECT count(*) AS nn, avg(mdl) AS mean, count(*) FILTER (mtf > 0) AS n FROM mtf),
+named AS (SELECT session_id, 0.5 * ({idf}) * mtf * 2.2 / (mtf + 1.2 * (0.25 + 0.75 * mdl / mean)) AS score FROM mtf, ms WHERE mtf > 0 AND session_id IN (SELECT session_id FROM sessions WHERE {where}) AND session_id NOT IN (SELECT session_id FROM body)),
+found AS (SELECT session_id, score, seq, 'body' AS via, 1.0::DOUBLE AS coverage FROM body UNION ALL SELECT session_id, score, 0, 'meta', 0.0::DOUBLE FROM named),
+ranked AS (SELECT row_number() OVER (ORDER BY CASE WHEN (SELECT count(*) FROM body) > 0 THEN score ELSE coverage END DESC, CASE WHEN (SELECT count(*) FROM body) > 0 THEN coverage ELSE score END DESC, session_id) AS position, * FROM found)
+SELECT position::INT AS position, r.session_id, round(score, 6) AS score, coverage, seq, via,
+ CASE WHEN via = 'body' THEN trim(regexp_replace(substr(content, greatest(1, CASE WHEN instr(content, '{word}') > 0 THEN instr(content, '{word}') - 40 ELSE 1 END), 120), '\\s+', ' ', 'g')) ELSE '' END AS snippet
+FROM ranked r LEFT JOIN messages m ON m.session_id = r.session_id AND m.seq_num = r.seq WHERE position <= {limit}"""
+
+
 def _searched(spark, d, q, where):
-    s = memory.sessions(spark, d).withColumn("meta_text", F.lit(""))
-    found = search.search_sessions(memory.messages(spark, d), s, q, where)
+    """Over the kept index, in bodies alone."""
+    found = session_index.search(kept.session_index(spark, d), memory.messages(spark, d), memory.sessions(spark, d), q, where, metadata=False)
     return found.select("position", "session_id", F.round("score", 6).alias("score"), "coverage", "seq")
 
 
@@ -77,6 +93,12 @@ def search_ranked(spark, d):
     return _searched(spark, d, QUERY, F.col("project_id") == "p1")
 
 
+@query("search_body_and_meta", body_and_meta_sql("that", "source != 's0'", 200))
+def search_body_and_meta(spark, d):
+    found = session_index.search(kept.session_index(spark, d), memory.messages(spark, d), memory.sessions(spark, d), "that", F.col("source") != "s0", limit=200)
+    return found.withColumn("score", F.round("score", 6))
+
+
 @query("fts_or_fallback", session_search_sql([["thing"], ["zzzabsent"]], "project_id = 'p1'"))
 def fts_or_fallback(spark, d):
     return _searched(spark, d, "thing zzzabsent", F.col("project_id") == "p1")
@@ -102,8 +124,7 @@ SELECT session_id, round(0.5 * CASE WHEN ln((nn - n + 0.5) / (n + 0.5)) > 0 THEN
 FROM mtf, ms WHERE tf > 0 AND session_id NOT IN (SELECT session_id FROM hits)""",
 )
 def fts_meta_union(spark, d):
-    s = memory.sessions(spark, d).withColumn("meta_text", search.meta_text(F.col("title"), F.col("topics")))
-    hits, _ = search.body_and_meta_hits(memory.messages(spark, d).filter("role != 'user'"), s, "t3")
+    hits, _ = session_index.hits(kept.session_index(spark, d, role="user"), memory.sessions(spark, d), "t3")
     return hits.filter("via = 'meta'").select("session_id", F.round("score", 6).alias("score"))
 
 
