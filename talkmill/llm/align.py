@@ -15,6 +15,7 @@ import hashlib
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -26,14 +27,19 @@ from pyspark.sql import types as T
 from talkmill.llm.common import WORKER_CACHES, durable, free_caches, scratch_table, table
 from talkmill.llm.hashing import in_slices
 
-#: Bytes of text of a batch, of what is encoded at once, and beyond which a text is encoded in parts.
-BATCH_BYTES, SLICE_BYTES, HUGE_BYTES = 16 << 20, 1 << 20, 1 << 16
+#: Bytes of text of a batch, and of what is taken apart at once.
+BATCH_BYTES, SLICE_BYTES = 16 << 20, 1 << 20
+#: Units, and pairs of theirs, that a worker remembers before it starts anew.
+MOST_UNITS, MOST_PAIRS = 300_000, 3_000_000
+#: Units that are encoded together.
+CHUNK = 256
 #: Pairs that are expanded at once.
 BLOCK_PAIRS = 1 << 20
 #: Bits of a token id; a pair of ids and a document's place in its slice fit a long.
-ID_BITS = 20
-#: A space after a printable ASCII character, with something after it.
-_CUT = re.compile(rb"(?<=[\x21-\x7E]) (?=.)", re.DOTALL)
+ID_BITS, PLACE_BITS = 20, 40
+PAIR_MASK = (1 << (2 * ID_BITS)) - 1
+#: A space after what isn't white space, with something after it; and where spaces aren't all of that kind.
+_UNIT, _RUN = re.compile(r"(?<=\S) (?=.)", re.DOTALL), re.compile(r"(?:\s|^) | $")
 #: Separators after a token of a group: within a side, between the sides, after the group, at the text's end.
 SEPARATORS = [",", "|", ";", ""]
 
@@ -48,14 +54,18 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Pair:
-    """Two tokenizers: byte-level BPE from a .json file, applied to a space and the text, and a sentencepiece .model, which adds the space itself."""
+    """Two tokenizers: byte-level BPE from a .json file, applied to a space and the text, and a sentencepiece .model, which adds the space itself.
 
-    def __init__(self, path_a: str, path_b: str, huge: int = HUGE_BYTES):
+    If their files prove that no token reaches from a character that isn't white space into the space after it, a text is cut there into units,
+    each a space and what follows: tokens, groups and links of a text are those of its units one after another, so each
+    distinct unit is encoded and aligned once and remembered.
+    """
+
+    def __init__(self, path_a: str, path_b: str, cut: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.huge = huge
         self.a, self.b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         self.a.no_truncation()
@@ -67,47 +77,86 @@ class Pair:
         if max(size, len(pieces)) >= 1 << ID_BITS:
             raise ValueError(f"token ids of more than {ID_BITS} bits")
         self.lengths_a, self.lengths_b = (np.array([len(x) for x in known], np.int64) for known in (self.bytes_a, self.bytes_b))
-        # No token reaches from a character into the space after it: there a text may be cut, each part with the space that leads it.
         with open(path_a, encoding="utf-8") as f:
             said = json.load(f)
         before = said.get("pre_tokenizer") or {}
-        self.cuts = before.get("type") == "ByteLevel" and before.get("use_regex") and not said.get("normalizer") and not any(re.search("[^▁]▁", p) for p in pieces)
+        parted = before.get("type") == "ByteLevel" and before.get("use_regex") and not said.get("normalizer")
+        self.cuts = cut and parted and not any(re.search("[^▁]▁", p) for p in pieces)
         self.said_a = [f"{i}{s}" for i in range(size) for s in SEPARATORS]
         self.said_b = [f"{i}{s}" for i in range(len(pieces)) for s in SEPARATORS]
-
-    def parts(self, text: bytes) -> list[str]:
-        out, at = [], 0
-        while self.cuts and len(text) - at > self.huge:
-            cut = _CUT.search(text, at + self.huge)
-            if not cut:
-                break
-            out.append(text[at : cut.start()])
-            at = cut.end()
-        return [p.decode("utf-8", "replace") for p in [*out, text[at:]]]
-
-    def ids(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of each text by either tokenizer; None for an empty text and where the tokens' bytes aren't the space and the text."""
-        parts = [self.parts(t) if t else [] for t in texts]
-        flat = [p for own in parts for p in own]
-        of_a = [e.ids for e in self.a.encode_batch_fast([" " + p for p in flat], add_special_tokens=False)]
-        of_b = self.b.encode(flat, num_threads=1) if flat else []
-        out, at = [], 0
-        for text, own in zip(texts, parts, strict=True):
-            some_a, some_b = ([i for ids in of[at : at + len(own)] for i in ids] for of in (of_a, of_b))
-            at += len(own)
-            want = b" " + text
-            same = own and b"".join(map(self.bytes_a.__getitem__, some_a)) == want and b"".join(map(self.bytes_b.__getitem__, some_b)) == want
-            out.append((np.array(some_a, np.int64), np.array(some_b, np.int64)) if same else None)
-        return out
-
-    def aligned(self, texts: list[bytes]) -> list[tuple]:
-        """(n_a, n_b, n_groups, n_links, digest, distinct pairs, their links) of each text."""
-        out = [(0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
-        known = [(i, x) for i, x in enumerate(self.ids(texts)) if x is not None]
-        if not known:
-            return out
-        a, b = (np.concatenate([x[side] for _, x in known]) for side in (0, 1))
-        stops_a, stops_b = (np.cumsum([len(x[side]) for _, x in known]) for side in (0, 1))
+        self.forget()
+
+    def forget(self) -> None:
+        #: Place of each unit in the lists; the lists' rows; where each unit's pairs begin.
+        self.place: dict[str, int] = {}
+        self.numbers, self.told = np.zeros((0, 5), np.int64), []
+        self.pairs, self.links, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def units(self, text: str) -> list[str]:
+        """What follows the leading space of each unit of a space and ``text``."""
+        if not self.cuts:
+            return [text]
+        return _UNIT.split(text) if _RUN.search(text) else text.split(" ")
+
+    def encoded(self, side: int, texts: list[str]) -> list[list[int]]:
+        """Ids of a space and each text."""
+        if side:
+            return self.b.encode(texts, num_threads=1)
+        return [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+
+    def ids(self, units: list[str]) -> tuple:
+        """(whether its tokens' bytes are the unit's, (ids, tokens) by either tokenizer) of each unit; a unit that isn't given back has no tokens.
+
+        Units are encoded CHUNK at a time, joined by their spaces; where a chunk isn't given back, or has a unit that ends in white space, each by itself.
+        """
+        good = np.ones(len(units), bool)
+        ids, sizes = ([], []), ([], [])
+        chunks = [units[i : i + CHUNK] for i in range(0, len(units), CHUNK)]
+        joined = [" ".join(own) for own in chunks]
+        found = [self.encoded(side, joined) for side in (0, 1)]
+        known = [(self.bytes_a, self.lengths_a), (self.bytes_b, self.lengths_b)]
+        for k, own in enumerate(chunks):
+            want = b" " + joined[k].encode()
+            stops = np.cumsum([1 + len(u.encode()) for u in own])
+            both = [found[side][k] for side in (0, 1)]
+            counts = []
+            for some, (parts, lengths) in zip(both, known, strict=True):
+                if b"".join(map(parts.__getitem__, some)) == want:
+                    ends = np.cumsum(lengths[some])
+                    at = np.searchsorted(ends, stops)
+                    if (ends[at] == stops).all():
+                        counts.append(np.diff(at + 1, prepend=0))
+            if len(counts) < 2 or (len(own) > 1 and any(not u or u[-1].isspace() for u in own)):
+                both, counts = ([], []), ([], [])
+                for i, (unit, *each) in enumerate(zip(own, *(self.encoded(side, own) for side in (0, 1)), strict=True)):
+                    same = all(b"".join(map(parts.__getitem__, some)) == b" " + unit.encode() for some, (parts, _) in zip(each, known, strict=True))
+                    good[k * CHUNK + i] = same
+                    for side in (0, 1):
+                        both[side].extend(each[side] if same else [])
+                        counts[side].append(len(each[side]) if same else 0)
+            for side in (0, 1):
+                ids[side].append(np.array(both[side], np.int64))
+                sizes[side].append(np.array(counts[side], np.int64))
+        return good, *((np.concatenate(ids[side]), np.concatenate(sizes[side])) for side in (0, 1))
+
+    def learn(self, units: list[str]) -> None:
+        """Adds units to the lists: (n_a, n_b, n_groups, n_links, 1 if its bytes aren't given back), groups as text, pairs and their links."""
+        units = sorted(units, key=lambda u: not u or u[-1].isspace())
+        good, (a, n_a), (b, n_b) = self.ids(units)
+        numbers, counts, told = np.zeros((len(units), 5), np.int64), np.zeros(len(units), np.int64), [""] * len(units)
+        numbers[~good, 4] = 1
+        if good.any():
+            numbers[good, :4], said, pairs, links, edges = self.aligned(a, b, np.cumsum(n_a[good]), np.cumsum(n_b[good]))
+            counts[good] = np.diff(edges)
+            for i, x in zip(np.flatnonzero(good).tolist(), said, strict=True):
+                told[i] = x
+            self.pairs, self.links = np.concatenate([self.pairs, pairs]), np.concatenate([self.links, links])
+        self.place.update(zip(units, range(len(self.told), len(self.told) + len(units)), strict=True))
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
+        self.numbers, self.told = np.concatenate([self.numbers, numbers]), self.told + told
+
+    def aligned(self, a: np.ndarray, b: np.ndarray, stops_a: np.ndarray, stops_b: np.ndarray) -> tuple:
+        """(numbers, groups as text, pairs, their links, where each unit's pairs begin and end) of units by their ids and the places where they stop."""
         ends_a, ends_b = np.cumsum(self.lengths_a[a]), np.cumsum(self.lengths_b[b])
         ends = np.union1d(ends_a, ends_b)
         owner_a, owner_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
@@ -116,22 +165,17 @@ class Pair:
         group_a, group_b = np.empty(len(a), np.int64), np.empty(len(b), np.int64)
         group_a[owner_a], group_b[owner_b] = group, group
         n_a, n_b = np.bincount(group_a), np.bincount(group_b)
-        # Texts end where both end, so each group lies in one.
+        # Units end where both end, so each group lies in one.
         stops = group_a[stops_a - 1] + 1
-        links = np.concatenate([[0], np.cumsum(n_a * n_b)])[np.concatenate([[0], stops])]
-        told = self.told(a, b, group_a, group_b, n_a, n_b, stops_a, stops_b)
-        doc = np.repeat(np.arange(len(known)), np.diff(stops, prepend=0))
-        pairs, counts = expanded(a, b, group_a, group_b, doc)
-        edges = np.searchsorted(pairs >> (2 * ID_BITS), np.arange(len(known) + 1))
-        pairs &= (1 << (2 * ID_BITS)) - 1
-        for k, (i, (own_a, own_b)) in enumerate(known):
-            low, high = edges[k], edges[k + 1]
-            n_groups = int(stops[k] - (stops[k - 1] if k else 0))
-            out[i] = (len(own_a), len(own_b), n_groups, int(links[k + 1] - links[k]), told[k], pairs[low:high], counts[low:high])
-        return out
-
-    def told(self, a, b, group_a, group_b, n_a, n_b, stops_a, stops_b) -> list[str]:
-        """SHA-256 of each text's groups as ``a1,a2|b1;a3|b2,b3``."""
+        n_groups = np.diff(stops, prepend=0)
+        n_links = np.diff(np.concatenate([[0], np.cumsum(n_a * n_b)])[np.concatenate([[0], stops])])
+        numbers = np.stack([np.diff(stops_a, prepend=0), np.diff(stops_b, prepend=0), n_groups, n_links], 1)
+        pairs, links = expanded(a, b, group_a, group_b, np.repeat(np.arange(len(stops)), n_groups))
+        edges = np.searchsorted(pairs >> (2 * ID_BITS), np.arange(len(stops) + 1))
+        return numbers, self.said(a, b, group_a, group_b, n_a, n_b, stops_a, stops_b), pairs & PAIR_MASK, links, edges
+
+    def said(self, a, b, group_a, group_b, n_a, n_b, stops_a, stops_b) -> list[str]:
+        """Each unit's groups as ``a1,a2|b1;a3|b2,b3``."""
         ends_a, ends_b = np.cumsum(n_a), np.cumsum(n_b)
         place_a = np.arange(len(a)) + (ends_b - n_b)[group_a]
         place_b = np.arange(len(b)) + ends_a[group_b]
@@ -140,13 +184,52 @@ class Pair:
         after_b[stops_b - 1] = 3
         code = np.empty(len(a) + len(b), np.int64)
         code[place_a], code[place_b] = 4 * a + after_a, 4 * b + after_b + len(self.said_a)
-        said, code = self.said_a + self.said_b, code.tolist()
-        stops, out, at = (stops_a + stops_b).tolist(), [], 0
-        for stop in stops:
-            out.append(hashlib.sha256("".join(map(said.__getitem__, code[at:stop])).encode()).hexdigest())
+        get_a, get_b, first_b = self.said_a, self.said_b, len(self.said_a)
+        words = [get_a[c] if c < first_b else get_b[c - first_b] for c in code.tolist()]
+        out, at = [], 0
+        for stop in (stops_a + stops_b).tolist():
+            out.append("".join(words[at:stop]))
             at = stop
         return out
 
+    def documents(self, texts: list[bytes]) -> list[tuple]:
+        """(n_a, n_b, n_groups, n_links, digest, distinct pairs, their links) of each text."""
+        out = [(0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(texts)
+        some = [(i, t.decode("utf-8", "replace")) for i, t in enumerate(texts) if t]
+        if not some:
+            return out
+        cut = [self.units(t) for _, t in some]
+        if len(self.place) > MOST_UNITS or len(self.pairs) > MOST_PAIRS:
+            self.forget()
+        if missing := list(set().union(*cut).difference(self.place)):
+            self.learn(missing)
+        stops = np.cumsum([len(own) for own in cut])
+        every = np.fromiter(map(self.place.__getitem__, chain.from_iterable(cut)), np.int64, stops[-1])
+        sums = np.add.reduceat(self.numbers[every], np.concatenate([[0], stops[:-1]]), axis=0)
+        # Bytes that are no UTF-8 aren't given back either.
+        good = (sums[:, 4] == 0) & np.array(["\ufffd" not in t or texts[i] == t.encode() for i, t in some])
+        doc, links, pairs = self.spread(every, np.repeat(np.arange(len(some)), np.diff(stops, prepend=0)))
+        edges = np.searchsorted(doc, np.arange(len(some) + 1))
+        get, every = self.told.__getitem__, every.tolist()
+        for k, (i, _) in enumerate(some):
+            if good[k]:
+                digest = hashlib.sha256(";".join(map(get, every[stops[k - 1] if k else 0 : stops[k]])).encode()).hexdigest()
+                out[i] = (*sums[k, :4].tolist(), digest, pairs[edges[k] : edges[k + 1]], links[edges[k] : edges[k + 1]])
+        return out
+
+    def spread(self, units: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, links, pair), ascending, each once, of the documents' units."""
+        units, n = np.unique(doc << PLACE_BITS | units, return_counts=True)
+        doc, units = units >> PLACE_BITS, units & ((1 << PLACE_BITS) - 1)
+        size = self.start[units + 1] - self.start[units]
+        flat = np.arange(int(size.sum())) + np.repeat(self.start[units] - (np.cumsum(size) - size), size)
+        key = np.repeat(doc, size) << (2 * ID_BITS) | self.pairs[flat]
+        order = np.argsort(key, kind="stable")
+        key, links = key[order], (self.links[flat] * np.repeat(n, size))[order]
+        new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        key = key[new]
+        return key >> (2 * ID_BITS), np.add.reduceat(links, new) if len(new) else links, key & PAIR_MASK
+
 
 def expanded(a, b, group_a, group_b, doc) -> tuple[np.ndarray, np.ndarray]:
     """(distinct document and pair of ids, ascending; its links), BLOCK_PAIRS products of distinct ids at a time."""
@@ -217,7 +300,7 @@ def stored(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).to_pylist()]
             for at, to in in_slices(texts, SLICE_BYTES):
-                rows += both.aligned(texts[at:to])
+                rows += both.documents(texts[at:to])
                 keys.append(batch.column(0).slice(at, to - at))
                 size += sum(map(len, texts[at:to]))
                 if size >= BATCH_BYTES:
@@ -256,7 +339,7 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id",
 
     A null or empty text, and one that either tokenizer's bytes don't give back, has no tokens: zeros and an empty digest.
     Rows are documents: null keys and repeated rows count as any row. Other columns are not read; an empty table gives an empty result.
-    Long texts are encoded in parts cut at spaces; without spaces a text is encoded whole.
+    A text without spaces is encoded whole.
     """
     rows = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text"))
     kept = stored(rows, path_a, path_b)

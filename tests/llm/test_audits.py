@@ -81,7 +81,7 @@ def brute_alignment(texts):
 @pytest.mark.parametrize("small", [True, False])
 def test_alignment_against_brute_force(spark, tmp_path, small, monkeypatch):
     if small:
-        for name, value in {"BATCH_BYTES": 400, "SLICE_BYTES": 300, "HUGE_BYTES": 90, "BLOCK_PAIRS": 3}.items():
+        for name, value in {"BATCH_BYTES": 400, "SLICE_BYTES": 300, "MOST_UNITS": 20, "BLOCK_PAIRS": 3}.items():
             monkeypatch.setattr(align, name, value)
     rng = random.Random(5)
     texts = ALIGNED + [" ".join(rng.choice(ALIGNED[0].split() + ["über", "Straße", "l'été"]) for _ in range(rng.randrange(60))) for _ in range(30)]
@@ -100,11 +100,17 @@ def test_alignment_of_odd_tables(spark):
     assert [r.doc_id for r in align.align_tokens(clash, *known).collect()] == ["x"]
 
 
-def test_a_long_text_is_cut_where_both_tokenizers_part(spark):
+def test_a_text_is_cut_where_both_tokenizers_part():
     rng = random.Random(2)
-    text = " ".join(rng.choice(["word", "naïve", "  two", "x\n", "数据数据", "end.\n\n "]) + str(rng.randrange(99)) for _ in range(4000))
-    whole, cut = (align.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), huge=h) for h in (1 << 30, 500))
-    assert [x.tolist() for x in whole.ids([text.encode()])[0]] == [x.tolist() for x in cut.ids([text.encode()])[0]]
+    spaces = [" ", "  ", "\n", "\n ", " \n", "\u3000", "\u3000 ", "\xa0 ", "\t ", "   "]
+    texts = ["".join(rng.choice(["word", "naïve", "数据", "x", "end.", "\u200b", "é", "1", "ß", "…"]) + rng.choice(spaces) for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    texts += [rng.choice(spaces) + t for t in texts[:50]] + [t.rstrip() for t in texts[50:99]] + spaces
+    whole, cut = (align.Pair(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), cut=c) for c in (False, True))
+    want, got = (x.documents([t.encode() for t in texts]) for x in (whole, cut))
+    assert [x[:5] for x in want] == [x[:5] for x in got] and sum(x[0] > 0 for x in got) > 300
+    assert all((x[5] == y[5]).all() and (x[6] == y[6]).all() for x, y in zip(want, got, strict=True))
+    assert len(cut.place) > 100 and sum(len(cut.units(t)) > 1 for t in texts) > 250
+    assert cut.documents([b"\xff bad", b"\xff bad".decode("utf-8", "replace").encode()])[0][0] == 0
 
 
 # 12 ----------------------------------------------------------------------------------------------
