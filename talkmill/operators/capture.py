@@ -18,8 +18,8 @@ def to_read(found: DataFrame, known: DataFrame, seen: DataFrame) -> DataFrame:
     return found.join(settled, ["session_id", "signature"], "left_anti").select(found.columns)
 
 
-def ingest_batch(tables: dict[str, DataFrame], found: DataFrame, arrivals: DataFrame, cursors: DataFrame, blocked: Column | None = None, mode: str = "full") -> dict[str, DataFrame]:
-    """sessions, messages, vectors and cursors after one batch; the same batch again changes nothing but bad line counts.
+def batch_changes(tables: dict[str, DataFrame], found: DataFrame, arrivals: DataFrame, cursors: DataFrame, blocked: Column | None = None, mode: str = "full") -> dict[str, DataFrame]:
+    """What one batch makes of sessions, vectors and cursors, and the messages that it adds (``added``); tables that stay as they are are left out.
 
     ``found`` are the sessions that the batch names, ``arrivals`` their messages. Forgotten sessions, and those that
     ``blocked`` marks, are left out; their cursors move on all the same. New sessions become active; known ones
@@ -27,7 +27,7 @@ def ingest_batch(tables: dict[str, DataFrame], found: DataFrame, arrivals: DataF
     summary and pending time are cleared, an archived one is archived no more, and its vector goes. Mode
     ``meta`` counts messages without keeping them, ``off`` only moves cursors.
     """
-    out = {**tables, "cursors": store.merge_cursors(tables["cursors"], cursors)}
+    out = {"cursors": store.merge_cursors(tables["cursors"], cursors)}
     if mode == "off":
         return out
     live = store.without_forgotten(found, tables["tombstones"])
@@ -38,10 +38,17 @@ def ingest_batch(tables: dict[str, DataFrame], found: DataFrame, arrivals: DataF
     out["sessions"] = lifecycle.resume(sessions, fresh)
     out["vectors"] = lifecycle.without_stale_vectors(tables["vectors"], tables["sessions"], fresh)
     if mode == "full":
-        out["messages"] = tables["messages"].unionByName(fresh.select(tables["messages"].columns))
+        out["added"] = fresh.select(tables["messages"].columns)
     return out
 
 
+def ingest_batch(tables: dict[str, DataFrame], found: DataFrame, arrivals: DataFrame, cursors: DataFrame, blocked: Column | None = None, mode: str = "full") -> dict[str, DataFrame]:
+    """All tables after ``batch_changes``; the same batch again changes nothing but bad line counts."""
+    changes = batch_changes(tables, found, arrivals, cursors, blocked, mode)
+    added = changes.pop("added", None)
+    return {**tables, **changes, **({"messages": tables["messages"].unionByName(added)} if added is not None else {})}
+
+
 def rebuild(stored: DataFrame, stored_messages: DataFrame, found: DataFrame, arrivals: DataFrame, now: str) -> tuple[DataFrame, DataFrame]:
     """(sessions, messages) made anew from the sources: imported sessions come over as they are, all others from ``found`` and ``arrivals``.
 

@@ -1,12 +1,9 @@
-"""Chat logs as tables: lines of several formats, ignore rules, an incremental tail source, parts joined to messages."""
+"""Chat logs as tables: lines of several formats, ignore rules, parts joined to messages."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from talkmill.functions import fixed_values as fixed
 from talkmill.functions.text import strip
@@ -186,87 +183,3 @@ def rewritten(size: Column, offset: Column) -> Column:
 def grown(size: Column, offset: Column) -> Column:
     """A log that is longer than what was read of it."""
     return size > offset
-
-
-class Stretch(InputPartition):
-    """Bytes of the log from ``start`` to before ``end``, whose first line has the number ``line``."""
-
-    def __init__(self, start: int, end: int, line: int):
-        self.start, self.end, self.line = start, end, line
-
-
-class TailReader(DataSourceStreamReader):
-    """Complete lines of a growing file; the offset is (bytes, lines), and a part of a line stays for the next read.
-
-    The driver only looks for line ends, in blocks and up to ``most_bytes`` a batch; the lines are read by
-    tasks, one for each stretch. A file shorter than what was read of it has been written anew and is read from its start.
-    """
-
-    BLOCK = 1 << 20
-
-    def __init__(self, path: str, most_bytes: int, stretch: int):
-        self.path, self.most_bytes, self.stretch = path, most_bytes, stretch
-        self.at = {"bytes": 0, "lines": 0}
-        self.cuts = {}
-
-    def initialOffset(self) -> dict:
-        return {"bytes": 0, "lines": 0}
-
-    def _scan(self, start: dict, until: int | None) -> tuple[list, dict]:
-        """Stretches that end with a line each, and the offset after the last complete line."""
-        import os
-
-        if os.path.getsize(self.path) < start["bytes"]:
-            start = {"bytes": 0, "lines": 0}
-        found, begin, lines, first = [], start["bytes"], start["lines"], start["lines"]
-        limit = until if until is not None else start["bytes"] + self.most_bytes
-        with open(self.path, "rb") as f:
-            f.seek(begin)
-            at, last = begin, begin
-            while at < limit and (block := f.read(min(self.BLOCK, self.stretch, limit - at))):
-                ends = block.count(b"\n")
-                if ends:
-                    last = at + block.rfind(b"\n") + 1
-                    lines += ends
-                at += len(block)
-                if last - begin >= self.stretch:
-                    found.append((begin, last, first + 1))
-                    begin, first = last, lines
-        if last > begin:
-            found.append((begin, last, first + 1))
-        return found, {"bytes": last, "lines": lines}
-
-    def latestOffset(self) -> dict:
-        _, self.at = self._scan(self.at, None)
-        return self.at
-
-    def partitions(self, start: dict, end: dict):
-        self.at = max(self.at, end, key=lambda x: x["bytes"])
-        return [Stretch(*x) for x in self._scan(start, end["bytes"])[0]]
-
-    def read(self, partition: Stretch):
-        with open(self.path, "rb") as f:
-            f.seek(partition.start)
-            data = f.read(partition.end - partition.start)
-        for i, x in enumerate(data.split(b"\n")[:-1], partition.line):
-            yield i, x.decode("utf-8", "replace")
-
-    def commit(self, end: dict) -> None:
-        json.dumps(end)
-
-
-class LogTail(DataSource):
-    """``spark.readStream.format("log_tail").option("path", file)``: (line_no, line).
-
-    The path must be readable by the driver and the executors. Options: maxBytesPerBatch (64 MB), stretchBytes (4 MB).
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "log_tail"
-
-    def schema(self) -> str:
-        return "line_no long, line string"
-
-    def streamReader(self, schema):
-        return TailReader(self.options["path"], int(self.options.get("maxBytesPerBatch", 64 << 20)), int(self.options.get("stretchBytes", 4 << 20)))

@@ -1,51 +1,48 @@
-"""Incremental ingest: each micro-batch adds a message once, whatever is replayed."""
+"""Ingest as a stream: each micro-batch is one commit of all the memory's tables, whatever is replayed."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from talkmill.operators.store import MESSAGE_KEY, new_messages
-
+from collections.abc import Callable
 
-#: Folders that the stored messages are dealt to, by a hash of the session.
-FOLDERS = 256
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
+from talkmill.operators.memory_store import Arrived, arrived, commit_batch, open_memory
+from talkmill.sources.log_tail import line_numbers
 
-def folder(session_id):
-    return F.pmod(F.xxhash64(session_id), F.lit(FOLDERS)).cast("int")
+#: What a line of a log holds; lines that aren't such objects are counted as bad.
+LINE = "sid string, seq long, role string, text string, ts string, project string"
 
 
-def append_new(batch: DataFrame, path: str) -> int:
-    """Appends the batch's messages that the table at ``path`` lacks, by (session_id, seq_num); how many there were.
+def ingest(
+    stream: DataFrame, path: str, checkpoint: str, take_apart: Callable[[DataFrame, DataFrame], Arrived] = lambda rows, _: arrived(rows),
+    blocked: Column | None = None, mode: str = "full", available_now: bool = True,
+):
+    """Starts the query that keeps the tables at ``path``; ``checkpoint`` is also the writer's name, under which its batches are noted.
 
-    The table lies in FOLDERS folders by session, and only the folders of the batch's sessions are read, so that a
-    batch costs what its sessions hold and not what the table does.
+    Modes: ``full``; ``meta`` counts messages without keeping them; ``off`` only moves cursors.
     """
-    spark = batch.sparkSession
-    batch = batch.withColumn("folder", folder(F.col("session_id"))).persist()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    known = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-    stored = None
-    if known:
-        touched = [r.folder for r in batch.select("folder").distinct().collect()]  # FOLDERS rows at most
-        stored = spark.read.parquet(path).filter(F.col("folder").isin(touched)).select(*MESSAGE_KEY)
-    fresh = new_messages(batch, stored).persist()
-    try:
-        n = fresh.count()
-        if n:
-            fresh.repartition("folder").write.mode("append").partitionBy("folder").parquet(path)
-        return n
-    finally:
-        fresh.unpersist()
-        batch.unpersist()
-
-
-def ingest(stream: DataFrame, path: str, checkpoint: str, mode: str = "full", available_now: bool = True):
-    """Starts the query that keeps the table at ``path``. Modes: ``full``; ``meta`` without bodies; ``off`` takes nothing."""
-    if mode == "meta":
-        stream = stream.withColumn("content", F.lit(None).cast("string"))
-    elif mode == "off":
-        stream = stream.filter(F.lit(False))
-    writer = stream.writeStream.foreachBatch(lambda batch, _: append_new(batch, path)).option("checkpointLocation", checkpoint)
+    tables = open_memory(stream.sparkSession, path)
+    commit = lambda batch, batch_id: commit_batch(tables, batch, batch_id, checkpoint, take_apart, blocked, mode)
+    writer = stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.trigger(processingTime="30 seconds").start()
+
+
+def from_log_lines(source: str) -> Callable[[DataFrame, DataFrame], Arrived]:
+    """Takes apart lines of the ``log_tail`` source, each a JSON object of LINE; a line without a session, number or role is bad. Files count on from their cursors."""
+
+    def take_apart(batch: DataFrame, cursors: DataFrame) -> Arrived:
+        numbered = line_numbers(batch, cursors).withColumn("m", F.from_json("line", LINE))
+        good = F.col("m.sid").isNotNull() & F.col("m.seq").isNotNull() & F.col("m.role").isNotNull()
+        rows = numbered.filter(good).select(
+            F.lit(source).alias("source"), F.col("m.sid").alias("source_session_id"), F.col("m.project").alias("project_id"), F.col("m.seq").alias("seq_num"), F.col("m.role").alias("role"),
+            F.col("m.text").alias("content"), F.col("m.ts").alias("created_at"), "source_file", "position",
+        )
+        bad = F.count(F.when(~good & (F.trim("line") != ""), 1))
+        read = numbered.groupBy("source_file").agg(F.max("position").alias("position"), F.max("line_no").alias("lines"), bad.alias("bad_lines"), F.lit(False).alias("suspect"), F.min("stretch").alias("_low"))
+        known = cursors.select("source_file", F.col("position").alias("_position"))
+        restarted = read.join(known, "source_file").filter("_low < _position").select("source_file")
+        parts = arrived(rows)
+        return Arrived(parts.found, parts.messages, read.drop("_low"), restarted)
+
+    return take_apart

@@ -11,7 +11,6 @@ from talkmill.functions import text as X
 from talkmill.functions.scope import Scope, assemble, merge
 from talkmill.operators import extract, lifecycle, related, search, store
 from talkmill.sources import chat_logs, discovery
-from talkmill.streaming.ingest import append_new, ingest
 from talkmill.streaming.lifecycle import lifecycle as lifecycle_stream
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -78,41 +77,6 @@ def test_glob_rules(spark):
     assert kept(["title:secret"]) == ["1", "2"] and kept(["session:s/1", "# x", ""]) == ["2", "3"] and kept([]) == ["1", "2", "3"]
 
 
-def test_log_tail_reads_complete_lines_once(spark, tmp_path):
-    log, out, check = tmp_path / "log.jsonl", str(tmp_path / "out"), str(tmp_path / "check")
-    spark.dataSource.register(chat_logs.LogTail)
-
-    def run():
-        stream = spark.readStream.format("log_tail").option("path", str(log)).load()
-        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).start()
-        q.processAllAvailable()
-        q.stop()
-        return [(r.line_no, r.line) for r in spark.read.parquet(out).orderBy("line_no").collect()]
-
-    log.write_text("one\ntwo\npart")
-    assert run() == [(1, "one"), (2, "two")]
-    log.write_text("one\ntwo\npartial\nfour\n")
-    assert run() == [(1, "one"), (2, "two"), (3, "partial"), (4, "four")]
-
-
-def test_log_tail_in_stretches_and_batches(tmp_path):
-    log = tmp_path / "log.jsonl"
-    lines = [f"line {i} " + "x" * (i % 50) for i in range(1, 401)]
-    log.write_text("\n".join(lines) + "\nunfinished")
-    reader, at, got = chat_logs.TailReader(str(log), 2000, 300), {"bytes": 0, "lines": 0}, []
-    while (end := reader.latestOffset()) != at:
-        parts = reader.partitions(at, end)
-        assert len(parts) > 1 or end["bytes"] - at["bytes"] < 600
-        got += [row for p in parts for row in reader.read(p)]
-        at = end
-    assert got == list(enumerate(lines, 1))
-    log.write_text("new\n")
-    fresh = chat_logs.TailReader(str(log), 2000, 300)
-    fresh.at = at
-    end = fresh.latestOffset()
-    assert end == {"bytes": 4, "lines": 1} and [row for p in fresh.partitions(at, end) for row in fresh.read(p)] == [(1, "new")]
-
-
 def test_lines_of_split_files(spark, tmp_path):
     for name, n in (("a.log", 3000), ("b.log", 5)):
         (tmp_path / name).write_text("".join(f"{name} {i}\n" if i % 7 else "\n" for i in range(1, n + 1)))
@@ -126,14 +90,6 @@ def test_lines_of_split_files(spark, tmp_path):
     assert all(r.line.endswith(f" {r.line_no}") and r.source_file.endswith(r.line.split(" ")[0]) for r in rows)
 
 
-def test_batches_read_only_their_sessions(spark, tmp_path):
-    target = str(tmp_path / "messages")
-    make = lambda ids: spark.createDataFrame([(i, n, "user", "x", None) for i in ids for n in (1, 2)], MESSAGES)
-    assert append_new(make([f"s{i}" for i in range(300)]), target) == 600
-    assert append_new(make(["s7", "new"]), target) == 2 and append_new(make(["s7", "new"]), target) == 0
-    assert spark.read.parquet(target).select("session_id", "seq_num").distinct().count() == spark.read.parquet(target).count() == 602
-
-
 def test_related_to_an_unknown_session(spark):
     s = spark.createDataFrame([("a", "t", "confirmed", ["x"], ["y"], ["f"])], "session_id string, title string, state string, topics array<string>, user_tags array<string>, files_mentioned array<string>")
     v = spark.createDataFrame([("a", [1.0, 0.0])], "session_id string, vec array<float>")
@@ -160,15 +116,6 @@ def test_a_held_part_is_read_again(spark):
     assert cursors.first().cursor == 3  # too old to wait for
 
 
-def test_ingest_adds_each_message_once(spark, tmp_path):
-    source, target = str(tmp_path / "in"), str(tmp_path / "messages")
-    rows = spark.createDataFrame([("a", 1, "user", "x", None), ("a", 2, "assistant", "y", None)], MESSAGES)
-    for i in range(2):
-        rows.coalesce(1).write.mode("append").parquet(source)
-        ingest(spark.readStream.schema(MESSAGES).parquet(source), target, str(tmp_path / f"check{i}")).awaitTermination(60)
-    assert sorted((r.session_id, r.seq_num) for r in spark.read.parquet(target).collect()) == [("a", 1), ("a", 2)]
-
-
 def test_lifecycle_stream(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "session_id string, event string, ts timestamp"
