@@ -31,6 +31,9 @@ DECISION_PATTERNS = (
     r"([^。！？!?\n]{2,30}(?:方案|选型|策略|架构|库|协议|格式|命名|引擎|分词|存储|模式)(?:定为|确定为|选定为|采用|敲定))[^。！？!?\n]{0,40}",
 )
 
+# Words one of which stands in every match of a decision.
+DECISION_HINT = "决定|选择|采用|最终用|最终选|定下|敲定|改为|改用|换成|切换到|升级到|切换成|放弃|弃用|不用|直接用|优先用|统一用|定为"
+
 # Hints that a sentence with a question mark is a question, and that it is open.
 QUESTION_HINT = r"(?i)(为什么|怎么|是否|要不要|还是|吗|什么|哪个|哪些|如何|多久|how|what|why|whether|which)"
 OPEN_HINT = r"(还没|尚未|待定|再定|不确定|没定|没有结论|后续|以后再)"

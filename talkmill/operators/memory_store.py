@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talkmill.functions.text import title_of
-from talkmill.operators import capture, lifecycle, store
+from talkmill.operators import capture, extract, lifecycle, store
 from talkmill.operators.commits import Change, Conflict, Tables
 
 #: Tables, each with the column by which it is dealt to folders.
@@ -18,7 +18,9 @@ SCHEMAS = {
     "sessions": (
         "session_id",
         "session_id string, source string, source_session_id string, project_id string, origin string, state string, title string, created_at string, last_event_at string, "
-        "pending_at string, confirmed_at string, message_count long, cleanup_at string, summary_rule string",
+        "pending_at string, confirmed_at string, message_count long, cleanup_at string, summary_rule string, meta_text string, user_tags array<string>, files_mentioned array<string>, "
+        "topics array<string>, decisions array<struct<text:string,seq:long,at:string>>, key_questions array<struct<q:string,seq:long,at:string,unresolved:boolean>>, "
+        "code_changes struct<code_blocks:long,key_exchanges:array<struct<user_text:string,ai_text:string,user_seq:long,reason:string>>>",
     ),
     "messages": ("session_id", "session_id string, seq_num long, role string, content string, created_at string"),
     "vectors": ("session_id", "session_id string, model string, dim int, vec array<float>, embedded_at string"),
@@ -118,6 +120,22 @@ def _shaped(tables: Tables, state: dict, name: str, rows: DataFrame) -> DataFram
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kinds])
 
 
+def tick(tables: Tables, now: str) -> int | None:
+    """Judges all sessions at ``now``; those that are confirmed by that are extracted in the same commit. None, and no commit, if no state changes."""
+    version, state = tables.latest()
+    sessions = tables.read("sessions", state=state)
+    due = lifecycle.judge(sessions.withColumn("_before", F.col("state")), now).filter("state != _before").drop("_before")
+    folders = tables.touched(due, "session_id")
+    if not folders:
+        return None
+    known = lifecycle.judge(tables.read("sessions", folders, state), now)
+    confirmed = due.filter("state = 'confirmed'")
+    told = extract.apply(confirmed, tables.read("messages", folders, state))
+    rest = known.join(confirmed.select("session_id"), "session_id", "left_anti")
+    rows = _shaped(tables, state, "sessions", rest).unionByName(_shaped(tables, state, "sessions", told))
+    return tables.change({"sessions": Change(rows, True, folders)}, version, state)
+
+
 def preview(tables: Tables, doomed: Column) -> DataFrame:
     """(session_id, digest) of the sessions that ``forget`` would take out now."""
     return lifecycle.snapshot(tables.read("sessions").filter(doomed))
