@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talkmill.functions import text as X
@@ -10,6 +12,8 @@ from talkmill.plans import kept, memory
 from talkmill.plans.memory import MEMORY_SQL
 from talkmill.plans.queries import QUERY, bm25_sql
 from talkmill.plans.registry import query, table
+from talkmill.sources.shared import shared_dir
+from talkmill.streaming.lifecycle import lifecycle as lifecycle_stream
 
 RANKED_SQL = "WITH " + bm25_sql("documents", "doc_id", "text", [["thing"], ["then"]]) + " SELECT doc_id, round(s0 + s1, 6) AS score FROM scored WHERE s0 + s1 IS NOT NULL ORDER BY s0 + s1 DESC, doc_id LIMIT 10"
 
@@ -70,3 +74,35 @@ def meta_texts(spark, d):
     s = memory.sessions(spark, d).filter("conv_id % 11 != 0 or conv_id % 6 = 0")
     decisions = F.array(F.struct(F.concat(F.lit("use a/b.ts "), "conv_id").alias("text")))
     return s.select("session_id", search.meta_text(F.col("title"), F.array_sort("topics"), decisions, F.col("user_tags"), F.lit("the end")).alias("t"))
+
+
+# --- the lifecycle as a stream -----------------------------------------------------------------
+
+#: Messages ever farther apart, hook events two minutes after some of them; timers run to an hour before the last of the earlier input.
+STREAM_SQL = """WITH said AS (SELECT conv_id, turn + 1 AS n, conv_id % 30 * 1440 + (turn + 1) * (turn + 1) * 40 AS t FROM conversations),
+ev AS (SELECT conv_id, t, 'NEW_LINE' AS event FROM said UNION ALL SELECT conv_id, t + 2, 'END_SIGNAL' FROM said WHERE conv_id % 3 = 0 AND n % 4 = 0),
+w AS (SELECT least((SELECT max(t) FROM ev WHERE event = 'NEW_LINE'), (SELECT max(t) FROM ev WHERE event = 'END_SIGNAL')) - 60 AS w),
+e AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY conv_id ORDER BY t), w) AS until FROM ev, w),
+c AS (SELECT conv_id, CASE event WHEN 'NEW_LINE' THEN 'active' ELSE 'pending_end' END AS state, event, t FROM e
+ UNION ALL SELECT conv_id, 'pending_end', 'IDLE_TIMEOUT', t + 10 FROM e WHERE event = 'NEW_LINE' AND t + 10 < until
+ UNION ALL SELECT conv_id, 'confirmed', 'COOLDOWN_ELAPSED', t + 370 FROM e WHERE event = 'NEW_LINE' AND t + 370 < until
+ UNION ALL SELECT conv_id, 'confirmed', 'COOLDOWN_ELAPSED', t + 360 FROM e WHERE event = 'END_SIGNAL' AND t + 360 < until)
+SELECT conv_id::VARCHAR AS session_id, state, event, 1704067200000 + t * 60000 AS at_ms, CASE WHEN event = 'COOLDOWN_ELAPSED' THEN 'extract' END AS work FROM c"""
+
+
+@query("lifecycle_changes", STREAM_SQL)
+def lifecycle_changes(spark, d):
+    """All changes of state that the stream gives for a replay of the conversations with hook events."""
+    # A pattern, as the table may be a file or a folder.
+    path, where = f"{d}/conversations.parque[t]", f"{shared_dir(spark)}/talkmill/lifecycle-{uuid.uuid4().hex}"
+    schema, n = table(spark, d, "conversations").schema, F.col("turn") + 1
+
+    def read(minutes, event):
+        at = F.expr("timestamp'2024-01-01'") + F.make_dt_interval((F.col("conv_id") % 30).cast("int"), F.lit(0), minutes.cast("int"))
+        return spark.readStream.schema(schema).parquet(path).select(F.col("conv_id").cast("string").alias("session_id"), F.lit(event).alias("event"), at.alias("ts"), "conv_id", "turn")
+
+    lines = read(n * n * 40, "NEW_LINE").drop("conv_id", "turn")
+    hooks = read(n * n * 40 + 2, "END_SIGNAL").filter("conv_id % 3 = 0 and (turn + 1) % 4 = 0").drop("conv_id", "turn")
+    changes = lifecycle_stream(lines, hooks=hooks).writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/check")
+    changes.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{where}/out")
