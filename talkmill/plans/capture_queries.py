@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from talkmill.functions.scope import Scope, assemble, recent
-from talkmill.operators import capture, exchange, extract, lifecycle, listing, related, search, stats, store
+from talkmill.operators import capture, exchange, extract, lifecycle, listing, memory_store, related, search, stats, store
 from talkmill.plans import memory
 from talkmill.plans.memory import MEMORY_SQL
 from talkmill.plans.queries import MARKED_SQL, NOW, with_marks, with_metadata
 from talkmill.plans.registry import query
+from talkmill.sources.shared import shared_dir, written
 
 LATE = "2024-02-01T00:00:0"
 
@@ -380,15 +383,42 @@ def digest_queue(spark, d):
 # --- extraction --------------------------------------------------------------------------------
 
 
-@query("applied_extraction", MARKED_SQL + """, f AS (SELECT session_id, len(list_distinct(flatten(list(regexp_extract_all(content, 'src/mod\\d/file\\d\\.ts'))))) AS n FROM marked GROUP BY 1), c AS (SELECT session_id, (sum(len(regexp_extract_all(content, '```'))) // 2)::BIGINT AS code_blocks FROM marked GROUP BY 1),
+EXTRACTED_SQL = MARKED_SQL + """, f AS (SELECT session_id, len(list_distinct(flatten(list(regexp_extract_all(content, 'src/mod\\d/file\\d\\.ts'))))) AS n FROM marked GROUP BY 1), c AS (SELECT session_id, (sum(len(regexp_extract_all(content, '```'))) // 2)::BIGINT AS code_blocks FROM marked GROUP BY 1),
 q AS (SELECT session_id, count(*) AS q FROM marked WHERE role = 'user' AND seq_num % 2 = 1 GROUP BY 1), dd AS (SELECT session_id, count(DISTINCT conv_id % 6) AS d FROM marked WHERE seq_num % 3 = 0 GROUP BY 1)
-SELECT session_id, n AS files, code_blocks, coalesce(q, 0) AS questions, coalesce(d, 0) AS decisions, coalesce(d, 0) > 0 AS searchable FROM f JOIN c USING (session_id) LEFT JOIN q USING (session_id) LEFT JOIN dd USING (session_id)""")
-def applied_extraction(spark, d):
-    out = extract.apply(memory.sessions(spark, d), with_marks(memory.messages(spark, d)))
+SELECT session_id, n AS files, code_blocks, coalesce(q, 0) AS questions, coalesce(d, 0) AS decisions, coalesce(d, 0) > 0 AS searchable FROM f JOIN c USING (session_id) LEFT JOIN q USING (session_id) LEFT JOIN dd USING (session_id)"""
+
+
+def _extracted(out):
     files = F.size(F.filter("files_mentioned", lambda f: f.startswith("src/mod")))
     return out.select("session_id", files.cast("long").alias("files"), "code_changes.code_blocks", F.size("key_questions").cast("long").alias("questions"), F.size("decisions").cast("long").alias("decisions"), F.contains("meta_text", F.lit("决 定")).alias("searchable"))
 
 
+@query("applied_extraction", EXTRACTED_SQL)
+def applied_extraction(spark, d):
+    return _extracted(extract.apply(memory.sessions(spark, d), with_marks(memory.messages(spark, d))))
+
+
+@query("grown_extraction", EXTRACTED_SQL)
+def grown_extraction(spark, d):
+    """The lists of all messages, from the state after the first three of each session and the messages after them."""
+    found = extract.features(with_marks(memory.messages(spark, d)))
+    before, after = (written(found.filter(part), "features") for part in ("seq_num <= 3", "seq_num > 3"))
+    state = {name: written(rows, name) for name, rows in extract.state_of(before).items()}
+    return _extracted(extract.with_lists(memory.sessions(spark, d), extract.told(extract.grown(state, after))))
+
+
+@query("committed_memory", MEMORY_SQL + " SELECT source_session_id, 'active' AS state, message_count, message_count AS kept, project_id, title, last_event_at FROM sessions")
+def committed_memory(spark, d):
+    """Sessions and their stored messages after two commits of the conversations, the first of them replayed, the second with what the first had already."""
+    tables = memory_store.open_memory(spark, f"{shared_dir(spark)}/talkmill/memory-{uuid.uuid4().hex}")
+    s = memory.sessions(spark, d).select("session_id", "source", "source_session_id", "project_id")
+    rows = memory.messages(spark, d).join(s, "session_id").select("source", "source_session_id", "project_id", "seq_num", "role", "content", "created_at", F.col("session_id").alias("source_file"), F.col("seq_num").alias("position"))
+    for batch_id, batch in ((0, rows.filter("seq_num <= 2")), (0, rows), (1, rows.filter("seq_num > 1"))):
+        memory_store.commit_batch(tables, batch, batch_id, "replay")
+    kept = tables.read("messages").groupBy("session_id").agg(F.count("*").alias("kept"))
+    return tables.read("sessions").join(kept, "session_id").select("source_session_id", "state", "message_count", "kept", "project_id", "title", "last_event_at")
+
+
 @query("summaries", MARKED_SQL + """, dd AS (SELECT session_id, min(conv_id % 6) AS k FROM marked WHERE seq_num % 3 = 0 GROUP BY 1)
 SELECT session_id, coalesce(title, '（无标题）') AS first, CASE WHEN k IS NOT NULL THEN '决策（1）：1) 决定采用方案' || k || '号存储引擎' END AS told, '数据：' || message_count || ' 消息 · ' || source || ' · ' || left(created_at, 10) || ' → ' || left(last_event_at, 10) AS figures FROM sessions LEFT JOIN dd USING (session_id)""")
 def summaries(spark, d):
