@@ -18,22 +18,43 @@ PARAMETERS = "array<struct<parameter:string,type:string,required:boolean>>"
 
 
 def _json_type(value):
-    """JSON type of a variant column."""
+    """JSON type of a variant column. Numbers without a fraction are integers, however they are written: 1.0, 1e2, beyond 64 bits."""
     kind = F.schema_of_variant(value)
+    whole = F.try_variant_get(value, "$", "double")
     return (
         F.when(kind == "BIGINT", "integer").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").when(kind == "VOID", "null")
-        .when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise("number")
+        .when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").when(kind.rlike(r"^DECIMAL\(\d+,0\)$"), "integer")
+        .when(kind.isin("DOUBLE", "FLOAT") & (whole == F.floor(whole).cast("double")), "integer").otherwise("number")
     )
 
 
+def _inner(entry):
+    """The members of an object and the elements of an array, as struct(path, value)."""
+    kind, path = F.schema_of_variant(entry["value"]), entry["path"]
+    members = F.transform(F.map_entries(F.try_variant_get(entry["value"], "$", "map<string,variant>")), lambda m: F.struct(F.concat(path, F.lit("."), m["key"]).alias("path"), m["value"].alias("value")))
+    elements = F.transform(F.try_variant_get(entry["value"], "$", "array<variant>"), lambda x: F.struct(F.concat(path, F.lit("[]")).alias("path"), x.alias("value")))
+    return F.when(kind.startswith("OBJECT"), members).when(kind.startswith("ARRAY"), elements).otherwise(F.array().cast("array<struct<path:string,value:variant>>"))
+
+
+def _types(text, depth: int):
+    """(path, type) of all values of a JSON object down to ``depth`` levels: ``a``, ``a.b``, ``a[]``, ``a[].b``."""
+    level = F.transform(F.map_entries(F.from_json(text, "map<string,variant>")), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("value")))
+    levels = [level]
+    for _ in range(depth - 1):
+        levels.append(F.flatten(F.transform(levels[-1], _inner)))
+    return F.transform(F.concat(*levels), lambda e: F.struct(e["path"].alias("path"), _json_type(e["value"]).alias("type")))
+
+
 def validate_arguments(calls: DataFrame, schemas: DataFrame, name: str = "call_name", arguments: str = "call_arguments") -> DataFrame:
     """``calls`` with errors (array<string>, sorted; empty if there are none), in place: no call is sent to others of its kind.
 
-    ``arguments`` holds JSON text; ``schemas`` holds tool, parameter, type, required. Arguments that aren't
-    a JSON object, unknown tools, missing required parameters, unknown parameters and wrong types are
-    errors; an integer passes for a number. A null argument text is ``{}``. Repeated schema rows count once.
+    ``arguments`` holds JSON text; ``schemas`` holds tool, parameter, type, required. A parameter may lie deeper: ``a.b`` is member b of
+    the object a, ``a[]`` stands for the elements of the array a, ``a[].b`` for their members. Arguments that aren't
+    a JSON object, repeated keys, unknown tools, missing required parameters (members: of an object that is there), unknown parameters (of objects with
+    declared members) and wrong types are errors; an integer passes for a number. A null argument text is ``{}``. Repeated schema rows count once.
     """
     schemas = schemas.dropna().dropDuplicates(["tool", "parameter"])
+    depth = schemas.agg(F.max(F.regexp_count("parameter", F.lit(r"\.|\[\]")) + 1)).first()[0] or 1
     tools = schemas.groupBy(F.col("tool").alias("_tool")).agg(F.collect_list(F.struct("parameter", "type", "required")).cast(PARAMETERS).alias("_params"))
     if small(schemas, BROADCAST_SCHEMAS):
         known = calls.join(F.broadcast(tools), F.col(name) == F.col("_tool"), "left")
@@ -43,22 +64,25 @@ def validate_arguments(calls: DataFrame, schemas: DataFrame, name: str = "call_n
         known = calls.withColumn("_own", own).join(parted, (F.col(name) == F.col("_tool")) & (F.col("_own") == F.col("_part")), "left").drop("_own", "_part")
     text = F.coalesce(F.col(arguments), F.lit("{}"))
     is_object = F.coalesce(F.schema_of_variant(F.try_parse_json(text)).startswith("OBJECT"), F.lit(False))
-    types = F.transform_values(F.from_json(text, "map<string,variant>"), lambda _, v: _json_type(v))
-    known = known.withColumns({"_object": is_object, "_got": F.when(is_object, types)})
+    # A variant has each key once; a map of strings takes them all.
+    repeats = ~is_object & F.from_json(text, "map<string,string>").isNotNull()
+    known = known.withColumns({"_object": is_object, "_repeats": repeats, "_got": F.when(is_object, _types(text, depth))})
     some = lambda x: F.coalesce(x, F.array().cast("array<string>"))
-    given = F.map_keys("_got")
-    missing = F.transform(F.filter("_params", lambda p: p["required"] & ~F.array_contains(given, p["parameter"])), lambda p: F.concat(p["parameter"], F.lit(": missing")))
+    at = lambda path: F.filter("_got", lambda g: g["path"] == path)
+    parent = lambda path: F.regexp_extract(path, r"^(.*)(\.[^.\[\]]*|\[\])$", 1)
+    objects = lambda path: F.when(path == "", 1).otherwise(F.size(F.filter(at(path), lambda g: g["type"] == "object")))
+    missing = F.transform(F.filter("_params", lambda p: p["required"] & (F.size(at(p["parameter"])) < objects(parent(p["parameter"])))), lambda p: F.concat(p["parameter"], F.lit(": missing")))
     names = F.transform("_params", lambda p: p["parameter"])
+    declared = lambda path: (path == "") | F.exists(names, lambda n: n.startswith(F.concat(path, F.lit("."))))
+    given = F.filter(F.transform("_got", lambda g: g["path"]), lambda path: ~path.endswith("[]") & declared(parent(path)))
     unknown = F.transform(F.array_except(given, names), lambda k: F.concat(k, F.lit(": unknown")))
     fits = lambda got, want: (got == want) | ((got == "integer") & (want == "number"))
-    of = lambda p: F.element_at("_got", p["parameter"])
-    wrong = F.filter("_params", lambda p: F.array_contains(given, p["parameter"]) & ~fits(of(p), p["type"]))
-    wrong = F.transform(wrong, lambda p: F.concat(p["parameter"], F.lit(": "), of(p), F.lit(" for "), p["type"]))
+    wrong = F.flatten(F.transform("_params", lambda p: F.transform(F.filter(at(p["parameter"]), lambda g: ~fits(g["type"], p["type"])), lambda g: F.concat(p["parameter"], F.lit(": "), g["type"], F.lit(" for "), p["type"]))))
     errors = (
-        F.when(~F.col("_object"), F.array(F.lit("arguments: not an object"))).when(F.col("_tool").isNull(), F.array(F.lit("name: unknown tool")))
-        .otherwise(F.array_sort(F.concat(some(missing), some(unknown), some(wrong))))
+        F.when(F.col("_repeats"), F.array(F.lit("arguments: repeated key"))).when(~F.col("_object"), F.array(F.lit("arguments: not an object")))
+        .when(F.col("_tool").isNull(), F.array(F.lit("name: unknown tool"))).otherwise(F.array_sort(F.array_distinct(F.concat(some(missing), some(unknown), some(wrong)))))
     )
-    return known.withColumn("errors", errors).drop("_tool", "_params", "_object", "_got")
+    return known.withColumn("errors", errors).drop("_tool", "_params", "_object", "_repeats", "_got")
 
 
 def _bucketed(rows: DataFrame, at: str) -> DataFrame:

@@ -421,3 +421,17 @@ def test_quality_is_trained_on_one_row_a_document(spark):
     finally:
         quality.fit = fit
     assert sizes and sizes[0] <= 40
+
+
+def test_arguments_of_any_number_and_depth(spark):
+    schemas = [("f", "n", "integer", True), ("f", "x", "number", False), ("f", "a", "object", False), ("f", "a.b", "string", True), ("f", "a.c", "array", False), ("f", "a.c[]", "object", False), ("f", "a.c[].d", "integer", True), ("f", "free", "object", False)]
+    frame = spark.createDataFrame(schemas, "tool string, parameter string, type string, required boolean")
+    cases = {
+        '{"n":99999999999999999999}': [], '{"n":1.0}': [], '{"n":1e2,"x":3}': [], '{"n":-0.0,"x":1.5}': [], '{"n":1.5}': ["n: number for integer"], '{"n":1e-2}': ["n: number for integer"], '{"n":1,"n":2}': ["arguments: repeated key"],
+        '{"n":1,"a":{"b":1,"b":2}}': ["arguments: repeated key"], "{bad": ["arguments: not an object"], "[1]": ["arguments: not an object"], "{}": ["n: missing"], '{"n":1,"a":{}}': ["a.b: missing"],
+        '{"n":1,"a":{"b":"x","c":[]}}': [], '{"n":1,"a":{"b":"x","c":[{"d":1},{"d":2.0}]}}': [], '{"n":1,"a":{"b":"x","c":[{"d":1},{},{"d":"2"}]}}': ["a.c[].d: missing", "a.c[].d: string for integer"],
+        '{"n":1,"a":{"b":"x","c":[3,[]],"z":1}}': ["a.c[]: array for object", "a.c[]: integer for object", "a.z: unknown"], '{"n":1,"a":null}': ["a: null for object"], '{"n":1,"free":{"any":{"thing":1}},"w":1}': ["w: unknown"],
+    }
+    calls = spark.createDataFrame([("f", k) for k in cases] + [("g", "{}"), ("f", None)], "call_name string, call_arguments string")
+    got = {(r.call_name, r.call_arguments): r.errors for r in chat_format.validate_arguments(calls, frame).collect()}
+    assert {k: got["f", k] for k in cases} == cases and got["g", "{}"] == ["name: unknown tool"] and got["f", None] == ["n: missing"]
