@@ -24,7 +24,7 @@ TOP_TERMS = 10
 #: Sources of a language whose pairs one join key gives; with more of them the pairs are dealt to blocks.
 SOURCES_PER_BLOCK = 64
 #: Entries and bytes of terms that a task gathers before it sends them on.
-FLUSH_TERMS, FLUSH_BYTES = 200_000, 16 << 20
+FLUSH_TERMS, FLUSH_BYTES = 600_000, 32 << 20
 #: More than the occurrences of a term that a task gathers before it sends them on.
 DOC = 1 << 40
 #: Bytes of a text whose terms are listed at once.
