@@ -1,6 +1,7 @@
 """Word lists, patterns and limits that results depend on."""
 
-# What a file mention looks like, and what looks like one but is none.
+# What a file mention looks like, and what looks like one but is none. After the name no ASCII letter, digit or underscore may follow;
+# a word boundary would not do, as Han letters, which are word characters in Java, may stand right behind a name.
 PATH = r"(?:[A-Za-z]:)?(?:[\\/][\w.\-]+){1,6}|[\w.\-]+(?:[\\/][\w.\-]+)*\.(?:ts|tsx|js|jsx|mjs|cjs|py|java|go|rs|sql|md|json|ya?ml|toml|xml|css|scss|html|vue|cs|sh|ps1|c|cpp|h|hpp|proto|gradle|kt|rb|php)(?![A-Za-z0-9_])"
 PATH_NOISE = r"^(?:v\d+\.\d+.*|\d+\.\d+.*|node_modules.*)$"
 

@@ -28,7 +28,7 @@ def _by_session(*order):
 def features(messages: DataFrame, *kinds: str) -> DataFrame:
     """Each message with what the extractors find in it, by ``kinds`` of paths, tokens, decided, asked, fences and talk; all of them if none is named."""
     text = F.col("content")
-    known = {"paths": _paths(text), "tokens": _tokens(text), "decided": _decided(text), "asked": F.when(F.col("role") == "user", _asked(text)), "fences": F.regexp_count(text, F.lit("```")), "talk": _talk(text)}
+    known = {"paths": _paths(text), "tokens": segment(text, keep_singles=False), "decided": _decided(text), "asked": F.when(F.col("role") == "user", _asked(text)), "fences": F.regexp_count(text, F.lit("```")), "talk": _talk(text)}
     return messages.select("session_id", "seq_num", "role", "created_at", *[known[k].alias(k) for k in kinds or known])
 
 
@@ -38,11 +38,6 @@ def _paths(text: Column) -> Column:
     return F.filter(found, lambda x: F.length(x["file"]).between(4, 160) & ~x["file"].rlike(fixed.PATH_NOISE))
 
 
-def _tokens(text: Column) -> Column:
-    found = F.transform(segment(text, keep_singles=False), lambda t, i: F.struct(i.alias("i"), t.alias("topic")))
-    return F.filter(found, lambda x: (F.length(x["topic"]) >= 2) & ~x["topic"].rlike(r"^\d+$") & ~x["topic"].isin(*fixed.STOPWORDS))
-
-
 def file_rows(found: DataFrame) -> DataFrame:
     """(session_id, file, at): where a session first mentions a file."""
     each = found.select("session_id", "seq_num", F.inline("paths"))
@@ -62,7 +57,8 @@ def files(messages: DataFrame) -> DataFrame:
 
 def topic_rows(found: DataFrame) -> DataFrame:
     """(session_id, topic, weight, at): a user's tokens count twice."""
-    each = found.select("session_id", "role", "seq_num", F.inline("tokens"))
+    each = found.select("session_id", "role", "seq_num", F.posexplode("tokens").alias("i", "topic"))
+    each = each.filter((F.length("topic") >= 2) & ~F.col("topic").rlike(r"^\d+$") & ~F.col("topic").isin(*fixed.STOPWORDS))
     return each.groupBy("session_id", "topic").agg(F.sum(F.when(F.col("role") == "user", 2).otherwise(1)).alias("weight"), F.min(F.struct("seq_num", "i")).alias("at"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from talkmill.functions.text import excerpt
 from talkmill.operators.search import ordered, parse_query, resolved, with_meta
 from talkmill.operators.text_index import TextIndex, View
+from talkmill.sources.shared import written
 
 #: Sessions whose texts are looked up by their ids in a filter that reaches the scan; beyond, by a join.
 LOOKED_UP = 1000
@@ -33,6 +34,8 @@ class SessionIndex:
 def best_of_index(body: View, sessions: DataFrame, units: list[list[str]], where: Column | None) -> DataFrame:
     """(session_id, b0, b1, ...): for each unit the best message, struct(s, m) of its score and minus its seq; only the units' files are read."""
     hits = body.hits(units)
+    if any(len(u) > 1 for u in units):
+        hits = written(hits, "phrase-hits")  # positions are compared once, though hits are counted, weighed and ranked
     scored = body.scored(hits, body.holding(hits, len(units)))
     if where is not None:
         scored = scored.join(sessions.filter(where).select(F.col("session_id").alias("key")), "key", "left_semi")

@@ -132,11 +132,11 @@ class View:
         return reduce(DataFrame.unionByName, found)
 
     def _side_by_side(self, unit: list[str]) -> DataFrame:
-        own = self.live("postings", sorted(set(unit)))
-        places = F.filter(F.array(*[F.when(F.col("term") == t, F.lit(i)) for i, t in enumerate(unit)]), lambda i: i.isNotNull())
-        each = own.select("key", "seq", "length", F.explode("positions").alias("p"), places.alias("places")).select("key", "seq", "length", "p", F.explode("places").alias("i"))
-        whole = each.groupBy("key", "seq", "length", (F.col("p") - F.col("i")).alias("start")).agg(F.count("*").alias("k")).filter(F.col("k") == len(unit))
-        rows = whole.groupBy("key", "seq", "length").agg(F.count("*").cast("int").alias("tf"))
+        terms = sorted(set(unit))
+        each = self.live("postings", terms).groupBy("key", "seq").agg(F.max("length").alias("length"), F.collect_list(F.struct("term", "positions")).alias("met"))
+        places = lambda i: F.transform(F.element_at(F.filter("met", lambda m: m["term"] == unit[i]), 1)["positions"], lambda p: p - i)
+        starts = reduce(F.array_intersect, [places(i) for i in range(len(unit))])
+        rows = each.filter(F.size("met") == len(terms)).select("key", "seq", "length", F.size(starts).alias("tf")).filter("tf > 0")
         counts = rows.groupBy("key", "tf").agg(F.count("*").alias("n"), F.min(F.struct("length", "seq")).alias("least"))
         entry = F.struct("tf", F.col("least.length").alias("length"), F.col("least.seq").alias("seq"))
         return counts.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("entries"))
