@@ -21,7 +21,7 @@ OVERLAP_CHARS = 512
 #: Tokens that must agree on each side of a splice.
 AGREE = 8
 #: Words that a worker remembers in each of two generations (about 200 bytes each); those not met while a generation fills are forgotten.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 DOCS_PER_SLICE = 128
 #: A split pattern whose matches never hold white space, under "Removed" and "invert": what white space parts is encoded apart.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
