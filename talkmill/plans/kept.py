@@ -41,15 +41,14 @@ def kept(spark: SparkSession, d: str, name: str, label: str, build) -> str:
 
 
 def session_index(spark: SparkSession, d: str, role: str | None = None) -> SessionIndex:
-    """Message bodies (all, or those not of ``role``) and metadata of all conversations; the second half of the sessions comes after the first."""
+    """Message bodies (all, or those not of ``role``) and metadata of all conversations."""
 
     def build(where):
         s = memory.sessions(spark, d).withColumn("meta_text", meta_text(F.col("title"), F.col("topics")))
         m = memory.messages(spark, d)
         m = m.filter(F.col("role") != role) if role else m
         index = SessionIndex(TextIndex(spark, f"{where}/body"), TextIndex(spark, f"{where}/meta"))
-        for half in (0, 1):
-            index.add(m.filter(F.col("seq_num") % 2 == half), s.filter(F.col("conv_id") % 2 == half))
+        index.add(m, s)
 
     where = kept(spark, d, "conversations", f"sessions-{role or 'all'}", build)
     return SessionIndex(TextIndex(spark, f"{where}/body"), TextIndex(spark, f"{where}/meta"))
