@@ -242,6 +242,26 @@ def test_neighbours(spark):
     assert neighbours.search(vectors.limit(0), vectors).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["queries apart", "many scales"])
+def test_neighbours_of_uneven_vectors(spark, kind):
+    """Queries that lie between the lists, not in them; vectors so near each other that their codes are the same."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(8000, 64))
+    if kind == "queries apart":
+        x[np.arange(8000) % 100 > 0] = (rng.normal(size=(40, 64))[rng.integers(0, 40, 8000)] + 0.05 * x)[np.arange(8000) % 100 > 0]
+    else:
+        x *= np.exp(4 * rng.normal(size=(8000, 1)))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.search(vectors, vectors.filter("vec_id % 100 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 8000, 100):
+        near = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")
+        hits += len(set(near[near != q][:10].tolist()) & got[q])
+    assert hits / (10 * 80) >= 0.95
+
+
 # 8 -----------------------------------------------------------------------------------------------
 
 
