@@ -5,9 +5,13 @@ Rows (key, seq, text) are documents, or messages of a session: a key may have ma
 - ``postings`` (term, key, seq, length, lead, positions) and ``heads`` (term, key, n, entries), what ranking needs: the rows of the
   key that hold the term, and for each count of it in a row the shortest such row. The best score of a key follows from
   the heads whatever the corpus statistics are by then, without a look at its rows.
-- both are dealt by ranges of (term, key): a frequent term is cut by key, and no file has more than ROWS_PER_FILE rows.
+  Where a key's rows are many it may have several rows of a term, which add up.
+- both are dealt by ranges of terms, drawn from a sample of the rows: a frequent term is cut by key, and no file has more than ROWS_PER_FILE rows.
   ``files`` lists each file's range, so a query opens the files of its terms alone.
-- ``sizes`` (key, rows, length), and ``deleted`` (key): keys of earlier segments that are gone or have come anew.
+- ``sizes`` (key, rows, length), and ``deleted`` (key): keys of earlier segments that are gone or have come anew. The manifest
+  names the segments that a deletion ``touches``; the others are read without a look at it.
+
+A row's postings are made where the row is read, and travel once, to their range; so do the heads.
 
 Adding, changing and removing write one new segment and read, of earlier ones, the sizes of the keys that go. The newest
 segments are merged before they are many; a merge drops what is deleted.
@@ -17,6 +21,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,33 +30,139 @@ from pyspark.sql import types as T
 from talkmill.functions.text import index_terms
 from talkmill.operators.commits import Commits
 from talkmill.operators.search import Corpus, bm25, parse_query
+from talkmill.sources.shared import written
 
 #: Rows of a file, at most.
 ROWS_PER_FILE = 1_000_000
 #: Segments from which the newest are merged; a merge takes in an older segment unless that is so many times larger than the newer ones together.
 MOST_SEGMENTS, LARGER = 8, 4
 
-ENTRIES = "array<struct<tf:int,length:int,seq:long>>"
-
-
-def once(rows: DataFrame) -> DataFrame:
-    """One row for each (key, seq): of a repeated one the smallest text counts."""
-    return rows.groupBy("key", "seq").agg(F.min("text").alias("text"))
-
+#: Rows whose terms tell the ranges, about; chosen by hash. A range holds about so many bytes of postings.
+SAMPLE_ROWS, RANGE_BYTES = 5_000, 16 << 20
 
-def postings_of(rows: DataFrame) -> DataFrame:
-    """(term, key, seq, length, lead, positions); a row without terms has one with an empty term. ``lead`` marks one posting of each row."""
-    cut = rows.select("key", "seq", index_terms(F.col("text")).alias("terms"))
-    met = cut.select("key", "seq", F.size("terms").alias("length"), F.posexplode_outer("terms").alias("position", "term"))
-    own = met.groupBy(F.coalesce("term", F.lit("")).alias("term"), "key", "seq", "length").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-    return own.select("term", "key", "seq", "length", (F.coalesce(F.get("positions", F.lit(0)), F.lit(0)) == 0).alias("lead"), "positions")
-
-
-def heads_of(postings: DataFrame) -> DataFrame:
-    """(term, key, n, entries): rows of the key that hold the term; for each count of it the shortest row, then the one with the smallest seq."""
-    counts = postings.filter("term != ''").groupBy("term", "key", F.size("positions").alias("tf")).agg(F.count("*").alias("n"), F.min(F.struct("length", "seq")).alias("least"))
-    entry = F.struct("tf", F.col("least.length").alias("length"), F.col("least.seq").alias("seq"))
-    return counts.groupBy("term", "key").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("entries"))
+ENTRIES = "array<struct<tf:int,length:int,seq:long>>"
+POSTINGS, HEADS = "seq long, length int, lead boolean, positions array<int>", f"n long, entries {ENTRIES}"
+
+
+def once(rows: DataFrame) -> tuple[DataFrame, int]:
+    """One row for each (key, seq), and how many: of a repeated one the smallest text counts. Only repeated rows are moved."""
+    met = rows.groupBy("key", "seq").agg(F.count("*").alias("n"))
+    n, most = met.agg(F.count("*"), F.max("n")).first()
+    if (most or 1) == 1:
+        return rows, n
+    again = written(met.filter("n > 1").select(F.col("key").alias("_key"), F.col("seq").alias("_seq")), "repeated-rows")
+    same = F.col("key").eqNullSafe(F.col("_key")) & F.col("seq").eqNullSafe(F.col("_seq"))
+    least = rows.join(again, same, "left_semi").groupBy("key", "seq").agg(F.min("text").alias("text"))
+    return rows.join(again, same, "left_anti").unionByName(least), n
+
+
+class Ranges:
+    """Ranges of terms of about RANGE_BYTES each: a term with more than that has several, and its keys are dealt among them."""
+
+    def __init__(self, weights: list[tuple[str, int]], times: float):
+        """``weights``: bytes of each term's postings in a sample; ``times``: what they are to be multiplied by."""
+        ordered = sorted(weights)
+        ends = np.cumsum([w for _, w in ordered])
+        self.count = max(1, int(np.ceil(ends[-1] * times / RANGE_BYTES))) if ordered else 1
+        terms = np.array([t for t, _ in ordered] or [""], object)
+        at = np.searchsorted(ends, ends[-1] * np.arange(1, self.count) / self.count) if ordered else []
+        self.bounds = terms[np.asarray(at, int)].tolist()
+
+    def of(self, terms: pa.Array, which: np.ndarray, deal: np.ndarray) -> pa.Array:
+        """The range of each row: its term is ``terms[which]``, ``deal`` a hash of its key."""
+        names, bounds = np.array(terms.to_pylist(), object), np.array(self.bounds, object)
+        low, high = np.searchsorted(bounds, names, "left"), np.searchsorted(bounds, names, "right")
+        return pa.array((low[which] + deal % (high - low + 1)[which]).astype(np.int32), pa.int32())
+
+
+def ranges_of(rows: DataFrame, n: int) -> Ranges:
+    """From the terms of about SAMPLE_ROWS of ``n`` rows."""
+    times = max(1, n // SAMPLE_ROWS)
+    some = rows.filter(F.pmod(F.xxhash64("key", "seq"), F.lit(times)) == 0)
+    met = some.select(F.explode(index_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return Ranges([(r.term, 24 * min(r.n, SAMPLE_ROWS) + 4 * r.n) for r in met.collect()], times)
+
+
+def postings_of(rows: DataFrame, ranges: Ranges) -> DataFrame:
+    """(term, key, seq, length, lead, positions, part); a row without terms has one with an empty term. ``lead`` marks one posting of each row, ``part`` is its range."""
+    cut = rows.select("key", "seq", F.xxhash64("key").alias("deal"), index_terms(F.col("text")).alias("terms"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, seq, deal, terms = batch.columns
+            lengths, words = np.diff(terms.offsets.to_numpy()), terms.flatten().dictionary_encode()
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            known = words.dictionary
+            pair = row * (len(known) + 1) + words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(pair, kind="stable")
+            first = np.flatnonzero(np.diff(pair[order], prepend=-1))
+            owner, which = row[order[first]], words.indices.to_numpy(zero_copy_only=False)[order[first]]
+            bare = np.flatnonzero(lengths == 0)
+            owner, which = np.concatenate([owner, bare]), np.concatenate([which, np.full(len(bare), len(known))])
+            names = pa.concat_arrays([known.cast(pa.string()), pa.array([""])])
+            places = pa.ListArray.from_arrays(np.concatenate([first, np.full(len(bare) + 1, len(row))]).astype(np.int32), pa.array(position[order].astype(np.int32)))
+            lead = np.concatenate([position[order[first]] == 0, np.ones(len(bare), bool)])
+            mine = pa.array(owner)
+            part = ranges.of(names, which, deal.to_numpy()[owner])
+            columns = [names.take(pa.array(which)), key.take(mine), seq.take(mine), pa.array(lengths[owner].astype(np.int32)), pa.array(lead), places, part]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "key", "seq", "length", "lead", "positions", "part"])
+
+    return cut.mapInArrow(run, f"term string, key {rows.schema['key'].dataType.simpleString()}, {POSTINGS}, part int")
+
+
+def ranges_of_postings(postings: DataFrame, n: int) -> Ranges:
+    """From the postings of about SAMPLE_ROWS of ``n`` rows."""
+    times = max(1, n // SAMPLE_ROWS)
+    some = postings.filter(F.pmod(F.xxhash64("key", "seq"), F.lit(times)) == 0)
+    met = some.groupBy("term").agg((24 * F.count("*") + 4 * F.sum(F.size("positions"))).alias("n"))
+    return Ranges([(r.term, r.n) for r in met.collect()], times)
+
+
+def dealt(postings: DataFrame, ranges: Ranges) -> DataFrame:
+    """``postings`` with their ``part``."""
+    names = [*postings.columns, "part"]
+
+    def run(batches):
+        for batch in batches:
+            words = batch.column("term").dictionary_encode()
+            part = ranges.of(words.dictionary, words.indices.to_numpy(zero_copy_only=False), batch.column("deal").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], part], names)
+
+    return postings.withColumn("deal", F.xxhash64("key")).mapInArrow(run, T.StructType([*postings.schema.fields, T.StructField("part", T.IntegerType())]))
+
+
+def heads_of(postings: DataFrame, ranges: Ranges) -> DataFrame:
+    """(term, key, n, entries, part): rows of the key that hold the term; for each count of it the shortest row, then the one with the smallest seq.
+
+    ``postings`` come as they are stored, so rows of a term and key are side by side; where a batch cuts them there are two heads.
+    """
+    cut = postings.filter("term != ''").select("term", "key", F.xxhash64("key").alias("deal"), "seq", "length", F.size("positions").alias("tf"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            term, key, deal = batch.columns[:3]
+            seq, length, tf = (c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])
+            words, keys = term.dictionary_encode(), key.dictionary_encode()
+            word, own = (c.indices.to_numpy(zero_copy_only=False) for c in (words, keys))
+            new = np.concatenate([[True], (np.diff(word) != 0) | (np.diff(own) != 0)])
+            run_of, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+            order = np.lexsort((seq, length, tf, run_of))
+            r, t = run_of[order], tf[order]
+            keep = np.concatenate([[True], (np.diff(r) != 0) | (np.diff(t) != 0)])
+            best = order[keep]
+            entries = pa.StructArray.from_arrays([pa.array(tf[best].astype(np.int32)), pa.array(length[best].astype(np.int32)), pa.array(seq[best])], ["tf", "length", "seq"])
+            offsets = np.searchsorted(r[keep], np.arange(len(starts) + 1)).astype(np.int32)
+            at = pa.array(starts)
+            part = ranges.of(words.dictionary, word[starts], deal.to_numpy()[starts])
+            columns = [term.take(at), key.take(at), pa.array(np.diff(np.append(starts, len(new)))), pa.ListArray.from_arrays(offsets, entries), part]
+            yield pa.RecordBatch.from_arrays(columns, ["term", "key", "n", "entries", "part"])
+
+    return cut.mapInArrow(run, f"term string, key {postings.schema['key'].dataType.simpleString()}, {HEADS}, part int")
 
 
 def sizes_of(postings: DataFrame) -> DataFrame:
@@ -71,30 +183,33 @@ class View:
     def _open(self, folder: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{folder}")
 
-    def live(self, kind: str, terms: list[str] | None = None, start: int = 0) -> DataFrame:
-        """Rows of one kind from the segments from ``start`` on, without keys that a later segment deletes; of ``terms``, only their files are opened."""
-        segments = self.segments
-        files = self._files(segments[start:], kind, terms) if terms is not None else None
+    def live(self, kind: str, terms: list[str] | None = None, start: int = 0, columns: list | None = None) -> DataFrame:
+        """Rows of one kind from the segments from ``start`` on, without keys that a later segment deletes; of ``terms``, only their files are opened.
+
+        ``columns``, the key among them, are what is read of each row; ``_at``, its segment's number, may be one."""
+        files = self._files(self.segments[start:], kind, terms) if terms is not None else None
         parts = []
-        for i, s in enumerate(segments[start:], start):
+        for i, s in enumerate(self.segments[start:], start):
             where = f"{self.path}/{s['folder']}/{kind}"
             if files is None:
-                parts.append(self.spark.read.parquet(where).withColumn("_at", F.lit(i)))
+                rows = self.spark.read.schema(self._schema(kind)).parquet(where)
             elif own := files.get(s["folder"]):
-                read = self.spark.read.schema(self._schema(kind)).parquet(*[f"{where}/{f}" for f in own])
-                parts.append(read.filter(F.col("term").isin(*terms)).withColumn("_at", F.lit(i)))
+                rows = self.spark.read.schema(self._schema(kind)).parquet(*[f"{where}/{f}" for f in own]).filter(F.col("term").isin(*terms))
+            else:
+                continue
+            rows = rows.withColumn("_at", F.lit(i)).select(*columns) if columns else rows
+            if later := [self._open(t["deleted"]) for t in self.segments[i + 1 :] if t["deleted"] and s["folder"] in t.get("touches", [s["folder"]])]:
+                dead = reduce(DataFrame.unionByName, later).select(F.col("key").alias("_gone")).distinct()
+                rows = rows.join(dead, F.col("key") == F.col("_gone"), "left_anti")
+            parts.append(rows)
         if not parts:
-            return self.spark.createDataFrame([], self._schema(kind))
-        rows = reduce(DataFrame.unionByName, parts)
-        later = [self._open(s["deleted"]).withColumn("_by", F.lit(i)) for i, s in enumerate(segments) if s["deleted"] and i > start]
-        if later:
-            dead = reduce(DataFrame.unionByName, later).groupBy(F.col("key").alias("_gone")).agg(F.max("_by").alias("_by"))
-            rows = rows.join(dead, (F.col("key") == F.col("_gone")) & (F.col("_at") < F.col("_by")), "left_anti")
-        return rows.drop("_at")
+            rows = self.spark.createDataFrame([], self._schema(kind))
+            return rows.withColumn("_at", F.lit(0)).select(*columns) if columns else rows
+        return reduce(DataFrame.unionByName, parts)
 
     def _schema(self, kind: str) -> T.StructType:
         key = self.state["key"] or "string"
-        more = {"postings": "seq long, length int, lead boolean, positions array<int>", "heads": f"n long, entries {ENTRIES}"}
+        more = {"postings": POSTINGS, "heads": HEADS}
         if kind == "sizes":
             return T.StructType.fromDDL(f"key {key}, rows long, length long")
         return T.StructType.fromDDL(f"term string, key {key}, {more[kind]}")
@@ -116,7 +231,8 @@ class View:
 
     def statistics(self) -> DataFrame:
         """(term, rows, n): rows that hold each term, and its occurrences."""
-        return self.postings().groupBy("term").agg(F.count("*").alias("rows"), F.sum(F.size("positions")).cast("long").alias("n"))
+        met = self.live("postings", columns=["term", "key", F.size("positions").alias("n")]).filter("term != ''")
+        return met.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
 
     def hits(self, units: list[list[str]]) -> DataFrame:
         """(unit, key, n, entries) of each key that holds a unit: single terms from the heads, terms side by side from their positions."""
@@ -181,23 +297,24 @@ class TextIndex:
     def _open(self, folder: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.commits.path}/{folder}")
 
-    def _write(self, rows: DataFrame, folder: str, by: list[str]) -> None:
-        dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
+    def _write(self, rows: DataFrame, ranges: Ranges, folder: str, by: list[str]) -> None:
+        dealt = rows.repartitionById(ranges.count, F.col("part")).sortWithinPartitions(*by).drop("part")
         dealt.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.commits.path}/{folder}")
 
-    def _segment(self, postings: DataFrame) -> dict:
+    def _segment(self, postings: DataFrame, ranges: Ranges) -> dict:
         """Writes a segment; heads, sizes and ranges are read off the postings that have been written."""
         where = self.commits.folder("segment")
-        self._write(postings, f"{where}/postings", ["term", "key", "seq"])
+        self._write(postings, ranges, f"{where}/postings", ["term", "key", "seq"])
         stored = self._open(f"{where}/postings")
-        self._write(heads_of(stored), f"{where}/heads", ["term", "key"])
+        self._write(heads_of(stored, ranges), ranges, f"{where}/heads", ["term", "key"])
         sizes_of(stored).write.parquet(f"{self.commits.path}/{where}/sizes")
-        ranges = [
-            self._open(f"{where}/{kind}").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
-            .agg(F.lit(kind).alias("kind"), F.min("term").alias("low"), F.max("term").alias("high"), F.count("*").alias("rows"))
+        # Counted by term first, which a hash table does; the least and the last of strings would need a sort of all rows.
+        listed = [
+            self._open(f"{where}/{kind}").groupBy(F.col("_metadata.file_name").alias("file"), "term").agg(F.count("*").alias("rows"))
+            .groupBy("file").agg(F.lit(kind).alias("kind"), F.min("term").alias("low"), F.max("term").alias("high"), F.sum("rows").alias("rows"))
             for kind in ("postings", "heads")
         ]
-        ranges[0].unionByName(ranges[1]).coalesce(1).write.parquet(f"{self.commits.path}/{where}/files")
+        listed[0].unionByName(listed[1]).coalesce(1).write.parquet(f"{self.commits.path}/{where}/files")
         told = self._open(f"{where}/sizes").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
         return {"folder": where, "rows": told[0], "length": told[1], "deleted": None}
 
@@ -223,18 +340,22 @@ class TextIndex:
 
     @staticmethod
     def _named(rows: DataFrame, key: str, text: str, seq: str | None) -> DataFrame:
-        return once(rows.select(F.col(key).alias("key"), (F.col(seq).cast("long") if seq else F.lit(0).cast("long")).alias("seq"), F.col(text).alias("text")).filter("key is not null"))
+        return rows.select(F.col(key).alias("key"), (F.col(seq).cast("long") if seq else F.lit(0).cast("long")).alias("seq"), F.col(text).alias("text")).filter("key is not null")
 
     def _change(self, rows: DataFrame | None, gone: DataFrame | None) -> int:
         version, state = self.state()
         if rows is None:
             rows = self.spark.createDataFrame([], f"key {state['key'] or 'string'}, seq long, text string")
-        segment = self._segment(postings_of(rows))
+        rows, n = once(rows)
+        ranges = ranges_of(rows, n)
+        segment = self._segment(postings_of(rows, ranges), ranges)
         lost = (0, 0)
         if gone is not None and state["segments"]:
             segment["deleted"] = self._deleted(gone)
-            sizes = View(self.spark, self.commits.path, state).live("sizes").join(self._open(segment["deleted"]), "key", "left_semi")
-            lost = tuple(sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first())
+            sizes = View(self.spark, self.commits.path, state).live("sizes", columns=["key", "rows", "length", "_at"])
+            told = sizes.join(self._open(segment["deleted"]), "key", "left_semi").groupBy("_at").agg(F.sum("rows").alias("rows"), F.sum("length").alias("length")).collect()
+            lost = (sum(r.rows for r in told), sum(r.length for r in told))
+            segment["touches"] = [state["segments"][r["_at"]]["folder"] for r in told]
         new = {
             "segments": [*state["segments"], segment], "rows": state["rows"] + segment["rows"] - lost[0], "length": state["length"] + segment["length"] - lost[1],
             "key": rows.schema["key"].dataType.simpleString(),
@@ -253,8 +374,12 @@ class TextIndex:
         if at >= len(segments) - 1:
             return version
         live = View(self.spark, self.commits.path, state).live("postings", start=at)
-        whole = self._segment(live.select("term", "key", "seq", "length", "lead", "positions"))
-        gone = [self._open(s["deleted"]) for s in segments[at:] if s["deleted"]]
+        live = live.select("term", "key", "seq", "length", "lead", "positions")
+        ranges = ranges_of_postings(live, size)
+        whole = self._segment(dealt(live, ranges), ranges)
+        gone = [s for s in segments[at:] if s["deleted"]]
         if at and gone:
-            whole["deleted"] = self._deleted(reduce(DataFrame.unionByName, gone))
+            whole["deleted"] = self._deleted(reduce(DataFrame.unionByName, [self._open(s["deleted"]) for s in gone]))
+            before = [s["folder"] for s in segments[:at]]
+            whole["touches"] = sorted({f for s in gone for f in s.get("touches", before)} & set(before))
         return self.commits.commit(version, {**state, "segments": [*segments[:at], whole]})

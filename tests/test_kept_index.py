@@ -5,6 +5,8 @@ import math
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -157,3 +159,42 @@ def test_removed_sessions_are_not_found(spark, searched):
     index, m, s = searched
     index.remove(s.filter("project_id = 'p1'"))
     assert {int(r.session_id[1:]) % 3 for r in session_index.search(index, m, s, "alpha beta", None, 100).collect()} == {0, 2}
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_deletions_are_joined_to_the_segments_they_touch(spark, tmp_path):
+    index = TextIndex(spark, str(tmp_path))
+    frame = lambda *ks: spark.createDataFrame([(k, 1, f"alpha {k}") for k in ks], ROWS)
+    index.add(frame("a"), "key", "text", "seq")
+    index.add(frame("b", "c"), "key", "text", "seq")
+    index.replace(frame("a", "d"), "key", "text", "seq")
+    view = index.view()
+    assert view.segments[2]["touches"] == [view.segments[0]["folder"]]
+    assert "Join" in plan(view.live("postings")) and "Join" not in plan(view.live("postings", start=1))
+    index.remove(spark.createDataFrame([("a",), ("c",), ("x",)], "key string"), "key")
+    view = index.view()
+    assert set(view.segments[3]["touches"]) == {view.segments[1]["folder"], view.segments[2]["folder"]}
+    assert {r.term: (r.rows, r.n) for r in view.statistics().collect()} == {"alpha": (2, 2), "b": (1, 1), "d": (1, 1)}
+
+
+def test_postings_are_made_where_rows_are_read(spark):
+    rows = spark.createDataFrame([("a", 1, "x y x"), ("a", 2, None), ("b", 1, "y")], ROWS).repartition(3).localCheckpoint()
+    same, n = text_index.once(rows)
+    ranges = text_index.ranges_of(same, n)
+    made = text_index.postings_of(same, ranges)
+    assert n == 3 and "Exchange" not in plan(made)
+    assert sorted(tuple(r)[:-1] for r in made.collect()) == [("", "a", 2, 0, True, []), ("x", "a", 1, 3, True, [0, 2]), ("y", "a", 1, 3, False, [1]), ("y", "b", 1, 1, True, [0])]
+    twice, n = text_index.once(rows.unionByName(rows.filter("key = 'b'").withColumn("text", F.lit("a"))))
+    assert n == 3 and sorted((r.key, r.seq, r.text) for r in twice.collect() if r.text) == [("a", 1, "x y x"), ("b", 1, "a")]
+
+
+def test_a_frequent_term_has_several_ranges(monkeypatch):
+    monkeypatch.setattr(text_index, "RANGE_BYTES", 100)
+    ranges = text_index.Ranges([("a", 90), ("m", 600), ("z", 90), ("y", 20)], 1)
+    names = pa.array(["a", "m", "n", "z", "zz", ""])
+    of = lambda i: {p for d in range(-50, 50) for p in ranges.of(names, np.array([i]), np.array([d])).to_pylist()}
+    assert ranges.count == 8 and len(of(1)) >= 6 and max(of(0)) <= min(of(1)) and min(of(3)) >= max(of(1)) and of(5) == {0} and of(4) == {7}
+    assert text_index.Ranges([], 1).of(names, np.arange(6), np.arange(6)).to_pylist() == [0] * 6
