@@ -191,6 +191,17 @@ def test_postings_are_made_where_rows_are_read(spark):
     assert n == 3 and sorted((r.key, r.seq, r.text) for r in twice.collect() if r.text) == [("a", 1, "x y x"), ("b", 1, "a")]
 
 
+def test_heads_that_batches_cut_add_up(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "RANGE_BYTES", 400)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    rng, index = random.Random(9), TextIndex(spark, str(tmp_path))
+    rows = {(f"k{i}", s): texts(rng, rng.randrange(1, 30)) for i in range(4) for s in range(9)}
+    index.add(spark.createDataFrame([(k, s, t) for (k, s), t in rows.items()], ROWS), "key", "text", "seq")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert index.view().live("heads", ["alpha"]).count() > 4
+    same_bests(index.view(), rows, ["alpha beta", '"of the" gamma'])
+
+
 def test_a_frequent_term_has_several_ranges(monkeypatch):
     monkeypatch.setattr(text_index, "RANGE_BYTES", 100)
     ranges = text_index.Ranges([("a", 90), ("m", 600), ("z", 90), ("y", 20)], 1)
