@@ -2,16 +2,16 @@
 
 Rows (key, seq, text) are documents, or messages of a session: a key may have many. Each commit adds one segment:
 
-- ``postings`` (term, key, seq, length, lead, positions) and ``heads`` (term, key, n, entries), what ranking needs: the rows of the
-  key that hold the term, and for each count of it in a row the shortest such row. The best score of a key follows from
-  the heads whatever the corpus statistics are by then, without a look at its rows.
-  Where a key's rows are many it may have several rows of a term, which add up.
-- both are dealt by ranges of terms, drawn from a sample of the rows: a frequent term is cut by key, and no file has more than ROWS_PER_FILE rows.
-  ``files`` lists each file's range, so a query opens the files of its terms alone.
+- ``postings`` (term, key, seq, length, lead, positions, tf), side by side for each term, and dealt by ranges of terms, drawn from a sample of
+  the rows: a frequent term is cut by key, and no file has more than ROWS_PER_FILE rows. ``files`` lists each file's range, so a query
+  opens the files of its terms alone.
+- ``heads`` (term, key, n, entries) are what ranking needs. They are not stored: they are columns of the postings, which are read without the
+  positions. The best score of a key follows from them whatever the corpus statistics are by then, without a look at its rows.
 - ``sizes`` (key, rows, length), and ``deleted`` (key): keys of earlier segments that are gone or have come anew. The manifest
   names the segments that a deletion ``touches``; the others are read without a look at it.
 
-A row's postings are made where the row is read, and travel once, to their range; so do the heads.
+A row's postings are made where the row is read, and travel once, to their range, in blocks: up to BLOCK postings of a term that one Arrow
+batch holds. So blocks are sorted, not postings, and a term travels once a block.
 
 Adding, changing and removing write one new segment and read, of earlier ones, the sizes of the keys that go. The newest
 segments are merged before they are many; a merge drops what is deleted.
@@ -40,8 +40,12 @@ MOST_SEGMENTS, LARGER = 8, 4
 #: Rows whose terms tell the ranges, about; chosen by hash. A range holds about so many bytes of postings.
 SAMPLE_ROWS, RANGE_BYTES = 5_000, 16 << 20
 
-ENTRIES = "array<struct<tf:int,length:int,seq:long>>"
-POSTINGS, HEADS = "seq long, length int, lead boolean, positions array<int>", f"n long, entries {ENTRIES}"
+#: Postings of a block, at most.
+BLOCK = 512
+
+#: How segments are laid out; an index of another format is refused.
+FORMAT = 2
+STORED = "seq long, length int, lead boolean, positions array<int>, tf int"
 
 
 def once(rows: DataFrame) -> tuple[DataFrame, int]:
@@ -83,8 +87,29 @@ def ranges_of(rows: DataFrame, n: int) -> Ranges:
     return Ranges([(r.term, 24 * min(r.n, SAMPLE_ROWS) + 4 * r.n) for r in met.collect()], times)
 
 
-def postings_of(rows: DataFrame, ranges: Ranges) -> DataFrame:
-    """(term, key, seq, length, lead, positions, part); a row without terms has one with an empty term. ``lead`` marks one posting of each row, ``part`` is its range."""
+def _block_schema(key: T.DataType) -> str:
+    return f"term string, part int, keys array<{key.simpleString()}>, seqs array<long>, lengths array<int>, tfs array<int>, starts array<int>, places array<int>"
+
+
+def _blocks(names: pa.Array, which: np.ndarray, part: np.ndarray, key: pa.Array, seq: pa.Array, length: pa.Array, positions: pa.ListArray) -> pa.RecordBatch:
+    """Blocks of postings, whose terms are ``names[which]``: ``places`` are the positions of all of them, ``starts`` and ``tfs`` whose are where."""
+    order = np.lexsort((part, which))
+    which, part = which[order], part[order]
+    key, seq, length, positions = (c.take(pa.array(order)) for c in (key, seq, length, positions))
+    ends = positions.offsets.to_numpy()
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(which) != 0) | (np.diff(part) != 0)]))
+    at = np.arange(len(which)) - np.repeat(first, np.diff(np.append(first, len(which))))
+    block = np.flatnonzero(at % BLOCK == 0)
+    bounds = np.append(block, len(which))
+    starts = ends[:-1] - np.repeat(ends[block], np.diff(bounds))
+    cut = lambda values, to=bounds: pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), values)
+    tfs, starts = (pa.array(x.astype(np.int32)) for x in (np.diff(ends), starts))
+    columns = [names.take(pa.array(which[block])), pa.array(part[block]), cut(key), cut(seq), cut(length), cut(tfs), cut(starts), cut(positions.flatten(), ends[bounds] - ends[0])]
+    return pa.RecordBatch.from_arrays(columns, ["term", "part", "keys", "seqs", "lengths", "tfs", "starts", "places"])
+
+
+def blocks_of(rows: DataFrame, ranges: Ranges) -> DataFrame:
+    """The postings of ``rows`` in blocks; a row without terms has one with an empty term. ``part`` is a block's range."""
     cut = rows.select("key", "seq", F.xxhash64("key").alias("deal"), index_terms(F.col("text")).alias("terms"))
 
     def run(batches):
@@ -96,21 +121,33 @@ def postings_of(rows: DataFrame, ranges: Ranges) -> DataFrame:
             row = np.repeat(np.arange(len(lengths)), lengths)
             position = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             known = words.dictionary
-            pair = row * (len(known) + 1) + words.indices.to_numpy(zero_copy_only=False)
+            word = words.indices.to_numpy(zero_copy_only=False)
+            pair = word * np.int64(len(lengths)) + row
             order = np.argsort(pair, kind="stable")
             first = np.flatnonzero(np.diff(pair[order], prepend=-1))
-            owner, which = row[order[first]], words.indices.to_numpy(zero_copy_only=False)[order[first]]
             bare = np.flatnonzero(lengths == 0)
-            owner, which = np.concatenate([owner, bare]), np.concatenate([which, np.full(len(bare), len(known))])
+            owner = np.concatenate([row[order[first]], bare])
+            which = np.concatenate([word[order[first]], np.full(len(bare), len(known))])
             names = pa.concat_arrays([known.cast(pa.string()), pa.array([""])])
             places = pa.ListArray.from_arrays(np.concatenate([first, np.full(len(bare) + 1, len(row))]).astype(np.int32), pa.array(position[order].astype(np.int32)))
-            lead = np.concatenate([position[order[first]] == 0, np.ones(len(bare), bool)])
+            part = ranges.of(names, which, deal.to_numpy()[owner]).to_numpy()
             mine = pa.array(owner)
-            part = ranges.of(names, which, deal.to_numpy()[owner])
-            columns = [names.take(pa.array(which)), key.take(mine), seq.take(mine), pa.array(lengths[owner].astype(np.int32)), pa.array(lead), places, part]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "key", "seq", "length", "lead", "positions", "part"])
+            yield _blocks(names, which, part, key.take(mine), seq.take(mine), pa.array(lengths[owner].astype(np.int32)), places)
 
-    return cut.mapInArrow(run, f"term string, key {rows.schema['key'].dataType.simpleString()}, {POSTINGS}, part int")
+    return cut.mapInArrow(run, _block_schema(rows.schema["key"].dataType))
+
+
+def opened(blocks: DataFrame) -> DataFrame:
+    """(term, key, seq, length, lead, positions, part) of each posting of ``blocks``, in their order; ``lead`` marks one posting of each row."""
+    of = lambda name: F.col(name)[F.col("i")]
+    each = blocks.select("term", "part", F.posexplode("keys").alias("i", "key"), "seqs", "lengths", "tfs", "starts", "places")
+    met = each.select("term", "key", of("seqs").alias("seq"), of("lengths").alias("length"), F.slice("places", of("starts") + 1, of("tfs")).alias("positions"), "part")
+    return met.select("term", "key", "seq", "length", F.coalesce(F.get("positions", F.lit(0)) == 0, F.lit(True)).alias("lead"), "positions", "part")
+
+
+def postings_of(rows: DataFrame, ranges: Ranges) -> DataFrame:
+    """(term, key, seq, length, lead, positions, part) of all ``rows``, where they are read."""
+    return opened(blocks_of(rows, ranges))
 
 
 def ranges_of_postings(postings: DataFrame, n: int) -> Ranges:
@@ -122,47 +159,20 @@ def ranges_of_postings(postings: DataFrame, n: int) -> Ranges:
 
 
 def dealt(postings: DataFrame, ranges: Ranges) -> DataFrame:
-    """``postings`` with their ``part``."""
-    names = [*postings.columns, "part"]
-
-    def run(batches):
-        for batch in batches:
-            words = batch.column("term").dictionary_encode()
-            part = ranges.of(words.dictionary, words.indices.to_numpy(zero_copy_only=False), batch.column("deal").to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], part], names)
-
-    return postings.withColumn("deal", F.xxhash64("key")).mapInArrow(run, T.StructType([*postings.schema.fields, T.StructField("part", T.IntegerType())]))
-
-
-def heads_of(postings: DataFrame, ranges: Ranges) -> DataFrame:
-    """(term, key, n, entries, part): rows of the key that hold the term; for each count of it the shortest row, then the one with the smallest seq.
-
-    ``postings`` come as they are stored, so rows of a term and key are side by side; where a batch cuts them there are two heads.
-    """
-    cut = postings.filter("term != ''").select("term", "key", F.xxhash64("key").alias("deal"), "seq", "length", F.size("positions").alias("tf"))
+    """Stored ``postings`` in blocks."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            term, key, deal = batch.columns[:3]
-            seq, length, tf = (c.to_numpy(zero_copy_only=False) for c in batch.columns[3:])
-            words, keys = term.dictionary_encode(), key.dictionary_encode()
-            word, own = (c.indices.to_numpy(zero_copy_only=False) for c in (words, keys))
-            new = np.concatenate([[True], (np.diff(word) != 0) | (np.diff(own) != 0)])
-            run_of, starts = np.cumsum(new) - 1, np.flatnonzero(new)
-            order = np.lexsort((seq, length, tf, run_of))
-            r, t = run_of[order], tf[order]
-            keep = np.concatenate([[True], (np.diff(r) != 0) | (np.diff(t) != 0)])
-            best = order[keep]
-            entries = pa.StructArray.from_arrays([pa.array(tf[best].astype(np.int32)), pa.array(length[best].astype(np.int32)), pa.array(seq[best])], ["tf", "length", "seq"])
-            offsets = np.searchsorted(r[keep], np.arange(len(starts) + 1)).astype(np.int32)
-            at = pa.array(starts)
-            part = ranges.of(words.dictionary, word[starts], deal.to_numpy()[starts])
-            columns = [term.take(at), key.take(at), pa.array(np.diff(np.append(starts, len(new)))), pa.ListArray.from_arrays(offsets, entries), part]
-            yield pa.RecordBatch.from_arrays(columns, ["term", "key", "n", "entries", "part"])
-
-    return cut.mapInArrow(run, f"term string, key {postings.schema['key'].dataType.simpleString()}, {HEADS}, part int")
+            term, deal, key, seq, length, positions = batch.columns
+            words = term.dictionary_encode()
+            names, which = words.dictionary, words.indices.to_numpy(zero_copy_only=False)
+            part = ranges.of(names, which, deal.to_numpy()).to_numpy()
+            yield _blocks(names, which, part, key, seq, length, positions)
+
+    cut = postings.select("term", F.xxhash64("key").alias("deal"), "key", "seq", "length", "positions")
+    return cut.mapInArrow(run, _block_schema(postings.schema["key"].dataType))
 
 
 def sizes_of(postings: DataFrame) -> DataFrame:
@@ -187,7 +197,10 @@ class View:
         """Rows of one kind from the segments from ``start`` on, without keys that a later segment deletes; of ``terms``, only their files are opened.
 
         ``columns``, the key among them, are what is read of each row; ``_at``, its segment's number, may be one."""
-        files = self._files(self.segments[start:], kind, terms) if terms is not None else None
+        if kind == "heads":
+            own = ["term", "key", F.lit(1).cast("long").alias("n"), F.array(F.struct("tf", "length", "seq")).alias("entries")]
+            return self.live("postings", terms, start, own).filter("term != ''")
+        files = self._files(self.segments[start:], terms) if terms is not None else None
         parts = []
         for i, s in enumerate(self.segments[start:], start):
             where = f"{self.path}/{s['folder']}/{kind}"
@@ -209,29 +222,26 @@ class View:
 
     def _schema(self, kind: str) -> T.StructType:
         key = self.state["key"] or "string"
-        more = {"postings": POSTINGS, "heads": HEADS}
-        if kind == "sizes":
-            return T.StructType.fromDDL(f"key {key}, rows long, length long")
-        return T.StructType.fromDDL(f"term string, key {key}, {more[kind]}")
+        return T.StructType.fromDDL(f"key {key}, rows long, length long" if kind == "sizes" else f"term string, key {key}, {STORED}")
 
-    def _files(self, segments: list[dict], kind: str, terms: list[str]) -> dict[str, list[str]]:
+    def _files(self, segments: list[dict], terms: list[str]) -> dict[str, list[str]]:
         """For each segment the files whose range takes in one of ``terms``."""
         if not segments or not terms:
             return {}
         listed = [self._open(f"{s['folder']}/files").withColumn("folder", F.lit(s["folder"])) for s in segments]
         within = reduce(lambda a, b: a | b, [(F.col("low") <= t) & (F.col("high") >= t) for t in sorted(set(terms))])
         out: dict[str, list[str]] = {}
-        for r in reduce(DataFrame.unionByName, listed).filter((F.col("kind") == kind) & within).select("folder", "file").collect():
+        for r in reduce(DataFrame.unionByName, listed).filter(within).select("folder", "file").collect():
             out.setdefault(r.folder, []).append(r.file)
         return out
 
     def postings(self) -> DataFrame:
-        """All live postings (term, key, seq, length, lead, positions)."""
+        """All live postings (term, key, seq, length, lead, positions, tf)."""
         return self.live("postings").filter("term != ''")
 
     def statistics(self) -> DataFrame:
         """(term, rows, n): rows that hold each term, and its occurrences."""
-        met = self.live("postings", columns=["term", "key", F.size("positions").alias("n")]).filter("term != ''")
+        met = self.live("postings", columns=["term", "key", F.col("tf").alias("n")]).filter("term != ''")
         return met.groupBy("term").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
 
     def hits(self, units: list[list[str]]) -> DataFrame:
@@ -241,21 +251,22 @@ class View:
         if single:
             heads = self.live("heads", sorted({t for t, _ in single}))
             whose = F.filter(F.array(*[F.when(F.col("term") == t, F.lit(i)) for t, i in single]), lambda i: i.isNotNull())
-            found.append(heads.select(F.explode(whose).alias("unit"), "key", "n", "entries").groupBy("unit", "key").agg(F.sum("n").alias("n"), F.flatten(F.collect_list("entries")).alias("entries")))
+            found.append(heads.select(F.explode(whose).alias("unit"), "key", "entries").select("unit", "key", F.inline("entries")))
         for i, unit in enumerate(units):
             if len(unit) > 1:
-                found.append(self._side_by_side(unit).withColumn("unit", F.lit(i)).select("unit", "key", "n", "entries"))
-        return reduce(DataFrame.unionByName, found)
+                found.append(self._side_by_side(unit).select(F.lit(i).alias("unit"), "key", "tf", "length", "seq"))
+        # Of a key's rows with the same count the shortest is the best one, then the one with the smallest seq.
+        counts = reduce(DataFrame.unionByName, found).groupBy("unit", "key", "tf").agg(F.count("*").alias("n"), F.min(F.struct("length", "seq")).alias("least"))
+        entry = F.struct("tf", F.col("least.length").alias("length"), F.col("least.seq").alias("seq"))
+        return counts.groupBy("unit", "key").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("entries"))
 
     def _side_by_side(self, unit: list[str]) -> DataFrame:
+        """(key, seq, length, tf) of the rows in which the terms stand side by side, and how often."""
         terms = sorted(set(unit))
         each = self.live("postings", terms).groupBy("key", "seq").agg(F.max("length").alias("length"), F.collect_list(F.struct("term", "positions")).alias("met"))
         places = lambda i: F.transform(F.element_at(F.filter("met", lambda m: m["term"] == unit[i]), 1)["positions"], lambda p: p - i)
         starts = reduce(F.array_intersect, [places(i) for i in range(len(unit))])
-        rows = each.filter(F.size("met") == len(terms)).select("key", "seq", "length", F.size(starts).alias("tf")).filter("tf > 0")
-        counts = rows.groupBy("key", "tf").agg(F.count("*").alias("n"), F.min(F.struct("length", "seq")).alias("least"))
-        entry = F.struct("tf", F.col("least.length").alias("length"), F.col("least.seq").alias("seq"))
-        return counts.groupBy("key").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("entries"))
+        return each.filter(F.size("met") == len(terms)).select("key", "seq", "length", F.size(starts).alias("tf")).filter("tf > 0")
 
     def holding(self, hits: DataFrame, units: int) -> list[int]:
         """For each unit the rows of the whole index that hold it."""
@@ -288,7 +299,9 @@ class TextIndex:
 
     def state(self) -> tuple[int, dict]:
         version, state = self.commits.latest()
-        return version, state or {"segments": [], "rows": 0, "length": 0, "key": None}
+        if state and state.get("format") != FORMAT:
+            raise ValueError(f"the index at {self.commits.path} has format {state.get('format', 1)}, not {FORMAT}; build it anew")
+        return version, state or {"segments": [], "rows": 0, "length": 0, "key": None, "format": FORMAT}
 
     def view(self) -> View:
         """The latest version."""
@@ -297,24 +310,17 @@ class TextIndex:
     def _open(self, folder: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.commits.path}/{folder}")
 
-    def _write(self, rows: DataFrame, ranges: Ranges, folder: str, by: list[str]) -> None:
-        dealt = rows.repartitionById(ranges.count, F.col("part")).sortWithinPartitions(*by).drop("part")
-        dealt.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.commits.path}/{folder}")
-
-    def _segment(self, postings: DataFrame, ranges: Ranges) -> dict:
-        """Writes a segment; heads, sizes and ranges are read off the postings that have been written."""
+    def _segment(self, blocks: DataFrame, ranges: Ranges) -> dict:
+        """Writes a segment; sizes and ranges are read off the postings that have been written."""
         where = self.commits.folder("segment")
-        self._write(postings, ranges, f"{where}/postings", ["term", "key", "seq"])
+        dealt = opened(blocks.repartitionById(ranges.count, F.col("part")).sortWithinPartitions("term")).drop("part")
+        dealt.withColumn("tf", F.size("positions")).write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{self.commits.path}/{where}/postings")
         stored = self._open(f"{where}/postings")
-        self._write(heads_of(stored, ranges), ranges, f"{where}/heads", ["term", "key"])
         sizes_of(stored).write.parquet(f"{self.commits.path}/{where}/sizes")
         # Counted by term first, which a hash table does; the least and the last of strings would need a sort of all rows.
-        listed = [
-            self._open(f"{where}/{kind}").groupBy(F.col("_metadata.file_name").alias("file"), "term").agg(F.count("*").alias("rows"))
-            .groupBy("file").agg(F.lit(kind).alias("kind"), F.min("term").alias("low"), F.max("term").alias("high"), F.sum("rows").alias("rows"))
-            for kind in ("postings", "heads")
-        ]
-        listed[0].unionByName(listed[1]).coalesce(1).write.parquet(f"{self.commits.path}/{where}/files")
+        listed = stored.groupBy(F.col("_metadata.file_name").alias("file"), "term").agg(F.count("*").alias("rows"))
+        listed = listed.groupBy("file").agg(F.min("term").alias("low"), F.max("term").alias("high"), F.sum("rows").alias("rows"))
+        listed.coalesce(1).write.parquet(f"{self.commits.path}/{where}/files")
         told = self._open(f"{where}/sizes").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("length"), F.lit(0))).first()
         return {"folder": where, "rows": told[0], "length": told[1], "deleted": None}
 
@@ -348,7 +354,7 @@ class TextIndex:
             rows = self.spark.createDataFrame([], f"key {state['key'] or 'string'}, seq long, text string")
         rows, n = once(rows)
         ranges = ranges_of(rows, n)
-        segment = self._segment(postings_of(rows, ranges), ranges)
+        segment = self._segment(blocks_of(rows, ranges), ranges)
         lost = (0, 0)
         if gone is not None and state["segments"]:
             segment["deleted"] = self._deleted(gone)
@@ -358,7 +364,7 @@ class TextIndex:
             segment["touches"] = [state["segments"][r["_at"]]["folder"] for r in told]
         new = {
             "segments": [*state["segments"], segment], "rows": state["rows"] + segment["rows"] - lost[0], "length": state["length"] + segment["length"] - lost[1],
-            "key": rows.schema["key"].dataType.simpleString(),
+            "key": rows.schema["key"].dataType.simpleString(), "format": FORMAT,
         }
         version = self.commits.commit(version, new)
         return self.merge() if len(new["segments"]) > MOST_SEGMENTS else version
@@ -374,7 +380,6 @@ class TextIndex:
         if at >= len(segments) - 1:
             return version
         live = View(self.spark, self.commits.path, state).live("postings", start=at)
-        live = live.select("term", "key", "seq", "length", "lead", "positions")
         ranges = ranges_of_postings(live, size)
         whole = self._segment(dealt(live, ranges), ranges)
         gone = [s for s in segments[at:] if s["deleted"]]

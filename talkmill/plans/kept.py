@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from talkmill.operators.commits import Commits, Conflict
 from talkmill.operators.search import meta_text
 from talkmill.operators.session_index import SessionIndex
-from talkmill.operators.text_index import TextIndex
+from talkmill.operators.text_index import FORMAT, TextIndex
 from talkmill.plans import memory
 from talkmill.plans.registry import table
 from talkmill.sources.shared import shared_dir
@@ -27,7 +27,7 @@ def _stamp(spark: SparkSession, d: str, name: str) -> str:
 def kept(spark: SparkSession, d: str, name: str, label: str, build) -> str:
     """The folder that ``build`` (folder) filled for this state of a table; it is named in a manifest once it is complete."""
     known = Commits(spark, f"{shared_dir(spark)}/talkmill-kept")
-    label = f"{label}-{_stamp(spark, d, name)}"
+    label = f"{label}-{FORMAT}-{_stamp(spark, d, name)}"
     while True:
         version, state = known.latest()
         if label in state:

@@ -209,3 +209,26 @@ def test_a_frequent_term_has_several_ranges(monkeypatch):
     of = lambda i: {p for d in range(-50, 50) for p in ranges.of(names, np.array([i]), np.array([d])).to_pylist()}
     assert ranges.count == 8 and len(of(1)) >= 6 and max(of(0)) <= min(of(1)) and min(of(3)) >= max(of(1)) and of(5) == {0} and of(4) == {7}
     assert text_index.Ranges([], 1).of(names, np.arange(6), np.arange(6)).to_pylist() == [0] * 6
+
+
+def test_postings_travel_in_blocks_and_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "RANGE_BYTES", 20_000)
+    said = {(f"k{i % 7}", i): f"x {'y ' * (i % 3)}z{i % 2} x" if i % 100 else None for i in range(1200)}
+    rows = spark.createDataFrame([(k, s, t) for (k, s), t in said.items()], ROWS).coalesce(1)
+    ranges = text_index.ranges_of(rows, len(said))
+    blocks = text_index.blocks_of(rows, ranges)
+    met = blocks.select("term", "part", F.size("keys").alias("n")).collect()
+    assert ranges.count > 2 and len(met) < 30 and max(r.n for r in met) <= text_index.BLOCK and len({r.part for r in met if r.term == "x"}) > 1
+    want = [(t, k, s, len(ts := terms(x)), not ts or ts[0] == t, [i for i, w in enumerate(ts) if w == t]) for (k, s), x in said.items() for t in set(terms(x)) or {""}]
+    assert sorted(tuple(r)[:-1] for r in text_index.opened(blocks).collect()) == sorted(want)
+    index = TextIndex(spark, str(tmp_path))
+    index.add(rows, "key", "text", "seq")
+    assert {p.name for p in (tmp_path / "data").glob("segment-*/*")} == {"postings", "sizes", "files"}
+    same_bests(index.view(), said, ["x y", '"y z1" x', "absent"])
+
+
+def test_an_index_of_another_format_is_refused(spark, tmp_path):
+    index = TextIndex(spark, str(tmp_path))
+    index.commits.commit(-1, {"segments": [], "rows": 0, "length": 0, "key": None})
+    with pytest.raises(ValueError, match="format 1"):
+        index.view()
