@@ -18,12 +18,20 @@ LOOKED_UP = 1000
 
 @dataclass(frozen=True)
 class SessionIndex:
-    body: TextIndex
-    meta: TextIndex
+    """``meta`` may be None for searches of bodies alone."""
+
+    body: TextIndex | None
+    meta: TextIndex | None
 
     def add(self, messages: DataFrame, sessions: DataFrame) -> None:
         """New messages, and the metadata of ``sessions``, new or changed."""
+        self.add_messages(messages)
+        self.add_sessions(sessions)
+
+    def add_messages(self, messages: DataFrame) -> None:
         self.body.add(messages, "session_id", "content", "seq_num")
+
+    def add_sessions(self, sessions: DataFrame) -> None:
         self.meta.replace(sessions, "session_id", "meta_text")
 
     def remove(self, sessions: DataFrame) -> None:

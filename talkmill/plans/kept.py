@@ -13,7 +13,7 @@ from talkmill.operators.session_index import SessionIndex
 from talkmill.operators.text_index import FORMAT, TextIndex
 from talkmill.plans import memory
 from talkmill.plans.registry import table
-from talkmill.sources.shared import shared_dir
+from talkmill.sources.shared import shared_dir, written
 
 
 def _stamp(spark: SparkSession, d: str, name: str) -> str:
@@ -40,18 +40,19 @@ def kept(spark: SparkSession, d: str, name: str, label: str, build) -> str:
             continue
 
 
-def session_index(spark: SparkSession, d: str, role: str | None = None) -> SessionIndex:
-    """Message bodies (all, or those not of ``role``) and metadata of all conversations."""
+def session_index(spark: SparkSession, d: str, role: str | None = None, metadata: bool = True) -> SessionIndex:
+    """Message bodies (all, or those not of ``role``) and, unless a search does without it, the metadata of all conversations; each is built when it is first asked for."""
 
-    def build(where):
-        s = memory.sessions(spark, d).withColumn("meta_text", meta_text(F.col("title"), F.col("topics")))
+    def bodies(where):
         m = memory.messages(spark, d)
-        m = m.filter(F.col("role") != role) if role else m
-        index = SessionIndex(TextIndex(spark, f"{where}/body"), TextIndex(spark, f"{where}/meta"))
-        index.add(m, s)
+        SessionIndex(TextIndex(spark, where), None).add_messages(m.filter(F.col("role") != role) if role else m)
+
+    def named(where):
+        s = memory.sessions(spark, d).select("session_id", meta_text(F.col("title"), F.col("topics")).alias("meta_text"))
+        SessionIndex(None, TextIndex(spark, where)).add_sessions(written(s, "metadata"))
 
-    where = kept(spark, d, "conversations", f"sessions-{role or 'all'}", build)
-    return SessionIndex(TextIndex(spark, f"{where}/body"), TextIndex(spark, f"{where}/meta"))
+    body = TextIndex(spark, kept(spark, d, "conversations", f"bodies-{role or 'all'}", bodies))
+    return SessionIndex(body, TextIndex(spark, kept(spark, d, "conversations", "metadata", named)) if metadata else None)
 
 
 def document_index(spark: SparkSession, d: str) -> TextIndex:

@@ -84,7 +84,7 @@ FROM ranked r LEFT JOIN messages m ON m.session_id = r.session_id AND m.seq_num
 
 def _searched(spark, d, q, where):
     """Over the kept index, in bodies alone."""
-    found = session_index.search(kept.session_index(spark, d), memory.messages(spark, d), memory.sessions(spark, d), q, where, metadata=False)
+    found = session_index.search(kept.session_index(spark, d, metadata=False), memory.messages(spark, d), memory.sessions(spark, d), q, where, metadata=False)
     return found.select("position", "session_id", F.round("score", 6).alias("score"), "coverage", "seq")
 
 

@@ -11,9 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from talkmill.operators import search, session_index, text_index
-from talkmill.operators.commits import Conflict
+from talkmill.operators.commits import Commits, Conflict
 from talkmill.operators.session_index import SessionIndex
 from talkmill.operators.text_index import TextIndex, View
+from talkmill.plans import own_queries
+from talkmill.sources.shared import shared_dir
 
 WORDS = ["alpha", "beta", "gamma", "the", "of", "数据", "ｗｉｄｅ", "x1"]
 ROWS = "key string, seq long, text string"
@@ -232,3 +234,15 @@ def test_an_index_of_another_format_is_refused(spark, tmp_path):
     index.commits.commit(-1, {"segments": [], "rows": 0, "length": 0, "key": None})
     with pytest.raises(ValueError, match="format 1"):
         index.view()
+
+
+def test_a_search_of_bodies_builds_no_metadata(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").filter("conv_id < 12").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    state = lambda: set(Commits(spark, f"{shared_dir(spark)}/talkmill-kept").latest()[1])
+    before = state()
+    own_queries()[0]["fts_or_fallback"](spark, str(tmp_path)).count()
+    (made,) = state() - before
+    assert made.startswith("bodies-all-")
+    own_queries()[0]["search_body_and_meta"](spark, str(tmp_path)).count()
+    (more,) = state() - before - {made}
+    assert more.startswith("metadata-")
