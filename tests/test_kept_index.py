@@ -246,3 +246,13 @@ def test_a_search_of_bodies_builds_no_metadata(spark, tmp_path):
     own_queries()[0]["search_body_and_meta"](spark, str(tmp_path)).count()
     (more,) = state() - before - {made}
     assert more.startswith("metadata-")
+
+
+def test_a_key_has_one_entry_for_each_count_however_postings_are_cut(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    index, said = TextIndex(spark, str(tmp_path)), {("k", s): "of the and " * (1 + s % 2) + "x " * (s % 5) for s in range(40)}
+    index.add(spark.createDataFrame([(k, s, t) for (k, s), t in said.items()], ROWS), "key", "text", "seq")
+    got = {r.unit: (r.n, sorted(tuple(e) for e in r.entries)) for r in index.view().hits([["of", "the"], ["and"]]).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    assert got == {u: (40, [(1, 3, 0), (2, 6, 5)]) for u in (0, 1)}
+    same_bests(index.view(), said, ['"of the" and'])
