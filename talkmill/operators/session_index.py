@@ -47,7 +47,8 @@ def best_of_index(body: View, sessions: DataFrame, units: list[list[str]], where
     scored = body.scored(hits, body.holding(hits, len(units)))
     if where is not None:
         scored = scored.join(sessions.filter(where).select(F.col("session_id").alias("key")), "key", "left_semi")
-    return scored.groupBy(F.col("key").alias("session_id")).agg(*[F.max(F.when(F.col("unit") == i, F.col("best"))).alias(f"b{i}") for i in range(len(units))])
+    per = scored.groupBy(F.col("key").alias("session_id")).agg(*[F.max(F.when(F.col("unit") == i, F.col("best"))).alias(f"b{i}") for i in range(len(units))])
+    return written(per, "session-bests")  # sessions are filtered and joined once, though their hits are counted and ranked
 
 
 def named_in(meta: View, sessions: DataFrame, units: list[list[str]], where: Column | None) -> DataFrame:

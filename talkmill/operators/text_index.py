@@ -11,7 +11,7 @@ Rows (key, seq, text) are documents, or messages of a session: a key may have ma
   names the segments that a deletion ``touches``; the others are read without a look at it.
 
 A row's postings are made where the row is read, and travel once, to their range, in blocks: up to BLOCK postings of a term that one Arrow
-batch holds. So blocks are sorted, not postings, and a term travels once a block.
+batch holds. So blocks are sorted, not postings, and a term travels once a block. Rows that few tasks would read are dealt out before.
 
 Adding, changing and removing write one new segment and read, of earlier ones, the sizes of the keys that go. The newest
 segments are merged before they are many; a merge drops what is deleted.
@@ -43,11 +43,25 @@ SAMPLE_ROWS, RANGE_BYTES = 5_000, 16 << 20
 #: Postings of a block, at most.
 BLOCK = 512
 
+#: Rows of a task that are few enough whatever its share is, and rows of a task where they are dealt out.
+FEW_ROWS, ROWS_PER_TASK = 10_000, 50_000
+
 #: How segments are laid out; an index of another format is refused.
 FORMAT = 2
 STORED = "seq long, length int, lead boolean, positions array<int>, tf int"
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt out if a task has more than twice its share of them: readers don't cut the row groups of a file, and a table may have few.
+
+    Only then texts are moved, which are a fraction of their postings. Neighbours stay together, as keys in order take less room."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    most, n = rows.groupBy(F.spark_partition_id().alias("part")).count().agg(F.max("count"), F.sum("count")).first()
+    if not n or most <= max(FEW_ROWS, 2 * n / cores):
+        return rows
+    return rows.repartitionByRange(max(2 * cores, n // ROWS_PER_TASK), "key", "seq")
+
+
 def once(rows: DataFrame) -> tuple[DataFrame, int]:
     """One row for each (key, seq), and how many: of a repeated one the smallest text counts. Only repeated rows are moved."""
     met = rows.groupBy("key", "seq").agg(F.count("*").alias("n"))
@@ -352,7 +366,7 @@ class TextIndex:
         version, state = self.state()
         if rows is None:
             rows = self.spark.createDataFrame([], f"key {state['key'] or 'string'}, seq long, text string")
-        rows, n = once(rows)
+        rows, n = once(spread(rows))
         ranges = ranges_of(rows, n)
         segment = self._segment(blocks_of(rows, ranges), ranges)
         lost = (0, 0)

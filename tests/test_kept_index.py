@@ -256,3 +256,27 @@ def test_a_key_has_one_entry_for_each_count_however_postings_are_cut(spark, tmp_
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     assert got == {u: (40, [(1, 3, 0), (2, 6, 5)]) for u in (0, 1)}
     same_bests(index.view(), said, ['"of the" and'])
+
+
+def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text_index, "FEW_ROWS", 20)
+    said = {(f"k{i % 50}", i): f"alpha {'beta ' * (i % 3)}of the x{i % 9}" if i % 40 else None for i in range(400)}
+    rows = spark.createDataFrame([(k, s, t) for (k, s), t in said.items()], ROWS)
+    rows.coalesce(1).write.parquet(str(tmp_path / "one"))
+    one, even = spark.read.parquet(str(tmp_path / "one")), rows.repartition(8).localCheckpoint()
+    assert text_index.spread(even) is even and text_index.spread(one.limit(15)).rdd.getNumPartitions() == 1 and text_index.spread(one.limit(0)).count() == 0
+    made = []
+    monkeypatch.setattr(text_index, "blocks_of", lambda rows, ranges, real=text_index.blocks_of: made.append(rows) or real(rows, ranges))
+    index = TextIndex(spark, str(tmp_path / "index"))
+    index.add(one, "key", "text", "seq")
+    held = made[0].groupBy(F.spark_partition_id()).count().agg(F.count("*"), F.max("count")).first()
+    assert held[0] >= 8 and held[1] <= 100
+    same_bests(index.view(), said, ["alpha x1", '"of the" beta'])
+
+
+def test_sessions_are_filtered_once(spark, searched, monkeypatch):
+    index, m, s = searched
+    labels = []
+    monkeypatch.setattr(session_index, "written", lambda rows, label, real=session_index.written: labels.append(label) or real(rows, label))
+    found = session_index.best_of_index(index.body.view(), s, search.parse_query('"of the" gamma'), F.col("project_id") == "p2")
+    assert labels == ["phrase-hits", "session-bests"] and "Join" not in plan(found) and found.count() > 0
